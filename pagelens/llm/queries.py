@@ -7,21 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import packing, simhash
+from pagelens.llm import decontaminate, langid, linededup, packing, quotes, simhash, topk, toxicity, urlfilter, warc
 from pagelens.llm.common import table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.learn_and_identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "payload_digest", "source_digest", "source_headers")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_toxicity, op4_maxscore, op5_line_dedup, op6_warc, op7_simhash, op8_url_filter, op9_packing, op10_quotations)}
 
 
 def oracle_sql() -> dict[str, str]:
