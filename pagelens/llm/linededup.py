@@ -30,29 +30,33 @@ WILD = "<*>"
 
 def masked(line: Column) -> Column:
     """A line's words, parted by one blank, the variable ones masked; '' for a blank line."""
-    words = F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))
-    wild = F.regexp_replace(words, r"[^ ]*[0-9][^ ]*", WILD)
+    tidy = line.contains("\t") | line.contains("\r") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    words = F.when(tidy, F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))).otherwise(line)
+    wild = F.regexp_replace(words, r"[^ 0-9]*+[0-9][^ ]*+", WILD)
     variable = F.size(F.split(wild, r"<\*>")) - 1
-    return F.when(2 * variable > F.size(F.split(words, " ")), words).otherwise(wild)
+    return F.when(words.rlike("[0-9]"), F.when(2 * variable > F.size(F.split(words, " ")), words).otherwise(wild)).otherwise(words)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n, leaf, line): a document's different masked lines; h is the line's hash."""
-    line = docs.where("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", masked(F.col("line")).alias("line")).where("line <> ''")
+    """(doc_id, key, at, line): the masked lines of all documents that are not blank; key tells texts of one id apart."""
+    line = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return line.select("doc_id", "key", "at", masked(F.col("line")).alias("line")).where("line <> ''")
+
+
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, at, h, n, leaf): each line as the hash of its masked form, its number of words and its leaf."""
     words = F.split("line", " ")
-    return line.select("doc_id", F.xxhash64("line").alias("h"), F.size(words).alias("n"), F.xxhash64(F.size(words), F.slice(words, 1, DEPTH)).alias("leaf"), "line")
+    return checkpointed(_lines(docs).select("doc_id", "key", "at", F.xxhash64("line").alias("h"), F.size(words).alias("n"), F.xxhash64(F.size(words), F.slice(words, 1, DEPTH)).alias("leaf")))
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, long: int = LONG) -> DataFrame:
+def recurring(docs: DataFrame, hashed: DataFrame, min_docs: int = MIN_DOCS, long: int = LONG) -> DataFrame:
     """(h, first_doc): masked lines whose template recurs, and the document that keeps it."""
-    # One row for each document and different line, without its words.
-    lines = _lines(docs)
-    slim = checkpointed(lines.groupBy("h", "doc_id").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf")))
+    slim = hashed.groupBy("h", "doc_id").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf"))
     by_line = checkpointed(slim.groupBy("h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("leaf").alias("leaf")))
     # Leaves that could generalise: several different lines, enough documents, room behind the leading words.
     leaves = by_line.where(F.col("n") >= DEPTH + TAIL).groupBy("leaf").agg(F.count("*").alias("different"), F.sum("docs").alias("docs")).where((F.col("different") > 1) & (F.col("docs") >= min(2, min_docs))).select("leaf", "different")
     wanted = by_line.join(leaves, "leaf").select("h", "leaf", "different", "n")
-    texts = lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    texts = _lines(docs).select(F.xxhash64("line").alias("h"), "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     words = checkpointed(texts.join(wanted, "h").select("h", "leaf", "different", "n", F.posexplode(F.split("line", " ")).alias("at", "word")))
     kept = words.groupBy("leaf", "at", "word").agg(F.count("*").alias("c"), F.first("different").alias("different")).where(2 * F.col("c") > F.col("different")).select("leaf", "at", F.col("word").alias("kept"))
     enough = kept.where(F.col("at") >= DEPTH).groupBy("leaf").agg(F.count("*").alias("static"))
@@ -69,13 +73,13 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, long: int = LONG) -> Da
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long: int = LONG) -> DataFrame:
     """The rows of docs with `text` cut, and the columns n_lines and n_dropped."""
-    drop = recurring(docs, min_docs, long)
-    hashes = docs.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(masked(x))))).alias("h"))
-    by_doc = hashes.join(drop, "h").where("doc_id <> first_doc").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("h").alias("_drop"))
-    joined = docs.join(by_doc, docs["doc_id"] == by_doc["_doc"], "left")
-    lines = F.split("text", "\n")
-    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", F.xxhash64(masked(x))), F.lit(False)))
-    cut = joined.withColumn("_text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
-    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(c, "\n")))
-    kept = F.when(F.col("_drop").isNull(), size("text")).otherwise(F.size(stays))
-    return cut.select(*(F.col("_text").alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")), size("text").alias("n_lines"), (size("text") - kept).alias("n_dropped"))
+    hashed = hashed_lines(docs)
+    drop = recurring(docs, hashed, min_docs, long)
+    by_doc = hashed.join(drop, "h").where("doc_id <> first_doc").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set("at").alias("_drop"))
+    joined = docs.join(by_doc, (docs["doc_id"] == by_doc["_doc"]) & (F.xxhash64(docs["text"]) == by_doc["_key"]), "left")
+    lines = F.split(docs["text"], "\n")
+    stays = F.filter(lines, lambda x, i: ~F.array_contains("_drop", i))
+    size = F.when(docs["text"].isNull(), 0).otherwise(F.size(lines))
+    text = F.when(F.col("_drop").isNull(), docs["text"]).otherwise(F.array_join(stays, "\n"))
+    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*columns, size.alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).alias("n_dropped"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import decontaminate, langid, linededup, packing, quotes, simhash, topk, toxicity, urlfilter, warc
+from pagelens.llm import decontaminate, langid, linededup, oracles, packing, quotes, simhash, topk, toxicity, urlfilter, warc
 from pagelens.llm.common import table
 
 
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
