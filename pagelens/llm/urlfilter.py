@@ -109,9 +109,10 @@ def keys_of(host: str, path: str) -> list[bytes]:
 def _ship(spark: SparkSession, entries: list[str]) -> str:
     """The name under which every worker finds the digest array of the entries."""
     name = f"digests-{xxhash.xxh64_hexdigest(chr(0).join(sorted(set(entries))))}.bin"
-    path = Path(tempfile.mkdtemp(prefix="digests-")) / name
-    DigestArray.write(path, entries)
-    spark.sparkContext.addFile(str(path))
+    if name not in {Path(f).name for f in spark.sparkContext.listFiles}:
+        path = Path(tempfile.mkdtemp(prefix="digests-")) / name
+        DigestArray.write(path, entries)
+        spark.sparkContext.addFile(str(path))
     return name
 
 
