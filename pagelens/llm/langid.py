@@ -105,7 +105,7 @@ def learn(rows: DataFrame) -> Model:
     languages = sorted(sizes.index[:MAX_LANGUAGES])
     counts = np.zeros((SIZE, len(languages)), np.float64)
     found = found[found["lang"].isin(languages)]
-    counts[found["bucket"].to_numpy(), found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()] = found["n"]
+    counts[found["bucket"].to_numpy(np.int64), np.searchsorted(languages, found["lang"].tolist()) if languages else np.zeros(0, np.int64)] = found["n"]
     grams = counts[: ORDERS * BUCKETS].reshape(ORDERS, BUCKETS, -1)
     grams = np.log((grams + 0.1) / (grams.sum(1, keepdims=True) + 0.1 * BUCKETS))
     scripts = counts[ORDERS * BUCKETS :]

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import Words, held_out, max_by_segment, remainder, slices
+from pagelens.llm.common import Words, held_out, max_by_segment, remainder, slices, string_bytes
 
 MAX_LABELS = 200_000
 MAX_TRIGRAMS = 100_000
@@ -104,6 +104,8 @@ def decode(written: str, letters: LetterModel, breaks: bool = False) -> str:
         for (a, b), (value, text) in paths.items():
             for letter, cost in arcs:
                 steps = [((a, b), value - cost, text)]
+                if letter and letter == a == b:  # no word has a letter three times in a row
+                    continue
                 if letter:
                     steps = [((b, letter), value - cost + letters.log(a, b, letter) + LETTER_GAIN, text + letter)]
                     if breaks and b != "^":
@@ -143,7 +145,7 @@ class Restorer:
         if self.letters is None:
             return words, plain, np.zeros(0, np.int64), []
         odd = pc.match_substring_regex(words.unique, _ODD).to_numpy(zero_copy_only=False)
-        odd |= pc.match_substring_regex(words.unique, r"\p{L}").to_numpy(zero_copy_only=False) & self._repeats(words.unique)
+        odd |= pc.match_substring_regex(words.unique, r"\p{L}").to_numpy(zero_copy_only=False) & self.repeats(words.unique)
         for i in np.flatnonzero(odd).tolist():
             plain[i] = self.read(words.unique[i].as_py())
         single = (pc.utf8_length(words.unique).to_numpy(zero_copy_only=False) == 1)[words.codes]
@@ -164,10 +166,8 @@ class Restorer:
         return words, plain, np.array(extra_text, np.int64), extra_words
 
     @staticmethod
-    def _repeats(unique: pa.Array) -> np.ndarray:
+    def repeats(unique: pa.Array) -> np.ndarray:
         """Whether a character occurs three times in a row (by bytes, which only adds words to look at)."""
-        from pagelens.llm.common import string_bytes
-
         data, offsets = string_bytes(unique)
         out = np.zeros(len(unique), bool)
         if len(data) > 2:
@@ -207,6 +207,7 @@ def count_trigrams(docs: DataFrame, limit: int = MAX_TRIGRAMS) -> dict[str, int]
             for part in slices(batch, "text"):
                 words, plain, _, _ = restorer.words(part.column("text"))
                 uses = np.bincount(words.codes, minlength=len(words.unique))
+                uses[restorer.repeats(words.unique)] = 0  # written for effect
                 points = np.frombuffer("".join(f"^^{w}^" for w in plain).encode("utf-32-le"), np.uint32).astype(np.int64)
                 word = np.repeat(np.arange(len(plain)), [len(w) + 3 for w in plain])
                 if len(points) < 3:
