@@ -16,9 +16,18 @@ fixed `HEADERS` and `DATE` stand in; an empty table gives no records; other colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import base64
+import hashlib
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.llm.common import slices
+
 #: What a page without headers or date is taken to have been sent with, and the base-32 alphabet.
 HEADERS = {"Content-Type": "text/html; charset=utf-8"}
 DATE = "2024-01-01T00:00:00Z"
@@ -27,62 +36,65 @@ DROPPED = ("script", "style", "noscript", "template")
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 CRLF = "\r\n"
+SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block string, content_length int, block_digest string, payload_digest string, source_digest string, source_headers string"
 
 
-def sha1_base32(value: Column) -> Column:
-    """`sha1:` and the 32 base-32 digits of the SHA-1 of a string's UTF-8 or of bytes."""
-    value = F.sha1(value)
+_DROP = [re.compile(r"<!--.*?-->", re.S), *(re.compile(rf"<{tag}\b[^>]*>.*?</{tag}\s*>", re.S | re.I | re.A) for tag in DROPPED)]
+_SPACE, _BLOCK, _TAG = re.compile(r"\s+", re.A), re.compile(rf"</?(?:{BLOCKS})\b[^>]*>", re.I | re.A), re.compile(r"<[^>]*>")
+_BLANKS, _LINES = re.compile(r" +"), re.compile(r" ?\n[ \n]*")
+_TITLE, _LINK = re.compile(r"<title[^>]*>([^<]*)", re.I | re.A), re.compile(r"<a\b[^>]*\bhref", re.I | re.A)
 
-    def digit(i: Column) -> Column:
-        chunk = F.conv(F.substring(value, (i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        power = F.element_at(F.array(*(F.lit(1 << n) for n in (15, 10, 5, 0))), (i % 4).cast("int") + 1)
-        return F.substring(F.lit(BASE32), F.floor(chunk / power).cast("int") % 32 + 1, F.lit(1))
 
-    return F.concat(F.lit("sha1:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), ""))
+def sha1_base32(value: str) -> str:
+    """`sha1:` and the 32 base-32 digits of the SHA-1 of a string's UTF-8."""
+    return "sha1:" + base64.b32encode(hashlib.sha1(value.encode()).digest()).decode()
 
 
-def record_id(*parts: Column) -> Column:
+def record_id(*parts: object) -> str:
     """A name-based urn:uuid."""
-    name = F.md5(F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
-    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(name, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(chr(1).join('' if p is None else str(p) for p in parts).encode()).hexdigest())}>"
+
+
+def text_of(html: str) -> str:
+    for pattern in _DROP:
+        html = pattern.sub("", html)
+    text = _TAG.sub("", _BLOCK.sub("\n", _SPACE.sub(" ", html)))
+    if "&" in text:
+        for entity, sign in ENTITIES:
+            text = text.replace(entity, sign)
+    return _LINES.sub("\n", _BLANKS.sub(" ", text)).strip(" \n")
 
 
-def text_of(html: Column) -> Column:
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in DROPPED:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    html = F.regexp_replace(F.regexp_replace(html, r"[\s]+", " "), rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    text = F.regexp_replace(html, r"<[^>]*>", "")
-    for entity, sign in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r" +", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+def records_of(page_id: int | None, url: str, html: str, headers: list[tuple[str, str | None]], date: str) -> Iterator[tuple]:
+    """The three records of a page, as rows of SCHEMA."""
+    lines = [f"{k}: {v or ''}" for k, v in sorted(headers, key=lambda h: h[0])]
+    sent, payload, text = "\n".join(lines), sha1_base32(html), text_of(html)
+    response = record_id("response", page_id, url, payload)
+    title = _TITLE.search(html)
+    http = CRLF.join(["HTTP/1.1 200 OK", *lines, f"Content-Length: {len(html.encode())}", "", html])
+    fields = [("title", _SPACE.sub(" ", title[1]).strip(" ") if title else ""), ("source-content-type", dict(headers).get("Content-Type") or ""), ("source-payload-digest", payload), ("links", len(_LINK.findall(html))), ("text-characters", len(text))]
+    for kind, content, block in (("response", "application/http; msgtype=response", http), ("metadata", "application/warc-fields", "".join(f"{k}: {v}{CRLF}" for k, v in fields)), ("conversion", "text/plain", text)):
+        digest, derived = sha1_base32(block), kind != "response"
+        yield page_id, kind, record_id(kind, response, digest) if derived else response, response if derived else None, url, date, content, block, len(block.encode()), digest, digest if derived else payload, payload if derived else None, sent
 
 
 def derive(pages: DataFrame) -> DataFrame:
-    """One row for each record: page_id, record_type, record_id, refers_to, target_uri, date, content_type, block,
-    content_length, block_digest, payload_digest, source_digest and source_headers."""
-    headers = F.col("headers") if "headers" in pages.columns else F.create_map(*(F.lit(x) for kv in HEADERS.items() for x in kv))
+    """Three rows for each page (SCHEMA)."""
+    headers = F.col("headers").cast("map<string,string>") if "headers" in pages.columns else F.create_map(*(F.lit(x) for kv in HEADERS.items() for x in kv))
     date = F.coalesce(F.col("date").cast("string"), F.lit(DATE)) if "date" in pages.columns else F.lit(DATE)
-    page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("target_uri"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), date.alias("date"), headers.alias("headers"))
-    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))
-    page = page.withColumn("source_headers", F.concat_ws("\n", F.coalesce(lines, F.array().cast("array<string>"))))
-    page = page.withColumn("payload_digest", sha1_base32(F.col("html"))).withColumn("text", text_of(F.col("html"))).withColumn("title", F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>([^<]*)", 1), r"\s+", " ")))
-    page = page.withColumn("source_id", record_id(F.lit("response"), F.col("page_id"), F.col("target_uri"), F.col("payload_digest")))
-    http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF), F.when(F.col("source_headers") == "", F.lit("")).otherwise(F.concat(F.replace(F.col("source_headers"), F.lit("\n"), F.lit(CRLF)), F.lit(CRLF))), F.lit(f"Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF * 2), F.col("html"))
-    fields = F.concat(
-        *(x for name, value in (("title", F.col("title")), ("source-content-type", F.coalesce(F.col("headers")["Content-Type"], F.lit(""))), ("source-payload-digest", F.col("payload_digest")), ("links", (F.size(F.split("html", r"(?i)<a\b[^>]*\bhref")) - 1).cast("string")), ("text-characters", F.length("text").cast("string"))) for x in (F.lit(f"{name}: "), value, F.lit(CRLF)))
-    )
-    none = F.lit(None).cast("string")
-    row = lambda kind, refers, content, block, source: F.struct(F.lit(kind).alias("record_type"), refers.alias("refers_to"), F.lit(content).alias("content_type"), block.alias("block"), source.alias("source_digest"))
-    source = F.col("source_id")
-    made = page.select("page_id", "target_uri", "date", "source_headers", "payload_digest", "source_id", F.explode(F.array(
-        row("response", none, "application/http; msgtype=response", http, none),
-        row("metadata", source, "application/warc-fields", fields, F.col("payload_digest")),
-        row("conversion", source, "text/plain", F.col("text"), F.col("payload_digest")),
-    )).alias("r")).select("page_id", "target_uri", "date", "source_headers", "payload_digest", "source_id", "r.*")
-    made = made.withColumn("block_digest", sha1_base32(F.col("block")))
-    own = F.when(F.col("record_type") == "response", source).otherwise(record_id(F.col("record_type"), source, F.col("block_digest")))
-    return made.select("page_id", "record_type", own.alias("record_id"), "refers_to", "target_uri", "date", "content_type", "block", F.octet_length("block").alias("content_length"), "block_digest", F.when(F.col("record_type") == "response", F.col("payload_digest")).otherwise(F.col("block_digest")).alias("payload_digest"), "source_digest", "source_headers")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    page = pages.select(F.col("page_id").cast("long").alias("page_id"), text("url").alias("url"), text("html").alias("html"), headers.alias("headers"), date.alias("date"))
+    names, kinds = zip(*(x.split() for x in SCHEMA.split(", ")), strict=True)
+    arrow = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[k] for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                columns = [part.column(c).to_pylist() for c in ("page_id", "url", "html", "headers", "date")]
+                rows = [r for i, u, h, m, d in zip(*columns, strict=True) for r in records_of(i, u, h, m or [], d)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), arrow, strict=True)], names)
+
+    return page.mapInArrow(run, SCHEMA)
 
 
 def serialised(records: DataFrame) -> DataFrame:
