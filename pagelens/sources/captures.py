@@ -136,5 +136,5 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 def capped_html(captures: DataFrame, limit: int = MAX_HTML_BYTES) -> DataFrame:
     """`html` cut at a number of bytes (a cut character is lost) and the flag `truncated`."""
     raw = F.encode("html", "UTF-8")
-    cut = F.rtrim(F.decode(F.substring(raw, 1, limit), F.lit("UTF-8")), F.lit("�"))
+    cut = F.rtrim(F.make_valid_utf8(F.substring(raw, 1, limit).cast("string")), F.lit("\ufffd"))
     return captures.withColumn("truncated", F.octet_length("html") > limit).withColumn("html", F.when(F.octet_length("html") > limit, cut).otherwise(F.col("html")))
