@@ -44,6 +44,9 @@ LONGEST = 12
 #: Longest written word that is taken for an obfuscated one (longer ones are keys, addresses and the like).
 LONGEST_WRITTEN = 40
 
+#: Bytes of text that a task looks at together.
+SLICE_BYTES = 4 << 20
+
 #: The letters that a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -204,7 +207,7 @@ def count_trigrams(docs: DataFrame, limit: int = MAX_TRIGRAMS) -> dict[str, int]
         restorer = Restorer(None)
         counts: dict[int, int] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 words, plain, _, _ = restorer.words(part.column("text"))
                 uses = np.bincount(words.codes, minlength=len(words.unique))
                 uses[restorer.repeats(words.unique)] = 0  # written for effect
@@ -265,7 +268,7 @@ def count_features(docs: DataFrame, trigrams: dict[str, int], only: np.ndarray |
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(trigrams)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 words, plain, extra_text, extra = restorer.words(part.column("text"))
                 hashes, owners = features([*plain, *extra])
                 if only is not None:
@@ -302,7 +305,7 @@ def figures(docs: DataFrame, model: Model, keep: list[str], finish=None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.trigrams)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 words, plain, extra_text, extra = restorer.words(part.column("text"))
                 weight = np.zeros(len(plain) + len(extra) + 1)
                 if len(model.features):
