@@ -6,7 +6,7 @@ sees fit.  Of several values of a channel that match, the first one counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import channels as ch
@@ -35,6 +35,7 @@ def core_channels(captures: DataFrame) -> DataFrame:
     every = F.concat(
         _rows("generator", F.when(F.lower(html).contains("generator"), ch.every(html, ch.GENERATOR))),
         _rows("usage", F.array(ch.usage_html(html))),
+        _rows("raw", F.array(html)),
         _rows("resource", ch.resource_refs(html), name=lambda x: F.concat(x["tag"], F.lit("["), x["attr"], F.lit("]")), value=lambda x: x["src"]),
         _rows("href", ch.every(html, ch.HREF)),
         _rows("link", ch.link_pairs(html), name=lambda x: x["rel"], value=lambda x: x["href"]),
@@ -46,24 +47,29 @@ def core_channels(captures: DataFrame) -> DataFrame:
     return captures.select("page_id", F.explode(every).alias("c")).select("page_id", "c.*").where(F.regexp_replace("value", r"\s+", "") != "")
 
 
+def with_vetoes(rules: DataFrame) -> DataFrame:
+    """The rules and, for each technology with a veto, one more that looks for it in the raw HTML."""
+    veto = rules.where("veto <> ''").dropDuplicates(["tech_id"]).withColumns({"type": F.lit("veto"), "channel": F.lit("raw"), "pattern": F.col("veto"), "sig_ord": F.lit(-1), "needle": F.lit("")})
+    return rules.unionByName(veto)
+
+
 def core_evidence(captures: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row for each page, technology and signal that matches.
+    """One row for each page, technology and signal that matches, in one pass over the pages.
 
     A probe's success text counts only where another signal of the technology matches; a veto on the raw HTML removes
     the technology.  Patterns that need a fixed text are tried only on values that contain it.
     """
-    c, r = core_channels(captures).alias("c"), small(rules).alias("r")
+    c, r = core_channels(captures).alias("c"), small(with_vetoes(rules)).alias("r")
     named = ~F.col("r.channel").isin("header", "probe") | (F.col("r.header") == F.col("c.name"))
     plain = F.col("r.channel") == "probe"
     pattern = icase(F.col("r.pattern"))
     hit = F.when(plain, F.col("c.value").contains(F.col("r.pattern"))).otherwise(((F.col("r.needle") == "") | F.lower("c.value").contains(F.col("r.needle"))) & (F.rlike("c.value", pattern) | F.coalesce(F.rlike("c.alt", pattern), F.lit(False))))
     rows = c.join(r, (F.col("c.channel") == F.col("r.channel")) & named & hit)
-    first = rows.groupBy("page_id", *(f"r.{x}" for x in ("tech_ord", "tech_id", "tech_name", "category", "excludes", "veto", "sig_ord", "type", "header", "weight", "strength", "version_group", "pattern", "family", "specificity", "description"))).agg(F.min_by(F.struct("c.name", "c.value"), F.col("c.ord")).alias("hit"))
-    seen = first.select("page_id", "tech_id", "type").where("type <> 'probe'").select("page_id", "tech_id").distinct()
-    first = first.join(seen, ["page_id", "tech_id"], "left_semi")
-    vetoes = small(rules.where("veto <> ''").select("tech_id", "veto").distinct()).alias("v")
-    vetoed = captures.select("page_id", "html").join(vetoes, F.rlike("html", icase(F.col("v.veto")))).select("page_id", "tech_id")
-    return _texts(first.join(vetoed, ["page_id", "tech_id"], "left_anti"))
+    value = F.when(F.col("r.type") != "veto", F.col("c.value"))
+    first = rows.groupBy("page_id", *(f"r.{x}" for x in ("tech_ord", "tech_id", "tech_name", "category", "excludes", "sig_ord", "type", "header", "weight", "strength", "version_group", "pattern", "family", "specificity", "description"))).agg(F.min(F.struct("c.ord", "c.name", value.alias("value"))).alias("hit"))
+    tech = Window.partitionBy("page_id", "tech_id")
+    first = first.withColumn("vetoed", F.max((F.col("type") == "veto").cast("int")).over(tech)).withColumn("seen", F.max((~F.col("type").isin("probe", "veto")).cast("int")).over(tech))
+    return _texts(first.where("vetoed = 0 and seen = 1"))
 
 
 def _texts(rows: DataFrame) -> DataFrame:
@@ -118,8 +124,21 @@ def type_hits(captures: DataFrame, rules: DataFrame, look: dict[str, list[str]],
     allowed = (F.col("r.channel") != "container") | (F.col("r.weight") >= 0.35)
     hits = h.join(r, (F.col("h.channel") == F.col("r.channel")) & allowed & F.rlike("h.text", icase(F.col("r.pattern"))))
     hits = hits.select("page_id", "tech_ord", "tech_id", "tech_name", "category", "rule_ord", "type", "weight", "product", "place", F.col("h.channel").alias("channel"), F.col("h.name").alias("container"))
-    direct = hits.where("channel <> 'container'").groupBy("page_id", "tech_ord", "tech_id", "tech_name", "category", "rule_ord", "type", "weight", "product").agg(F.min_by("channel", "place").alias("channel"))
-    direct = direct.withColumn("header_only", F.col("channel").isin(*WEAK)).withColumn("container", F.lit(None).cast("string")).drop("channel")
-    via = hits.where("channel = 'container'").groupBy("page_id", "tech_ord", "tech_id", "tech_name", "category", "container").agg(F.min(F.struct("rule_ord", "product")).alias("first"))
-    via = via.select("page_id", "tech_ord", "tech_id", "tech_name", "category", (F.lit(1000) + F.substring("container", 1, 4).cast("int")).alias("rule_ord"), F.lit("via-gtm").alias("type"), F.lit(0.7).alias("weight"), "first.product", F.lit(False).alias("header_only"), F.substring("container", 6, 200).alias("container"))
-    return direct.unionByName(via)
+    # A rule counts once, where it is found first; a container once for each technology, by its first rule.
+    inside = F.col("channel") == "container"
+    order = F.when(inside, F.col("rule_ord")).otherwise(F.col("place"))
+    unit = F.when(inside, F.col("container")).otherwise(F.col("rule_ord").cast("string"))
+    first = hits.groupBy("page_id", "tech_ord", "tech_id", "tech_name", "category", unit.alias("unit")).agg(F.min(F.struct(order.alias("order"), "rule_ord", "type", "weight", "product", "channel", "container")).alias("f"))
+    inside = F.col("f.channel") == "container"
+    return first.select(
+        "page_id", "tech_ord", "tech_id", "tech_name", "category", F.when(inside, F.lit(1000) + F.substring("f.container", 1, 4).cast("int")).otherwise(F.col("f.rule_ord")).alias("rule_ord"), F.when(inside, "via-gtm").otherwise(F.col("f.type")).alias("type"), F.when(inside, 0.7).otherwise(F.col("f.weight")).alias("weight"), "f.product",
+        F.col("f.channel").isin(*WEAK).alias("header_only"), F.when(inside, F.substring("f.container", 6, 200)).alias("container"),
+    )
+
+
+def with_default(hits: DataFrame, pages: DataFrame, tech: tuple, weight: float) -> DataFrame:
+    """A script-host hit of a technology (tech_ord, tech_id, tech_name, category) for pages without a direct one."""
+    given = pages.select("page_id", *(F.lit(v).alias(n) for n, v in zip(("tech_ord", "tech_id", "tech_name", "category"), tech, strict=True)), F.lit(500).alias("rule_ord"), F.lit("script-host").alias("type"), F.lit(weight).alias("weight"), F.lit("").alias("product"), F.lit(False).alias("header_only"), F.lit(None).cast("string").alias("container"))
+    both = hits.withColumn("default", F.lit(0)).unionByName(given.withColumn("default", F.lit(1)))
+    direct = F.max(((F.col("default") == 0) & (F.col("type") != "via-gtm")).cast("int")).over(Window.partitionBy("page_id", "tech_id"))
+    return both.withColumn("direct", direct).where("default = 0 or direct = 0").drop("default", "direct")

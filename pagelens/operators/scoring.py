@@ -56,15 +56,21 @@ def for_coverage(score: Column, on: Column, checked: Column) -> Column:
     return F.when((checked <= 0) | (share >= 1), score).when(share < 0.5, F.least(score, F.lit(39))).otherwise(half_up(score * (0.6 + 0.4 * share))).cast("int")
 
 
-def detections(evidence: DataFrame) -> DataFrame:
-    """One row for each page and technology: confidence by the saturating sum, label, version and number of signals.
-
-    A technology that another one on the page excludes is dropped; all exclusions look at the full set.
-    """
+def _summed(evidence: DataFrame, *more: Column) -> DataFrame:
+    """One row for each page and technology: confidence, version and number of signals, and what it excludes."""
     version = F.get(F.transform(F.array_sort(F.collect_list(F.when(F.col("version").isNotNull(), F.struct("sig_ord", "version")))), lambda x: x["version"]), 0)
-    found = evidence.groupBy(*TECH).agg(saturating(in_order("weight", "sig_ord")).alias("confidence"), version.alias("version"), F.count("*").cast("int").alias("signals"))
-    gone = evidence.where("excludes <> ''").select("page_id", F.explode(F.split("excludes", ",")).alias("tech_id")).distinct()
-    return found.join(gone, ["page_id", "tech_id"], "left_anti").select(*TECH, "confidence", label3(F.col("confidence")).alias("label"), "version", "signals")
+    return evidence.groupBy(*TECH).agg(saturating(in_order("weight", "sig_ord")).alias("confidence"), version.alias("version"), F.count("*").cast("int").alias("signals"), F.max("excludes").alias("excludes"), *more)
+
+
+def without_excluded(found: DataFrame) -> DataFrame:
+    """A technology that another one on the page excludes is dropped; all exclusions look at the full set."""
+    gone = F.flatten(F.collect_set(F.split("excludes", ",")).over(Window.partitionBy("page_id")))
+    return found.withColumn("_gone", gone).where(~F.array_contains("_gone", F.col("tech_id"))).drop("_gone", "excludes")
+
+
+def detections(evidence: DataFrame) -> DataFrame:
+    """One row for each page and technology: confidence by the saturating sum, label, version and number of signals."""
+    return without_excluded(_summed(evidence)).select(*TECH, "confidence", label3(F.col("confidence")).alias("label"), "version", "signals")
 
 
 def evidence_key(family: Column, value: Column, name: Column) -> Column:
@@ -83,34 +89,44 @@ def explained(evidence: DataFrame) -> DataFrame:
     same = Window.partitionBy("page_id", "tech_id", "key")
     rows = rows.withColumn("first_ord", F.min("sig_ord").over(same)).withColumn("stands", F.row_number().over(same.orderBy(F.desc("adjusted"), "sig_ord")) == 1)
     family = Window.partitionBy("page_id", "tech_id", "family", "stands").orderBy(F.desc("adjusted"), "first_ord")
-    return rows.withColumn("wins", F.col("stands") & (F.row_number().over(family) == 1))
+    family_ord = F.min("first_ord").over(Window.partitionBy("page_id", "tech_id", "family", "stands"))
+    return rows.withColumn("wins", F.col("stands") & (F.row_number().over(family) == 1)).withColumn("family_ord", family_ord)
 
 
-def scores(evidence: DataFrame) -> DataFrame:
-    """Score 0 to 100 and number of families for each page and technology."""
-    kept = explained(evidence).where("stands")
-    family = kept.groupBy(*TECH, "family").agg(F.max("adjusted").alias("best"), F.min("first_ord").alias("at"), F.max((F.col("strength") == "definitive").cast("int")).alias("definitive"), F.max((F.col("strength") != "weak").cast("int")).alias("strong"))
-    all_ = family.groupBy(*TECH).agg(noisy_or(in_order("best", "at", "family")).alias("combined"), F.count("*").cast("int").alias("families"), F.max("definitive").alias("definitive"), F.max("strong").alias("strong"))
+def _score_parts() -> list[Column]:
+    """Aggregates over explained evidence: the winners of the families in order, and the ceilings that apply."""
+    winners = F.transform(F.array_sort(F.collect_list(F.when(F.col("wins"), F.struct("family_ord", "family", "adjusted")))), lambda x: x["adjusted"])
+    of_stands = lambda cond, name: F.max((F.col("stands") & cond).cast("int")).alias(name)
+    return [noisy_or(winners).alias("combined"), F.sum(F.col("wins").cast("int")).cast("int").alias("families"), of_stands(F.col("strength") == "definitive", "definitive"), of_stands(F.col("strength") != "weak", "strong")]
+
+
+def _score() -> Column:
     bonus = F.element_at(F.array(*map(F.lit, BONUS)), F.least(F.col("families"), F.lit(4)) + 1)
     score = half_up(F.col("combined") * 100 + bonus)
     score = F.least(score, F.when(F.col("strong") == 0, WEAK_CEILING).otherwise(100), F.when(F.col("definitive") == 0, NO_DEFINITIVE_CEILING).otherwise(100))
-    return all_.select(*TECH, F.greatest(F.lit(0), score).cast("int").alias("score"), "families")
+    return F.greatest(F.lit(0), score).cast("int")
+
+
+def scores(evidence: DataFrame) -> DataFrame:
+    """Score 0 to 100 and number of families for each page and technology."""
+    return explained(evidence).groupBy(*TECH).agg(*_score_parts()).select(*TECH, _score().alias("score"), "families")
 
 
 def contest(scored: DataFrame) -> DataFrame:
     """Platforms of a page compete: a winner of 60 or more takes a share of its score from each other."""
-    rank = Window.partitionBy("page_id", F.col("category").isin(*PLATFORMS)).orderBy(F.desc("score"), "tech_ord")
-    rows = scored.withColumn("place", F.row_number().over(rank)).withColumn("winner", F.first("tech_id").over(rank)).withColumn("top", F.first("score").over(rank))
-    lost = F.col("category").isin(*PLATFORMS) & (F.col("place") > 1) & (F.col("top") >= CONTEST_MIN)
-    score = F.when(lost, F.greatest(F.lit(0), F.col("score") - half_up(CONTEST_PENALTY * F.col("top") / 100))).otherwise(F.col("score")).cast("int")
-    return rows.select(*scored.columns[:-2], score.alias("score"), "families", F.when(lost, F.col("winner")).alias("lost_to"))
+    rows = scored.withColumn("_platform", F.col("category").isin(*PLATFORMS))
+    rank = Window.partitionBy("page_id", "_platform").orderBy(F.desc("score"), "tech_ord")
+    rows = rows.select("*", F.row_number().over(rank).alias("_place"), F.first("tech_id").over(rank).alias("_winner"), F.first("score").over(rank).alias("_top"))
+    lost = F.col("_platform") & (F.col("_place") > 1) & (F.col("_top") >= CONTEST_MIN)
+    score = F.when(lost, F.greatest(F.lit(0), F.col("score") - half_up(CONTEST_PENALTY * F.col("_top") / 100))).otherwise(F.col("score")).cast("int")
+    return rows.withColumn("score", score).withColumn("lost_to", F.when(lost, F.col("_winner"))).drop("_platform", "_place", "_winner", "_top")
 
 
 def detect(evidence: DataFrame) -> DataFrame:
-    """The final list of a page: contested scores, labels and versions, analytics left out."""
-    found = detections(evidence).select("page_id", "tech_id", "confidence", "label", "version")
-    rows = contest(scores(evidence).join(found.select("page_id", "tech_id"), ["page_id", "tech_id"], "left_semi").select(*TECH, "score", "families"))
-    return rows.where("category <> 'analytics'").join(found, ["page_id", "tech_id"]).select(*TECH, "confidence", "label", "version", "score", label5(F.col("score")).alias("score_label"), "families", "lost_to")
+    """The final list of a page: contested scores, labels and versions, analytics left out; one pass over the evidence."""
+    found = without_excluded(_summed(explained(evidence), *_score_parts()).withColumn("score", _score()))
+    rows = contest(found).where("category <> 'analytics'")
+    return rows.select(*TECH, "confidence", label3(F.col("confidence")).alias("label"), "version", "score", label5(F.col("score")).alias("score_label"), "families", "lost_to")
 
 
 def best_by_type(hits: DataFrame) -> DataFrame:

@@ -20,8 +20,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spread over the cores: a small table often comes as one file."""
-    return overlay(pages(spark, sf_dir).repartition("page_id"))
+    """A table of fewer splits than cores (a small single file) is spread over them; a large one is read as it lies."""
+    table, cores = pages(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return overlay(table.repartition(cores) if table.rdd.getNumPartitions() < cores else table)
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +33,8 @@ def growth_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With containers on the page, tag management is deployed even if nothing else matches."""
     page = captures(spark, sf_dir)
     hits = matching.type_hits(page, catalogue.growth(spark), matching.GROWTH_LOOK, ("script-host", "sdk-init"))
-    tag = [r for r in catalogue.growth_rows()[0] if r[1] == "google-tag-manager"][0]
-    direct = hits.where("tech_id = 'google-tag-manager' and type <> 'via-gtm'").select("page_id").distinct()
-    given = page.where(F.size("containers") > 0).select("page_id").join(direct, "page_id", "left_anti")
-    given = given.select("page_id", F.lit(tag[0]).alias("tech_ord"), F.lit(tag[1]).alias("tech_id"), F.lit(tag[2]).alias("tech_name"), F.lit(tag[3]).alias("category"), F.lit(500).alias("rule_ord"), F.lit("script-host").alias("type"), F.lit(0.9).alias("weight"), F.lit("").alias("product"), F.lit(False).alias("header_only"), F.lit(None).cast("string").alias("container"))
-    return hits.unionByName(given)
+    tag = next(r for r in catalogue.growth_rows()[0] if r[1] == "google-tag-manager")
+    return matching.with_default(hits, page.where(F.size("containers") > 0), tag[:4], 0.9)
 
 
 def security(spark: SparkSession, sf_dir: str) -> DataFrame:
