@@ -158,7 +158,7 @@ def security_scores(hits: DataFrame, placeholder_pages: DataFrame) -> DataFrame:
     rows = _combined(best_by_type(hits))
     p = capped(F.col("p"), ~F.arrays_overlap("kinds", F.array(*map(F.lit, SECURITY_STRONG))), SECURITY_NO_STRONG)
     rows = rows.withColumn("p", capped(p, F.col("header_only"), SECURITY_HEADER_ONLY)).where(F.col("p") >= SECURITY_MIN)
-    demo = placeholder_pages.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(w,) for w in WIDGETS], "tech_id string")))
+    demo = placeholder_pages.select("page_id", F.explode(F.array(*map(F.lit, WIDGETS))).alias("tech_id"))
     score = half_up(F.col("p") * 100) / 100
     label = F.when(score >= 0.85, "high").when(score >= 0.6, "medium").otherwise("low")
     return rows.join(demo, ["page_id", "tech_id"], "left_anti").select(*TECH, score.alias("score"), half_up(score * 100).cast("int").alias("score100"), label.alias("label"), "types")
