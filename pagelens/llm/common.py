@@ -43,6 +43,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A checkpointed table, marked for broadcast if it has at most `rows` rows; else Spark joins it as it sees fit."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a record batch into runs of rows with at most `limit` bytes in `column` (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

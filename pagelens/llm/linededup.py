@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import checkpointed
+from pagelens.llm.common import broadcast_if_small, checkpointed
 
 DEPTH, STATIC, TAIL = 3, 0.6, 4
 MIN_DOCS, LONG = 3, 30
@@ -49,32 +49,44 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return checkpointed(_lines(docs).select("doc_id", "key", "at", F.xxhash64("line").alias("h"), F.size(words).alias("n"), F.xxhash64(F.size(words), F.slice(words, 1, DEPTH)).alias("leaf")))
 
 
+def general_lines(docs: DataFrame, by_line: DataFrame, min_docs: int) -> DataFrame:
+    """(h, template, n): lines that fit the generalised form of their leaf; template is the leaf.
+
+    The leading words of a leaf's lines agree by themselves, so only the others are looked at, as hashes.
+    """
+    # Leaves that could generalise: several different lines, enough documents, room behind the leading words.
+    leaves = by_line.where(F.col("n") >= DEPTH + TAIL).groupBy("leaf").agg(F.count("*").alias("different"), F.sum("docs").alias("docs")).where((F.col("different") > 1) & (F.col("docs") >= min(2, min_docs))).select("leaf", "different")
+    # The text of all lines is shuffled only if the wanted ones are too many to broadcast.
+    wanted = broadcast_if_small(by_line.join(leaves, "leaf").select("h", "leaf", "different", "n"))
+    texts = checkpointed(_lines(docs).select(F.xxhash64("line").alias("h"), "line").join(wanted, "h").groupBy("h", "leaf", "different", "n").agg(F.first("line").alias("line")))
+
+    def words(of: DataFrame) -> DataFrame:
+        found = of.select("h", "leaf", "different", "n", F.posexplode(F.slice(F.split("line", " "), F.lit(DEPTH + 1), F.col("n"))).alias("at", "word"))
+        return found.select("h", "leaf", "different", "n", "at", F.xxhash64("word").alias("word"))
+
+    kept = words(texts).groupBy("leaf", "different", "n", "at", "word").agg(F.count("*").alias("c")).where(2 * F.col("c") > F.col("different"))
+    kept = checkpointed(kept.select("leaf", "n", "at", F.col("word").alias("kept")))
+    enough = kept.groupBy("leaf", "n").agg(F.count("*").alias("static")).where(F.col("static") >= STATIC * (F.col("n") - DEPTH)).select("leaf", "static")
+    fits = words(texts.join(enough.select("leaf"), "leaf", "left_semi")).join(kept.select("leaf", "at", F.col("kept").alias("word")), ["leaf", "at", "word"]).groupBy("h", "leaf", "n").agg(F.count("*").alias("equal"))
+    return fits.join(enough, "leaf").where("equal = static").select("h", F.col("leaf").alias("template"), "n")
+
+
 def recurring(docs: DataFrame, hashed: DataFrame, min_docs: int = MIN_DOCS, long: int = LONG) -> DataFrame:
     """(h, first_doc): masked lines whose template recurs, and the document that keeps it."""
     slim = hashed.groupBy("h", "doc_id").agg(F.first("n").alias("n"), F.first("leaf").alias("leaf"))
     by_line = checkpointed(slim.groupBy("h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("leaf").alias("leaf")))
-    # Leaves that could generalise: several different lines, enough documents, room behind the leading words.
-    leaves = by_line.where(F.col("n") >= DEPTH + TAIL).groupBy("leaf").agg(F.count("*").alias("different"), F.sum("docs").alias("docs")).where((F.col("different") > 1) & (F.col("docs") >= min(2, min_docs))).select("leaf", "different")
-    wanted = by_line.join(leaves, "leaf").select("h", "leaf", "different", "n")
-    texts = _lines(docs).select(F.xxhash64("line").alias("h"), "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    words = checkpointed(texts.join(wanted, "h").select("h", "leaf", "different", "n", F.posexplode(F.split("line", " ")).alias("at", "word")))
-    kept = words.groupBy("leaf", "at", "word").agg(F.count("*").alias("c"), F.first("different").alias("different")).where(2 * F.col("c") > F.col("different")).select("leaf", "at", F.col("word").alias("kept"))
-    enough = kept.where(F.col("at") >= DEPTH).groupBy("leaf").agg(F.count("*").alias("static"))
-    fits = words.join(kept, ["leaf", "at"], "left").groupBy("h", "leaf", "n").agg(F.sum(F.when(F.col("kept").isNotNull() & (F.col("kept") != F.col("word")), 1).otherwise(0)).alias("wrong"))
-    general = fits.join(enough, "leaf").where((F.col("wrong") == 0) & (F.col("static") >= STATIC * (F.col("n") - DEPTH))).select("h", F.lit(True).alias("general"))
-    # Several masked lines of a document can share a template: its documents are counted once.
-    of = by_line.join(general, "h", "left").select("h", "docs", "first_doc", "n", F.coalesce("general", F.lit(False)).alias("general"), F.when(F.col("general"), F.col("leaf")).otherwise(F.col("h")).alias("template"))
     recurs = (F.col("docs") >= min_docs) | ((F.col("docs") >= 2) & (F.col("n") >= long))
-    single = of.where(~F.col("general")).where(recurs).select("h", "first_doc")
-    shared = of.where("general").select("h", "template", "n")
-    counted = slim.select("h", "doc_id").join(shared, "h").groupBy("template", "doc_id").agg(F.first("n").alias("n")).groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.first("n").alias("n"))
-    return single.union(shared.join(counted.where(recurs).select("template", "first_doc"), "template").select("h", "first_doc"))
+    general = broadcast_if_small(general_lines(docs, by_line, min_docs))
+    single = by_line.join(general, "h", "left_anti").where(recurs).select("h", "first_doc")
+    # Several masked lines of a document can share a template: its documents are counted once.
+    counted = hashed.select("h", "doc_id").join(general, "h").groupBy("template", "n", "doc_id").agg(F.lit(1).alias("one")).groupBy("template", "n").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return single.union(general.select("h", "template").join(counted.where(recurs).select("template", "first_doc"), "template").select("h", "first_doc"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, long: int = LONG) -> DataFrame:
     """The rows of docs with `text` cut, and the columns n_lines and n_dropped."""
     hashed = hashed_lines(docs)
-    drop = recurring(docs, hashed, min_docs, long)
+    drop = broadcast_if_small(recurring(docs, hashed, min_docs, long))
     by_doc = hashed.join(drop, "h").where("doc_id <> first_doc").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set("at").alias("_drop"))
     joined = docs.join(by_doc, (docs["doc_id"] == by_doc["_doc"]) & (F.xxhash64(docs["text"]) == by_doc["_key"]), "left")
     lines = F.split(docs["text"], "\n")
