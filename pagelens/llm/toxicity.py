@@ -83,6 +83,8 @@ class LetterModel:
         key = a + b + c
         value = self.known.get(key)
         if value is None:
+            if len(self.known) >= 100_000:
+                self.known.clear()
             three = self.counts.get(key, 0) / max(1, self.pairs.get(a + b, 0))
             two = self.pairs.get("+" + b + c, 0) / max(1, self.singles.get(b, 0))
             one = self.singles.get("+" + c, 0) / max(1, self.total)
@@ -124,7 +126,7 @@ def decode(written: str, letters: LetterModel, breaks: bool = False) -> str:
 class Restorer:
     """Restores the words of slices of texts; what was decoded once is kept up to a bound."""
 
-    def __init__(self, counts: dict[str, int] | None, keep: int = 200_000):
+    def __init__(self, counts: dict[str, int] | None, keep: int = 30_000):
         self.letters = LetterModel(counts) if counts is not None else None
         self.seen: dict[tuple[str, bool], str] = {}
         self.keep = keep
