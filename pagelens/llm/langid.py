@@ -50,7 +50,7 @@ class WordGrams:
 
     def __init__(self, words: pa.Array):
         clean = pc.replace_substring_regex(words, r"[^\p{L}\p{M}]+", "")
-        self.letters = pc.utf8_length(clean).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.letters = pc.utf8_length(pc.replace_substring_regex(clean, r"\p{M}+", "")).to_numpy(zero_copy_only=False).astype(np.int64)
         first = pc.fill_null(pc.utf8_slice_codeunits(clean, 0, 1), "").to_pylist()
         points = np.array([ord(c) if c else 0 for c in first], np.int64)
         self.script = _SCRIPT[np.searchsorted(_STARTS, points, side="right") - 1]

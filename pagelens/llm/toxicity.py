@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import Words, held_out, max_by_segment, remainder, slices, string_bytes
+from pagelens.llm.common import Words, held_out, max_by_segment, remainder, short_batches, slices, string_bytes
 
 MAX_LABELS = 200_000
 MAX_TRIGRAMS = 100_000
@@ -353,6 +353,7 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
     """Learn from the labels whose remainder is not 0."""
+    short_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     marked = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
@@ -381,6 +382,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> M
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): the probability that the label is 1."""
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return figures(docs, model, ["doc_id"], lambda x: _probability(x, model.regression)).withColumnRenamed("out", "score")
 
