@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import decontaminate, linededup, packing, simhash, toxicity
+from pagelens.llm import decontaminate, linededup, neardup, packing, toxicity
 from pagelens.llm.common import checkpoint_folder, table
 
 
@@ -31,11 +31,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, once; rows without an id stay."""
-    groups = simhash.near_duplicate_groups(docs)
-    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    kept = docs.join(others, docs["doc_id"] == others["_copy"], "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """Of each group of near copies (five-word shingles, similarity 0.8) one row stays, that with the smallest id."""
+    return neardup.drop_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
