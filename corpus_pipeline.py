@@ -16,10 +16,8 @@ from pagelens.llm.common import checkpoint_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go; rows without an id stay only if no such row is toxic."""
-    scored = toxicity.learn_and_score(docs, table(spark, sf_dir, "labels"))
-    bad = scored.where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Rows whose own text has a toxicity score of 0.5 or more go."""
+    return toxicity.clean_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import Words, slices
+from pagelens.llm.common import Words, broadcast_if_small, slices
 
 MASKS = ("11011011", "1110010111", "1101000110011")
 MATCH, MISS, DROP = 1, -2, 8
@@ -162,6 +162,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    bad = contaminated(docs, items).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of docs whose own text is not contaminated, with all their columns; equal texts go together, ids do not matter."""
+    key = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = broadcast_if_small(contaminated(key, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_bad"], "left_anti")

@@ -300,6 +300,26 @@ class Model:
     regression: np.ndarray
 
 
+def text_figures(texts: pa.Array, restorer: Restorer, model: Model) -> np.ndarray:
+    """The three figures of each text of a slice."""
+    words, plain, extra_text, extra = restorer.words(texts)
+    weight = np.zeros(len(plain) + len(extra) + 1)
+    if len(model.features):
+        hashes, owners = features([*plain, *extra])
+        at = np.minimum(np.searchsorted(model.features, hashes), len(model.features) - 1)
+        good = model.features[at] == hashes
+        np.maximum.at(weight, owners[good], model.weights[at[good]])
+    codes = np.concatenate((words.codes, len(plain) + np.arange(len(extra), dtype=np.int64)))
+    text = np.concatenate((words.text_of_word(), extra_text))
+    hit = weight[codes] > 0
+    pairs = np.unique(text[hit] * len(weight) + codes[hit])
+    text, value = pairs // len(weight), weight[pairs % len(weight)]
+    offsets = np.searchsorted(text, np.arange(words.n_texts + 1))
+    total = np.bincount(text, weights=value, minlength=words.n_texts)
+    size = np.maximum(1, np.diff(words.offsets))
+    return np.stack((max_by_segment(value, offsets), np.log1p(total), np.sqrt(np.diff(offsets) / size)), axis=1)
+
+
 def figures(docs: DataFrame, model: Model, keep: list[str], finish=None) -> DataFrame:
     """The `keep` columns of docs and the three figures of each text as an array, or what `finish` makes of them."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -308,28 +328,26 @@ def figures(docs: DataFrame, model: Model, keep: list[str], finish=None) -> Data
         restorer = Restorer(model.trigrams)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                words, plain, extra_text, extra = restorer.words(part.column("text"))
-                weight = np.zeros(len(plain) + len(extra) + 1)
-                if len(model.features):
-                    hashes, owners = features([*plain, *extra])
-                    at = np.minimum(np.searchsorted(model.features, hashes), len(model.features) - 1)
-                    good = model.features[at] == hashes
-                    np.maximum.at(weight, owners[good], model.weights[at[good]])
-                codes = np.concatenate((words.codes, len(plain) + np.arange(len(extra), dtype=np.int64)))
-                text = np.concatenate((words.text_of_word(), extra_text))
-                hit = weight[codes] > 0
-                pairs = np.unique(text[hit] * len(weight) + codes[hit])
-                text, value = pairs // len(weight), weight[pairs % len(weight)]
-                offsets = np.searchsorted(text, np.arange(words.n_texts + 1))
-                total = np.bincount(text, weights=value, minlength=words.n_texts)
-                size = np.maximum(1, np.diff(words.offsets))
-                x = np.stack((max_by_segment(value, offsets), np.log1p(total), np.sqrt(np.diff(offsets) / size)), axis=1)
+                x = text_figures(part.column("text"), restorer, model)
                 out = pa.array(finish(x)) if finish else pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 3).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), out], [*keep, "out"])
 
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{schema}, out {'double' if finish else 'array<double>'}")
 
 
+def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose own text scores less than 0.5, with all their columns; no join, so ids do not matter."""
+    short_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model.trigrams)
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                yield part.filter(pa.array(_probability(text_figures(part.column("text"), restorer, model), model.regression) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _probability(x: np.ndarray, regression: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(regression[0] + x @ regression[1:], -40, 40)))
 
