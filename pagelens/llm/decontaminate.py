@@ -3,9 +3,10 @@
 A token is a lower-cased word without the signs at its edges.  A mask such as 1101100110111 looks at the tokens under
 its ones and ignores the others, so a seed still hits when an ignored token was substituted.  The seeds of all benchmark
 items make a sorted table of hashes; the seeds of the documents are looked up in it.  Around each hit, on its diagonal
-(document position minus item position), the aligned tokens are compared in full: the best run, by `MATCH` for an equal
-token and `MISS` for another, is an overlap if it covers `MIN_TOKENS` tokens (or the whole item, if that is shorter and
-has `MIN_ITEM` tokens or more) and `MIN_SHARE` of its tokens are equal.  A document is contaminated if it has an overlap.
+(document position minus item position), the aligned tokens are compared in full: a run is an overlap if it covers
+`MIN_TOKENS` tokens (or the whole item, if that is shorter and has `MIN_ITEM` tokens or more) and `MIN_SHARE` of its
+tokens are equal.  The best run, by `MATCH` for an equal token and `MISS` for another, is reported if it is one; otherwise
+the longest run between equal tokens that is.  A document is contaminated if it has an overlap.
 
 The seed table goes to the tasks in blocks of at most `BLOCK_TOKENS` benchmark tokens, one pass over the documents for
 each block, so what is sent has a fixed size however large the benchmark is.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pagelens.llm.common import Words, broadcast_if_small, slices
 
 MASKS = ("11011011", "1110010111", "1101000110011")
-MATCH, MISS, DROP = 1, -2, 8
+MATCH, MISS = 1, -2
 MIN_TOKENS, MIN_ITEM, MIN_SHARE = 13, 8, 0.8
 BLOCK_TOKENS = 2_000_000
 #: Seeds that overlap this often with one item are one row: longest stretch compared at a time.
@@ -107,7 +108,7 @@ class Index:
         return rows[np.unique(rows[:, :3], axis=0, return_index=True)[1]] if len(rows) else rows
 
     def overlap(self, text_tokens: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int]:
-        """(start in the text, tokens, equal tokens) of the best run on a diagonal."""
+        """(start in the text, tokens, equal tokens) of the run to report on a diagonal; no tokens if none is an overlap."""
         own = self.tokens[self.offsets[item] : self.offsets[item + 1]]
         begin, end = max(0, diagonal), min(len(text_tokens), diagonal + len(own))
         equal = text_tokens[begin:end] == own[begin - diagonal : end - diagonal]
@@ -115,7 +116,20 @@ class Index:
         low = np.minimum.accumulate(gain)
         stop = int(np.argmax(gain - low))
         start = int(np.argmin(gain[: stop + 1]))
-        return begin + start, stop - start, int(equal[start:stop].sum())
+        need, count = min(MIN_TOKENS, len(own)), np.concatenate(([0], np.cumsum(equal)))
+        if stop - start < need or count[stop] - count[start] < MIN_SHARE * (stop - start):
+            # Longest run: for each start the last end whose worth (share above MIN_SHARE, times its length) is no less.
+            starts, stops = np.flatnonzero(equal), np.flatnonzero(equal) + 1
+            if not len(starts):
+                return begin, 0, 0
+            worth = count - MIN_SHARE * np.arange(len(count))
+            after = np.maximum.accumulate(worth[stops][::-1])[::-1]
+            last = np.searchsorted(-after, -worth[starts] + 1e-9, side="right") - 1
+            best = int(np.argmax(stops[last] - starts))
+            start, stop = int(starts[best]), int(stops[last[best]])
+            if stop - start < need:
+                return begin, 0, 0
+        return begin + start, stop - start, int(count[stop] - count[start])
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -133,8 +147,7 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
                     out: list[list[dict]] = [[] for _ in range(len(part))]
                     for text, item, diagonal, _ in index.diagonals(found, offsets, masks).tolist():
                         start, n, equal = index.overlap(found[offsets[text] : offsets[text + 1]], item, diagonal)
-                        own = index.offsets[item + 1] - index.offsets[item]
-                        if n >= min(MIN_TOKENS, own) and equal >= MIN_SHARE * n:
+                        if n:
                             out[text].append({"item_id": index.ids[item], "start": start, "tokens": n, "equal": equal})
                     yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "text"), pa.array(out, kind)], [*(n for n in part.schema.names if n != "text"), "found"])
 
