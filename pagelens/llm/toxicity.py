@@ -1,10 +1,12 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored words.
 
-Restoring: a written word goes through a lattice of characters if it mixes letters with digits or symbols, or repeats a
-character three times or more; single characters between spaces, three or more in a row, are read as one string with
+Restoring: a written word goes through a lattice of characters if it has a letter and a look-alike sign or something else
+between letters, or repeats a character three times or more, whatever its length and share of digits; single characters between spaces, three or more in a row, are read as one string with
 optional word ends.  Arcs: a letter stands for itself; look-alike signs (`LOOKALIKES`) may stand for a letter;
 separators and repeated characters may be noise.  Viterbi picks the path with the best sum of channel costs and
-log-probabilities of a character trigram model, which is counted over the letters of all texts.
+log-probabilities of a character trigram model, which is counted over the letters of all texts.  At a word's edges the
+signs `OPENING` and `CLOSING` are punctuation unless the reading as letters is likelier.  The `BEAM` best states are
+kept, and readings are settled `LAG` letters behind the best one, so long words and runs cost in proportion to length.
 
 Scoring: features of a restored word are its beginnings of 2 to 12 characters and the whole word.  A feature's weight is
 the lower bound (`CAUTION` standard errors) of its log-odds between toxic and clean labelled texts, each different text
@@ -41,8 +43,8 @@ MAX_FEATURES = 100_000
 MIN_TOXIC = 4
 CAUTION = 2.0
 LONGEST = 12
-#: Longest written word that is taken for an obfuscated one (longer ones are keys, addresses and the like).
-LONGEST_WRITTEN = 40
+#: States that the lattice keeps, and letters behind the best reading from which on others must agree with it.
+BEAM, LAG = 32, 64
 
 #: Bytes of text that a task looks at together.
 SLICE_BYTES = 4 << 20
@@ -58,8 +60,12 @@ SEPARATORS = set(" .-_*'~,:;/")
 #: Pays for each letter put out, so that paths of different lengths compare.
 LETTER_GAIN = 2.5
 
-_EDGES = regex.compile(r"^[^\p{L}\p{N}@$!|+(<€£¥§×µ]+|[^\p{L}\p{N}@$!|+(<€£¥§×µ]+$|[!|+(<$@]{2,}$|[!|(]$|^[(<]")
-_ODD = r"(\p{L}[^\p{L}\p{M}]+\p{L}|\p{L}[0-9@$]|[0-9@$]\p{L})"
+#: Look-alike signs that are punctuation first where a word begins or ends.
+OPENING, CLOSING = "(<", "!|("
+
+_EDGES = regex.compile(r"^[^\p{L}\p{N}@$!|+(<€£¥§×µ]+|[^\p{L}\p{N}@$!|+(<€£¥§×µ]+$")
+_RUNS = regex.compile(r"(\p{L})\1{3,}")
+_ODD = r"\p{L}[^\p{L}\p{M}]+\p{L}|\p{L}.*[0-9@$!|+(<€£¥§×µ]|[0-9@$!|+(<€£¥§×µ].*\p{L}|µ"
 
 
 @dataclass
@@ -95,15 +101,17 @@ class LetterModel:
 def decode(written: str, letters: LetterModel, breaks: bool = False) -> str:
     """The likeliest reading of a written string; with `breaks` it may be several words."""
     paths: dict[tuple[str, str], tuple[float, str]] = {("^", "^"): (0.0, "")}
-    before = ""
-    for sign in written:
-        arcs: list[tuple[str, float]] = []
+    before, settled = "", []
+    head, tail = (0, len(written)) if breaks else (len(written) - len(written.lstrip(OPENING)), len(written.rstrip(CLOSING)))
+    for at, sign in enumerate(written):
+        arcs: list[tuple[str, float]] = [(c, SIGN_COST) for c in LOOKALIKES.get(sign, "")]
         if sign.isalpha():
             arcs.append((sign, 0.0))
             if sign == before:
                 arcs.append(("", REPEAT_COST))
+        elif at < head or at >= tail:
+            arcs.append(("", -LETTER_GAIN))
         else:
-            arcs += [(c, SIGN_COST) for c in LOOKALIKES.get(sign, "")]
             arcs.append(("", REPEAT_COST if sign == before else SEPARATOR_COST if sign in SEPARATORS else 2 * NOISE_COST if sign in LOOKALIKES else NOISE_COST))
         after: dict[tuple[str, str], tuple[float, str]] = {}
         for (a, b), (value, text) in paths.items():
@@ -119,8 +127,15 @@ def decode(written: str, letters: LetterModel, breaks: bool = False) -> str:
                 for state, total, read in steps:
                     if state not in after or (total, read) > after[state]:
                         after[state] = (total, read)
-        paths, before = after, sign
-    return max(((value + (letters.log(a, b, "^") if b != "^" else 0), text) for (a, b), (value, text) in paths.items()), default=(0, ""))[1]
+        if len(after) > BEAM:
+            after = dict(sorted(after.items(), key=lambda x: x[1], reverse=True)[:BEAM])
+        paths, before = after or paths, sign
+        best = max(paths.values())[1] if at >= 4 * LAG else ""
+        if len(best) > 4 * LAG:
+            done = best[: len(best) - LAG]
+            settled.append(done)
+            paths = {state: (value, text[len(done) :]) for state, (value, text) in paths.items() if text.startswith(done)}
+    return "".join(settled) + max(((value + (letters.log(a, b, "^") if b != "^" else 0), text) for (a, b), (value, text) in paths.items()), default=(0, ""))[1]
 
 
 class Restorer:
@@ -136,11 +151,8 @@ class Restorer:
         if key not in self.seen:
             if len(self.seen) >= self.keep:
                 self.seen.clear()
-            inner = written if breaks else _EDGES.sub("", _EDGES.sub("", written))
-            if breaks or (0 < len(inner) <= LONGEST_WRITTEN and any(c.isalpha() for c in inner) and 2 * sum(c.isdigit() for c in inner) <= len(inner) + 1):
-                self.seen[key] = decode(inner, self.letters, breaks)
-            else:
-                self.seen[key] = "".join(c for c in inner if c.isalpha())
+            inner = _RUNS.sub(r"\1\1\1", written if breaks else _EDGES.sub("", written))
+            self.seen[key] = decode(inner, self.letters, breaks) if breaks or any(c.isalpha() for c in inner) else ""
         return self.seen[key]
 
     def words(self, texts: pa.Array) -> tuple[Words, list[str], np.ndarray, list[str]]:
@@ -164,10 +176,9 @@ class Restorer:
                 end += 1
             if end - at >= 3:
                 run = "".join(words.unique.take(pa.array(words.codes[at:end])).to_pylist())
-                for i in range(0, len(run), 256):  # a long run is read in parts
-                    for word in self.read(run[i : i + 256], breaks=True).split():
-                        extra_text.append(text[at])
-                        extra_words.append(word)
+                for word in self.read(run, breaks=True).split():
+                    extra_text.append(text[at])
+                    extra_words.append(word)
         return words, plain, np.array(extra_text, np.int64), extra_words
 
     @staticmethod
