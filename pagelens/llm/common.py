@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +31,12 @@ def held_out() -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; where it is unset, a folder of our own."""
+    """The shared folder that the session names in spark.checkpoint.dir; a local session without one gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagelens-checkpoints-"))
     return context.getCheckpointDir()
 
@@ -43,12 +47,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a compressed table in the shared folder, for what is too large for a checkpoint."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """A checkpointed table, marked for broadcast if it has at most `rows` rows; else Spark joins it as it sees fit."""
     df = checkpointed(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, hot: int = 100_000, small: int = 1_000_000) -> DataFrame:
+    """Inner join with a table that has one row for each key, and in `n` the number of rows that the key has in `rows`.
+
+    A table of at most `small` rows is broadcast.  Of a larger one the keys with `hot` rows or more are, which are at
+    most a `hot`-th of `rows`; the others are joined by a shuffle, in which no key is large any more.
+    """
+    table = checkpointed(table)
+    if table.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(table.drop("n")), key)
+    often = F.broadcast(table.where(F.col("n") >= hot).drop("n"))
+    seldom = rows.join(often.select(key), key, "left_anti").join(table.where(F.col("n") < hot).drop("n"), key)
+    return rows.join(often, key).unionByName(seldom)
+
+
 def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Hand texts to Python in batches of at most `rows` rows from now on, so workers hold less at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the special token of the vocabulary, the next id after its ranks.
+END = "<|endoftext|>"
 TIERS = (64, 128, 256, 512, 1024)
 #: Tokens that a task gathers before it packs them.
 BUFFER = 2_000_000
@@ -43,7 +45,12 @@ def encoder(ranks_file: str) -> tiktoken.Encoding:
     """The byte-BPE vocabulary; its ranks are the ids of byte_bpe_50k.json, whose ids a test compares."""
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: len(ranks)})
+
+
+def ids_of(text: str, encoding: tiktoken.Encoding) -> list[int]:
+    """The ids of a text; `END` inside a text is one token, as the tokenizer's own file has it."""
+    return encoding.encode(text, allowed_special={END}) if END in text else encoding.encode_ordinary(text)
 
 
 class Packer:
@@ -151,11 +158,11 @@ def pack(docs: DataFrame, ranks_file: str | None = None, tiers: tuple[int, ...]
     ranks_file = ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_file).encode_ordinary
+        encoding = encoder(ranks_file)
         packer = Packer(TaskContext.get().partitionId(), tiers, step)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = encode(text.as_py() or "")
+                ids = ids_of(text.as_py() or "", encoding)
                 ids.append(0)
                 packer.add(doc_id.as_py(), np.array(ids, "<u4"))
                 if packer.held >= buffer:

@@ -65,20 +65,56 @@ def test_shards_lose_no_link():
     noisy = base[:400] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
     dense = base[0] ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64))
     fps = np.unique(np.concatenate((base, noisy, dense)))
-    tree = simhash.Tree(fps[::3], len(fps), 4, shard=200)
-    assert max(tree.blocks) > 1 and len(tree.blocks) > 4
-    forest, place = simhash.Forest(len(fps)), {f: i for i, f in enumerate(fps.tolist())}
-    owned = np.zeros(len(fps), int)
-    for _, at, own in tree.route(fps):
-        owned[at[own]] += 1
-        a, b = simhash.link_shard(fps[at], own, 4)
-        assert (np.bitwise_count(a ^ b) <= 64).all() and len(a) < len(at)
-        forest.join(np.array([place[x] for x in a.tolist()], int), np.array([place[x] for x in b.tolist()], int))
-    assert (owned == 1).all()
+    place = {f: i for i, f in enumerate(fps.tolist())}
+    forests = []
+    for shard in (200, 4):  # one part of the bits is enough, or two are needed
+        tree = simhash.Tree(fps[::3], len(fps), 4, shard)
+        owned, copies, pieces = np.zeros(len(fps), int), np.zeros(len(fps), int), defaultdict(list)
+        for _, at, own in tree.route(fps):
+            owned[at[own]] += 1
+        assert (owned == 1).all()
+        for leaf, piece, at, own in tree.deal(fps, shard):
+            copies[at] += 1
+            for k in np.unique(piece).tolist():
+                pieces[leaf, k].append((at[piece == k], own[piece == k]))
+        assert copies.max() <= 4 * 25 and len(pieces) > 20
+        forest = simhash.Forest(len(fps))
+        for rows in pieces.values():
+            at, own = np.concatenate([x for x, _ in rows]), np.concatenate([x for _, x in rows])
+            a, b = simhash.link_shard(fps[at], own, 4)
+            assert len(a) < len(at)
+            forest.join(np.array([place[x] for x in a.tolist()], int), np.array([place[x] for x in b.tolist()], int))
+        forests.append(forest)
     exact = simhash.Forest(len(fps))
     x, y = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
     exact.join(x, y)
-    assert (exact.root == forest.root).all()
+    assert all((exact.root == forest.root).all() for forest in forests)
+
+
+def test_crowds_and_copies_a_fingerprint():
+    rng = np.random.default_rng(8)
+    flips = lambda n, k: np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (n, k)).astype(np.uint64), axis=1)
+    crowd = np.unique(np.concatenate((np.uint64(7) ^ flips(4000, 3), np.uint64(7) ^ flips(3000, 6), np.uint64(7) ^ flips(500, 9), rng.integers(0, 2**63, 500, dtype=np.uint64))))
+    own = rng.random(len(crowd)) < 0.8
+    a, b = simhash.link_shard(crowd, own, 4)
+    assert len(a) < len(crowd) and (own.any() and not own.all())
+    place = {f: i for i, f in enumerate(crowd.tolist())}
+    got, exact = simhash.Forest(len(crowd)), simhash.Forest(len(crowd))
+    got.join(np.array([place[x] for x in a.tolist()], int), np.array([place[x] for x in b.tolist()], int))
+    x, y = np.nonzero(np.bitwise_count(crowd[:, None] ^ crowd[None, :]) <= 4)
+    exact.join(x, y)
+    needed = own[x] | own[y]
+    at_least = simhash.Forest(len(crowd))
+    at_least.join(x[needed], y[needed])
+    # All links with an own end are found, and nothing is joined that true links do not join.
+    assert len(np.unique(np.stack((at_least.root, got.root)), axis=1).T) == len(np.unique(at_least.root)) and len(np.unique(np.stack((got.root, exact.root)), axis=1).T) == len(np.unique(got.root))
+    # The number of copies does not grow with the table.
+    many = rng.integers(0, 2**63, 400_000, dtype=np.uint64)
+    share = []
+    for n in (50_000, 400_000):
+        tree = simhash.Tree(many[:16_384], n, 4, 1000)
+        share.append(sum(len(at) for _, _, at, _ in tree.deal(many[:n], 1000)) / n)
+    assert share[1] <= 1.1 * share[0] <= 1.1 * 5 * 2.1
 
 
 def test_empty_tables(spark):
@@ -87,9 +123,8 @@ def test_empty_tables(spark):
 
 
 def test_packing_round_trip(spark):
-    rows = samples() + [(9000 + i, "Ñandú <|endoftext|> " * i) for i in range(60)]
+    rows = samples() + [(9000 + i, "Ñandú <|endoftext|> " * i) for i in range(60)] + [(9500, "a<|endoftext|><|endoftext|>b <|endoftext |>"), (9501, "<|endoftext|>"), (9502, "word" * 40_000)]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = packing.pack(frame(spark, rows), buffer=30_000, step=8192).collect()
     want = defaultdict(list)
     for i, t in rows:
