@@ -84,27 +84,30 @@ from digests
 
 
 def line_dedup(min_docs: int = linededup.MIN_DOCS, long: int = linededup.LONG) -> str:
-    depth, static, tail = linededup.DEPTH, linededup.STATIC, linededup.TAIL
+    depth, static, tail, parts = linededup.DEPTH, linededup.STATIC, linededup.TAIL, linededup.SEGMENTS
+    bounds = ", ".join(f"ceil({j} * (n - {depth}) / {parts})::integer as b{j}" for j in range(parts + 1))
+    stretches = ", ".join(f"list_slice(words, {depth + 1} + b{j}, {depth} + b{j + 1}) as g{j}" for j in range(parts))
+    kept = [
+        f"select line, {{'kept': {list(c)}, 'words': list_concat(list_slice(words, 1, {depth}), {', '.join(f'g{j}' for j in c)}), 'n': n}} as template from stretched where {' + '.join(f'len(g{j})' for j in c)} >= {static} * (n - {depth})"
+        for c in linededup.KEPT
+    ]
     return rf"""
 with texts as (select distinct doc_id, text from documents where doc_id is not null),
 lines as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from texts),
 tidy as (select doc_id, text, pos, trim(regexp_replace(line, '[ \t\r]+', ' ', 'g'), ' ') as words from lines),
 wild as (select *, regexp_replace(words, '[^ ]*[0-9][^ ]*', '<*>', 'g') as w from tidy),
 masked as (select doc_id, text, pos, case when 2 * (len(string_split(w, '<*>')) - 1) > len(string_split(words, ' ')) then words else w end as line from wild where words <> ''),
-leafed as (select *, len(string_split(line, ' ')) as n, list_slice(string_split(line, ' '), 1, {depth}) as head from masked),
-by_line as (select line, any_value(n) as n, any_value(head) as head, count(distinct doc_id) as docs, min(doc_id) as first_doc from leafed group by line),
-leaves as (select n, head, count(*) as different from by_line where n >= {depth + tail} group by n, head having count(*) > 1 and sum(docs) >= least(2, {min_docs})),
-word as (select b.line, b.n, b.head, l.different, unnest(string_split(b.line, ' ')) as word, generate_subscripts(string_split(b.line, ' '), 1) - 1 as pos from by_line b join leaves l using (n, head)),
-kept as (select n, head, pos, word as kept from word group by n, head, pos, word having 2 * count(*) > any_value(different)),
-enough as (select n, head, count(*) as static from kept where pos >= {depth} group by n, head),
-fits as (select line, w.n, w.head, sum((kept is not null and kept <> word)::int) as wrong from word w left join kept k on k.n = w.n and k.head = w.head and k.pos = w.pos group by line, w.n, w.head),
-general as (select line from fits join enough using (n, head) where wrong = 0 and static >= {static} * (n - {depth})),
-templates as (select b.line, b.n, case when g.line is null then {{'n': null, 'head': [b.line]}} else {{'n': b.n, 'head': b.head}} end as template from by_line b left join general g using (line)),
+different as (select distinct line, string_split(line, ' ') as words, len(string_split(line, ' ')) as n from masked),
+bounded as (select *, {bounds} from different where n >= {depth + tail}),
+stretched as (select line, words, n, {stretches} from bounded),
+templates as (
+  select line, {{'kept': []::integer[], 'words': [line], 'n': n}} as template from different
+  union all {" union all ".join(kept)}),
 recurring as (
-  select template, min(doc_id) as first_doc from leafed join templates t using (line) group by template
-  having count(distinct doc_id) >= {min_docs} or (count(distinct doc_id) >= 2 and any_value(t.n) >= {long})),
-dropped as (select distinct doc_id, text, pos from leafed join templates t using (line) join recurring using (template) where doc_id <> first_doc),
-by_doc as (select doc_id, text, list(pos) as pos from dropped group by doc_id, text),
+  select template, min(doc_id) as first_doc from masked join templates using (line) group by template
+  having count(distinct doc_id) >= {min_docs} or (count(distinct doc_id) >= 2 and any_value(template.n) >= {long})),
+first as (select line, min(first_doc) as first_doc from templates join recurring using (template) group by line),
+by_doc as (select doc_id, text, list(distinct pos) as pos from masked join first using (line) where doc_id <> first_doc group by doc_id, text),
 cut as (
   select d.doc_id, d.text, string_split(d.text, chr(10)) as l, coalesce(b.pos, []) as gone from documents d left join by_doc b on b.doc_id = d.doc_id and b.text = d.text),
 done as (select doc_id, coalesce(len(l), 0) as n_lines, len(gone) as n_dropped, case when len(gone) = 0 then text else array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: not list_contains(gone, i)), lambda i: l[i]), chr(10)) end as kept from cut)
@@ -127,8 +130,9 @@ units as (
   union all select mid, conv_id, turn, level, pos, 'l', unnest(bodies) from whole where len(bodies) > 1),
 originals as (select conv_id, body, min({'turn': turn, 'mid': mid}) as first from units where level = 0 and conv_id is not null and turn is not null group by conv_id, body),
 linked as (select u.*, o.first, len(string_split(u.body, ' ')) as words from units u join originals o on o.conv_id = u.conv_id and o.body = u.body where u.level > 0 and o.first.turn < u.turn),
-votes as (select mid, level, first, sum(words) as words, count(distinct pos) as n from linked group by mid, level, first),
-links as (select mid, arg_min(first, {'l': level, 'w': -words, 't': -first.turn, 'm': first.mid}) as parent, sum(n) as n_linked from votes group by mid),
+votes as (select mid, level, first, sum(words) as words from linked group by mid, level, first),
+passages as (select mid, count(distinct pos) as n_linked from linked group by mid),
+links as (select mid, arg_min(first, {'l': level, 'w': -words, 't': -first.turn, 'm': first.mid}) as parent, any_value(n_linked) as n_linked from votes join passages using (mid) group by mid),
 chain(mid, root, depth) as (
   select mid, parent, 1 from links
   union all select c.mid, l.parent, c.depth + 1 from chain c join links l on l.mid = c.root.mid),

@@ -8,7 +8,7 @@ are quoted from (ties: the later one).  Following replies up to a message withou
 doubled round by round, so a chain of n replies takes about log2(n) rounds.
 
 Result: one row for each message: conv_id, thread_turn (turn of the thread's first message), depth, turn, role,
-parent_turn, n_quoted (passages), n_linked (of these joined), text without quotes, and chat (a turn of the template
+parent_turn, n_quoted (passages), n_linked (how many of these have a link), text without quotes, and chat (a turn of the template
 `<|role|>`).  The rows are sorted by conv_id, thread_turn and turn, so a reply follows the message that it answers.
 
 Defined results: exact repetitions of a message are one; several messages with one turn are kept, ordered by role and
@@ -66,9 +66,12 @@ def reply_links(found: DataFrame) -> DataFrame:
     known = found.where("conv_id is not null and turn is not null")
     originals = known.where("level = 0").groupBy("conv_id", "h").agg(F.min(F.struct("turn", "mid")).alias("first"))
     linked = known.where("level > 0").join(originals, ["conv_id", "h"]).where("first.turn < turn")
-    votes = linked.groupBy("mid", "level", "first").agg(F.sum("words").alias("words"), F.count_distinct("at").alias("n"))
-    best = votes.groupBy("mid").agg(F.min(F.struct("level", -F.col("words"), -F.col("first.turn"), "first.mid", "first.turn")).alias("b"), F.sum("n").alias("n_linked"))
-    return best.select("mid", F.col("b.mid").alias("parent"), F.col("b.turn").alias("parent_turn"), "n_linked")
+    linked = checkpointed(linked.select("mid", "level", "first", "words", "at"))
+    votes = linked.groupBy("mid", "level", "first").agg(F.sum("words").alias("words"))
+    best = votes.groupBy("mid").agg(F.min(F.struct("level", -F.col("words"), -F.col("first.turn"), "first.mid", "first.turn")).alias("b"))
+    # A passage counts once, from however many messages its lines are.
+    passages = linked.groupBy("mid").agg(F.count_distinct("at").alias("n_linked"))
+    return best.join(passages, "mid").select("mid", F.col("b.mid").alias("parent"), F.col("b.turn").alias("parent_turn"), "n_linked")
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
@@ -87,8 +90,10 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     messages = messages.select(*columns).distinct().withColumn("mid", F.sha1(F.to_json(F.struct("conv_id", "turn", "role", "text"))))
     # Only conversations with a quote have anything to link.
-    quoting = messages.where(F.col("text").rlike(r"(?m)" + MARK)).select("conv_id").distinct()
-    found = checkpointed(passages(messages.join(quoting, "conv_id", "left_semi")))
+    quotes = messages.where(F.col("text").rlike(r"(?m)" + MARK))
+    # Quotes outside of a conversation link nothing, but are counted.
+    quoting = messages.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi").unionByName(quotes.where("conv_id is null"))
+    found = checkpointed(passages(quoting))
     links = checkpointed(reply_links(found))
     roots = thread_roots(links)
     quoted = found.where("level > 0 and unit = 'p'").groupBy("mid").agg(F.count("*").alias("n_quoted"))
