@@ -1,19 +1,25 @@
 """Benchmark decontamination with spaced seeds.
 
-A token is a lower-cased word without the signs at its edges.  A mask such as 1101100110111 looks at the tokens under
-its ones and ignores the others, so a seed still hits when an ignored token was substituted.  The seeds of all benchmark
+A token is a lower-cased word without the signs at its edges.  A mask such as 10101101 looks at the tokens under its
+ones and ignores the others, so a seed still hits when an ignored token was substituted.  The seeds of all benchmark
 items make a sorted table of hashes; the seeds of the documents are looked up in it.  Around each hit, on its diagonal
-(document position minus item position), the aligned tokens are compared in full: a run is an overlap if it covers
-`MIN_TOKENS` tokens (or the whole item, if that is shorter and has `MIN_ITEM` tokens or more) and `MIN_SHARE` of its
-tokens are equal.  The best run, by `MATCH` for an equal token and `MISS` for another, is reported if it is one; otherwise
-the longest run between equal tokens that is.  A document is contaminated if it has an overlap.
+(document position minus item position), the aligned tokens are compared: a run is an overlap if it covers `MIN_TOKENS`
+tokens (or the whole item, if that is shorter and has `MIN_ITEM` tokens or more) and `MIN_SHARE` of its tokens are equal.
+The best run, by `MATCH` for an equal token and `MISS` for another, is reported if it is one; otherwise the longest run
+between equal tokens that is.  A document is contaminated if it has an overlap.
+
+The three masks lose no overlap: wherever the substitutions that `MIN_SHARE` allows stand in 8 to 25 tokens, one mask hits
+(a test tries every placement), and a longer run can be cut into stretches of 13 to 25 tokens, one of which has this
+share too.  So hits whose `AROUND` does not hold as many equal tokens as the shortest overlap needs go at once.  Items of fewer than `MIN_ITEM` tokens, from
+`SHORTEST` on, overlap only where all their tokens stand.
 
 The seed table goes to the tasks in blocks of at most `BLOCK_TOKENS` benchmark tokens, one pass over the documents for
-each block, so what is sent has a fixed size however large the benchmark is.
+each block, and each block's findings are written before the next is fetched, so what is sent and what the driver holds
+have a fixed size however large the benchmark is.
 
-Defined results: null and empty texts and items overlap nothing; items shorter than `MIN_ITEM` tokens are not looked for;
-repeated items count under each of their ids; repeated documents and null doc_ids keep their rows; a null item_id
-appears as a null in the list; extra columns are ignored.
+Defined results: null and empty texts and items overlap nothing; items shorter than `SHORTEST` tokens say too little and
+are not looked for; repeated items count under each of their ids; repeated documents and null doc_ids keep their rows; a
+null item_id appears as a null in the list; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import Words, broadcast_if_small, slices
+from pagelens.llm.common import Words, checkpointed, slices, written
 
-MASKS = ("11011011", "1110010111", "1101000110011")
+MASKS = ("10101101", "111101", "1100111")
 MATCH, MISS = 1, -2
-MIN_TOKENS, MIN_ITEM, MIN_SHARE = 13, 8, 0.8
+MIN_TOKENS, MIN_ITEM, SHORTEST, MIN_SHARE = 13, 8, 4, 0.8
+#: Offsets from the start of a hit at which the tokens of its stretch lie.
+AROUND = range(2 - 2 * MIN_TOKENS, 2 * MIN_TOKENS - 1)
 BLOCK_TOKENS = 2_000_000
-#: Seeds that overlap this often with one item are one row: longest stretch compared at a time.
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,27 +77,40 @@ class Index:
     item: np.ndarray
     hashes: np.ndarray
     places: np.ndarray
+    masks: tuple[str, ...]
 
     @classmethod
     def of(cls, items: list[tuple[int | None, str | None]], masks: tuple[str, ...] = MASKS) -> Index:
         found, offsets = tokens(pa.array([t for _, t in items], pa.string()))
         item = np.repeat(np.arange(len(items)), np.diff(offsets))
         hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for k, mask in enumerate(masks):
+        sizes = np.diff(offsets)
+        whole = tuple("1" * n for n in range(SHORTEST, MIN_ITEM) if (sizes == n).any())
+        for k, mask in enumerate(masks + whole):
             h = seeds(found, mask, k)
             at = np.arange(len(h))
-            inside = (offsets[1:][item[at]] - at >= len(mask)) & (np.diff(offsets)[item[at]] >= MIN_ITEM)
+            inside = (offsets[1:][item[at]] - at >= len(mask)) & (sizes[item[at]] >= MIN_ITEM if k < len(masks) else sizes[item[at]] == len(mask))
             hashes.append(h[inside])
             places.append(at[inside])
         hashes, places = np.concatenate(hashes), np.concatenate(places)
         order = np.argsort(hashes, kind="stable")
-        return cls([i for i, _ in items], found, offsets, item, hashes[order], places[order])
-
-    def diagonals(self, found: np.ndarray, offsets: np.ndarray, masks: tuple[str, ...] = MASKS) -> np.ndarray:
+        return cls([i for i, _ in items], found, offsets, item, hashes[order], places[order], masks + whole)
+
+    def promising(self, found: np.ndarray, offsets: np.ndarray, text: np.ndarray, hit: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which hits have enough equal tokens around them."""
+        equal = np.zeros(len(hit), np.int64)
+        for o in AROUND:
+            a, b = hit + o, place + o
+            inside = (a >= offsets[text]) & (a < offsets[text + 1]) & (b >= self.offsets[item]) & (b < self.offsets[item + 1])
+            equal += inside & (found[np.clip(a, 0, len(found) - 1)] == self.tokens[np.clip(b, 0, len(self.tokens) - 1)])
+        need = np.minimum(MIN_TOKENS, np.diff(self.offsets)[item])
+        return equal >= np.where(need < MIN_ITEM, need, np.ceil(MIN_SHARE * need - 1e-9))
+
+    def diagonals(self, found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows (text, item, diagonal, position of a hit in the texts), one for each text, item and diagonal."""
         rows = [np.zeros((0, 4), np.int64)]
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        for k, mask in enumerate(masks):
+        for k, mask in enumerate(self.masks):
             h = seeds(found, mask, k)
             if not len(h) or not len(self.hashes):
                 continue
@@ -103,6 +123,8 @@ class Index:
             hit = np.repeat(at, many)
             place = self.places[np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
             item = self.item[place]
+            good = self.promising(found, offsets, text[hit], hit, item, place)
+            hit, place, item = hit[good], place[good], item[good]
             rows.append(np.stack((text[hit], item, (hit - offsets[text[hit]]) - (place - self.offsets[item]), hit), axis=1))
         rows = np.concatenate(rows)
         return rows[np.unique(rows[:, :3], axis=0, return_index=True)[1]] if len(rows) else rows
@@ -112,6 +134,9 @@ class Index:
         own = self.tokens[self.offsets[item] : self.offsets[item + 1]]
         begin, end = max(0, diagonal), min(len(text_tokens), diagonal + len(own))
         equal = text_tokens[begin:end] == own[begin - diagonal : end - diagonal]
+        if len(own) < MIN_ITEM:
+            whole = len(equal) == len(own) and equal.all()
+            return begin, len(own) * whole, len(own) * whole
         gain = np.concatenate(([0], np.cumsum(np.where(equal, MATCH, MISS))))
         low = np.minimum.accumulate(gain)
         stop = int(np.argmax(gain - low))
@@ -132,38 +157,49 @@ class Index:
         return begin + start, stop - start, int(count[stop] - count[start])
 
 
-def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """For every row of docs: doc_id and its overlaps as an array of (item_id, start, tokens, equal)."""
+def _blocks(items: DataFrame, block_tokens: int) -> list[DataFrame]:
+    """The items in blocks of about `block_tokens` tokens."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_tokens))
+    n = max(1, -(-size // block_tokens))
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+
+
+def _found(texts: pa.Array, index: Index) -> list[list[dict]]:
+    """The overlaps of each text of a slice."""
+    found, offsets = tokens(texts)
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
+    for text, item, diagonal, _ in index.diagonals(found, offsets).tolist():
+        start, n, equal = index.overlap(found[offsets[text] : offsets[text + 1]], item, diagonal)
+        if n:
+            out[text].append({"item_id": index.ids[item], "start": start, "tokens": n, "equal": equal})
+    return out
+
+
+def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """For every row of docs: doc_id and its overlaps as an array of (item_id, start, tokens, equal)."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("tokens", pa.int32()), ("equal", pa.int32())]))
 
-    def search(index: Index):
+    def search(block: DataFrame):
+        index = Index.of([(r["item_id"], r["text"]) for r in block.collect()], masks)  # bounded by block_tokens
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    found, offsets = tokens(part.column("text"))
-                    out: list[list[dict]] = [[] for _ in range(len(part))]
-                    for text, item, diagonal, _ in index.diagonals(found, offsets, masks).tolist():
-                        start, n, equal = index.overlap(found[offsets[text] : offsets[text + 1]], item, diagonal)
-                        if n:
-                            out[text].append({"item_id": index.ids[item], "start": start, "tokens": n, "equal": equal})
-                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "text"), pa.array(out, kind)], [*(n for n in part.schema.names if n != "text"), "found"])
+                    names = [n for n in part.schema.names if n != "text"]
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(_found(part.column("text"), index), kind)], [*names, "found"])
 
         return run
 
     schema = "doc_id long, found array<struct<item_id:long,start:int,tokens:int,equal:int>>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if blocks == 1:
-        return texts.mapInArrow(search(Index.of([(r["item_id"], r["text"]) for r in items.collect()], masks)), schema)
-    # A row's number keeps repeated ids apart while the blocks' findings are put together.
+    blocks = _blocks(items, block_tokens)
+    if len(blocks) == 1:
+        return texts.mapInArrow(search(blocks[0]), schema)
+    # The hash of a text keeps repeated ids apart while the blocks' findings are put together.
     texts = texts.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    parts = []
-    for i in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
-        parts.append(texts.mapInArrow(search(Index.of([(r["item_id"], r["text"]) for r in some], masks)), schema.replace("found", "h long, found", 1)))
-    one = reduce(DataFrame.unionAll, parts).where(F.size("found") > 0).groupBy("doc_id", "h").agg(F.flatten(F.collect_set("found")).alias("found"))
+    parts = [checkpointed(texts.mapInArrow(search(b), schema.replace("found", "h long, found", 1)).where(F.size("found") > 0)) for b in blocks]
+    one = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "h").agg(F.flatten(F.collect_set("found")).alias("found"))
     left = texts.select("doc_id", "h")
     return left.join(one, left.doc_id.eqNullSafe(one.doc_id) & left.h.eqNullSafe(one.h), "left").select(left.doc_id, F.coalesce(one.found, F.array().cast(schema.partition("found ")[2])).alias("found"))
 
@@ -174,8 +210,25 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return overlaps(docs, items).select("doc_id", (F.size("found") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item_id"]))).alias("item_ids"), best.alias("longest"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs whose own text is not contaminated, with all their columns; equal texts go together, ids do not matter."""
-    key = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    bad = broadcast_if_small(contaminated(key, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_bad"], "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of docs whose own text is not contaminated, with all their columns and in any number; ids do not matter.
+
+    Rows are decided where they are read, without a join; of several blocks, each is a pass over what the last one left.
+    """
+
+    def clean(block: DataFrame):
+        index = Index.of([(r["item_id"], r["text"]) for r in block.collect()])  # bounded by block_tokens
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    yield part.filter(pa.array([not found for found in _found(part.column("text"), index)], pa.bool_()))
+
+        return run
+
+    blocks = _blocks(items, block_tokens)
+    for i, block in enumerate(blocks):
+        docs = docs.mapInArrow(clean(block), docs.schema)
+        if i + 1 < len(blocks):
+            docs = written(docs)
+    return docs

@@ -7,9 +7,13 @@ more, and a group is what near copies connect; texts without words are one group
 At similarity 0.8 fingerprints differ by about 10 bits of 64, and by 17 for one pair in a hundred.  The vantage-point
 trees cannot carry that radius (at a median distance near 32 almost all fingerprints cross each boundary), so they propose
 what is within `RADIUS` bits, and `BANDS` bands of `ROWS` MinHash values the rest: a pair of similarity 0.8 shares no band
-with a probability of (1 - 0.8 ** 5) ** 32, 3 in a million.  Proposed links only gather the texts that may belong
+with a probability of (1 - 0.8 ** 4) ** 24, 3 in a million.  Proposed links only gather the texts that may belong
 together (a star for each band); within those, all pairs that could reach the similarity are compared in full, by a
-prefix filter that loses none.  Gathered texts beyond `BLOCK_BYTES` are dealt over pairs of blocks.
+prefix filter that loses none.
+
+Gathered texts beyond `BLOCK_BYTES` are dealt over blocks, each of which is compared by itself.  What the blocks found is
+put together by one text for each large group of a block, which joins the parts of a large group of copies.  Only the texts
+outside a label's largest group then still go to all of its blocks, so a large group is never sent more than twice.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pagelens.llm.components import connected_components
 SHINGLE, RADIUS = 5, 4
 #: Similarity of near copies as a fraction of integers.
 SIMILAR = (4, 5)
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 24, 4
 BLOCK_BYTES = 16 << 20
 
 _RANDOM = np.random.default_rng(42)
@@ -86,26 +90,53 @@ def row_key(docs: DataFrame):
 
 
 def near(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between positions that connect all sets of enough similarity with one another."""
+    """Links between positions that connect all sets of enough similarity with one another.
+
+    First each set is compared with the first sets of the groups found so far; then only with members of groups that it
+    is not connected with, so a large group costs its size and not its square.
+    """
     part, whole = SIMILAR
-    root, found, posting = list(range(len(sets))), [], {}
+    root, found = list(range(len(sets))), []
 
     def top(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        n = len(sets[x])
-        start = sets[x][: n + (-part * n) // whole + 1].tolist() if n else []
-        for y in set().union(*(posting.get(h, ()) for h in start)):
-            if top(x) != top(y) and whole * len(sets[y]) >= part * n:
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if whole * both >= part * (n + len(sets[y]) - both):
-                    root[top(x)] = top(y)
-                    found.append((x, y))
-        for h in start:
-            posting.setdefault(h, []).append(x)
+    def joins(x: int, y: int) -> bool:
+        """Compares two sets, of which y is not the larger one."""
+        if whole * len(sets[y]) < part * len(sets[x]):
+            return False
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if whole * both < part * (len(sets[x]) + len(sets[y]) - both):
+            return False
+        root[top(x)] = top(y)
+        found.append((x, y))
+        return True
+
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    start = {x: sets[x][: len(sets[x]) + (-part * len(sets[x])) // whole + 1].tolist() if len(sets[x]) else [] for x in order}
+    leaders: dict[int, list[int]] = {}
+    leader = list(range(len(sets)))
+    for x in order:
+        for y in dict.fromkeys(y for h in start[x] for y in leaders.get(h, ())):
+            if joins(x, y):
+                leader[x] = y
+                break
+        else:
+            for h in start[x]:
+                leaders.setdefault(h, []).append(x)
+    groups: dict[int, dict[int, list[int]]] = {}
+    for x in order:
+        tried: set[int] = set()
+        for h in start[x]:
+            for g, members in groups.get(h, {}).items():
+                for y in members if top(g) != top(x) else ():
+                    if y not in tried:
+                        tried.add(y)
+                        if joins(x, y):
+                            break
+            groups.setdefault(h, {}).setdefault(leader[x], []).append(x)
     return found
 
 
@@ -126,22 +157,40 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return simhash.fingerprints(docs.select(text_key().alias("doc_id"), "text"), SHINGLE).select(F.col("doc_id").alias("key"), "fp").distinct()
 
 
-def verified(docs: DataFrame, rows: DataFrame, gathered: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Links (a, b) between the nodes of one label whose texts are similar enough."""
-    keys = rows.groupBy("node").agg(F.min("key").alias("key")).join(gathered, "node")
-    texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).join(broadcast_if_small(keys), "key")
-    texts = checkpointed(texts.groupBy("key", "node", "label").agg(F.first("text").alias("text")).select("node", "label", "text"))
-    size = texts.groupBy("label").agg(F.ceil(F.sum(F.length("text")) / block_bytes).cast("int").alias("k"))
-    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    dealt = texts.join(size, "label").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text")
+def _compared(dealt: DataFrame, *keys: str) -> DataFrame:
+    """Links (a, b) among the texts of each group of keys."""
 
     def solve(part: pa.Table) -> pa.Table:
         nodes = part.column("node").to_pylist()
         links = near([shingle_set(t.as_py() or b"") for t in part.column("text").cast(pa.large_binary())])
         return pa.table({"a": pa.array([nodes[x] for x, _ in links], pa.int64()), "b": pa.array([nodes[y] for _, y in links], pa.int64())})
 
-    return dealt.groupBy("label", "i", "j").applyInArrow(solve, "a long, b long")
+    return checkpointed(dealt.groupBy(*keys).applyInArrow(solve, "a long, b long"))
+
+
+def verified(docs: DataFrame, rows: DataFrame, gathered: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) between the nodes of one label whose texts are similar enough."""
+    keys = rows.groupBy("node").agg(F.min("key").alias("key")).join(gathered, "node")
+    texts = docs.select(text_key().alias("key"), F.col("text").cast("string").alias("text")).join(broadcast_if_small(keys), "key")
+    texts = texts.groupBy("key", "node", "label").agg(F.first("text").alias("text")).select("node", "label", "text")
+    size = texts.groupBy("label").agg(F.ceil(F.sum(F.length("text")) / block_bytes).cast("int").alias("k"))
+    texts = checkpointed(texts.join(broadcast_if_small(size), "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
+    found = _compared(texts, "label", "block")
+    many = texts.where("k > 1")
+    if many.isEmpty():
+        return found
+    # One text stands for each group that fills an eighth of a block or more, so there are at most eight a block.
+    part = lambda links: many.join(connected_components(links).withColumnRenamed("label", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    first = part(found).groupBy("label", "block", "group").agg(F.min("node").alias("node"), F.sum(F.length("text")).alias("n")).where(8 * F.col("n") >= block_bytes)
+    found = found.union(_compared(many.select("node", "label", "text").join(first.select("node"), "node", "left_semi"), "label"))
+    # A link that is still missing has an end outside the label's largest group; those texts meet every block.
+    grouped = checkpointed(part(found))
+    largest = grouped.groupBy("label", "group").agg(F.sum(F.length("text")).alias("n")).groupBy("label").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
+    rest = grouped.join(broadcast_if_small(largest), "label")
+    everywhere = F.when(F.col("group") == F.col("largest"), F.array("block")).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
+    others = rest.where("group <> largest").select("label").distinct()
+    rest = rest.join(broadcast_if_small(others), "label", "left_semi").select("label", "node", "text", F.explode(everywhere).alias("block"))
+    return found.union(_compared(rest, "label", "block"))
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -7,14 +7,19 @@ largest.  So a vector's score is a constant of the query and shard plus the sum
 bounds together stay below the threshold is non-essential.  Essential lists are traversed first; the others are
 probed in turn, only for the vectors whose score so far plus the bounds of what is left still reaches the threshold.
 
-Queries are taken in blocks of about `block` rows, and each block is sent to every shard of the candidates (a Spark
-partition's batches), so what is sent has a fixed size.  The first thresholds come from `seeds` candidates; each is the
-score of a k-th best, so nothing is lost.  Shards give back k rows a query at most, which a window merges.
-
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part; vectors of another
-length than the query's are no candidates for it; rows with a query's own id are no candidates; candidates that repeat
-count row by row; a query row that occurs several times is one query (different vectors under one id are several);
-ties go to the smaller id; an empty table gives no rows; extra columns are ignored.  Integer arithmetic is 64-bit.
+A query's first threshold is the k-th best score among `seeds` candidates, found in Spark for all queries at once, so
+nothing is lost.  Queries then go in blocks of about `block` components to every shard of the candidates (a Spark
+partition's batches): the driver holds one block at a time, and each block's best rows are written before the next is
+fetched, so what is held and sent has a fixed size.  The work is that of every query against every candidate's essential
+terms, as the task states it.  Shards give back k rows a query at most, which a window merges.
+
+Arithmetic is exact: components are integers held as doubles; sums that could leave 53 bits are taken in 64-bit integers,
+and those that could leave these in Python's.  A score outside a long is given, and ranked, as the nearest long.
+
+Defined results: vectors that are null, empty, or hold null or non-finite components (before or after scaling) take no
+part; vectors of another length than the query's are no candidates for it; rows with a query's own id are no candidates;
+candidates that repeat count row by row; a query row that occurs several times is one query (different vectors under one
+id are several); ties go to the smaller id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,85 +29,117 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from pagelens.llm.common import checkpointed
+
+BLOCK = 1 << 20
 SEEDS = 4096
 SHARD = 8192
 #: Non-essential terms that are probed between two looks at who is still competitive.
 PROBE = 8
+#: Components from which on a vector is kept apart, so that others stay in fast arithmetic.
+HUGE = 2.0**31
+LONG = 1 << 63
 
 
 def integer_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(vec_id, v): each component as floor(scale * x), x as double."""
-    v = F.transform(F.col(vector_column), lambda x: x.cast("double"))
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**52 / scale)))
-    return rows.where(F.size(vector_column) > 0).where(sound).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale)).cast("array<long>").alias("v")).where("vec_id is not null")
+    """(vec_id, v): each component as floor(scale * x), x as double; the integers are held as doubles."""
+    v = F.transform(F.col(vector_column), lambda x: _floor(x.cast("double") * scale))
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return rows.where(F.size(vector_column) > 0).select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where(sound).where("vec_id is not null")
+
+
+def _floor(x: Column) -> Column:
+    """The floor as a double; from 2 ** 52 on every double is whole."""
+    return F.when(F.abs(x) < F.lit(2.0**52), F.floor(x).cast("double")).otherwise(x)
 
 
 class Shard:
-    """Posting lists of some vectors of one length: row d holds component d of all, largest values first known."""
+    """Posting lists of some vectors of one length: row d holds component d of all, in `ids` order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.lists = ids, np.ascontiguousarray(vectors.T)
-        self.low, self.high = self.lists.min(1), self.lists.max(1)
-        self.exact_as_float = float(np.abs(self.lists).max(initial=0))
-        self.as_float: np.ndarray | None = None
+        self.ids, self.floats = ids, np.ascontiguousarray(vectors.T)
+        self.low, self.high = self.floats.min(1), self.floats.max(1)
+        self.most = np.maximum(np.abs(self.low), np.abs(self.high))
+        self.other: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def exact(self, query: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Query, lists, low and high in the narrowest numbers in which no sum can go wrong."""
+        most = 2.0 * float(np.abs(query) @ self.most)
+        if most < 2.0**52:
+            return query, self.floats, self.low, self.high
+        kind = "int" if most < 2.0**61 and float(self.most.max()) < 2.0**61 and float(np.abs(query).max()) < 2.0**61 else "object"
+        as_kind = (lambda x: x.astype(np.int64)) if kind == "int" else np.vectorize(int, otypes=[object])
+        if kind not in self.other:
+            self.other[kind] = tuple(as_kind(x) for x in (self.floats, self.low, self.high))
+        return as_kind(query), *self.other[kind]
 
     def top(self, query: np.ndarray, own: int, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(positions, scores) of the best k that reach the threshold, best first, ties to the smaller id."""
-        bound = np.abs(query) * (self.high - self.low)
-        constant = int(np.where(query >= 0, query * self.low, query * self.high).sum())
+        weights, lists, low, high = self.exact(query)
+        bound = abs(weights) * (high - low)
         order = np.argsort(-bound, kind="stable")
-        left = np.concatenate((np.cumsum(bound[order][::-1])[::-1], [0]))  # bounds of order[i:]
-        essential = len(order) if threshold is None else int(np.searchsorted(-left, constant - threshold, side="right"))
+        weights, low, high = weights[order], low[order], high[order]
+        # What a term adds at least and at most.
+        least, most = np.where(weights >= 0, weights * low, weights * high), np.where(weights >= 0, weights * high, weights * low)
+        after = lambda x: np.concatenate((np.cumsum(x[::-1])[::-1], [0]))
+        left, rest, certain = after(bound[order]), after(most), after(least)
+        essential = len(order) if threshold is None or threshold <= -LONG else int(np.searchsorted(-left, certain[0] - threshold, side="right"))
         essential = min(max(essential, 1), len(order))
-        if self.exact_as_float * float(np.abs(query).max(initial=1)) * len(query) < 2**52:
-            if self.as_float is None:
-                self.as_float = self.lists.astype(np.float64)
-            lists, weights = self.as_float, query.astype(np.float64)
-        else:
-            lists, weights = self.lists, query
-        first = np.sort(order[:essential])
-        score = weights[first] @ lists[first]
+        score = weights[:essential] @ lists[order[:essential]]
         at = np.flatnonzero(self.ids != own)
         score = score[at]
-        # What a term not yet probed adds at most, without the shift: q * high or q * low.
-        most = np.where(query >= 0, query * self.high, query * self.low)[order]
-        rest = np.concatenate((np.cumsum(most[::-1])[::-1], [0]))
         for i in range(essential, len(order), PROBE):
-            if threshold is not None:
-                stay = score + float(rest[i]) >= threshold
+            if threshold is not None and threshold > -LONG:
+                stay = score + rest[i] >= threshold
                 at, score = at[stay], score[stay]
             if len(at) > k:  # the k-th best of what is certain raises the threshold
-                least = np.where(query >= 0, query * self.low, query * self.high)[order][i:].sum()
-                floor = int(np.partition(score, len(score) - k)[len(score) - k]) + int(least)
+                floor = min(int(np.partition(score, len(score) - k)[len(score) - k] + certain[i]), LONG - 1)
                 threshold = floor if threshold is None else max(threshold, floor)
             terms = order[i : i + PROBE]
-            score = score + weights[terms] @ lists[np.ix_(terms, at)]
-        if threshold is not None:
+            score = score + weights[i : i + PROBE] @ lists[np.ix_(terms, at)]
+        if threshold is not None and threshold > -LONG:
             stay = score >= threshold
             at, score = at[stay], score[stay]
+        score = np.array([min(max(x, -LONG), LONG - 1) for x in score.tolist()] if score.dtype == object else score, np.int64)
         if len(at) > 4 * k:
             stay = score >= np.partition(score, len(score) - k)[len(score) - k]
             at, score = at[stay], score[stay]
-        best = np.lexsort((self.ids[at], -score.astype(np.int64)))[:k]
-        return at[best], score[best].astype(np.int64)
+        best = np.lexsort((self.ids[at], -np.maximum(score, 1 - LONG)))[:k]
+        return at[best], score[best]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[Shard]:
-    """Shards of at most `size` vectors each, by length of vector."""
+    """Shards of at most `size` vectors each, by length of vector; vectors with huge components apart from others."""
     for batch in batches:
         ids, vectors = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v")
         flat = vectors.flatten().to_numpy(zero_copy_only=False)
         offsets = vectors.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets, lengths = offsets - offsets[0], np.diff(offsets)
-        for n in np.unique(lengths).tolist():
-            rows = np.flatnonzero(lengths == n)
+        kind = 2 * lengths + (np.maximum.reduceat(np.abs(flat), offsets[:-1]) >= HUGE) if len(ids) else lengths
+        for n in np.unique(kind).tolist():
+            rows = np.flatnonzero(kind == n)
             for i in range(0, len(rows), size):
                 some = rows[i : i + size]
-                yield Shard(ids[some], flat[offsets[some][:, None] + np.arange(n)])
+                yield Shard(ids[some], flat[offsets[some][:, None] + np.arange(n // 2)])
+
+
+def _seeded(sample: list[pa.RecordBatch], k: int):
+    """Adds to each query row the k-th best score among the sample, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = list(_shards(iter(sample)))
+        for batch in batches:
+            found = []
+            for query_id, v in zip(batch.column("vec_id").to_pylist(), batch.column("v"), strict=True):
+                vector = v.values.to_numpy(zero_copy_only=False)
+                scores = np.concatenate([s.top(vector, query_id, k, None)[1] for s in shards if len(s.floats) == len(vector)] or [np.zeros(0, np.int64)])
+                found.append(int(np.sort(scores)[-k]) if len(scores) >= k else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "threshold"])
+
+    return run
 
 
 def _answer(queries: list[tuple[int, int, np.ndarray, int | None]], k: int):
@@ -110,7 +147,7 @@ def _answer(queries: list[tuple[int, int, np.ndarray, int | None]], k: int):
         for shard in _shards(batches):
             out: list[list] = [[], [], [], []]
             for key, query_id, vector, threshold in queries:
-                if len(vector) != len(shard.lists):
+                if len(vector) != len(shard.floats):
                     continue
                 at, scores = shard.top(vector, query_id, k, threshold)
                 for column, values in zip(out, ([key] * len(at), [query_id] * len(at), shard.ids[at].tolist(), scores.tolist()), strict=True):
@@ -124,18 +161,14 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, block: int = B
     """(query_id, rank, vec_id, score) for the rows (vec_id, v) of `queries` against those of `candidates`."""
     schema = "key long, query_id long, vec_id long, score long"
     asked = queries.select("vec_id", "v").distinct().withColumn("key", F.xxhash64("vec_id", "v"))
-    blocks = -(-asked.count() // block) or 1
-    sample = candidates.limit(seeds).toArrow().to_batches() if seeds else []
-    sample = list(_shards(iter(sample)))
+    sample = candidates.limit(seeds).toArrow().to_batches() if seeds else []  # bounded by `seeds`
+    asked = checkpointed(asked.mapInArrow(_seeded(sample, k), "vec_id long, v array<double>, key long, threshold long"))
+    blocks = -(-(asked.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0) // block) or 1
+    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     parts = []
     for i in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).toArrow() if blocks > 1 else asked.toArrow()  # about `block` rows
-        some = []
-        for key, query_id, v in zip(rows.column("key").to_pylist(), rows.column("vec_id").to_pylist(), rows.column("v"), strict=True):
-            vector = v.values.to_numpy(zero_copy_only=False)
-            scores = np.concatenate([shard.top(vector, query_id, k, None)[1] for shard in sample if len(shard.lists) == len(vector)] or [np.zeros(0, np.int64)])
-            some.append((key, query_id, vector, int(np.sort(scores)[-k]) if len(scores) >= k else None))
-        parts.append(candidates.mapInArrow(_answer(some, k), schema))
-    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        rows = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).toArrow()  # about `block` components
+        some = [(key, query_id, v.values.to_numpy(zero_copy_only=False), t) for key, query_id, v, t in zip(rows.column("key").to_pylist(), rows.column("vec_id").to_pylist(), rows.column("v"), rows.column("threshold").to_pylist(), strict=True)]
+        found = candidates.mapInArrow(_answer(some, k), schema).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        parts.append(checkpointed(found) if blocks > 1 else found)
+    return reduce(DataFrame.unionAll, parts).select("query_id", "rank", "vec_id", "score")

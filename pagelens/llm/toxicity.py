@@ -8,14 +8,17 @@ log-probabilities of a character trigram model, which is counted over the letter
 signs `OPENING` and `CLOSING` are punctuation unless the reading as letters is likelier.  The `BEAM` best states are
 kept, and readings are settled `LAG` letters behind the best one, so long words and runs cost in proportion to length.
 
-Scoring: features of a restored word are its beginnings of 2 to 12 characters and the whole word.  A feature's weight is
+Scoring: what is scored is each word's reading; where separators part a written word into several of three signs or more
+(`you/idiot`), each part's reading too; and of scripts without spaces each run of four letters.  Features of a reading are
+its beginnings of 2 to 12 characters and the whole reading.  A feature's weight is
 the lower bound (`CAUTION` standard errors) of its log-odds between toxic and clean labelled texts, each different text
 counted once; only features of `MIN_TOXIC` toxic texts and positive weight are kept.  A text's three figures are its
 largest word weight, the log of the sum of its positive word weights over different words and their share of its words; a logistic regression
 over them gives the score.  Weights come from rows whose id has remainders 2 to 4, the regression from remainder 1.
 
-Bounds, as parameters: `max_labels` learning rows (the lowest ids by hash if there are more), `MAX_TRIGRAMS` trigrams and
-`MAX_FEATURES` features (the most frequent).  Labels are joined by a broadcast of those bounded rows.
+The character model counts every letter of every text in hashed buckets, so its size is fixed and nothing is left out.
+Bounds of the classifier, as parameters: `max_labels` learning rows (the lowest ids by hash if there are more) and
+`MAX_FEATURES` features of these (the most frequent).  Labels are joined by a broadcast of those bounded rows.
 
 Defined results: null and empty texts are scored as texts without words; several labels of one id: the largest counts;
 ids or labels that are null teach nothing; repeated documents are scored each; without labels of both kinds the score
@@ -32,17 +35,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import Words, held_out, max_by_segment, remainder, short_batches, slices, string_bytes
 
 MAX_LABELS = 200_000
-MAX_TRIGRAMS = 100_000
 MAX_FEATURES = 100_000
 MIN_TOXIC = 4
 CAUTION = 2.0
-LONGEST = 12
+BEGINNING = 12
+#: Buckets for trigrams, pairs and single letters of the character model.
+TRIPLES, PAIRS, SINGLES = 1 << 18, 1 << 16, 1 << 14
 #: States that the lattice keeps, and letters behind the best reading from which on others must agree with it.
 BEAM, LAG = 32, 64
 
@@ -63,27 +68,36 @@ LETTER_GAIN = 2.5
 #: Look-alike signs that are punctuation first where a word begins or ends.
 OPENING, CLOSING = "(<", "!|("
 
-_EDGES = regex.compile(r"^[^\p{L}\p{N}@$!|+(<€£¥§×µ]+|[^\p{L}\p{N}@$!|+(<€£¥§×µ]+$")
+_EDGES = r"^[^\p{L}\p{N}@$!|+(<€£¥§×µ]+|[^\p{L}\p{N}@$!|+(<€£¥§×µ]+$"
+_PARTS = regex.compile(r"[^\p{L}\p{M}\p{N}@$!|+(<€£¥§×µ]+")
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 _RUNS = regex.compile(r"(\p{L})\1{3,}")
 _ODD = r"\p{L}[^\p{L}\p{M}]+\p{L}|\p{L}.*[0-9@$!|+(<€£¥§×µ]|[0-9@$!|+(<€£¥§×µ].*\p{L}|µ"
 
 
+def buckets(a, b, c) -> list:
+    """The buckets of the trigram abc, of ab, bc, b and c; for integers or arrays of code points."""
+    wide = lambda x, size: x % 4294967291 % size  # noqa: E731  products stay below 2 ** 63
+    ends = [TRIPLES, TRIPLES + PAIRS, TRIPLES + 2 * PAIRS, TRIPLES + 2 * PAIRS + SINGLES]
+    return [wide((a * 961 + b * 31 + c) * 1_000_003 + a * 7, TRIPLES), wide((a * 31 + b) * 1_000_003, PAIRS) + ends[0], wide((b * 31 + c) * 1_000_003, PAIRS) + ends[1], b % SINGLES + ends[2], c % SINGLES + ends[3]]
+
+
+SIZE = TRIPLES + 2 * PAIRS + 2 * SINGLES
+
+
 @dataclass
 class LetterModel:
-    """Interpolated character trigrams; `^` stands for a word's edge."""
+    """Interpolated character trigrams; `^` stands for a word's edge.  counts: by bucket, or a dictionary of trigrams."""
 
-    counts: dict[str, int]
-    pairs: dict[str, int] = field(default_factory=dict)
-    singles: dict[str, int] = field(default_factory=dict)
+    counts: np.ndarray | dict[str, int]
     known: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
-        for key, n in self.counts.items():
-            self.pairs[key[:2]] = self.pairs.get(key[:2], 0) + n
-            self.pairs["+" + key[1:]] = self.pairs.get("+" + key[1:], 0) + n
-            self.singles[key[1]] = self.singles.get(key[1], 0) + n
-            self.singles["+" + key[2]] = self.singles.get("+" + key[2], 0) + n
-        self.total = sum(self.counts.values())
+        if isinstance(self.counts, dict):
+            given, self.counts = self.counts, np.zeros(SIZE, np.int64)
+            for key, n in given.items():
+                self.counts[buckets(*map(ord, key))] += n
+        self.total = int(self.counts[:TRIPLES].sum())
 
     def log(self, a: str, b: str, c: str) -> float:
         key = a + b + c
@@ -91,10 +105,8 @@ class LetterModel:
         if value is None:
             if len(self.known) >= 100_000:
                 self.known.clear()
-            three = self.counts.get(key, 0) / max(1, self.pairs.get(a + b, 0))
-            two = self.pairs.get("+" + b + c, 0) / max(1, self.singles.get(b, 0))
-            one = self.singles.get("+" + c, 0) / max(1, self.total)
-            value = self.known[key] = math.log(0.7 * three + 0.25 * two + 0.049 * one + 1e-5)
+            abc, ab, bc, mid, end = self.counts[buckets(ord(a), ord(b), ord(c))].tolist()
+            value = self.known[key] = math.log(0.7 * abc / max(1, ab) + 0.25 * bc / max(1, mid) + 0.049 * end / max(1, self.total) + 1e-5)
         return value
 
 
@@ -138,36 +150,78 @@ def decode(written: str, letters: LetterModel, breaks: bool = False) -> str:
     return "".join(settled) + max(((value + (letters.log(a, b, "^") if b != "^" else 0), text) for (a, b), (value, text) in paths.items()), default=(0, ""))[1]
 
 
+class Readings:
+    """The words of a slice of texts and what each is read as: word i as `texts[first[i]:first[i + 1]]`, the whole word first.
+
+    `extra` are words read from spaced letters of the texts `extra_text`.
+    """
+
+    def __init__(self, words: Words, texts: list[str], first: np.ndarray, extra_text: np.ndarray, extra: list[str]):
+        self.words, self.texts, self.first, self.extra_text, self.extra = words, texts, first, extra_text, extra
+
+    @property
+    def all(self) -> list[str]:
+        return [*self.texts, *self.extra]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, position in `all`) of every occurrence of every reading."""
+        codes = self.words.codes
+        many = np.diff(self.first)[codes]
+        inside = np.arange(many.sum()) - np.repeat(np.concatenate(([0], np.cumsum(many)[:-1])), many) if len(codes) else codes
+        reading = np.repeat(self.first[:-1][codes], many) + inside
+        return np.concatenate((np.repeat(self.words.text_of_word(), many), self.extra_text)), np.concatenate((reading, len(self.texts) + np.arange(len(self.extra), dtype=np.int64)))
+
+
 class Restorer:
     """Restores the words of slices of texts; what was decoded once is kept up to a bound."""
 
-    def __init__(self, counts: dict[str, int] | None, keep: int = 30_000):
+    def __init__(self, counts: np.ndarray | None, keep: int = 30_000):
         self.letters = LetterModel(counts) if counts is not None else None
         self.seen: dict[tuple[str, bool], str] = {}
         self.keep = keep
 
     def read(self, written: str, breaks: bool = False) -> str:
+        """The reading of a word without punctuation at its edges, or of a run of letters."""
         key = (written, breaks)
         if key not in self.seen:
             if len(self.seen) >= self.keep:
                 self.seen.clear()
-            inner = _RUNS.sub(r"\1\1\1", written if breaks else _EDGES.sub("", written))
+            inner = _RUNS.sub(r"\1\1\1", written)
             self.seen[key] = decode(inner, self.letters, breaks) if breaks or any(c.isalpha() for c in inner) else ""
         return self.seen[key]
 
-    def words(self, texts: pa.Array) -> tuple[Words, list[str], np.ndarray, list[str]]:
-        """The slice's words, the restored form of each different one, and (text, word) pairs read from spaced letters."""
+    def odd(self, words: pa.Array) -> np.ndarray:
+        """Which words (without punctuation at the edges) go through the lattice."""
+        return pc.match_substring_regex(words, _ODD).to_numpy(zero_copy_only=False) | self.repeats(words)
+
+    def readings(self, texts: pa.Array) -> Readings:
         words = Words(texts)
         plain = pc.replace_substring_regex(words.unique, r"[^\p{L}\p{M}]+", "").to_pylist()
+        no_text = np.zeros(0, np.int64)
         if self.letters is None:
-            return words, plain, np.zeros(0, np.int64), []
-        odd = pc.match_substring_regex(words.unique, _ODD).to_numpy(zero_copy_only=False)
-        odd |= pc.match_substring_regex(words.unique, r"\p{L}").to_numpy(zero_copy_only=False) & self.repeats(words.unique)
-        for i in np.flatnonzero(odd).tolist():
-            plain[i] = self.read(words.unique[i].as_py())
+            return Readings(words, plain, np.arange(len(plain) + 1), no_text, [])
+        inner = pc.replace_substring_regex(words.unique, _EDGES, "")
+        more: dict[int, list[str]] = {}
+        for i in np.flatnonzero(self.odd(inner)).tolist():
+            written = inner[i].as_py()
+            plain[i] = self.read(written)
+            parts = [p for p in _PARTS.split(written) if len(p) > 2]
+            if len(parts) > 1:
+                more[i] = parts
+        parts = pa.array({p for x in more.values() for p in x}, pa.string())
+        odd = dict(zip(parts.to_pylist(), self.odd(parts).tolist(), strict=True))
+        more = {i: [self.read(p) if odd[p] else "".join(filter(str.isalpha, p)) for p in x] for i, x in more.items()}
+        for i in np.flatnonzero(pc.match_substring_regex(words.unique, _UNSPACED).to_numpy(zero_copy_only=False)).tolist():
+            more.setdefault(i, []).extend(plain[i][at : at + 4] for at in range(len(plain[i]) - 1))
+        first = np.arange(len(plain) + 1)
+        if more:
+            extra = np.zeros(len(plain), np.int64)
+            extra[list(more)] = [len(x) for x in more.values()]
+            first[1:] += np.cumsum(extra)
+            plain = [r for i, w in enumerate(plain) for r in ((w, *more[i]) if i in more else (w,))]
         single = (pc.utf8_length(words.unique).to_numpy(zero_copy_only=False) == 1)[words.codes]
         text = words.text_of_word()
-        begins = np.flatnonzero(single & np.concatenate(([True], ~single[:-1] | (text[1:] != text[:-1])))) if len(single) else np.zeros(0, np.int64)
+        begins = np.flatnonzero(single & np.concatenate(([True], ~single[:-1] | (text[1:] != text[:-1])))) if len(single) else no_text
         extra_text, extra_words = [], []
         for at in begins.tolist():
             stop = int(words.offsets[text[at] + 1])
@@ -179,16 +233,17 @@ class Restorer:
                 for word in self.read(run, breaks=True).split():
                     extra_text.append(text[at])
                     extra_words.append(word)
-        return words, plain, np.array(extra_text, np.int64), extra_words
+        return Readings(words, plain, first, np.array(extra_text, np.int64), extra_words)
 
     @staticmethod
     def repeats(unique: pa.Array) -> np.ndarray:
-        """Whether a character occurs three times in a row (by bytes, which only adds words to look at)."""
+        """Whether a letter occurs three times in a row (by bytes, which only adds words to look at)."""
         data, offsets = string_bytes(unique)
         out = np.zeros(len(unique), bool)
         if len(data) > 2:
             word = np.repeat(np.arange(len(unique)), np.diff(offsets))
-            hit = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (word[2:] == word[:-2])
+            letter = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90))
+            hit = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:] & (word[2:] == word[:-2])
             out[word[2:][hit]] = True
         return out
 
@@ -197,7 +252,8 @@ def restore(text: str | None, letters: LetterModel) -> str:
     """A text with its words restored; runs of spaced letters are joined."""
     restorer = Restorer(None)
     restorer.letters = letters
-    words, plain, _, _ = restorer.words(pa.array([text or ""]))
+    found = restorer.readings(pa.array([text or ""]))
+    words, plain = found.words, [found.texts[i] for i in found.first[:-1].tolist()]
     singles = [len(w) == 1 for w in words.unique.to_pylist()]
     out, at = [], 0
     while at < len(words.codes):
@@ -213,15 +269,15 @@ def restore(text: str | None, letters: LetterModel) -> str:
     return " ".join(filter(None, out))
 
 
-def count_trigrams(docs: DataFrame, limit: int = MAX_TRIGRAMS) -> dict[str, int]:
-    """Character trigrams of the letters of all texts; the result holds the `limit` most frequent."""
+def count_trigrams(docs: DataFrame) -> np.ndarray:
+    """The character trigrams of the letters of all texts, by bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(None)
-        counts: dict[int, int] = {}
+        restorer, counts = Restorer(None), np.zeros(SIZE, np.int64)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                words, plain, _, _ = restorer.words(part.column("text"))
+                found = restorer.readings(part.column("text"))
+                words, plain = found.words, found.texts
                 uses = np.bincount(words.codes, minlength=len(words.unique))
                 uses[restorer.repeats(words.unique)] = 0  # written for effect
                 points = np.frombuffer("".join(f"^^{w}^" for w in plain).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -229,68 +285,59 @@ def count_trigrams(docs: DataFrame, limit: int = MAX_TRIGRAMS) -> dict[str, int]
                 if len(points) < 3:
                     continue
                 inside = word[2:] == word[:-2]
-                keys = ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[inside]
-                keys, where = np.unique(keys, return_inverse=True)
-                sums = np.bincount(where, weights=uses[word[2:][inside]]).astype(np.int64)
-                for key, n in zip(keys.tolist(), sums.tolist(), strict=True):
-                    counts[key] = counts.get(key, 0) + n
-                if len(counts) > 500_000:
-                    yield _pairs(counts)
-                    counts = {}
-        yield _pairs(counts)
+                weight = uses[word[2:][inside]]
+                for at in buckets(points[:-2][inside], points[1:-1][inside], points[2:][inside]):
+                    counts += np.bincount(at, weights=weight, minlength=SIZE).astype(np.int64)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["feature", "n"])
 
     found = docs.where("text is not null").select(F.col("text").cast("string")).mapInArrow(count, "feature long, n long")
-    top = found.groupBy("feature").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "feature").limit(limit).toPandas()
-    mask = (1 << 21) - 1
-    return {chr(k >> 42) + chr(k >> 21 & mask) + chr(k & mask): n for k, n in zip(top["feature"].tolist(), top["n"].tolist(), strict=True)}
-
-
-def _pairs(counts: dict[int, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["feature", "n"])
+    found = found.groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # bounded by SIZE
+    counts = np.zeros(SIZE, np.int64)
+    counts[found["feature"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, word): 64-bit hashes of the beginnings of each word and of the whole word."""
-    points = np.array(words, f"U{LONGEST}").reshape(-1).view(np.uint32).reshape(len(words), LONGEST).astype(np.uint64) if words else np.zeros((0, LONGEST), np.uint64)
+    points = np.array(words, f"U{BEGINNING}").reshape(-1).view(np.uint32).reshape(len(words), BEGINNING).astype(np.uint64) if words else np.zeros((0, BEGINNING), np.uint64)
     length = (points > 0).sum(1)
     mixed, hashes, owners = np.full(len(words), 0xCBF29CE484222325, np.uint64), [], []
-    for j in range(LONGEST):
+    for j in range(BEGINNING):
         mixed = (mixed ^ points[:, j]) * np.uint64(0x100000001B3)
         mixed ^= mixed >> np.uint64(29)
         if j:
             have = np.flatnonzero(length > j)
             hashes.append(mixed[have])
             owners.append(have)
+    for i in np.flatnonzero(length == BEGINNING).tolist():
+        if len(words[i]) > BEGINNING:
+            mixed[i] ^= np.uint64(xxhash.xxh64_intdigest(words[i]))
     have = np.flatnonzero(length > 0)
     hashes.append((mixed[have] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     owners.append(have)
     return np.concatenate(hashes).view(np.int64), np.concatenate(owners)
 
 
-def _different(words: Words, extra_text: np.ndarray, extra: list[str], n_plain: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different (text, word) pairs; words read from spaced letters are numbered after the plain ones."""
-    width = n_plain + len(extra) + 1
-    keys = np.concatenate((words.text_of_word() * width + words.codes, extra_text * width + n_plain + np.arange(len(extra))))
-    keys = np.unique(keys)
-    return keys // width, keys % width
-
-
-def count_features(docs: DataFrame, trigrams: dict[str, int], only: np.ndarray | None = None) -> DataFrame:
+def count_features(docs: DataFrame, trigrams: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
     """(feature, n): in how many of the texts each feature occurs; `only` is a sorted array of the features to count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(trigrams)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                words, plain, extra_text, extra = restorer.words(part.column("text"))
-                hashes, owners = features([*plain, *extra])
+                read = restorer.readings(part.column("text"))
+                names = read.all
+                hashes, owners = features(names)
                 if only is not None:
                     good = np.isin(hashes, only)
                     hashes, owners = hashes[good], owners[good]
                 order = np.argsort(owners, kind="stable")
                 hashes, owners = hashes[order], owners[order]
-                first = np.searchsorted(owners, np.arange(len(plain) + len(extra) + 1))
-                text, word = _different(words, extra_text, extra, len(plain))
+                first = np.searchsorted(owners, np.arange(len(names) + 1))
+                text, word = read.pairs()
+                different = np.unique(text * (len(names) + 1) + word)
+                text, word = different // (len(names) + 1), different % (len(names) + 1)
                 many = first[word + 1] - first[word]
                 at = np.repeat(first[word] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(word) else word
                 found, codes = np.unique(hashes[at], return_inverse=True)
@@ -303,7 +350,7 @@ def count_features(docs: DataFrame, trigrams: dict[str, int], only: np.ndarray |
 
 @dataclass
 class Model:
-    trigrams: dict[str, int]
+    trigrams: np.ndarray
     #: sorted feature hashes and their weights
     features: np.ndarray
     weights: np.ndarray
@@ -313,15 +360,15 @@ class Model:
 
 def text_figures(texts: pa.Array, restorer: Restorer, model: Model) -> np.ndarray:
     """The three figures of each text of a slice."""
-    words, plain, extra_text, extra = restorer.words(texts)
-    weight = np.zeros(len(plain) + len(extra) + 1)
+    read = restorer.readings(texts)
+    words, names = read.words, read.all
+    weight = np.zeros(len(names) + 1)
     if len(model.features):
-        hashes, owners = features([*plain, *extra])
+        hashes, owners = features(names)
         at = np.minimum(np.searchsorted(model.features, hashes), len(model.features) - 1)
         good = model.features[at] == hashes
         np.maximum.at(weight, owners[good], model.weights[at[good]])
-    codes = np.concatenate((words.codes, len(plain) + np.arange(len(extra), dtype=np.int64)))
-    text = np.concatenate((words.text_of_word(), extra_text))
+    text, codes = read.pairs()
     hit = weight[codes] > 0
     pairs = np.unique(text[hit] * len(weight) + codes[hit])
     text, value = pairs // len(weight), weight[pairs % len(weight)]

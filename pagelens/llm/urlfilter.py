@@ -5,8 +5,9 @@ with the path) becomes a file of sorted XXH64 digests, the entries in the same o
 the file to every worker once; tasks map it into memory, look all keys of a batch up at once, and compare the strings
 of the hits.  The keys of a URL are its host, each parent domain, and each of these with each directory and the path.
 
-The file is made on the driver from at most `MAX_ENTRIES` entries; longer lists are cut by digest into shards of that
-size and the URLs' different keys are joined shard by shard in Spark.
+A list is cut by digest into shards of about `MAX_ENTRIES` entries, and the driver makes the files one after another, so it
+holds one shard at a time.  Tasks map all of them (what is not probed stays on disk) and look a key up in its digest's
+shard.  A worker keeps 16 bytes and the string of each entry on disk.
 
 Rules (host, path) come first: a rule fits its host and all subdomains if the URL's path starts with the rule's; the
 longest one that fits decides.  Otherwise a URL is blocked if one of its keys is in the list.
@@ -18,6 +19,8 @@ repeated rows keep their rows; null and repeated entries count once; extra colum
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -29,6 +32,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelens.llm.common import checkpointed
+
 MAX_ENTRIES = 2_000_000
 
 #: The rules of the query, and a list of hosts that stand for spam, betting and tracking.
@@ -37,7 +42,8 @@ BLOCKED = ["ads-track.example.com", "casino-win.example.com", "cheap-pills.examp
 
 
 def digest(entry: bytes) -> int:
-    return xxhash.xxh64_intdigest(entry)
+    """XXH64 with seed 42, as Spark's xxhash64 has it."""
+    return xxhash.xxh64_intdigest(entry, seed=42)
 
 
 class DigestArray:
@@ -62,16 +68,33 @@ class DigestArray:
         self.offsets = data[16 + 8 * n : 24 + 16 * n].view("<i8")
         self.strings = data[24 + 16 * n :]
 
+    def contains(self, keys: list[bytes], probes: np.ndarray | None = None) -> np.ndarray:
+        """Whether each key is an entry; the strings are compared only where the digests are equal."""
+        probes = np.fromiter(map(digest, keys), np.uint64, len(keys)) if probes is None else probes
+        found = np.zeros(len(keys), bool)
+        if len(self.digests):
+            at = np.searchsorted(self.digests, probes)
+            for i in np.flatnonzero(self.digests[np.minimum(at, len(self.digests) - 1)] == probes).tolist():
+                j = at[i]
+                while not found[i] and j < len(self.digests) and self.digests[j] == probes[i]:
+                    found[i] = self.strings[self.offsets[j] : self.offsets[j + 1]].tobytes() == keys[i]
+                    j += 1
+        return found
+
+
+class Shards:
+    """Several digest arrays; a key belongs to the one of its digest, as a signed number, modulo their number."""
+
+    def __init__(self, paths: list[str]):
+        self.arrays = [DigestArray(p) for p in paths]
+
     def contains(self, keys: list[bytes]) -> np.ndarray:
-        """Whether each key is an entry."""
         probes = np.fromiter(map(digest, keys), np.uint64, len(keys))
-        at = np.searchsorted(self.digests, probes)
+        shard = probes.view(np.int64) % len(self.arrays)
         found = np.zeros(len(keys), bool)
-        for i in np.flatnonzero(at < len(self.digests)).tolist() if len(self.digests) else []:
-            j = at[i]
-            while not found[i] and j < len(self.digests) and self.digests[j] == probes[i]:
-                found[i] = self.strings[self.offsets[j] : self.offsets[j + 1]].tobytes() == keys[i]
-                j += 1
+        for k, array in enumerate(self.arrays):
+            at = np.flatnonzero(shard == k)
+            found[at] = array.contains([keys[i] for i in at.tolist()], probes[at])
         return found
 
 
@@ -110,42 +133,34 @@ def _ship(spark: SparkSession, entries: list[str]) -> str:
     """The name under which every worker finds the digest array of the entries."""
     name = f"digests-{xxhash.xxh64_hexdigest(chr(0).join(sorted(set(entries))))}.bin"
     if name not in {Path(f).name for f in spark.sparkContext.listFiles}:
-        path = Path(tempfile.mkdtemp(prefix="digests-")) / name
-        DigestArray.write(path, entries)
-        spark.sparkContext.addFile(str(path))
+        folder = tempfile.mkdtemp(prefix="digests-")  # the driver's own; Spark serves the file to the workers from there
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        DigestArray.write(Path(folder) / name, entries)
+        spark.sparkContext.addFile(str(Path(folder) / name))
     return name
 
 
 def blocked_urls(urls: DataFrame, entries: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """The rows of `urls` (with columns host and path) and a column `listed`."""
     spark = urls.sparkSession
-    entries = entries.select(F.col("entry").cast("string").alias("entry")).where("entry is not null").distinct()
+    entries = checkpointed(entries.select(F.col("entry").cast("string").alias("entry")).where("entry is not null").distinct())
+    n = max(1, -(-entries.count() // max_entries))
+    shard = F.pmod(F.xxhash64("entry"), F.lit(n))
+    names = [_ship(spark, [r["entry"] for r in entries.where(shard == k).toLocalIterator()]) for k in range(n)]  # about max_entries each
     columns = urls.columns
 
-    if entries.count() <= max_entries:
-        name = _ship(spark, [r["entry"] for r in entries.collect()])  # bounded by max_entries
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            array = DigestArray(SparkFiles.get(name))
-            for batch in batches:
-                keys, offsets = [], [0]
-                for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                    keys += keys_of(host or "", path or "")
-                    offsets.append(len(keys))
-                hits = np.concatenate(([0], np.cumsum(array.contains(keys))))
-                listed = hits[np.array(offsets[1:], np.int64)] > hits[np.array(offsets[:-1], np.int64)] if len(batch) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(listed)], [*columns, "listed"])
-
-        return urls.mapInArrow(probe, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in urls.schema)}, listed boolean")
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = Shards([SparkFiles.get(name) for name in names])
         for batch in batches:
-            rows = [(h, p, k.decode()) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True) for k in keys_of(h or "", p or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], ["host", "path", "entry"])
-
-    different = urls.select("host", "path").distinct()
-    hits = different.mapInArrow(expand, "host string, path string, entry string").join(entries, "entry", "left_semi").select("host", "path").distinct()
-    return urls.join(hits.withColumn("listed", F.lit(True)), ["host", "path"], "left").select(*columns, F.coalesce("listed", F.lit(False)).alias("listed"))
+            keys, offsets = [], [0]
+            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                keys += keys_of(host or "", path or "")
+                offsets.append(len(keys))
+            hits = np.concatenate(([0], np.cumsum(shards.contains(keys))))
+            listed = hits[np.array(offsets[1:], np.int64)] > hits[np.array(offsets[:-1], np.int64)] if len(batch) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(listed)], [*columns, "listed"])
+
+    return urls.mapInArrow(probe, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in urls.schema)}, listed boolean")
 
 
 def judge(pages: DataFrame, entries: DataFrame | None = None, rules: list[tuple[str, str]] | None = None, max_entries: int = MAX_ENTRIES) -> DataFrame:

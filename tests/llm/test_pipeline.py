@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pagelens.llm import toxicity
-from tests.llm.test_simhash_packing import plain_fingerprint
+from tests.llm.test_neardup import plain_survivors
 from tests.llm.test_text_operators import plain_line_dedup
 
 
@@ -45,21 +45,8 @@ def test_pipeline_matches_plain_version(spark, tmp_path):
     rows = [(i, t) for i, t, *_ in docs if i not in toxic]
     cut = plain_line_dedup(rows)
     rows = [(i, new) for (i, old), (_, new) in zip(rows, cut, strict=True) if new == old or new.strip()]
-    groups = defaultdict(list)
-    for i, t in rows:
-        groups[plain_fingerprint(t)].append(i)
-    prints = list(groups)
-    leader = {f: f for f in prints}
-    for f in prints:
-        for g in prints:
-            if (f ^ g).bit_count() <= 4:
-                a, b = leader[f], leader[g]
-                for x in prints:
-                    leader[x] = a if leader[x] == b else leader[x]
-    first = {}
-    for f, ids in groups.items():
-        first[leader[f]] = min([first.get(leader[f], 10**9), *(i for i in ids if i is not None)])
-    rows = [(i, t) for i, t in rows if i is None or first[leader[plain_fingerprint(t)]] == i]
+    stays = {(i, none) for none, i in plain_survivors(rows)}
+    rows = [(i, t) for i, t in rows if (i or 0, i is None) in stays]
     rows = [(i, t) for i, t in rows if not any(item in (t or "") for _, item in bench)]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}

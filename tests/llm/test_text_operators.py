@@ -84,15 +84,15 @@ def test_toxicity(spark):
 def test_max_score_matches_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(size=24).astype("f4").tolist()) for i in range(900)]
-    rows += [(2000 + i, [1.0] * 24) for i in range(40)] + [(3000, [0.5] * 24), (3100, None), (3200, []), (3300, [float("nan")] * 24), (3400, [None] * 24), (3500, [float("inf")] * 24), (3600, [0.25] * 8), (3601, [1e9] * 8), (100, rows[100][1])]
+    rows += [(2000 + i, [1.0] * 24) for i in range(40)] + [(3000, [0.5] * 24), (3100, None), (3200, []), (3300, [float("nan")] * 24), (3400, [None] * 24), (3500, [float("inf")] * 24), (3600, [0.25] * 8), (3601, [1e9] * 8), (3700, [1e15] * 8), (3701, [-1e30, 1e30] * 4), (3800, [3e38] * 8), (100, rows[100][1])]
     frame = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(5)
     vectors = topk.integer_vectors(frame)
-    sound = [(i, np.floor(np.array(v, np.float64) * 1024).astype(np.int64)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    sound = [(i, np.array([int(x) for x in np.floor(np.array(v, "f4").astype("f8") * 1024)], object)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, a in {i: v for i, v in sound if i % 100 == 0}.items():
-        scores = sorted((-int(a @ b), i) for i, b in sound if i != q and len(b) == len(a))[:10]
+        scores = sorted((-min(max(int(a @ b), -(2**63)), 2**63 - 1), i) for i, b in sound if i != q and len(b) == len(a))[:10]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    for block, seeds in ((4, 50), (1000, 0), (1000, 2000)):
+    for block, seeds in ((100, 50), (100_000, 0), (100_000, 2000)):
         got = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), block=block, seeds=seeds).collect()
         assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
@@ -124,50 +124,122 @@ def test_decontamination(spark):
     assert len(got) == len(docs) and all(set(r.item_ids) == want[r.doc_id] and r.contaminated == bool(want[r.doc_id]) for r in got)
     parts = decontaminate.overlaps(frame, bench, block_tokens=300).collect()
     assert len(parts) == len(docs) and all({x.item_id for x in r.found} == want[r.doc_id] for r in parts)
-    clean = decontaminate.clean_documents(frame, bench)
-    assert clean.columns == frame.columns and sorted(r.doc_id for r in clean.collect()) == sorted(i for i, w in want.items() if not w)
+    for block_tokens in (2_000_000, 600):
+        clean = decontaminate.clean_documents(frame, bench, block_tokens)
+        assert clean.columns == frame.columns and sorted(r.doc_id for r in clean.collect()) == sorted(i for i, w in want.items() if not w)
+    twice = frame.union(frame).where("doc_id in (0, 1)")
+    assert sorted(r.doc_id for r in decontaminate.contaminated(twice, bench).where("contaminated").collect()) == [0, 0] and [r.doc_id for r in decontaminate.clean_documents(twice, bench).collect()] == [1, 1]
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).where("contaminated").count() == 0
 
 
+def plain_overlap(a, b):
+    """Whether some run of aligned tokens is an overlap: every diagonal, every run."""
+    need = min(13, len(b))
+    if len(b) < 4:
+        return False
+    if len(b) < 8:
+        return any(a[i : i + len(b)] == b for i in range(len(a) - len(b) + 1))
+    for d in range(-len(b) + need, len(a) - need + 1):
+        at = max(0, d)
+        equal = [x == y for x, y in zip(a[at:], b[at - d :], strict=False)]
+        same = [i for i, e in enumerate(equal) if e]  # a run begins and ends with an equal token
+        if any(y - x >= need - 1 and 5 * (j - i + 1) >= 4 * (y - x + 1) for i, x in enumerate(same) for j, y in enumerate(same[i:], i)):
+            return True
+    return False
+
+
+def test_overlaps_match_every_diagonal_and_run():
+    rng = random.Random(12)
+    vocab = "abcdefghijklmnopqrstuv"
+    items = [[rng.choice(vocab) for _ in range(rng.choice((3, 5, 7, 8, 9, 11, 13, 16, 30)))] for _ in range(60)]
+    index = decontaminate.Index.of([(k, " ".join(w)) for k, w in enumerate(items)])
+    hits = 0
+    for _ in range(300):
+        words = [rng.choice(vocab) for _ in range(rng.randint(0, 40))]
+        own = list(rng.choice(items))
+        for at in rng.sample(range(len(own)), len(own) * rng.choice((0, 1, 2, 3)) // 10):
+            own[at] = rng.choice(vocab)
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = own
+        found, offsets = decontaminate.tokens(pa.array([" ".join(words)]))
+        got = {k for _, k, d, _ in index.diagonals(found, offsets).tolist() if index.overlap(found, k, d)[1]}
+        want = {k for k, item in enumerate(items) if plain_overlap(words, item)}
+        assert got == want
+        hits += len(want)
+    assert hits > 100
+
+
+def test_masks_lose_no_overlap():
+    from itertools import combinations
+
+    for n in range(8, 26):
+        windows = [sum(1 << (at + i) for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for at in range(n - len(m) + 1)]
+        for gone in combinations(range(n), int(0.2 * n + 1e-9)):
+            wrong = sum(1 << i for i in gone)
+            assert any(not w & wrong for w in windows), (n, gone)
+
+
 def plain_line_dedup(rows, min_docs=3, long=30):
-    """A direct version: the leaf, the position-wise majority, then who keeps what."""
-    from collections import Counter, defaultdict
+    """A direct version: each line's own form and every template that keeps three or four of five stretches."""
+    from collections import defaultdict
+    from itertools import combinations
 
     def mask(line):
         words = [w for w in line.replace("\t", " ").replace("\r", " ").split(" ") if w]
         wild = ["<*>" if any(c in "0123456789" for c in w) else w for w in words]
         return tuple(words if 2 * wild.count("<*>") > len(words) else wild)
 
+    def templates(m):
+        yield m
+        if len(m) >= 7:
+            ends = [3 + -(-j * (len(m) - 3) // 5) for j in range(6)]
+            for gone in [*combinations(range(5), 1), *combinations(range(5), 2)]:
+                form = list(m)
+                for j in gone:
+                    form[ends[j] : ends[j + 1]] = [None] * (ends[j + 1] - ends[j])
+                if form.count(None) <= 0.4 * (len(m) - 3) + 1e-9:
+                    yield (gone, *form)
+
     docs = [(i, t) for i, t in rows if i is not None and t is not None]
-    seen = defaultdict(set)
+    of = defaultdict(set)
     for i, t in docs:
         for line in t.split("\n"):
-            seen[mask(line)].add(i)
-    seen.pop((), None)
-    leaves = defaultdict(list)
-    for m in seen:
-        leaves[len(m), m[:3]].append(m)
-    template = {m: m for m in seen}
-    for (n, head), lines in leaves.items():
-        if n >= 7 and len(lines) > 1:
-            kept = [next((w for w, c in Counter(m[j] for m in lines).items() if 2 * c > len(lines)), None) for j in range(n)]
-            if sum(k is not None for k in kept[3:]) >= 0.6 * (n - 3):
-                for m in lines:
-                    if all(k in (None, w) for k, w in zip(kept, m, strict=True)):
-                        template[m] = ("leaf", n, head)
-    of = defaultdict(set)
-    for m, ids in seen.items():
-        of[template[m], len(m)] |= ids
-    first = {t: min(ids) for (t, n), ids in of.items() if len(ids) >= min_docs or (len(ids) >= 2 and n >= long)}
+            if m := mask(line):
+                for form in templates(m):
+                    of[form, len(m)].add(i)
+    first = {form: min(ids) for (form, n), ids in of.items() if len(ids) >= min_docs or (len(ids) >= 2 and n >= long)}
+    stays = lambda m, i: not m or all(i <= first.get(form, i) for form in templates(m))
     out = []
     for i, t in rows:
         if i is None or t is None:
             out.append((i, t))
         else:
-            out.append((i, "\n".join(x for x in t.split("\n") if i <= first.get(template.get(mask(x)), i))))
+            out.append((i, "\n".join(x for x in t.split("\n") if stays(mask(x), i))))
     return out
 
 
+def test_line_templates_do_not_depend_on_what_else_is_in_the_leaf(spark):
+    vocab = [f"v{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    for n in (6, 60):
+        rows = []
+        for i in range(n):
+            # One field with a dominant value, and two templates of one leaf.
+            status = "fine" if i % 3 else f"odd{vocab[i]}"
+            rows.append((3 * i, f"the node reports {status} after the nightly run of all jobs"))
+            rows.append((3 * i + 1, f"the node reports that {vocab[i]} left the group for another one"))
+            rows.append((3 * i + 2, " ".join(vocab[(7 * i + 11 * k) % 400] for k in range(11))))
+        frame = spark.createDataFrame([(i, t, "en", 0.1, 1, "x") for i, t in rows], DOCS)
+        kept = {r.doc_id for r in linededup.dedup_lines(frame).collect() if r.text}
+        assert kept == {0, 1, *(3 * i + 2 for i in range(n))}
+
+
+def test_line_dedup_of_a_long_text_and_clashing_names(spark):
+    rows = [(i, "\n".join(f"line {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} here" for k in range(9000))) for i in range(3)]
+    frame = spark.createDataFrame([(i, t, 1, "a", 2) for i, t in rows], "doc_id long, text string, lines int, `drop` string, `g.0` int")
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame).collect()}
+    assert got[0].text == rows[0][1] and [got[i].text for i in (1, 2)] == ["", ""] and got[2].n_dropped == got[2].n_lines == 9000 and got[1]["g.0"] == 2 and got[1]["drop"] == "a"
+
+
 def test_line_dedup_matches_plain_version(spark):
     rng = random.Random(3)
     vocab = [f"v{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]

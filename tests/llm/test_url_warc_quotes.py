@@ -43,7 +43,7 @@ def plain_verdict(url):
 def test_url_verdicts(spark):
     pages = spark.createDataFrame([(i, u, "listed", "host") for i, u in enumerate(URLS + URLS[:5])] + [(None, "http://spam.test", "x", "y")], "page_id long, url string, listed string, host string")
     entries = spark.createDataFrame([(e,) for e in ENTRIES], "entry string")
-    for most in (100, 1):  # the mapped array, and the joined shards
+    for most in (100, 1):  # one mapped array, and one for each entry
         got = urlfilter.judge(pages, entries, max_entries=most).collect()
         assert len(got) == len(URLS) + 6
         for r in got:
