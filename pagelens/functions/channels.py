@@ -142,6 +142,19 @@ def loader_ids(text: Column) -> Column:
     return F.array_distinct(every(text, r"(?i)googletagmanager\.com/gtag/js\?id=(G-[A-Z0-9]+|AW-[A-Z0-9/_-]+|GT-[A-Z0-9]+|UA-[0-9]+-[0-9]+)"))
 
 
+#: What a page or script shows of tools that load on a server.
+SERVER_SIDE = ["/cdn-cgi/zaraz/", "zaraz.track", "sgtm.", "/g/collect?"]
+
+
+def server_side(html: Column, bundles: Column) -> Column:
+    """Whether tools may load on a server, by the first 200,000 characters of the page and of its bundles."""
+    text = F.lower(F.concat(F.substring(F.coalesce(html, F.lit("")), 1, 200_000), F.lit("\n"), F.substring(F.coalesce(F.array_join(bundles, "\n"), F.lit("")), 1, 200_000)))
+    found = F.lit(False)
+    for mark in SERVER_SIDE:
+        found = found | text.contains(mark)
+    return found
+
+
 def sanitised(js: Column) -> Column:
     """A container without tag names and comments (possessive, so long strings need no deep stack)."""
     js = F.regexp_replace(js, r'"name"\s*:\s*"(?:[^"\\]++|\\.)*+"', '"name":""')

@@ -10,8 +10,11 @@ RISK_WORDS = ["login-update", "account-verify", "secure-banking", "wallet-connec
 RESERVED_HOSTS = r"(^|\.)localhost$|\.(local|localsite|internal|intranet|test|example|invalid|lan|home)$|^metadata\.goog$"
 ALLOWED_PORTS = ["", "80", "443"]
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
-#: An address in any of the spellings that resolve to IPv4.
-IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^(0x[0-9a-f]+|0[0-7]*|[0-9]+)(\.(0x[0-9a-f]+|0[0-7]*|[0-9]+)){3}$|^0x[0-9a-f]+$|^0[0-7]+$"
+#: A last label that makes a host an address, and an address of one to four parts in decimal, octal or hexadecimal.
+NUMERIC = r"(^|\.)([0-9]+|0x[0-9a-f]*)$"
+IPV4 = r"^(0x[0-9a-f]*|0[0-7]*|[1-9][0-9]*)(\.(0x[0-9a-f]*|0[0-7]*|[1-9][0-9]*)){0,3}$"
+#: Signs that no host may have once it is decoded.
+FORBIDDEN = r"[\s#/:<>?@\\^|%\[\]]"
 ASSET = r"(?i)\.(css|js|png|jpe?g|gif|svg|webp|avif|ico|woff2?|ttf|eot|map|json|xml|txt|pdf|zip)$"
 
 
@@ -44,27 +47,47 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
+def decoded_host(url: Column) -> Column:
+    """The host with percent-encodings decoded; one that is malformed keeps its sign."""
+    host = host_of(url)
+    good = (F.regexp_replace(host, "%[0-9a-f]{2}", "").contains("%") == F.lit(False)) & host.contains("%")
+    decoded = F.lower(F.coalesce(F.try_url_decode(F.regexp_replace(host, r"\+", "%2B")), host))
+    return F.regexp_replace(F.when(good, decoded).otherwise(host), r"\.$", "")
+
+
+def number_of(part: Column) -> Column:
+    """The value of a part of an address; longer than any valid one is only large."""
+    base = F.when(part.startswith("0x"), 16).when(part.startswith("0") & (F.length(part) > 1), 8).otherwise(10)
+    digits = F.when(part.startswith("0x"), F.substring(part, 3, 40)).otherwise(F.substring(part, 1, 40))
+    return F.aggregate(F.filter(F.split(digits, ""), lambda c: c != ""), F.lit(0.0), lambda t, c: t * base + F.instr(F.lit("0123456789abcdef"), c) - 1)
+
+
 def is_ipv4(host: Column) -> Column:
-    small = host.rlike("^[0-9]+$") & (F.try_to_number(F.substring(host, 1, 30), F.lit("9" * 30)) <= 4294967295)
-    return host.rlike(IPV4) | F.coalesce(small, F.lit(False))
+    """Whether a host is an IPv4 address in any spelling: the last part fills what the others leave."""
+    parts = F.split(host, r"\.")
+    small = F.forall(F.slice(parts, 1, F.size(parts) - 1), lambda p: number_of(p) <= 255)
+    return F.when(host.rlike(IPV4), small & (number_of(F.element_at(parts, -1)) < F.pow(F.lit(256.0), 5 - F.size(parts)))).otherwise(F.lit(False))
 
 
 def validation(raw: Column) -> Column:
     """A struct (code, message); code is `ok`, `INVALID_URL` or `BLOCKED_TARGET`.  The first reason counts."""
     trimmed = F.trim(F.coalesce(raw, F.lit("")))
     url = with_scheme(raw)
-    host = F.regexp_replace(host_of(url), r"\.$", "")
+    host = decoded_host(url)
+    literal = host_of(url).contains(":") | host_of(url).startswith("[")
+    port = F.regexp_extract(authority_of(url), r":([0-9]+)$", 1)
+    unreadable = (authority_of(url) == "") | (~literal & (host.rlike(FORBIDDEN) | (host.rlike(NUMERIC) & ~is_ipv4(host)))) | (F.length(port) > 5) | ((F.length(port) == 5) & (port > "65535"))
     bad = lambda cond, message, code="INVALID_URL": (cond, F.struct(F.lit(code).alias("code"), (message if isinstance(message, Column) else F.lit(message)).alias("message")))
     ladder = [
         bad(trimmed == "", "Empty URL"),
         bad(F.length(trimmed) > 2048, "URL too long"),
         bad(trimmed.rlike("[\\s<>\"'`]"), "URL contains invalid characters"),
-        bad(authority_of(url) == "", "Cannot parse URL"),
+        bad(unreadable, "Cannot parse URL"),
         bad(authority_of(url).contains("@"), "URLs with user credentials are not allowed"),
         bad(~scheme_of(url).isin("http", "https"), F.concat(F.lit("Unsupported scheme: "), scheme_of(url), F.lit(":"))),
         bad(~port_of(url).isin(*ALLOWED_PORTS), F.concat(F.lit("Non-standard port: "), port_of(url))),
         bad(host == "", "Missing hostname"),
-        bad(is_ipv4(host) | host.contains(":"), "Direct IP access is not allowed", "BLOCKED_TARGET"),
+        bad(is_ipv4(host) | literal, "Direct IP access is not allowed", "BLOCKED_TARGET"),
         bad(host.rlike(RESERVED_HOSTS), "Private or reserved hostname", "BLOCKED_TARGET"),
     ]
     out = F.struct(F.lit("ok").alias("code"), F.lit(None).cast("string").alias("message"))

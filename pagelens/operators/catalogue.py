@@ -1,245 +1,24 @@
-r"""Rule tables.  A catalogue is data: pass your own as a DataFrame of the same columns, or read one with `read_catalogue`.
+r"""Rule tables.  A catalogue is data: pass your own as a DataFrame of the same columns, or read one from JSON.
 
-The tables below are starter sets; `read_catalogue` takes a full catalogue of any size as JSON (an array of
-technologies with `id`, `name`, `category`, `signals`, and optional `probes`, `excludes`, `negative`, `minFamilies`).
+`read_catalogue` takes core catalogues of any size (an array of technologies with `id`, `name`, `category`, `signals`, and
+optional `probes`, `excludes`, `negative`, `minFamilies`); `read_rules` and `read_ids` growth and security catalogues,
+`read_protection` providers.  The package brings its own as JSON: the growth and the security catalogue, the providers, and
+a starter set of core technologies.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Starter core catalogue.  `= id | name | category | excluded ids | vetoes`, then signals as
-#: `type | header | weight | strength | version group | pattern`; probes as `probe | path | weight | success text`.
-CORE = r"""
-= wordpress | WordPress | cms | |
-meta-generator | | 95 | definitive | 1 | WordPress\s*([\d.]+)?
-html-path | | 75 | strong | | /wp-content/|/wp-includes/
-header | link | 80 | strong | | api\.w\.org
-cookie-name | | 70 | strong | | ^wordpress_|^wp-settings-
-html-regex | | 60 | strong | | wp-emoji-release\.min\.js
-probe | /wp-json/ | 90 | strong | | "namespaces"
-= drupal | Drupal | cms | |
-meta-generator | | 95 | definitive | 1 | Drupal\s*([\d.]+)?
-html-path | | 60 | weak | | /sites/(?:default|all)/files/|/sites/(?:default|all)/(?:modules|themes)/|/core/assets/
-header | x-generator | 95 | definitive | | Drupal
-header | x-drupal-cache | 90 | definitive | | .*
-cookie-name | | 75 | strong | | ^SESS[a-f0-9]{32}$|^Drupal\.visitor
-html-regex | | 65 | strong | | Drupal\.settings|drupal\.js
-= ghost | Ghost | cms | |
-meta-generator | | 95 | definitive | 1 | Ghost\s*([\d.]+)?
-html-path | | 65 | strong | | /ghost/|/content/images/
-header | x-ghost-cache-status | 90 | definitive | | .*
-html-regex | | 60 | strong | | ghost\.io|ghost-url
-= squarespace | Squarespace | builder | |
-meta-generator | | 95 | definitive | | Squarespace
-html-regex | | 80 | strong | | squarespace\.com|squarespace-cdn\.com
-script-host | | 85 | strong | | static1\.squarespace\.com
-cookie-name | | 70 | strong | | ^SQspaceCookie$|^ss-
-= webflow | Webflow | builder | |
-meta-generator | | 95 | definitive | | Webflow
-html-regex | | 80 | strong | | webflow\.com|assets\.website-files\.com
-script-host | | 85 | strong | | assets\.website-files\.com|uploads-ssl\.webflow\.com
-header | x-wf-request-id | 88 | definitive | | .*
-= shopify | Shopify | ecommerce | |
-html-regex | | 85 | strong | | cdn\.shopify\.com|Shopify\.theme|myshopify\.com
-header | x-shopify-stage | 95 | definitive | | .*
-cookie-name | | 70 | weak | | ^_shopify_|^cart$
-script-host | | 80 | strong | | cdn\.shopify\.com
-= woocommerce | WooCommerce | ecommerce | wordpress-com |
-html-path | | 90 | strong | | /wp-content/plugins/woocommerce/
-cookie-name | | 80 | strong | | ^woocommerce_|^wc_session_cookie_
-html-regex | | 70 | strong | | woocommerce\.min\.js|wc-add-to-cart
-= nextjs | Next.js | framework | |
-header | x-powered-by | 90 | definitive | | Next\.js
-html-regex | | 85 | strong | | __NEXT_DATA__|/_next/static/
-html-path | | 80 | strong | | /_next/static/chunks/|/_next/image
-= astro | Astro | framework | |
-html-regex | | 85 | strong | | astro-island|astro-root|data-astro-cid
-html-path | | 80 | strong | | /_astro/
-header | x-astro-version | 90 | definitive | | .*
-= laravel | Laravel | framework | |
-header | x-powered-by | 30 | weak | | PHP
-cookie-name | | 75 | weak | | ^laravel_session$|^XSRF-TOKEN$
-html-regex | | 65 | strong | | laravel\.js|/vendor/livewire
-= cloudflare | Cloudflare | hosting | |
-header | cf-ray | 95 | definitive | | .*
-header | server | 90 | definitive | | cloudflare
-header | cf-cache-status | 85 | definitive | | .*
-= vercel | Vercel | hosting | |
-header | x-vercel-id | 95 | definitive | | .*
-header | x-vercel-cache | 85 | definitive | | .*
-header | server | 90 | definitive | | Vercel
-= google-analytics | Google Analytics | analytics | |
-script-host | | 80 | strong | | googletagmanager\.com/gtag/js|google-analytics\.com/(analytics\.js|gtag/js|g\.js)
-html-regex | | 80 | strong | | gtag\(\s*['"]config['"]\s*,\s*['"](G-[A-Z0-9]{6,}|UA-\d+-\d+|AW-[A-Z0-9-]+)['"]
-cookie-name | | 40 | weak | | ^_ga$|^_gid$|^_gat
-= meta-pixel | Meta Pixel | advertising | |
-script-host | | 90 | strong | | connect\.facebook\.net/[^"']*/fbevents\.js
-html-regex | | 85 | strong | | connect\.facebook\.net/[^"']*/fbevents\.js|fbq\(\s*['"]init['"]\s*,\s*['"]\d{6,}['"]
-= stripe | Stripe | payments | |
-script-host | | 90 | strong | | js\.stripe\.com/v\d+/
-html-regex | | 85 | strong | | js\.stripe\.com/v\d+/[^"']+\.js|checkout\.stripe\.com/checkout\.js|Stripe\(\s*['"]pk_(live|test)_|window\.Stripe
-= onetrust | OneTrust | privacy | |
-script-host | | 92 | definitive | | cdn\.cookielaw\.org/consent/|cdn\.cookielaw\.org/scripttemplates/otSDKStub\.js|cdn\.cookielaw\.org/optanon/
-cookie-name | | 72 | strong | | ^OptanonConsent$|^OptanonAlertBoxClosed$|^OTConsent$
-= recaptcha | reCAPTCHA | security | | data-sitekey\s*=\s*["'](YOUR_SITE_KEY|test|example|placeholder|xxxx|123)
-script-host | | 92 | definitive | | google\.com/recaptcha/(api\.js|enterprise\.js)|recaptcha\.net/recaptcha/(api\.js|enterprise\.js)|gstatic\.com/recaptcha/releases/
-cookie-name | | 60 | strong | | ^_GRECAPTCHA$
-= sentry | Sentry | security | |
-script-host | | 95 | definitive | | browser\.sentry-cdn\.com/|js\.sentry-cdn\.com/
-html-regex | | 90 | definitive | | Sentry\.init\(|Sentry\.captureException|Sentry\.onLoad\(|window\.Sentry|__SENTRY__
-html-regex | | 95 | definitive | | [a-z0-9-]+\.ingest\.sentry\.io|\.sentry\.io/api/\d+/envelope
-= cloudflare-turnstile | Cloudflare Turnstile | security | | data-sitekey\s*=\s*["'](0x[a-fA-F0-9]{30,}|test|example|placeholder|xxxx)
-script-host | | 92 | definitive | | challenges\.cloudflare\.com/turnstile/v0/api\.js
-= youtube-embed | YouTube | other | |
-html-regex | | 90 | definitive | | (www\.)?youtube\.com/embed/[A-Za-z0-9_-]{6,}|youtube-nocookie\.com/embed/[A-Za-z0-9_-]{6,}
-script-host | | 85 | strong | | youtube\.com/iframe_api|www\.youtube\.com/s/player/
-= font-awesome | Font Awesome | other | |
-stylesheet-url | | 88 | definitive | | font-awesome|fontawesome|use\.fontawesome\.com
-html-regex | | 65 | strong | | class\s*=\s*["'][^"']*fa-(solid|regular|brands|sharp)\s+fa-[a-z-]+
-"""
-
-#: Starter growth catalogue.  `= id | name | category`, rules as `type | weight | product | pattern`,
-#: identifiers as `id | kind | i for case-insensitive | pattern`.
-GROWTH = r"""
-= google-analytics | Google Analytics | analytics
-script-host | 0.9 | | googletagmanager\.com/gtag/js\?id=G-
-script-host | 0.9 | | google-analytics\.com/(analytics\.js|ga\.js|g/collect)
-sdk-init | 0.85 | | gtag\(\s*['"]config['"]\s*,\s*['"]G-|ga\(\s*['"]create['"]|_gaq\.push\(
-cookie-storage | 0.55 | | _ga(_[A-Z0-9]+)?\b|_gid\b
-id | GA4 measurement ID | i | \b(G-[A-Z0-9]{4,})\b
-id | UA property (legacy) | i | \b(UA-\d+-\d+)\b
-= google-tag-manager | Google Tag Manager | analytics
-script-host | 0.9 | | googletagmanager\.com/(gtm\.js|ns\.html)
-sdk-init | 0.85 | | google_tag_manager\b|dataLayer\.push\(\s*\{\s*['"]gtm\.start['"]
-id | GTM container ID | | \b(GTM-[A-Z0-9]{4,15})\b
-= google-ads | Google Ads | advertising
-script-host | 0.9 | | googleadservices\.com/pagead/conversion|googletagmanager\.com/gtag/js\?id=AW-|googleads\.g\.doubleclick\.net/pagead/viewthroughconversion
-sdk-init | 0.85 | | gtag\(\s*['"]config['"]\s*,\s*['"]AW-|google_conversion_id|goog_report_conversion
-cookie-storage | 0.55 | | _gcl_au\b|_gcl_aw\b
-id | Google Ads conversion ID | | \b(AW-[0-9]{4,}(?:/[A-Za-z0-9_-]+)?)\b
-= google-adsense | Google AdSense | advertising
-script-host | 0.9 | | pagead2\.googlesyndication\.com/pagead/js/adsbygoogle\.js
-sdk-init | 0.85 | | adsbygoogle\.push\(|adsbygoogle\s*=\s*window\.adsbygoogle
-dom | 0.6 | | adsbygoogle
-id | AdSense publisher ID | i | \b(ca-pub-\d+)\b
-= meta-pixel | Meta Pixel | advertising
-script-host | 0.9 | | connect\.facebook\.net/[\w./-]+/fbevents\.js|facebook\.com/tr\?id=
-sdk-init | 0.85 | | fbq\(\s*['"]init['"]|_fbq\.push\(
-cookie-storage | 0.55 | | _fbp\b|_fbc\b
-id | Meta Pixel ID | i | fbq\(\s*['"]init['"]\s*,\s*['"]?(\d{6,})
-id | Meta Pixel ID | i | facebook\.com/tr\?id=(\d+)
-= salesforce | Salesforce | marketing
-script-host | 0.9 | Pardot | pi\.pardot\.com/pd\.js|go\.pardot\.com
-script-host | 0.9 | Marketing Cloud | cdn\.evgnet\.com
-sdk-init | 0.85 | | piAId\s*=|piCId\s*=|embedded_svc\.settings
-= stripe | Stripe | payments
-script-host | 0.9 | | js\.stripe\.com/v[23]|checkout\.stripe\.com|m\.stripe\.network
-sdk-init | 0.85 | | (load)?Stripe\(\s*['"]pk_(live|test)_|new\s+Stripe\(
-dom | 0.6 | | stripe-buy-button|stripe-pricing-table|__privateStripeFrame
-cookie-storage | 0.55 | | __stripe_mid\b|__stripe_sid\b
-id | Stripe publishable key | i | \b(pk_(?:live|test)_[A-Za-z0-9]{20,})\b
-= intercom | Intercom | chat
-script-host | 0.9 | | widget\.intercom\.io/widget/|js\.intercomcdn\.com
-sdk-init | 0.85 | | Intercom\(\s*['"]boot['"]|intercomSettings\s*=
-dom | 0.6 | | intercom-container
-cookie-storage | 0.55 | | intercom-id-|intercom-session-
-id | Intercom app ID | i | widget\.intercom\.io/widget/([a-z0-9]+)
-"""
 GROWTH_CATEGORIES = ["analytics", "advertising", "marketing", "payments", "chat"]
-
-#: Starter security and privacy catalogue.  `= id | name | category`, rules as `type | weight | pattern`.
-SECURITY = r"""
-= onetrust | OneTrust | privacy
-script-host | 0.9 | cdn\.cookielaw\.org|otSDKStub\.js
-sdk-init | 0.8 | OneTrust\.Init|OptanonWrapper
-runtime-global | 0.85 | window\.OneTrust\b|OnetrustActiveGroups
-cookie-storage | 0.6 | OptanonConsent|OptanonAlertBoxClosed
-dom | 0.65 | onetrust-banner-sdk|onetrust-consent-sdk
-= cookiebot | Cookiebot | privacy
-script-host | 0.9 | consent\.cookiebot\.(com|eu)
-runtime-global | 0.85 | window\.Cookiebot\b
-cookie-storage | 0.6 | CookieConsent
-dom | 0.65 | CybotCookiebotDialog
-= recaptcha | reCAPTCHA | security
-script-host | 0.9 | google\.com/recaptcha/(api|enterprise)\.js|recaptcha\.net/recaptcha/
-sdk-init | 0.8 | grecaptcha\.(execute|render|ready)\(
-dom | 0.65 | g-recaptcha
-= sentry | Sentry | security
-script-host | 0.9 | (browser|js)\.sentry-cdn\.com
-network-host | 0.9 | ingest(\.[a-z]+)?\.sentry\.io
-sdk-init | 0.8 | Sentry\.init\(
-runtime-global | 0.85 | window\.Sentry\b|__SENTRY__
-= google-maps | Google Maps | other
-script-host | 0.9 | maps\.googleapis\.com/maps/api/js
-iframe | 0.9 | google\.com/maps/embed
-sdk-init | 0.8 | new\s+google\.maps\.Map\(
-= youtube | YouTube | other
-iframe | 0.9 | youtube(-nocookie)?\.com/embed/
-script-host | 0.9 | youtube\.com/iframe_api
-= font-awesome | Font Awesome | other
-script-host | 0.9 | (use|kit)\.fontawesome\.com
-dom | 0.65 | fa-(solid|regular|brands)\b
-"""
 SECURITY_CATEGORIES = ["privacy", "security", "other"]
 
-#: Bot-protection providers, `= id | name`, rules as `kind | channel | flags | label | pattern`;
-#: channel `header:x`, `cookie` or `body:n` (first n characters).
-PROTECTION = r"""
-= cloudflare | Cloudflare
-strong | header:server | i | Server: cloudflare | ^cloudflare$
-strong | header:cf-ray | | CF-Ray response header | .
-strong | header:cf-mitigated | | cf-mitigated: challenge header | .
-strong | cookie | i | __cf_bm bot-manager cookie | ^__cf_bm$
-strong | cookie | i | cf_clearance clearance cookie | ^cf_clearance$
-strong | body:20000 | | Cloudflare challenge script | challenges\.cloudflare\.com|cdn-cgi/challenge-platform|cf-challenge
-supporting | body:20000 | i | Cloudflare challenge markers | just a moment|attention required.*cloudflare|verifying you are human.*cloudflare|cf-please-wait
-supporting | body:20000 | | Turnstile widget on challenge page | cf-turnstile|challenges\.cloudflare\.com/turnstile
-= cloudflare-turnstile | Cloudflare Turnstile
-strong | body:20000 | | Turnstile API script on challenge page | challenges\.cloudflare\.com/turnstile/v0/api\.js
-strong | body:20000 | | Turnstile widget with sitekey | class\s*=\s*["'][^"']*cf-turnstile[^"']*["'][^>]*data-sitekey
-= akamai | Akamai
-strong | header:server | i | Server: AkamaiGHost | akamai
-strong | cookie | i | ak_bmsc Bot Manager cookie | ^ak_bmsc$
-strong | cookie | i | _abck sensor cookie | ^_abck$
-strong | cookie | i | bm_sv challenge cookie | ^bm_sv$
-supporting | body:20000 | i | Akamai reference error page | akamai.*reference|reference.*akamai|edge[sS]uite|AkamaiGHost
-= imperva | Imperva
-strong | cookie | i | incap_ses_ session cookie | ^incap_ses_
-strong | cookie | i | visid_incap visitor cookie | ^visid_incap$
-strong | header:x-iinfo | | X-Iinfo header | .
-strong | header:x-cdn | i | X-CDN: Imperva header | imperva
-supporting | body:20000 | i | Incapsula challenge markers | incapsula|imperva.*(block|challenge)|request unsuccessful
-= datadome | DataDome
-strong | cookie | i | datadome device cookie | ^datadome$
-strong | header:x-dd-b | | X-dd-b challenge header | .
-strong | body:20000 | | DataDome challenge script | captcha\.datadome\.co|geo\.datadome\.co|js\.datadome\.co
-supporting | body:20000 | i | DataDome challenge markers | datadome|geo-edge.*captcha
-= perimeterx | PerimeterX / HUMAN
-strong | cookie | i | px3 Bot Defender cookie | ^px3$
-strong | cookie | i | _px3 fingerprint cookie | ^_px3$
-strong | cookie | i | _pxvid visitor cookie | ^_pxvid$
-strong | body:20000 | | PerimeterX challenge script | px-captcha|perimeterx.*captcha|collector\.px-cdn\.net
-supporting | body:20000 | i | PerimeterX challenge markers | perimeterx|human.*verify you are human.*press.*hold
-= aws-waf | AWS WAF
-strong | cookie | i | aws-waf-token cookie | ^aws-waf-token$
-strong | body:20000 | | AWS WAF challenge script | aws-waf-token|awswaf\.js
-supporting | header:x-amzn-requestid+body:8000 | i | AWS request ID with block page | request blocked|access denied|forbidden
-= fastly | Fastly
-strong | header:server | i | Server: Fastly | ^fastly$
-strong | header:x-served-by | | X-Served-By cache header | ^cache-
-supporting | body:20000 | i | Fastly error reference | fastly.*error|generated by varnish.*fastly
-= recaptcha | Google reCAPTCHA
-strong | body:20000 | | reCAPTCHA challenge script | google\.com/recaptcha/(api|enterprise)\.js|recaptcha\.net/recaptcha/(api|enterprise)\.js
-supporting | body:20000 | | reCAPTCHA widget on block page | g-recaptcha\s+data-sitekey|grecaptcha\.execute
-= hcaptcha | hCaptcha
-strong | body:20000 | | hCaptcha challenge script | js\.hcaptcha\.com/1\.js
-supporting | body:20000 | | hCaptcha widget on block page | h-captcha\s+data-sitekey|hcaptcha\.execute
-"""
-
 FAMILY = {"header": "NETWORK", "cookie-name": "COOKIE", "meta-generator": "META", "meta-tag": "META", "script-host": "SCRIPT", "js-global": "SCRIPT", "stylesheet-url": "ASSET", "html-path": "ASSET", "inline-script": "HTML", "html-regex": "HTML", "link-relation": "HTML", "probe": "PLATFORM_IDENTIFIER"}
 SPECIFICITY = {"definitive": 1.0, "strong": 0.7, "weak": 0.3}
 CHANNEL = {"meta-generator": "generator", "html-path": "usage", "html-regex": "usage", "js-global": "usage", "inline-script": "usage", "script-host": "resource", "stylesheet-url": "href", "link-relation": "link", "meta-tag": "meta", "header": "header", "cookie-name": "cookie", "probe": "probe"}
@@ -247,13 +26,29 @@ DESCRIPTION = {"script-host": "resource URL detected", "stylesheet-url": "styles
 #: Error codes of a capture, their HTTP status and whether a retry may help.
 ERRORS = [("INVALID_URL", 400, False), ("BLOCKED_TARGET", 403, False), ("RATE_LIMITED", 429, True), ("TIMEOUT", 504, True), ("NETWORK_ERROR", 502, True), ("HTTP_ERROR", 502, True), ("TARGET_BLOCKED", 403, False), ("NOT_HTML", 415, False), ("REDIRECT_LOOP", 502, False)]
 
-CORE_SCHEMA = "tech_ord int, tech_id string, tech_name string, category string, excludes string, veto string, sig_ord int, type string, header string, weight int, strength string, version_group int, pattern string, channel string, family string, specificity double, description string, needle string"
+CORE_SCHEMA = "tech_ord int, tech_id string, tech_name string, category string, excludes string, veto string, sig_ord int, type string, header string, weight int, strength string, version_group int, pattern string, channel string, family string, specificity double, description string, needles array<string>, min_families int"
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The pattern cut at its top-level alternatives."""
+    parts, start, depth, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
 
 
 def needle(pattern: str) -> str:
-    """A lower-case text that every match of the pattern contains, or ''."""
-    if re.search(r"\|", re.sub(r"\([^()]*\)", "", pattern)) or "|" in pattern and "(" not in pattern:
-        return ""
+    """A lower-case text that every match of a pattern without top-level alternatives contains, or ''."""
     runs, run, i, depth = [], "", 0, 0
     while i < len(pattern):
         c = pattern[i]
@@ -278,52 +73,61 @@ def needle(pattern: str) -> str:
     return max([*runs, run], key=len).lower()
 
 
-def _parsed(text: str, n: int):
-    """(technology cells, its number, rule cells, the rule's number)."""
-    tech, t, k = [], -1, 0
-    for line in text.strip().splitlines():
-        if line.startswith("= "):
-            tech, t, k = [x.strip() for x in re.split(r" ?\|(?: |$)", line[2:])], t + 1, 0
-        else:
-            yield tech, t, [x.strip() for x in re.split(r" ?\|(?: |$)", line, maxsplit=n - 1)], k
-            k += 1
+def needles(pattern: str) -> list[str]:
+    """Lower-case texts of which every match contains one; none if some alternative needs no fixed text."""
+    try:
+        found = [needle(p) for p in alternatives(pattern)]
+    except (IndexError, ValueError):  # not a pattern
+        return []
+    return sorted(set(found)) if all(len(n) > 2 for n in found) else []
+
+
+@functools.lru_cache
+def _technologies(name: str) -> list[dict]:
+    """The technologies of a catalogue file that comes with the package."""
+    return json.loads(resources.files("pagelens.catalogues").joinpath(f"{name}.json").read_text("utf-8"))["technologies"]
 
 
 def core_rows() -> list[tuple]:
+    """The core catalogue as rows of CORE_SCHEMA; a technology's probes stand where they come in the file's order."""
     rows = []
-    for line in CORE.strip().splitlines():
-        if line.startswith("= "):
-            cells = re.split(r" ?\|(?: |$)", line[2:], maxsplit=4)
-            tech, k = [c.strip() for c in cells] + [""] * (5 - len(cells)), 0
-            t = rows[-1][0] + 1 if rows else 0
-            continue
-        kind, header, weight, strength, group, pattern = (x.strip() for x in re.split(r" ?\|(?: |$)", line, maxsplit=5))
-        text = f"{tech[1]} {DESCRIPTION[kind]}" + (f" ({header})" if kind == "header" and header else "")
-        rows.append((t, tech[0], tech[1], tech[2], tech[3], tech[4], k, kind, header.lower() if kind == "header" else header, int(weight), strength, int(group) if group else None, pattern, CHANNEL[kind], FAMILY[kind], SPECIFICITY[strength], text, needle(pattern) if kind != "probe" else pattern.lower()))
-        k += 1
+    for t, tech in enumerate(_technologies("core")):
+        probes = [{"type": "probe", "name": p["path"], "pattern": p["successSignal"], "weight": p["weight"], "strength": "strong"} for p in tech.get("probes") or []]
+        for k, s in enumerate([*tech["signals"], *probes]):
+            kind, header, strength, pattern = s["type"], s.get("name") or "", s.get("strength") or "weak", s["pattern"]
+            text = s.get("description") or f"{tech['name']} {DESCRIPTION[kind]}" + (f" ({header})" if kind == "header" and header else "")
+            specificity = s.get("specificity", SPECIFICITY[strength])
+            known = [pattern.lower()] if kind == "probe" else needles(pattern)
+            rows.append((t, tech["id"], tech["name"], tech["category"], ",".join(tech.get("excludes") or []), "|".join(tech.get("negative") or []), k, kind, header.lower() if kind == "header" else header, s["weight"], strength, s.get("versionGroup"), pattern, CHANNEL[kind], s.get("family") or FAMILY[kind], specificity, text, known, tech.get("minFamilies") or 1))
     return rows
 
 
-def growth_rows() -> tuple[list[tuple], list[tuple]]:
-    """(rules, identifier rules)."""
+def typed_rows(technologies: list[dict]) -> tuple[list[tuple], list[tuple]]:
+    """(rules, identifier rules) of a growth or security catalogue, as rows of RULE_SCHEMA and ID_SCHEMA."""
     rules, ids = [], []
-    for tech, t, cells, k in _parsed(GROWTH, 4):
-        if cells[0] == "id":
-            ids.append((t, tech[0], k, cells[1], ("(?i)" if cells[2] else "") + cells[3]))
-        else:
-            rules.append((t, tech[0], tech[1], tech[2], k, cells[0], float(cells[1]), cells[2], cells[3]))
+    for t, tech in enumerate(technologies):
+        for k, r in enumerate(tech["evidence"]):
+            rules.append((t, tech["id"], tech["name"], tech["category"], k, r["type"], float(r["weight"]), r.get("product") or "", r["pattern"], r["description"], bool(r.get("launchOnly"))))
+        for k, r in enumerate(tech.get("ids") or []):
+            # A pattern that spells an upper-case prefix looks at case.
+            exact = re.search(r"\[A-Z\]|GTM-|AW-|GA4", r["pattern"])
+            ids.append((t, tech["id"], k, r["kind"], ("" if exact else "(?i)") + r["pattern"]))
     return rules, ids
 
 
+def growth_rows() -> tuple[list[tuple], list[tuple]]:
+    return typed_rows(_technologies("growth"))
+
+
 def security_rows() -> list[tuple]:
-    return [(t, tech[0], tech[1], tech[2], k, c[0], float(c[1]), "", c[2]) for tech, t, c, k in _parsed(SECURITY, 3)]
+    return typed_rows(_technologies("security"))[0]
 
 
 def protection_rows() -> list[tuple]:
-    return [(t, tech[0], tech[1], k, c[0], c[1], c[3], ("(?i)" if c[2] else "") + c[4]) for tech, t, c, k in _parsed(PROTECTION, 5)]
+    return [(t, p["id"], p["name"], k, r["strength"], r["channel"], r["label"], r["pattern"]) for t, p in enumerate(_technologies("protection")) for k, r in enumerate(p["rules"])]
 
 
-RULE_SCHEMA = "tech_ord int, tech_id string, tech_name string, category string, rule_ord int, type string, weight double, product string, pattern string"
+RULE_SCHEMA = "tech_ord int, tech_id string, tech_name string, category string, rule_ord int, type string, weight double, product string, pattern string, description string, launch_only boolean"
 ID_SCHEMA = "tech_ord int, tech_id string, rule_ord int, kind string, pattern string"
 PROTECTION_SCHEMA = "provider_ord int, provider_id string, provider string, rule_ord int, strength string, channel string, label string, pattern string"
 
@@ -350,10 +154,11 @@ def protection(spark: SparkSession) -> DataFrame:
 
 def read_catalogue(spark: SparkSession, *paths: str) -> DataFrame:
     """A core catalogue from JSON files, in file order; the columns of CORE_SCHEMA."""
-    kind = "array<struct<id:string,name:string,category:string,signals:array<struct<type:string,name:string,pattern:string,weight:int,strength:string,versionGroup:int,family:string,specificity:double,description:string>>,probes:array<struct<path:string,successSignal:string,weight:int>>,excludes:array<string>,negative:array<string>>>"
+    kind = "array<struct<id:string,name:string,category:string,signals:array<struct<type:string,name:string,pattern:string,weight:int,strength:string,versionGroup:int,family:string,specificity:double,description:string>>,probes:array<struct<path:string,successSignal:string,weight:int>>,excludes:array<string>,negative:array<string>,minFamilies:int>>"
     files = None
     for i, path in enumerate(paths):
-        one = spark.read.text(path, wholetext=True).select(F.lit(i).alias("file"), F.from_json("value", kind).alias("all"))
+        listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(F.from_json("value", f"struct<technologies:{kind}>")["technologies"])
+        one = spark.read.text(path, wholetext=True).select(F.lit(i).alias("file"), listed.alias("all"))
         files = one if files is None else files.unionAll(one)
     tech = files.select("file", F.posexplode("all").alias("at", "t"))
     probes = F.transform(F.coalesce("t.probes", F.array().cast("array<struct<path:string,successSignal:string,weight:int>>")), lambda p: F.struct(F.lit("probe").alias("type"), p["path"].alias("name"), p["successSignal"].alias("pattern"), p["weight"].alias("weight"), F.lit("strong").alias("strength"), F.lit(None).cast("int").alias("versionGroup"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("specificity"), F.lit(None).cast("string").alias("description")))
@@ -364,10 +169,42 @@ def read_catalogue(spark: SparkSession, *paths: str) -> DataFrame:
     empty = F.lit("")
     return rules.select(
         "tech_ord", F.col("t.id").alias("tech_id"), F.col("t.name").alias("tech_name"), F.col("t.category").alias("category"), F.array_join(F.coalesce("t.excludes", F.array().cast("array<string>")), ",").alias("excludes"), F.array_join(F.coalesce("t.negative", F.array().cast("array<string>")), "|").alias("veto"), "sig_ord", F.col("s.type").alias("type"),
-        F.when(F.col("s.type") == "header", F.lower("s.name")).otherwise(F.coalesce("s.name", empty)).alias("header"), F.col("s.weight").alias("weight"), strength.alias("strength"), F.col("s.versionGroup").alias("version_group"), F.col("s.pattern").alias("pattern"), look(CHANNEL, F.col("s.type")).alias("channel"), F.coalesce("s.family", look(FAMILY, F.col("s.type"))).alias("family"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s.specificity")), look(SPECIFICITY, strength)).alias("specificity"), text.alias("description"), empty.alias("needle"),
+        F.when(F.col("s.type") == "header", F.lower("s.name")).otherwise(F.coalesce("s.name", empty)).alias("header"), F.col("s.weight").alias("weight"), strength.alias("strength"), F.col("s.versionGroup").alias("version_group"), F.col("s.pattern").alias("pattern"), look(CHANNEL, F.col("s.type")).alias("channel"), F.coalesce("s.family", look(FAMILY, F.col("s.type"))).alias("family"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s.specificity")), look(SPECIFICITY, strength)).alias("specificity"), text.alias("description"),
+        # The rules are a small table; this looks at their patterns, never at pages.
+        F.when(F.col("s.type") == "probe", F.array(F.lower("s.pattern"))).otherwise(F.udf(needles, "array<string>")("s.pattern")).alias("needles"), F.coalesce("t.minFamilies", F.lit(1)).alias("min_families"),
     )
 
 
+def _read_technologies(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
+    """(tech_ord, t): the technologies of JSON files (an array, or an object with `technologies`), in file order."""
+    kind = "array<struct<id:string,name:string,category:string,evidence:array<struct<type:string,pattern:string,weight:double,description:string,product:string,launchOnly:boolean>>,ids:array<struct<kind:string,pattern:string>>,rules:array<struct<strength:string,channel:string,label:string,pattern:string>>>>"
+    files = None
+    for i, path in enumerate(paths):
+        listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(F.from_json("value", f"struct<technologies:{kind}>")["technologies"])
+        one = spark.read.text(path, wholetext=True).select(F.lit(i).alias("file"), F.posexplode(listed).alias("at", "t"))
+        files = one if files is None else files.unionAll(one)
+    return files.select((F.col("file") * 100_000 + F.col("at")).alias("tech_ord"), "t")
+
+
+def read_rules(spark: SparkSession, *paths: str) -> DataFrame:
+    """A growth or security catalogue from JSON files; the columns of RULE_SCHEMA."""
+    rows = _read_technologies(spark, paths).select("tech_ord", "t", F.posexplode("t.evidence").alias("rule_ord", "r"))
+    return rows.select("tech_ord", F.col("t.id").alias("tech_id"), F.col("t.name").alias("tech_name"), F.col("t.category").alias("category"), "rule_ord", "r.type", "r.weight", F.coalesce("r.product", F.lit("")).alias("product"), "r.pattern", "r.description", F.coalesce("r.launchOnly", F.lit(False)).alias("launch_only"))
+
+
+def read_ids(spark: SparkSession, *paths: str) -> DataFrame:
+    """The identifier rules of growth catalogues; the columns of ID_SCHEMA."""
+    rows = _read_technologies(spark, paths).select("tech_ord", "t", F.posexplode("t.ids").alias("rule_ord", "r"))
+    exact = F.col("r.pattern").rlike(r"\[A-Z\]|GTM-|AW-|GA4")
+    return rows.select("tech_ord", F.col("t.id").alias("tech_id"), "rule_ord", "r.kind", F.concat(F.when(exact, "").otherwise("(?i)"), "r.pattern").alias("pattern"))
+
+
+def read_protection(spark: SparkSession, *paths: str) -> DataFrame:
+    """Bot-protection providers (id, name, rules of strength, channel, label, pattern); the columns of PROTECTION_SCHEMA."""
+    rows = _read_technologies(spark, paths).select("tech_ord", "t", F.posexplode("t.rules").alias("rule_ord", "r"))
+    return rows.select(F.col("tech_ord").alias("provider_ord"), F.col("t.id").alias("provider_id"), F.col("t.name").alias("provider"), "rule_ord", "r.strength", "r.channel", "r.label", "r.pattern")
+
+
 def lint(rules: DataFrame) -> DataFrame:
     """Rows that break a catalogue's rules: (tech_id, sig_ord, problem)."""
     problems = F.array_compact(F.array(

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pagelens.functions import channels as ch
 
 MAX_RULES = 20_000
+#: What a hit keeps of its rule.
+RULE = ["tech_ord", "tech_id", "tech_name", "category", "excludes", "min_families", "sig_ord", "type", "weight", "strength", "family", "specificity", "description"]
 NO_STRUCTS = "array<struct<channel:string,name:string,ord:int,value:string,alt:string>>"
 
 
@@ -44,12 +46,13 @@ def core_channels(captures: DataFrame) -> DataFrame:
         _rows("cookie", F.col("cookies")),
         _rows("probe", F.map_entries("probes"), name=lambda x: x["key"], value=lambda x: x["value"]),
     )
-    return captures.select("page_id", F.explode(every).alias("c")).select("page_id", "c.*").where(F.regexp_replace("value", r"\s+", "") != "")
+    rows = captures.select("page_id", F.explode(every).alias("c")).select("page_id", "c.*").where(F.regexp_replace("value", r"\s+", "") != "")
+    return rows.withColumn("lower", F.lower("value"))
 
 
 def with_vetoes(rules: DataFrame) -> DataFrame:
     """The rules and, for each technology with a veto, one more that looks for it in the raw HTML."""
-    veto = rules.where("veto <> ''").dropDuplicates(["tech_id"]).withColumns({"type": F.lit("veto"), "channel": F.lit("raw"), "pattern": F.col("veto"), "sig_ord": F.lit(-1), "needle": F.lit("")})
+    veto = rules.where("veto <> ''").dropDuplicates(["tech_id"]).withColumns({"type": F.lit("veto"), "channel": F.lit("raw"), "pattern": F.col("veto"), "sig_ord": F.lit(-1), "needles": F.array().cast("array<string>")})
     return rules.unionByName(veto)
 
 
@@ -63,19 +66,24 @@ def core_evidence(captures: DataFrame, rules: DataFrame) -> DataFrame:
     named = ~F.col("r.channel").isin("header", "probe") | (F.col("r.header") == F.col("c.name"))
     plain = F.col("r.channel") == "probe"
     pattern = icase(F.col("r.pattern"))
-    hit = F.when(plain, F.col("c.value").contains(F.col("r.pattern"))).otherwise(((F.col("r.needle") == "") | F.lower("c.value").contains(F.col("r.needle"))) & (F.rlike("c.value", pattern) | F.coalesce(F.rlike("c.alt", pattern), F.lit(False))))
+    hit = F.when(plain, F.col("c.value").contains(F.col("r.pattern"))).otherwise(((F.size("r.needles") == 0) | F.exists("r.needles", lambda n: F.col("c.lower").contains(n))) & (F.rlike("c.value", pattern) | F.coalesce(F.rlike("c.alt", pattern), F.lit(False))))
     rows = c.join(r, (F.col("c.channel") == F.col("r.channel")) & named & hit)
-    value = F.when(F.col("r.type") != "veto", F.col("c.value"))
-    first = rows.groupBy("page_id", *(f"r.{x}" for x in ("tech_ord", "tech_id", "tech_name", "category", "excludes", "sig_ord", "type", "header", "weight", "strength", "version_group", "pattern", "family", "specificity", "description"))).agg(F.min(F.struct("c.ord", "c.name", value.alias("value"))).alias("hit"))
+    # What is kept of a hit is a few short texts; the page's own text ends here and meets no shuffle.
+    short = rows.select("page_id", *(f"r.{x}" for x in RULE), "c.ord", *_texts())
+    first = short.groupBy("page_id", *RULE).agg(F.min(F.struct("ord", "name", "value", "artifact", "version")).alias("hit"))
     tech = Window.partitionBy("page_id", "tech_id")
     first = first.withColumn("vetoed", F.max((F.col("type") == "veto").cast("int")).over(tech)).withColumn("seen", F.max((~F.col("type").isin("probe", "veto")).cast("int")).over(tech))
-    return _texts(first.where("vetoed = 0 and seen = 1"))
+    first = first.where("vetoed = 0 and seen = 1")
+    # Correlated hits of one family are not enough where a technology asks for several.
+    families = F.size(F.collect_set("family").over(tech))
+    first = first.withColumn("families", families).where("families >= min_families")
+    return first.select("page_id", "tech_ord", "tech_id", "tech_name", "category", "excludes", "sig_ord", "type", "hit.name", "hit.value", "hit.artifact", "hit.version", "weight", "strength", "family", "specificity", "description")
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    """Name, value, artifact and version of each hit."""
-    value, kind, name = F.col("hit.value"), F.col("type"), F.col("hit.name")
-    pattern = icase(F.col("pattern"))
+def _texts() -> list[Column]:
+    """Name, value, artifact and version of a hit of rule r on value c."""
+    value, kind, name = F.col("c.value"), F.col("r.type"), F.col("c.name")
+    pattern = icase(F.col("r.pattern"))
     usage = kind.isin("html-path", "html-regex", "js-global", "inline-script")
     marker = F.substring(F.regexp_substr(value, pattern), 1, 80)
     start = F.greatest(F.lit(0), F.regexp_instr(value, pattern) - 1 - 24)
@@ -84,15 +92,16 @@ def _texts(rows: DataFrame) -> DataFrame:
     cut = F.substring(value, 1, 120)
     host = F.lower(F.regexp_extract(value, r"^(?i:https?:)?//([^/?#:]+)", 1))
     quote = lambda label, x: F.concat(label, F.lit(': "'), x, F.lit('"'))
-    shown_name = F.when(usage, marker).when(kind == "script-host", F.when(host != "", host).otherwise(F.col("pattern"))).when(kind == "meta-generator", "generator").when(kind.isin("stylesheet-url", "link-relation"), F.substring(value, 1, 80)).when(kind == "meta-tag", name).when(kind == "cookie-name", value).otherwise(F.col("header"))
-    shown = F.when(usage, F.when(context == "", marker).otherwise(context)).when(kind == "probe", F.concat(F.lit("success signal "), F.col("pattern"))).when(kind == "cookie-name", value).otherwise(cut)
+    shown_name = F.when(usage, marker).when(kind == "script-host", F.when(host != "", host).otherwise(F.col("r.pattern"))).when(kind == "meta-generator", "generator").when(kind.isin("stylesheet-url", "link-relation"), F.substring(value, 1, 80)).when(kind == "meta-tag", name).when(kind == "cookie-name", value).otherwise(F.col("r.header"))
+    shown = F.when(usage, F.when(context == "", marker).otherwise(context)).when(kind == "probe", F.concat(F.lit("success signal "), F.col("r.pattern"))).when(kind == "cookie-name", value).otherwise(cut)
     artifact = (
         F.when(usage, quote(F.lit("html"), marker)).when(kind == "script-host", quote(name, cut)).when(kind == "meta-generator", quote(F.lit("meta[generator]"), value)).when(kind == "stylesheet-url", quote(F.lit("stylesheet"), cut))
-        .when(kind == "link-relation", quote(F.concat(F.lit("link["), name, F.lit("]")), cut)).when(kind == "meta-tag", quote(F.concat(F.lit("meta["), name, F.lit("]")), cut)).when(kind == "header", quote(F.concat(F.lit("header["), F.col("header"), F.lit("]")), cut))
-        .when(kind == "cookie-name", quote(F.lit("cookie"), value)).otherwise(F.concat(F.lit("probe["), F.col("header"), F.lit("]")))
+        .when(kind == "link-relation", quote(F.concat(F.lit("link["), name, F.lit("]")), cut)).when(kind == "meta-tag", quote(F.concat(F.lit("meta["), name, F.lit("]")), cut)).when(kind == "header", quote(F.concat(F.lit("header["), F.col("r.header"), F.lit("]")), cut))
+        .when(kind == "cookie-name", quote(F.lit("cookie"), value)).otherwise(F.concat(F.lit("probe["), F.col("r.header"), F.lit("]")))
     )
-    version = F.when(F.col("version_group").isNotNull() & kind.isin("meta-generator", "header"), F.call_function("regexp_extract", value, pattern, F.coalesce("version_group", F.lit(0))))
-    return rows.select("page_id", "tech_ord", "tech_id", "tech_name", "category", "excludes", "sig_ord", "type", shown_name.alias("name"), shown.alias("value"), artifact.alias("artifact"), F.when(version != "", version).alias("version"), "weight", "strength", "family", "specificity", "description")
+    version = F.when(F.col("r.version_group").isNotNull() & kind.isin("meta-generator", "header"), F.call_function("regexp_extract", value, pattern, F.coalesce("r.version_group", F.lit(0))))
+    given = kind != "veto"
+    return [F.when(given, shown_name).alias("name"), F.when(given, shown).alias("value"), F.when(given, artifact).alias("artifact"), F.when(given & (version != ""), version).alias("version")]
 
 
 #: Where rules of the growth and security tables look, in order; from `weak` channels a hit is header-only.
@@ -123,22 +132,32 @@ def type_hits(captures: DataFrame, rules: DataFrame, look: dict[str, list[str]],
     r, h = small(rules.join(F.broadcast(where), "type")).alias("r"), haystacks(captures).alias("h")
     allowed = (F.col("r.channel") != "container") | (F.col("r.weight") >= 0.35)
     hits = h.join(r, (F.col("h.channel") == F.col("r.channel")) & allowed & F.rlike("h.text", icase(F.col("r.pattern"))))
-    hits = hits.select("page_id", "tech_ord", "tech_id", "tech_name", "category", "rule_ord", "type", "weight", "product", "place", F.col("h.channel").alias("channel"), F.col("h.name").alias("container"))
+    detail = F.when(F.col("h.channel") == "container", F.concat(F.lit("Found in GTM container "), F.substring("h.name", 6, 200), F.lit(": "), "description")).otherwise(F.col("description"))
+    found = snippet(F.regexp_substr("h.text", icase(F.col("r.pattern"))))
+    hits = hits.select("page_id", "tech_ord", "tech_id", "tech_name", "category", "rule_ord", "type", "weight", "product", "launch_only", detail.alias("detail"), found.alias("value"), "place", F.col("h.channel").alias("channel"), F.col("h.name").alias("container"))
     # A rule counts once, where it is found first; a container once for each technology, by its first rule.
     inside = F.col("channel") == "container"
     order = F.when(inside, F.col("rule_ord")).otherwise(F.col("place"))
     unit = F.when(inside, F.col("container")).otherwise(F.col("rule_ord").cast("string"))
-    first = hits.groupBy("page_id", "tech_ord", "tech_id", "tech_name", "category", unit.alias("unit")).agg(F.min(F.struct(order.alias("order"), "rule_ord", "type", "weight", "product", "channel", "container")).alias("f"))
+    first = hits.groupBy("page_id", "tech_ord", "tech_id", "tech_name", "category", unit.alias("unit")).agg(F.min(F.struct(order.alias("order"), "rule_ord", "type", "weight", "product", "launch_only", "detail", "value", "channel", "container")).alias("f"))
     inside = F.col("f.channel") == "container"
     return first.select(
         "page_id", "tech_ord", "tech_id", "tech_name", "category", F.when(inside, F.lit(1000) + F.substring("f.container", 1, 4).cast("int")).otherwise(F.col("f.rule_ord")).alias("rule_ord"), F.when(inside, "via-gtm").otherwise(F.col("f.type")).alias("type"), F.when(inside, 0.7).otherwise(F.col("f.weight")).alias("weight"), "f.product",
-        F.col("f.channel").isin(*WEAK).alias("header_only"), F.when(inside, F.substring("f.container", 6, 200)).alias("container"),
+        F.col("f.channel").isin(*WEAK).alias("header_only"), "f.launch_only", "f.detail", "f.value", F.when(inside, F.substring("f.container", 6, 200)).alias("container"),
     )
 
 
+def snippet(found: Column) -> Column:
+    """What a pattern matched, on one line and cut at 140 characters."""
+    flat = F.trim(F.regexp_replace(found, r"\s+", " "))
+    return F.when(F.length(flat) > 140, F.concat(F.substring(flat, 1, 137), F.lit("…"))).otherwise(flat)
+
+
 def with_default(hits: DataFrame, pages: DataFrame, tech: tuple, weight: float) -> DataFrame:
-    """A script-host hit of a technology (tech_ord, tech_id, tech_name, category) for pages without a direct one."""
-    given = pages.select("page_id", *(F.lit(v).alias(n) for n, v in zip(("tech_ord", "tech_id", "tech_name", "category"), tech, strict=True)), F.lit(500).alias("rule_ord"), F.lit("script-host").alias("type"), F.lit(weight).alias("weight"), F.lit("").alias("product"), F.lit(False).alias("header_only"), F.lit(None).cast("string").alias("container"))
+    """A script-host hit of a technology (tech_ord, tech_id, tech_name, category) for pages with containers and no direct one."""
+    ids = F.array_join(F.transform("containers", lambda c: c["id"]), ", ")
+    more = [F.lit(500).alias("rule_ord"), F.lit("script-host").alias("type"), F.lit(weight).alias("weight"), F.lit("").alias("product"), F.lit(False).alias("header_only"), F.lit(False).alias("launch_only"), F.concat(F.lit(tech[2] + " container ("), ids, F.lit(") deployed")).alias("detail"), F.get("containers", 0)["id"].alias("value"), F.lit(None).cast("string").alias("container")]
+    given = pages.where(F.size("containers") > 0).select("page_id", *(F.lit(v).alias(n) for n, v in zip(("tech_ord", "tech_id", "tech_name", "category"), tech, strict=True)), *more)
     both = hits.withColumn("default", F.lit(0)).unionByName(given.withColumn("default", F.lit(1)))
     direct = F.max(((F.col("default") == 0) & (F.col("type") != "via-gtm")).cast("int")).over(Window.partitionBy("page_id", "tech_id"))
     return both.withColumn("direct", direct).where("default = 0 or direct = 0").drop("default", "direct")

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls
-from pagelens.functions.channels import every
+from pagelens.functions.channels import container_ids, every
 from pagelens.operators.safety import is_challenge
 
 #: Limits of a capture.
 MAX_HOPS, MAX_BUNDLES, MAX_CANDIDATES, MAX_CONTAINERS = 5, 5, 20, 3
 SCRIPT_SRC = r"""(?i)<script[^>]+src=["']([^"']+)["']"""
-MODULE = r"""(?i)<link[^>]+rel=["']modulepreload["'][^>]*href=["']([^"']+)["']"""
-PRELOAD = r"""(?i)<link[^>]+rel=["']preload["'][^>]*as=["']script["'][^>]*href=["']([^"']+)["']"""
-BASE = r"""(?i)<base[^>]+href=["']([^"']+)["']"""
+LINK = r"(?i)<link\s+[^>]*>"
+MODULE = r"""(?i)rel=["'](?:[^"']*\s+)?modulepreload(?:\s+[^"']*)?["']"""
+PRELOAD = r"""(?i)rel=["'](?:[^"']*\s+)?preload(?:\s+[^"']*)?["']"""
+AS_SCRIPT = r"""(?i)as=["']script["']"""
+HREF = r"""(?i)href=["']([^"']+)["']"""
+BASE = r"""(?i)<base\s+[^>]*href=["']([^"']+)["']"""
+NOT_FETCHED = r"^(data|blob|javascript):"
+#: From this CPU time on a scan is noted as costly.
+HIGH_CPU_MS = 8.0
 
 
 def is_html(content_type: Column, html: Column) -> Column:
@@ -38,14 +44,29 @@ def outcome(captures: DataFrame) -> DataFrame:
 
 
 def script_candidates(html: Column, url: Column) -> Column:
-    """Scripts of the page's own host, each once, in order of kind: sources, module preloads, script preloads."""
+    """Scripts of the base's own origin, each once: script sources, then preloaded modules and scripts as they stand."""
     base = F.coalesce(F.nullif(F.regexp_extract(html, BASE, 1), F.lit("")), url)
     base = urls.resolved(base, url)
-    all_ = F.transform(F.concat(every(html, SCRIPT_SRC), every(html, MODULE), every(html, PRELOAD)), lambda x: urls.resolved(x, base))
-    own = F.filter(F.array_distinct(all_), lambda u: (urls.host_of(u) == urls.host_of(url)) & (urls.validation(u)["code"] == "ok"))
+    tags = F.filter(every(html, LINK, 0), lambda t: t.rlike(MODULE) | (t.rlike(PRELOAD) & t.rlike(AS_SCRIPT)))
+    given = F.concat(every(html, SCRIPT_SRC), F.transform(tags, lambda t: F.regexp_extract(t, HREF, 1)))
+    all_ = F.transform(F.filter(given, lambda x: (x != "") & ~x.rlike(NOT_FETCHED)), lambda x: urls.resolved(x, base))
+    origin = lambda u: F.concat(urls.scheme_of(u), F.lit("://"), urls.host_of(u), F.lit(":"), urls.port_of(u))
+    own = F.filter(F.array_distinct(all_), lambda u: (origin(u) == origin(base)) & (urls.validation(u)["code"] == "ok"))
     return F.slice(own, 1, MAX_CANDIDATES)
 
 
+def scan_log(scans: DataFrame) -> DataFrame:
+    """What happened, by host and outcome; scans has url, outcome, duration_ms, cpu_ms, subrequests and truncated."""
+    flag = lambda c: F.sum(c.cast("int")).alias
+    return scans.groupBy(urls.host_of(F.col("url")).alias("host"), "outcome").agg(F.count("*").alias("scans"), F.sum("duration_ms").alias("duration_ms"), F.sum("subrequests").alias("subrequests"), flag(F.col("truncated"))("truncated"), flag(F.col("cpu_ms") >= HIGH_CPU_MS)("high_cpu"))
+
+
+def missing_containers(captures: DataFrame) -> DataFrame:
+    """(page_id, ord, id, fetched): the first `MAX_CONTAINERS` container ids of a page and whether their script is there."""
+    ids = F.slice(container_ids(F.array_join(F.concat(F.array(F.coalesce("html", F.lit(""))), "bundles"), "\n")), 1, MAX_CONTAINERS)
+    return captures.select("page_id", "containers", F.posexplode(ids).alias("ord", "id")).select("page_id", "ord", "id", F.exists("containers", lambda c: c["id"] == F.col("id")).alias("fetched"))
+
+
 def largest_bundles(bundles: Column, most: int = MAX_BUNDLES) -> Column:
     """Of an array of (url, size, body) the largest, each cut at 250,000 characters."""
     order = F.array_sort(bundles, lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).otherwise(0))

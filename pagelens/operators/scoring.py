@@ -17,6 +17,9 @@ SECURITY_NO_STRONG, SECURITY_HEADER_ONLY, SECURITY_MIN = 0.84, 0.59, 0.35
 GROWTH_STRONG = ["script-host", "sdk-init"]
 SECURITY_STRONG = ["script-host", "network-host", "iframe", "sdk-init", "runtime-global"]
 PLACEHOLDER = r"(?i)(YOUR_SITE_KEY|YOUR_API_KEY|placeholder|example|test|x{3,}|12345|10000000-ffff-ffff-ffff-000000000001)"
+GA4, UA = "GA4 measurement ID", "UA property (legacy)"
+#: The family of each type of evidence.
+FAMILIES = {"script-host": "SCRIPT", "sdk-init": "SCRIPT", "dom": "HTML", "cookie-storage": "COOKIE", "via-gtm": "VIA_GTM"}
 WIDGETS = ["recaptcha", "hcaptcha", "cloudflare-turnstile"]
 TECH = ["page_id", "tech_ord", "tech_id", "tech_name", "category"]
 
@@ -126,7 +129,9 @@ def detect(evidence: DataFrame) -> DataFrame:
     """The final list of a page: contested scores, labels and versions, analytics left out; one pass over the evidence."""
     found = without_excluded(_summed(explained(evidence), *_score_parts()).withColumn("score", _score()))
     rows = contest(found).where("category <> 'analytics'")
-    return rows.select(*TECH, "confidence", label3(F.col("confidence")).alias("label"), "version", "score", label5(F.col("score")).alias("score_label"), "families", "lost_to")
+    # The order of the list; a score under the floor is kept, but not shown.
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("confidence"), "tech_ord"))
+    return rows.select(*TECH, "confidence", label3(F.col("confidence")).alias("label"), "version", "score", label5(F.col("score")).alias("score_label"), "families", "lost_to", rank.alias("rank"), (F.col("score") >= DISPLAY_MIN).alias("shown"))
 
 
 def best_by_type(hits: DataFrame) -> DataFrame:
@@ -138,20 +143,41 @@ def best_by_type(hits: DataFrame) -> DataFrame:
 
 def _combined(best: DataFrame) -> DataFrame:
     product = F.aggregate(in_order("weight", "at"), F.lit(1.0), lambda p, w: p * (1 - w))
-    return best.groupBy(*TECH).agg((1 - product).alias("p"), F.concat_ws(",", in_order("type", "at")).alias("types"), F.collect_set("type").alias("kinds"), F.min("header_only").alias("header_only"), F.max((F.col("type") != "via-gtm").cast("int")).alias("direct"))
+    return best.groupBy(*TECH).agg((1 - product).alias("p"), F.concat_ws(",", in_order("type", "at")).alias("types"), F.collect_set("type").alias("kinds"), F.min("header_only").alias("header_only"), F.min("launch_only").alias("launch_only"), F.max((F.col("type") != "via-gtm").cast("int")).alias("direct"))
 
 
 def capped(p: Column, cond: Column, cap: float) -> Column:
     return F.when(cond, F.least(p, F.lit(cap))).otherwise(p)
 
 
-def growth_scores(hits: DataFrame) -> DataFrame:
+def by_score() -> Column:
+    """The place in a page's list: best score first, then by name."""
+    return F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), F.lower("tech_name"), "tech_ord"))
+
+
+def growth_scores(hits: DataFrame, ids: DataFrame) -> DataFrame:
+    """Scored technologies of each page; ids are the page's identifiers (page_id, tech_id, place, kind, value)."""
     rows = _combined(best_by_type(hits))
     p = capped(F.col("p"), ~F.arrays_overlap("kinds", F.array(*map(F.lit, GROWTH_STRONG))), NO_STRONG)
-    p = capped(capped(p, F.col("header_only"), HEADER_ONLY), F.col("direct") == 0, CONTAINER_ONLY)
-    score = half_up(p * 100).cast("int")
-    products = hits.where("product <> ''").groupBy("page_id", "tech_id").agg(F.array_join(F.array_distinct(in_order("product", "rule_ord")), ", ").alias("products"))
-    return rows.withColumn("score", score).where(F.col("score") >= GROWTH_MIN).join(products, ["page_id", "tech_id"], "left").select(*TECH, "score", band(F.col("score")).alias("band"), "types", "products")
+    p = capped(capped(capped(p, F.col("header_only"), HEADER_ONLY), F.col("launch_only"), LAUNCH_ONLY), F.col("direct") == 0, CONTAINER_ONLY)
+    rows = rows.withColumn("score", half_up(p * 100).cast("int")).where(F.col("score") >= GROWTH_MIN)
+    listed = F.array_distinct(in_order("product", "rule_ord"))
+    products = hits.where((F.col("tech_id") == "salesforce") & (F.col("product") != "")).groupBy("page_id", "tech_id").agg(F.concat(F.when(F.size(listed) == 1, "Matched product: ").otherwise("Matched products: "), F.array_join(listed, ", "), F.lit(".")).alias("products"))
+    legacy = F.concat(F.lit("Universal Analytics (legacy) "), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == UA, F.struct("place", "value")))), lambda x: x["value"]), ", "), F.lit("; GA4 (G-…) not seen."))
+    only = ids.where(F.col("tech_id") == "google-analytics").groupBy("page_id", "tech_id").agg(F.max((F.col("kind") == GA4).cast("int")).alias("ga4"), F.max((F.col("kind") == UA).cast("int")).alias("ua"), legacy.alias("legacy")).where("ga4 = 0 and ua = 1")
+    rows = rows.join(products, ["page_id", "tech_id"], "left").join(only.select("page_id", "tech_id", "legacy"), ["page_id", "tech_id"], "left")
+    return rows.select(*TECH, "score", band(F.col("score")).alias("band"), "types", F.coalesce("products", "legacy").alias("note"), by_score().alias("place"))
+
+
+def shown_evidence(hits: DataFrame, scored: DataFrame) -> DataFrame:
+    """The evidence of scored technologies in order: the best hit of each type, then what further containers hold."""
+    best = best_by_type(hits).withColumn("extra", F.lit(0))
+    winner = best.where("type = 'via-gtm'").select("page_id", "tech_id", F.col("detail").alias("won"))
+    more = hits.where("type = 'via-gtm'").join(winner, ["page_id", "tech_id"]).where("detail <> won").select(*(c for c in hits.columns), F.col("rule_ord").alias("at"), F.lit(1).alias("extra"))
+    rows = best.select(*more.columns).unionByName(more).join(scored.select("page_id", "tech_id"), ["page_id", "tech_id"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("page_id", "tech_id").orderBy("extra", "at", "rule_ord"))
+    family = F.element_at(F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv)), F.col("type"))
+    return rows.select("page_id", "tech_id", place.alias("place"), "type", "detail", F.nullif("value", F.lit("")).alias("value"), family.alias("family"))
 
 
 def security_scores(hits: DataFrame, placeholder_pages: DataFrame) -> DataFrame:
@@ -161,7 +187,7 @@ def security_scores(hits: DataFrame, placeholder_pages: DataFrame) -> DataFrame:
     demo = placeholder_pages.select("page_id", F.explode(F.array(*map(F.lit, WIDGETS))).alias("tech_id"))
     score = half_up(F.col("p") * 100) / 100
     label = F.when(score >= 0.85, "high").when(score >= 0.6, "medium").otherwise("low")
-    return rows.join(demo, ["page_id", "tech_id"], "left_anti").select(*TECH, score.alias("score"), half_up(score * 100).cast("int").alias("score100"), label.alias("label"), "types")
+    return rows.join(demo, ["page_id", "tech_id"], "left_anti").select(*TECH, score.alias("score"), half_up(score * 100).cast("int").alias("score100"), label.alias("label"), "types").withColumn("place", by_score())
 
 
 def by_category(pages: DataFrame, scored: DataFrame, categories: list[str]) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls
-from pagelens.functions.channels import ANCHOR, every, lowered_headers
+from pagelens.functions.channels import ANCHOR, every, inline_scripts, lowered_headers, resource_urls
 from pagelens.operators import scoring
+from pagelens.operators.matching import small
 
 #: Fixed values.
 PLUGIN = r"(?i)/wp-content/plugins/([^/\"'\s?#]+)"
@@ -28,25 +29,34 @@ def internal_links(html: Column, base: Column) -> Column:
 
 
 def diverse_sample(links: DataFrame, limit: int = 15) -> DataFrame:
-    """Links (site, ord, url) taken by turns from the groups of their first path segment, in order of appearance."""
+    """Links (site, ord, url) taken by turns from the groups of their first path segment, in order of appearance.
+
+    Of each group, and then of each site, only the first `limit` are kept, which Spark cuts before the shuffle.
+    """
     links = links.withColumn("prefix", urls.first_segment(F.col("url")))
-    group = Window.partitionBy("site", "prefix")
-    links = links.withColumn("round", F.row_number().over(group.orderBy("ord"))).withColumn("group_ord", F.min("ord").over(group))
+    group = Window.partitionBy("site", "prefix").orderBy("ord")
+    links = links.withColumn("round", F.row_number().over(group)).withColumn("group_ord", F.first("ord").over(group)).where(F.col("round") <= limit)
     order = Window.partitionBy("site").orderBy("round", "group_ord")
     return links.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("site", "place", "url", "prefix")
 
 
-def sample_plan(homepages: DataFrame, sitemap: DataFrame, links: DataFrame, extras: DataFrame, limit: int = 15) -> DataFrame:
+def sample_plan(homepages: DataFrame, sitemap: DataFrame, links: DataFrame, extras: DataFrame, limit: int = 15, preview: int = 15) -> DataFrame:
     """The pages of a site to scan: homepage, a diverse sample of the sitemap, links, extras; each once.
 
-    homepages has site and url, the others site, ord and url.
+    homepages has site and url, the others site, ord and url.  Behind them stand up to `preview` pages of sitemap and
+    links that are not scanned; `found` is about how many pages the site has.
     """
-    sources = [homepages.select("site", F.lit(0).alias("source"), F.lit(0).alias("ord"), "url"), diverse_sample(sitemap, limit).select("site", F.lit(1).alias("source"), F.col("place").alias("ord"), "url"), links.select("site", F.lit(2).alias("source"), "ord", "url"), extras.where("ord < 5").select("site", F.lit(3).alias("source"), "ord", "url")]
-    rows = sources[0]
-    for other in sources[1:]:
-        rows = rows.unionByName(other)
-    first = rows.withColumn("url", urls.normal_url(F.col("url"))).groupBy("site", "url").agg(F.min(F.struct("source", "ord")).alias("k"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("k"))).select("site", "place", "url", F.col("k.source").alias("source"), (F.col("place") <= limit).alias("scanned"))
+    of = lambda rows, source, ord_: rows.select("site", F.lit(source).alias("source"), ord_.alias("ord"), urls.normal_url(F.col("url")).alias("url"))
+    once = lambda rows: rows.groupBy("site", "url").agg(F.min(F.struct("source", "ord")).alias("k"))
+    order = Window.partitionBy("site").orderBy("k")
+    known = of(sitemap, 1, F.col("ord")).unionByName(of(links, 2, F.col("ord")))
+    rows = of(homepages, 0, F.lit(0)).unionByName(of(diverse_sample(sitemap, limit), 1, F.col("place"))).unionByName(of(links, 2, F.col("ord"))).unionByName(of(extras.where("ord < 5"), 3, F.col("ord")))
+    sample = once(rows).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    rest = once(known).join(sample.select("site", "url"), ["site", "url"], "left_anti").withColumn("place", F.row_number().over(order) + limit).where(F.col("place") <= limit + preview)
+    n = known.groupBy("site").agg(F.sum((F.col("source") == 1).cast("int")).alias("a"), F.sum((F.col("source") == 2).cast("int")).alias("b"))
+    found = sample.groupBy("site").agg(F.count("*").alias("c")).join(n, "site", "left").select("site", F.greatest("a", "b", "c").alias("found"))
+    both = sample.withColumn("scanned", F.lit(True)).unionByName(rest.withColumn("scanned", F.lit(False)))
+    return both.join(found, "site").select("site", "place", "url", F.col("k.source").alias("source"), "scanned", "found")
 
 
 def sitemap_locs(xml: Column, cap: int = 500) -> Column:
@@ -101,17 +111,21 @@ def page_platforms(found: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def consistency(pages: DataFrame) -> DataFrame:
-    """Verdict of each site over its pages (site, page_id, ok, cross_domain, framework, provider)."""
-    good = F.col("ok")
+    """Verdict of each site over its pages (site, page_id, ok, cross_domain, framework, provider).
 
-    def mode(column: str) -> DataFrame:
-        seen = pages.where(good).groupBy("site", column).agg(F.count("*").alias("n"), F.min("page_id").alias("at"))
-        return seen.groupBy("site").agg(F.min_by(column, F.struct(-F.col("n"), "at")).alias(f"base_{column}"))
-
-    rows = pages.join(mode("framework"), "site", "left").join(mode("provider"), "site", "left")
+    Pages are counted by what they run first; a site's modes are then found among those few rows.
+    """
+    good = F.col("ok")
+    rows = pages.groupBy("site", "framework", "provider", "ok", "cross_domain").agg(F.count("*").alias("pages"), F.min("page_id").alias("at"))
+    for column in ("framework", "provider"):
+        same = Window.partitionBy("site", column)
+        rows = rows.withColumn("_n", F.sum(F.when(good, F.col("pages"))).over(same)).withColumn("_at", F.min(F.when(good, F.col("at"))).over(same))
+        best = Window.partitionBy("site").orderBy(F.col("_n").desc_nulls_last(), "_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumn(f"base_{column}", F.first(F.when(F.col("_n").isNotNull(), F.col(column))).over(best)).drop("_n", "_at")
     odd = good & ((F.col("framework") != F.col("base_framework")) | (F.col("provider") != F.col("base_provider")) | F.col("cross_domain"))
     named = good & ~F.col("provider").isin("Unknown", "Unscanned")
-    site = rows.groupBy("site").agg(F.count("*").alias("n"), F.sum(good.cast("int")).alias("good"), F.sum(odd.cast("int")).alias("odd"), F.sum(named.cast("int")).alias("named"), F.count_distinct(F.when(named, F.col("provider"))).alias("providers"), F.first("base_framework").alias("framework"), F.first("base_provider").alias("provider"))
+    of = lambda cond: F.sum(F.when(cond, F.col("pages")).otherwise(0))
+    site = rows.groupBy("site").agg(F.sum("pages").alias("n"), of(good).alias("good"), of(odd).alias("odd"), of(named).alias("named"), F.count_distinct(F.when(named, F.col("provider"))).alias("providers"), F.first("base_framework").alias("framework"), F.first("base_provider").alias("provider"))
     site = site.withColumn("framework", F.coalesce("framework", F.lit("Unknown"))).withColumn("provider", F.coalesce("provider", F.lit("Unknown"))).withColumn("missing", F.col("n") - F.col("good"))
     same = (F.col("good") > 0) & (F.col("missing") == 0) & (F.col("odd") == 0)
     s = lambda c: F.col(c).cast("string")
@@ -166,28 +180,39 @@ def cname_hints(captures: DataFrame, found: DataFrame) -> DataFrame:
     """Hosting by the first provider suffix that a page's CNAME ends with, for pages without a hosting detection."""
     suffixes = F.broadcast(captures.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(CNAMES)], "ord int, suffix string, tech_id string, tech_name string"))
     target = captures.where("cname is not null").select("page_id", F.lower(F.regexp_replace("cname", r"\.$", "")).alias("cname"))
-    hits = target.join(suffixes, F.endswith(F.col("cname"), F.col("suffix"))).groupBy("page_id", "cname").agg(F.min(F.struct("ord", "tech_id", "tech_name")).alias("h"))
+    # A suffix has two labels, so the last two of the name are its key.
+    key = F.concat(F.lit("."), F.regexp_extract("cname", r"([^.]+\.[^.]+)$", 1))
+    hits = target.withColumn("suffix", key).where(F.length("cname") >= F.length("suffix")).join(suffixes, "suffix").where(F.endswith(F.col("cname"), F.col("suffix"))).groupBy("page_id", "cname").agg(F.min(F.struct("ord", "tech_id", "tech_name")).alias("h"))
     return hits.join(found.where("category = 'hosting'").select("page_id").distinct(), "page_id", "left_anti").select("page_id", "cname", F.col("h.tech_id").alias("tech_id"), F.col("h.tech_name").alias("tech_name"))
 
 
 def protection(captures: DataFrame, rules: DataFrame, threshold: int = 40) -> DataFrame:
-    """The bot-protection provider of each page with enough evidence, of which one piece must be strong."""
-    low = lowered_headers(F.col("headers"))
-    page = captures.select("page_id", low.alias("headers"), "cookies", F.substring("html", 1, 20_000).alias("body"))
-    both = page.join(F.broadcast(rules), F.lit(True))
-    value = F.coalesce(F.col("headers")[F.regexp_extract("channel", r"header:([^+]+)", 1)], F.lit(""))
-    body = F.when(F.col("channel").contains("body:8000"), F.substring("body", 1, 8000)).otherwise(F.col("body"))
-    hit = F.when(F.col("channel") == "cookie", F.exists("cookies", lambda c: F.rlike(c, F.col("pattern")))).when(F.col("channel").contains("+"), (value != "") & F.rlike(body, F.col("pattern"))).when(F.col("channel").startswith("header"), F.rlike(value, F.col("pattern"))).otherwise(F.rlike(body, F.col("pattern")))
-    hits = both.where(hit).withColumn("points", F.when(F.col("strength") == "strong", 55).otherwise(25))
+    """The bot-protection provider of each page with enough evidence, of which one piece must be strong.
+
+    Pages are exploded into channels and meet the rules of the same channel; a rule `header:x+body:n` looks at the body
+    of pages with the header.
+    """
+    headers, cookies = F.map_entries(lowered_headers(F.col("headers"))), F.coalesce("cookies", F.array().cast("array<string>"))
+    channel = lambda name, value: F.struct(name.alias("channel"), value.alias("value"))
+    head = F.substring(F.coalesce("html", F.lit("")), 1, 20_000)
+    rows = captures.select("page_id", head.alias("body"), F.concat(F.transform(headers, lambda h: channel(F.concat(F.lit("header:"), h["key"]), F.coalesce(h["value"], F.lit("")))), F.transform(cookies, lambda c: channel(F.lit("cookie"), c)), F.array(channel(F.lit("body"), head))).alias("c"))
+    both = F.col("r.channel").contains("+")
+    keyed = small(rules.withColumn("key", F.regexp_replace(F.regexp_replace("channel", r"\+.*", ""), r"^body:.*", "body"))).alias("r")
+    rows = rows.select("page_id", F.substring("body", 1, 8000).alias("body"), F.explode("c").alias("c"))
+    hit = F.when(both, (F.col("c.value") != "") & F.rlike("body", F.col("r.pattern"))).otherwise(F.rlike("c.value", F.col("r.pattern")))
+    hits = rows.join(keyed, (F.col("c.channel") == F.col("r.key")) & hit).select("page_id", "provider_ord", "provider", "rule_ord", "strength", "label").distinct()
+    hits = hits.withColumn("points", F.when(F.col("strength") == "strong", 55).otherwise(25))
     rows = hits.groupBy("page_id", "provider_ord", "provider").agg(scoring.saturating(scoring.in_order("points", "rule_ord")).alias("score"), F.max((F.col("strength") == "strong").cast("int")).alias("strong"), F.array_join(scoring.in_order("label", "rule_ord"), " | ").alias("evidence"))
     best = rows.where((F.col("score") >= threshold) & (F.col("strong") == 1)).groupBy("page_id").agg(F.min(F.struct(-F.col("score"), "provider_ord", "provider", "score", "evidence")).alias("b"))
     return best.select("page_id", F.col("b.provider").alias("provider"), (F.least(F.lit(98), F.col("b.score")) / 100).alias("confidence"), F.col("b.evidence").alias("evidence"))
 
 
-def extracted_ids(hays: DataFrame, captures: DataFrame, rules: DataFrame, limit: int = 10) -> DataFrame:
+def extracted_ids(captures: DataFrame, rules: DataFrame, limit: int = 10) -> DataFrame:
     """Identifiers of a page's tools in resources and code, each once, at most ten a technology."""
-    text = hays.where("channel in ('resource', 'code')").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("channel") == "resource", 0).otherwise(1).alias("o"), "text"))), lambda x: x["text"]), "\n").alias("text"))
-    found = text.join(F.broadcast(rules), F.lit(True)).select("page_id", "tech_id", "rule_ord", "kind", F.posexplode(F.regexp_extract_all("text", F.col("pattern"), F.lit(1))).alias("at", "value"))
+    html = F.coalesce("html", F.lit(""))
+    code = F.concat(inline_scripts(html), "bundles")
+    text = captures.select("page_id", F.lit("text").alias("channel"), F.array_join(F.concat(resource_urls(html), code), "\n").alias("text")).where("text <> ''")
+    found = text.join(small(rules.withColumn("channel", F.lit("text"))), "channel").select("page_id", "tech_id", "rule_ord", "kind", F.posexplode(F.regexp_extract_all("text", F.col("pattern"), F.lit(1))).alias("at", "value"))
     given = captures.select("page_id", F.posexplode("containers.id").alias("at", "value")).select("page_id", F.lit("google-tag-manager").alias("tech_id"), F.lit(-1).alias("rule_ord"), F.lit("GTM container ID").alias("kind"), "at", "value")
     rows = given.unionByName(found).withColumn("value", F.trim("value")).where((F.col("value") != "") & (F.length("value") <= 128))
     rows = rows.where(~((F.col("kind") == "GTM container ID") & (~F.col("value").rlike("^GTM-[A-Z0-9]{4,15}$"))) & ~((F.col("kind") == "GA4 measurement ID") & ~F.col("value").rlike("^G-[A-Z0-9]{4,15}$")))
@@ -196,7 +221,16 @@ def extracted_ids(hays: DataFrame, captures: DataFrame, rules: DataFrame, limit:
 
 
 def rate_limited(hits: DataFrame, most: int = 30, seconds: int = 60) -> DataFrame:
-    """Each hit (key, at) with the number of its key's hits in the last `seconds` and whether it exceeds `most`."""
+    """Each hit (key, at) with the number of its key's hits in the last `seconds` and whether it exceeds `most`.
+
+    A key's time is cut into stretches of `seconds`; a hit also stands in the next stretch, where it is only counted, so
+    a busy key is spread over its stretches.
+    """
+    span = seconds * 1_000_000
     micros = F.unix_micros(F.col("at").cast("timestamp"))
-    window = Window.partitionBy("key").orderBy(micros).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return hits.withColumn("recent", F.count("*").over(window)).withColumn("limited", F.col("recent") > most)
+    columns = hits.columns
+    rows = hits.withColumn("_at", micros).withColumn("_of", F.floor(F.col("_at") / span))
+    rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_more")).withColumn("_stretch", F.col("_of") + F.col("_more"))
+    window = Window.partitionBy("key", "_stretch").orderBy("_at").rangeBetween(-span + 1, 0)
+    rows = rows.withColumn("recent", F.count("*").over(window)).where("_more = 0")
+    return rows.select(*columns, "recent").withColumn("limited", F.col("recent") > most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pagelens.functions import channels as ch
 from pagelens.functions import urls
 from pagelens.operators import catalogue, matching, safety, scoring, sites
-from pagelens.plans.queries import SPELLINGS
+from pagelens.plans.queries import SPELLINGS, TYPED
 from pagelens.sources.captures import overlay_sql, quoted
 
 
@@ -104,17 +104,22 @@ select page_id, hostname, protocol, regexp_matches(hostname, '^([0-9]{{1,3}}\\.)
   array_to_string(list_filter({[*urls.RISK_WORDS]}, lambda w: contains(hostname, w) or contains(path, w)), ',') as risk_words, port not in ('', '80', '443') as unusual_port from p
 """
 
+NUMBER = "list_reduce(list_concat([0.0::double], list_transform(list_filter(string_split(case when starts_with({0}, '0x') then substr({0}, 3, 40) else substr({0}, 1, 40) end, ''), lambda c: c <> ''), lambda c: (strpos('0123456789abcdef', c) - 1)::double)), lambda t, d: t * (case when starts_with({0}, '0x') then 16 when starts_with({0}, '0') and length({0}) > 1 then 8 else 10 end) + d)"
 VALIDATE = f"""
 raw as (select page_id, url from pages union all select * from {values([(-1 - i, s) for i, s in enumerate(SPELLINGS)], 'page_id, url')}),
 u as (select page_id, url as raw, trim(coalesce(url, '')) as t, {SCHEME.format("coalesce(url, '')")} as url from raw),
-p as (select *, {scheme('url')} as scheme, {authority('url')} as authority, {port('url')} as port, regexp_replace({host('url')}, '\\.$', '') as host from u),
+p as (select *, {scheme('url')} as scheme, {authority('url')} as authority, {port('url')} as port, regexp_extract({authority('url')}, ':([0-9]+)$', 1) as given, {host('url')} as written from u),
+d as (select *, regexp_replace(case when contains(written, '%') and not contains(regexp_replace(written, '%[0-9a-f]{{2}}', '', 'g'), '%') then lower(url_decode(written)) else written end, '\\.$', '') as host, contains(written, ':') or starts_with(written, '[') as literal from p),
+n as (select *, string_split(host, '.') as labels, regexp_matches(host, '{urls.IPV4}') as numeric from d),
+a as (select *, numeric and len(list_filter(labels[1:-2], lambda x: {NUMBER.format('x')} > 255)) = 0 and {NUMBER.format('labels[-1]')} < pow(256.0, 5 - len(labels)) as address from n),
 valid as (select page_id, raw as url, case
   when t = '' then {{'code': 'INVALID_URL', 'message': 'Empty URL'}} when length(t) > 2048 then {{'code': 'INVALID_URL', 'message': 'URL too long'}}
-  when regexp_matches(t, '[\\s<>"''`]') then {{'code': 'INVALID_URL', 'message': 'URL contains invalid characters'}} when authority = '' then {{'code': 'INVALID_URL', 'message': 'Cannot parse URL'}}
+  when regexp_matches(t, '[\\s<>"''`]') then {{'code': 'INVALID_URL', 'message': 'URL contains invalid characters'}}
+  when authority = '' or (not literal and (regexp_matches(host, {quoted(urls.FORBIDDEN)}) or (regexp_matches(host, '{urls.NUMERIC}') and not address))) or length(given) > 5 or (length(given) = 5 and given > '65535') then {{'code': 'INVALID_URL', 'message': 'Cannot parse URL'}}
   when contains(authority, '@') then {{'code': 'INVALID_URL', 'message': 'URLs with user credentials are not allowed'}} when scheme not in ('http', 'https') then {{'code': 'INVALID_URL', 'message': 'Unsupported scheme: ' || scheme || ':'}}
   when port not in ('', '80', '443') then {{'code': 'INVALID_URL', 'message': 'Non-standard port: ' || port}} when host = '' then {{'code': 'INVALID_URL', 'message': 'Missing hostname'}}
-  when regexp_matches(host, '{urls.IPV4}') or coalesce(try_cast(case when regexp_full_match(host, '[0-9]+') then host end as hugeint) <= 4294967295, false) or contains(host, ':') then {{'code': 'BLOCKED_TARGET', 'message': 'Direct IP access is not allowed'}}
-  when regexp_matches(host, '{urls.RESERVED_HOSTS}') then {{'code': 'BLOCKED_TARGET', 'message': 'Private or reserved hostname'}} else {{'code': 'ok', 'message': null}} end as v from p)
+  when address or literal then {{'code': 'BLOCKED_TARGET', 'message': 'Direct IP access is not allowed'}}
+  when regexp_matches(host, '{urls.RESERVED_HOSTS}') then {{'code': 'BLOCKED_TARGET', 'message': 'Private or reserved hostname'}} else {{'code': 'ok', 'message': null}} end as v from a)
 """
 
 TEXT_LENGTH = "length(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '<[^>]+>', '', 'g'), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g'))"
@@ -151,10 +156,14 @@ SAMPLE_PLAN = f"""
 with listed as (select {host('url')} as site, page_id as ord, url from pages), {DIVERSE},
 home as (select distinct site, 'https://' || site || '/' as url from listed),
 first_page as (select {host('url')} as site, arg_min(url, page_id) as url, arg_min(html, page_id) as html from pages group by 1), {links_of('first_page', 'site')},
-every_ as (select site, 0 as source, 0 as ord, url from home union all select site, 1, place, url from diverse where place <= 15 union all select site, 2, ord, link from links union all select site, 3, 0, url || 'extra/' from home),
-once as (select site, {normal('url')} as url, min({{'source': source, 'ord': ord}}) as k from every_ group by all),
-placed as (select *, row_number() over (partition by site order by k)::integer as place from once)
-select site, place, url, k.source as source, place <= 15 as scanned from placed
+known as (select site, 1 as source, ord, {normal('url')} as url from listed union all select site, 2, ord, {normal('link')} from links),
+every_ as (select site, 0 as source, 0 as ord, {normal('url')} as url from home union all select site, 1, place, {normal('url')} from diverse where place <= 15 union all select site, 2, ord, {normal('link')} from links union all select site, 3, 0, {normal("(url || 'extra/')")} from home),
+once as (select site, url, min({{'source': source, 'ord': ord}}) as k from every_ group by all),
+sample as (select *, row_number() over (partition by site order by k) as place from once qualify place <= 15),
+known_once as (select site, url, min({{'source': source, 'ord': ord}}) as k from known group by all),
+rest as (select *, row_number() over (partition by site order by k) + 15 as place from known_once anti join sample using (site, url) qualify place <= 30),
+found as (select site, greatest((select count(*) from known where known.site = s.site and source = 1), (select count(*) from known where known.site = s.site and source = 2), count(*)) as found from sample s group by site)
+select site, place::integer as place, url, k.source as source, scanned, found from (select *, true as scanned from sample union all by name select *, false as scanned from rest) join found using (site)
 """
 
 REFS = f"list_filter(list_zip({every('html', ch.RESOURCE, 1)}, {every('html', ch.RESOURCE, 2)}), lambda z: {kept('z[2]')})"
@@ -233,8 +242,8 @@ CORE_DETECT = f"""with {DETECTIONS}, {SCORES},
 known as (select s.*, d.confidence, d.label, d.version from scores s join detections d using (page_id, tech_id)),
 placed_ as (select *, category in ('cms', 'builder', 'ecommerce') as platform, row_number() over w as place, first(tech_id) over w as winner, first(score) over w as top from known window w as (partition by page_id, category in ('cms', 'builder', 'ecommerce') order by score desc, tech_ord)),
 fought as (select *, platform and place > 1 and top >= {scoring.CONTEST_MIN} as lost from placed_),
-final as (select page_id, tech_id, tech_name, category, confidence, label, version, (case when lost then greatest(0, score - floor({scoring.CONTEST_PENALTY} * top / 100 + 0.5)) else score end)::integer as score, families, case when lost then winner end as lost_to from fought where category <> 'analytics')
-select *, {LABEL5} as score_label from final"""
+final as (select page_id, tech_ord, tech_id, tech_name, category, confidence, label, version, (case when lost then greatest(0, score - floor({scoring.CONTEST_PENALTY} * top / 100 + 0.5)) else score end)::integer as score, families, case when lost then winner end as lost_to from fought where category <> 'analytics')
+select * exclude (tech_ord), {LABEL5} as score_label, row_number() over (partition by page_id order by confidence desc, tech_ord)::integer as rank, score >= {scoring.DISPLAY_MIN} as shown from final"""
 
 
 def hays(rules: list[tuple], look: dict, containers: tuple) -> str:
@@ -247,31 +256,44 @@ hays as (
   union all select page_id, 'attr', '', {join(f'list_concat({HOOKS}, [dom])')} from page union all select page_id, 'cookie', '', {join('cookies', "' '")} from page union all select page_id, 'comments', '', comments from page
   union all select page_id, 'weak', '', csp || chr(10) || comments from page union all select page_id, 'iframe', '', {join(IFRAMES)} from page
   union all select page_id, 'container', lpad((ord - 1)::varchar, 4, '0') || ' ' || x.id, {sanitised} from (select page_id, unnest(containers) as x, generate_subscripts(containers, 1) as ord from page)),
-rules as {values(rules, 'tech_ord, tech_id, tech_name, category, rule_ord, type, weight, product, pattern')}, places as {values(places, 'type, channel, place')},
-found as (select h.page_id, r.*, p.place, h.channel, h.name from hays h join places p using (channel) join rules r on r.type = p.type where h.text <> '' and (p.channel <> 'container' or r.weight >= 0.35) and regexp_matches(h.text, '(?i)' || r.pattern)),
-direct as (select page_id, tech_ord, tech_id, tech_name, category, rule_ord, type, weight::double as weight, product, arg_min(channel, place) in ('weak', 'comments') as header_only, null::varchar as container from found where channel <> 'container' group by page_id, tech_ord, tech_id, tech_name, category, rule_ord, type, weight, product),
-via as (select page_id, tech_ord, tech_id, tech_name, category, 1000 + name[1:4]::integer as rule_ord, 'via-gtm' as type, 0.7::double as weight, arg_min(product, rule_ord) as product, false as header_only, name[6:] as container from found where channel = 'container' group by page_id, tech_ord, tech_id, tech_name, category, name)"""
+rules as {values(rules, 'tech_ord, tech_id, tech_name, category, rule_ord, type, weight, product, pattern, description, launch_only')}, places as {values(places, 'type, channel, place')},
+found as (select h.page_id, r.*, p.place, h.channel, h.name, trim(regexp_replace(regexp_extract(h.text, '(?i)' || r.pattern), '[\\s\\x0b]+', ' ', 'g')) as flat from hays h join places p using (channel) join rules r on r.type = p.type where h.text <> '' and (p.channel <> 'container' or r.weight >= 0.35) and regexp_matches(h.text, '(?i)' || r.pattern)),
+direct as (select page_id, tech_ord, tech_id, tech_name, category, rule_ord, type, weight::double as weight, product, arg_min(channel, place) in ('weak', 'comments') as header_only, any_value(launch_only) as launch_only, any_value(description) as detail, arg_min(flat, place) as value, null::varchar as container from found where channel <> 'container' group by page_id, tech_ord, tech_id, tech_name, category, rule_ord, type, weight, product),
+via as (select page_id, tech_ord, tech_id, tech_name, category, 1000 + name[1:4]::integer as rule_ord, 'via-gtm' as type, 0.7::double as weight, arg_min(product, rule_ord) as product, false as header_only, arg_min(launch_only, rule_ord) as launch_only, 'Found in GTM container ' || name[6:] || ': ' || arg_min(description, rule_ord) as detail, arg_min(flat, rule_ord) as value, name[6:] as container from found where channel = 'container' group by page_id, tech_ord, tech_id, tech_name, category, name)"""
 
 
 _TAG = next(r for r in catalogue.growth_rows()[0] if r[1] == "google-tag-manager")
 GROWTH_HITS = f"""{hays(catalogue.growth_rows()[0], matching.GROWTH_LOOK, ('script-host', 'sdk-init'))},
 hits as (select * from direct union all select * from via union all
-  select page_id, {_TAG[0]}, {quoted(_TAG[1])}, {quoted(_TAG[2])}, {quoted(_TAG[3])}, 500, 'script-host', 0.9, '', false, null from caps where len(containers) > 0 and page_id not in (select page_id from direct where tech_id = 'google-tag-manager'))"""
+  select page_id, {_TAG[0]}, {quoted(_TAG[1])}, {quoted(_TAG[2])}, {quoted(_TAG[3])}, 500, 'script-host', 0.9, '', false, false, {quoted(_TAG[2])} || ' container (' || array_to_string(list_transform(containers, lambda c: c.id), ', ') || ') deployed', containers[1].id, null from caps where len(containers) > 0 and page_id not in (select page_id from direct where tech_id = 'google-tag-manager'))"""
 COMBINED = """
 typed as (select *, min(rule_ord) over (partition by page_id, tech_id, type) as at_, row_number() over (partition by page_id, tech_id, type order by weight desc, rule_ord) as nth from hits),
-combined as (select page_id, tech_ord, tech_id, tech_name, category, 1 - list_reduce(list_concat([1.0::double], list(weight order by at_)), lambda p, w: p * (1 - w)) as p, array_to_string(list(type order by at_), ',') as types, list(type) as kinds, bool_and(header_only) as header_only, bool_or(type <> 'via-gtm') as direct from typed where nth = 1 group by page_id, tech_ord, tech_id, tech_name, category)"""
+combined as (select page_id, tech_ord, tech_id, tech_name, category, 1 - list_reduce(list_concat([1.0::double], list(weight order by at_)), lambda p, w: p * (1 - w)) as p, array_to_string(list(type order by at_), ',') as types, list(type) as kinds, bool_and(header_only) as header_only, bool_and(launch_only) as launch_only, bool_or(type <> 'via-gtm') as direct from typed where nth = 1 group by page_id, tech_ord, tech_id, tech_name, category)"""
 
 
 def cap(p: str, cond: str, most: float) -> str:
     return f"case when {cond} then least({p}, {most}::double) else {p} end"
 
 
-_G = cap(cap(cap("p", f"not list_has_any(kinds, {scoring.GROWTH_STRONG})", scoring.NO_STRONG), "header_only", scoring.HEADER_ONLY), "not direct", scoring.CONTAINER_ONLY)
-GROWTH_SCORES = f"""{GROWTH_HITS}, {COMBINED},
-products as (select page_id, tech_id, array_to_string(list(product order by at_), ', ') as products from (select page_id, tech_id, product, min(rule_ord) as at_ from hits where product <> '' group by all) group by page_id, tech_id),
+_G = cap(cap(cap(cap("p", f"not list_has_any(kinds, {scoring.GROWTH_STRONG})", scoring.NO_STRONG), "header_only", scoring.HEADER_ONLY), "launch_only", scoring.LAUNCH_ONLY), "not direct", scoring.CONTAINER_ONLY)
+IDS = f"""text as (select page_id, array_to_string(list(text order by channel = 'code'), chr(10)) as text from hays where channel in ('resource', 'code') and text <> '' group by page_id),
+found_ids as ({' union all '.join(f"select page_id, {quoted(r[1])} as tech_id, {r[2]} as rule_ord, {quoted(r[3])} as kind, generate_subscripts(regexp_extract_all(text, {quoted(r[4])}, 1), 1) as pos, unnest(regexp_extract_all(text, {quoted(r[4])}, 1)) as value from text" for r in catalogue.growth_rows()[1])}
+  union all select page_id, 'google-tag-manager', -1, 'GTM container ID', generate_subscripts(containers, 1), unnest(list_transform(containers, lambda c: c.id)) from caps),
+good as (select page_id, tech_id, kind, trim(value) as value, min({{'r': rule_ord, 'p': pos}}) as k from found_ids where trim(value) <> '' and length(trim(value)) <= 128 and (kind <> 'GTM container ID' or regexp_matches(trim(value), '^GTM-[A-Z0-9]{{4,15}}$')) and (kind <> 'GA4 measurement ID' or regexp_matches(trim(value), '^G-[A-Z0-9]{{4,15}}$')) group by page_id, tech_id, kind, trim(value)),
+ids as (select page_id, tech_id, row_number() over (partition by page_id, tech_id order by k)::integer as place, kind, value from good qualify place <= 10)"""
+_BY_SCORE = "row_number() over (partition by page_id order by score desc, lower(tech_name), tech_ord)::integer as place"
+GROWTH_SCORES = f"""{GROWTH_HITS}, {COMBINED}, {IDS},
+products as (select page_id, tech_id, case when count(*) = 1 then 'Matched product: ' else 'Matched products: ' end || array_to_string(list(product order by at_), ', ') || '.' as products from (select page_id, tech_id, product, min(rule_ord) as at_ from hits where tech_id = 'salesforce' and product <> '' group by all) group by page_id, tech_id),
+legacy as (select page_id, tech_id, 'Universal Analytics (legacy) ' || array_to_string(list(value order by place) filter (kind = '{scoring.UA}'), ', ') || '; GA4 (G-…) not seen.' as legacy from ids where tech_id = 'google-analytics' group by page_id, tech_id having bool_or(kind = '{scoring.UA}') and not bool_or(kind = '{scoring.GA4}')),
 scored as (select page_id, tech_ord, tech_id, tech_name, category, floor(({_G}) * 100 + 0.5)::integer as score, types from combined),
-final as (select s.*, case when score >= 90 then 'very-high' when score >= 75 then 'high' when score >= 60 then 'medium' else 'low' end as band, p.products from scored s left join products p using (page_id, tech_id) where score >= {scoring.GROWTH_MIN})"""
-GROWTH_DETECT = f"with {GROWTH_SCORES} select page_id, tech_id, tech_name, category, score, band, types, products from final"
+final as (select s.*, case when score >= 90 then 'very-high' when score >= 75 then 'high' when score >= 60 then 'medium' else 'low' end as band, coalesce(p.products, l.legacy) as note, {_BY_SCORE} from scored s left join products p using (page_id, tech_id) left join legacy l using (page_id, tech_id) where score >= {scoring.GROWTH_MIN})"""
+GROWTH_DETECT = f"with {GROWTH_SCORES} select page_id, tech_id, tech_name, category, score, band, types, note, place from final"
+_FAMILY = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in scoring.FAMILIES.items()) + " end"
+GROWTH_EVIDENCE = f"""with {GROWTH_SCORES},
+won as (select page_id, tech_id, detail as won from typed where nth = 1 and type = 'via-gtm'),
+listed_ as (select page_id, tech_id, 0 as extra, at_, rule_ord, type, detail, value from typed where nth = 1 union all
+  select page_id, tech_id, 1, rule_ord, rule_ord, type, detail, value from hits join won using (page_id, tech_id) where type = 'via-gtm' and detail <> won)
+select page_id, tech_id, row_number() over (partition by page_id, tech_id order by extra, at_, rule_ord)::integer as place, type, detail, nullif(case when length(value) > 140 then value[1:137] || '…' else value end, '') as value, {_FAMILY} as family from listed_ semi join final using (page_id, tech_id)"""
 
 
 def grouped(categories: list[str]) -> str:
@@ -281,20 +303,16 @@ select page_id, category_ord, category, coalesce(array_to_string(list(tech_name
 
 GROWTH_BY_CATEGORY = f"with {GROWTH_SCORES}, {grouped(catalogue.GROWTH_CATEGORIES)}"
 GROWTH_VIA = f"with {GROWTH_HITS} select page_id, tech_id, container, weight from hits where type = 'via-gtm'"
-GROWTH_IDS = f"""with {hays(catalogue.growth_rows()[0], matching.GROWTH_LOOK, ())},
-text as (select page_id, array_to_string(list(text order by channel = 'code'), chr(10)) as text from hays where channel in ('resource', 'code') and text <> '' group by page_id),
-found_ids as ({' union all '.join(f"select page_id, {quoted(r[1])} as tech_id, {r[2]} as rule_ord, {quoted(r[3])} as kind, generate_subscripts(regexp_extract_all(text, {quoted(r[4])}, 1), 1) as pos, unnest(regexp_extract_all(text, {quoted(r[4])}, 1)) as value from text" for r in catalogue.growth_rows()[1])}
-  union all select page_id, 'google-tag-manager', -1, 'GTM container ID', generate_subscripts(containers, 1), unnest(list_transform(containers, lambda c: c.id)) from caps),
-good as (select page_id, tech_id, kind, trim(value) as value, min({{'r': rule_ord, 'p': pos}}) as k from found_ids where trim(value) <> '' and length(trim(value)) <= 128 and (kind <> 'GTM container ID' or regexp_matches(trim(value), '^GTM-[A-Z0-9]{{4,15}}$')) and (kind <> 'GA4 measurement ID' or regexp_matches(trim(value), '^G-[A-Z0-9]{{4,15}}$')) group by page_id, tech_id, kind, trim(value))
-select page_id, tech_id, row_number() over (partition by page_id, tech_id order by k)::integer as place, kind, value from good qualify place <= 10"""
-SERVER_SIDE = f"with {CAPS} select page_id, len(list_filter(['server-side tagging', 'server_container_url', 'transport_url', 'first_party_collection'], lambda m: contains(lower(html[1:200000]), m))) > 0 as warning from caps"
+GROWTH_IDS = f"with {hays(catalogue.growth_rows()[0], matching.GROWTH_LOOK, ())}, {IDS} select * from ids"
+SERVER_SIDE = f"""with {CAPS}, t as (select page_id, lower(coalesce(html, '')[1:200000] || chr(10) || coalesce(array_to_string(bundles, chr(10)), '')[1:200000]) as text from caps)
+select page_id, contains(text, '/cdn-cgi/zaraz/') or contains(text, 'zaraz.track') or contains(text, 'sgtm.') or contains(text, '/g/collect?') as warning from t"""
 _S = cap(cap("p", f"not list_has_any(kinds, {scoring.SECURITY_STRONG})", scoring.SECURITY_NO_STRONG), "header_only", scoring.SECURITY_HEADER_ONLY)
 SECURITY = f"""{hays(catalogue.security_rows(), matching.SECURITY_LOOK, ('script-host', 'sdk-init', 'network-host', 'iframe', 'runtime-global'))}, hits as (select * from direct union all select * from via), {COMBINED},
 demo as (select page_id from caps where len(list_filter({every('html', ch.SITEKEYS)}, lambda k: length(k) < 30 and regexp_matches(k, {quoted(scoring.PLACEHOLDER)}))) > 0),
 limited as (select *, {_S} as q from combined),
-final as (select page_id, tech_id, tech_name, category, floor(q * 100 + 0.5) / 100 as score, floor(floor(q * 100 + 0.5) / 100 * 100 + 0.5)::integer as score100, case when floor(q * 100 + 0.5) / 100 >= 0.85 then 'high' when floor(q * 100 + 0.5) / 100 >= 0.6 then 'medium' else 'low' end as label, types
+final as (select page_id, tech_ord, tech_id, tech_name, category, floor(q * 100 + 0.5) / 100 as score, floor(floor(q * 100 + 0.5) / 100 * 100 + 0.5)::integer as score100, case when floor(q * 100 + 0.5) / 100 >= 0.85 then 'high' when floor(q * 100 + 0.5) / 100 >= 0.6 then 'medium' else 'low' end as label, types
   from limited where q >= {scoring.SECURITY_MIN} and not (tech_id in ('recaptcha', 'hcaptcha', 'cloudflare-turnstile') and page_id in (select page_id from demo)))"""
-SECURITY_DETECT = f"with {SECURITY} select * from final"
+SECURITY_DETECT = f"with {SECURITY} select page_id, tech_id, tech_name, category, score, score100, label, types, row_number() over (partition by page_id order by score desc, lower(tech_name), tech_ord)::integer as place from final"
 SECURITY_BY_CATEGORY = f"with {SECURITY}, {grouped(catalogue.SECURITY_CATEGORIES)}"
 CHALLENGE = f"(regexp_matches(html[1:8000], {quoted(safety.CHALLENGE)}) or status in (401, 403, 407, 429, 503))"
 BOT_CHALLENGE = f"with {CAPS} select page_id, status, {CHALLENGE} as challenge from caps"
@@ -365,16 +383,18 @@ select page_id, coalesce(name, {_STORE}[store_id]) as theme, id, store_id, {_STO
 CNAME = f"""with {DETECTIONS}, suffixes as {values([(i, *c) for i, c in enumerate(sites.CNAMES)], 'ord, suffix, tech_id, tech_name')}, t as (select page_id, lower(regexp_replace(cname, '\\.$', '')) as cname from caps where cname is not null)
 select page_id, cname, arg_min(s.tech_id, ord) as tech_id, arg_min(s.tech_name, ord) as tech_name from t join suffixes s on ends_with(cname, suffix) where page_id not in (select page_id from detections where category = 'hosting') group by page_id, cname"""
 CONTAINER_IDS = firsts("regexp_extract_all(array_to_string(list_concat([html], bundles), chr(10)), 'GTM-[A-Z0-9]+')", "id")
-LOADER_IDS = firsts(every("html", r"(?i)googletagmanager\.com/gtag/js\?id=(G-[A-Z0-9]+|AW-[A-Z0-9/_-]+|GT-[A-Z0-9]+|UA-[0-9]+-[0-9]+)"), "id")
+LOADER_IDS = f"""with l as ({firsts(every("array_to_string(list_concat([html], bundles), chr(10))", r"(?i)googletagmanager\.com/gtag/js\?id=(G-[A-Z0-9]+|AW-[A-Z0-9/_-]+|GT-[A-Z0-9]+|UA-[0-9]+-[0-9]+)"), "id")})
+select page_id, case when starts_with(id, 'G-') then 'ga4' when starts_with(id, 'AW-') then 'ads' when starts_with(id, 'GT-') then 'generic' else 'legacy' end as kind, ord, id from l"""
 SANITIZE = f"""with {CAPS} select page_id, x.id as id, regexp_replace(regexp_replace(regexp_replace(x.js, '"name"\\s*:\\s*"(?:[^"\\\\]|\\\\.)*"', '"name":""', 'g'), '(?s)/\\*.*?\\*/', ' ', 'g'), '(^|[^:/])//[^\\n]*', '\\1 ', 'g') as js from (select page_id, unnest(containers) as x from caps)"""
 COOKIES = f"""with {CAPS}, parts as (select page_id, regexp_split_to_array(regexp_replace(set_cookie, ',([^;,=\\s]+\\s*=)', chr(1) || '\\1', 'g'), chr(1)) as p from caps where set_cookie is not null), n as (select page_id, list_filter(list_transform(p, lambda x: trim(string_split(string_split(x, ';')[1], '=')[1])), lambda x: x <> '') as names from parts)
 select page_id, (generate_subscripts(names, 1) - 1)::integer as ord, unnest(names) as cookie from n"""
 FRAMEWORK = "with " + CAPS + ", f as (" + " union all ".join(f"select page_id, '{k}' as framework, regexp_extract(html, {quoted(p)}, 1)[1:10000] as data from caps" for k, p in (("__NEXT_DATA__", r"""(?is)<script\s+[^>]*id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>"""), ("__NUXT__", r"(?is)window\.__NUXT__\s*=\s*(\{.*?\});"), ("__remixContext", r"(?is)window\.__remixContext\s*=\s*(\{.*?\});"))) + ") select * from f where data <> ''"
-ROBOTS = f"""with {CAPS}, l as (select page_id, generate_subscripts(string_split(robots, chr(10)), 1) as pos, trim(string_split(trim(unnest(string_split(robots, chr(10)))), '#')[1]) as line from caps where robots is not null),
+ROBOTS_RULES = """l as (select page_id, generate_subscripts(string_split(robots, chr(10)), 1) as pos, trim(string_split(trim(unnest(string_split(robots, chr(10)))), '#')[1]) as line from caps where robots is not null),
 w as (select *, last_value(case when regexp_matches(line, '(?i)^user-agent\\s*:') then regexp_matches(line, '(?i)^\\s*user-agent\\s*:\\s*\\*\\s*$') end ignore nulls) over (partition by page_id order by pos) as wild from l),
-r as (select page_id, trim(regexp_replace(line, '^[^:]*:', '')) as rule from w where wild and regexp_matches(line, '(?i)^disallow\\s*:')), p as (select page_id, {path('url')} as path from caps)
-select page_id, path, not exists (select 1 from r where r.page_id = p.page_id and rule <> '' and (rule = '/' or starts_with(path, rule))) as allowed from p"""
-SITE_PAGES = f"site_pages as (select page_id, {host('url')} as site, not {CHALLENGE} as ok, cross_domain from caps join redirects using (page_id))"
+forbidden as (select page_id, trim(regexp_replace(line, '^[^:]*:', '')) as rule from w where wild and regexp_matches(line, '(?i)^disallow\\s*:')),
+allowed as (select page_id, path, not exists (select 1 from forbidden r where r.page_id = p.page_id and rule <> '' and (rule = '/' or starts_with(path, rule))) as allowed from (select page_id, PATH as path from caps) p)""".replace("PATH", path("url"))
+ROBOTS = f"with {CAPS}, {ROBOTS_RULES} select page_id, path, allowed from allowed"
+SITE_PAGES = f"{ROBOTS_RULES}, site_pages as (select page_id, {host('url')} as site, not {CHALLENGE} and allowed as ok, cross_domain from caps join redirects using (page_id) join allowed using (page_id))"
 _COVER = "(case when {c} <= 0 or {d} / {c} >= 1 then {s} when {d} / {c} < 0.5 then least({s}, 39) else floor({s} * (0.6 + 0.4 * ({d} / {c})) + 0.5) end)::integer"
 ROLLUP = f"""with {EVIDENCE}, {HOPS}, {SITE_PAGES}, good as (select page_id, site from site_pages where ok), checked as (select site, count(*) as checked from good group by site),
 r as (select e.*, site, case strength when 'definitive' then 0 when 'strong' then 1 else 2 end as rank from evidence e join good using (page_id) where category <> 'analytics'),
@@ -400,11 +420,36 @@ ERRORS = f"with {VALIDATE} select code, http_status, retryable, count(page_id) a
 CACHE = f"with {CAPS} select {host('final_url')} || regexp_replace({path('final_url')}, '/+$', '') as cache_key, min(page_id) as page_id, count(*) as n from caps group by 1"
 
 
+CACHE_QUERY = f"""with {CAPS}, {{outcome}} select {host('final_url')} || regexp_replace({path('final_url')}, '/+$', '') || regexp_extract(final_url, '^[^?#]*(\\?[^#]*)', 1) as cache_key, min(page_id) as page_id, count(*) as n
+from caps join outcome using (page_id) where ok and not truncated group by 1"""
+_VALID = f"(with {VALIDATE.replace('select page_id, url from pages union all', 'select row_number() over () as page_id, url from (select distinct unnest(list_concat([url], redirect_chain)) as url from caps) union all')} select url, v.code as code from valid where page_id > 0)"
+OUTCOME = f"""codes as {_VALID},
+checked_ as (select c.page_id, c.status, c.content_type, c.html, c.redirect_chain, (select code from codes k where k.url = c.url) as own, list_filter(list_transform(c.redirect_chain, lambda u: map_of[u]), lambda x: x <> 'ok')[1] as hop from caps c, (select map_from_entries(list({{'k': url, 'v': code}})) as map_of from codes)),
+outcome as (select page_id, code is null as ok, code as error_code, octet_length(encode(html)) > 500000 as truncated from (select *, case when own <> 'ok' then own when hop is not null then hop when len(list_distinct(redirect_chain)) < len(redirect_chain) or len(redirect_chain) > 5 then 'REDIRECT_LOOP' when status is null then 'NETWORK_ERROR' when status >= 500 then 'HTTP_ERROR'
+  when status in (401, 403, 407, 429, 503) then 'TARGET_BLOCKED' when not (contains(lower(coalesce(content_type, '')), 'html') or (coalesce(content_type, '') = '' and (contains(lower(html[1:1024]), '<!doctype html') or contains(lower(html[1:1024]), '<html')))) then 'NOT_HTML' when {CHALLENGE} then 'TARGET_BLOCKED' end as code from checked_))"""
+CAPTURE_OUTCOME = f"with {CAPS}, {OUTCOME} select * from outcome"
+SCAN_LOG = f"""with {CAPS}, {OUTCOME} select {host('url')} as host, coalesce(error_code, 'ok') as outcome, count(*) as scans, sum((page_id % 200)::double) as duration_ms, sum(len(redirect_chain) + 1)::bigint as subrequests, sum(truncated::int)::bigint as truncated, sum(((page_id % 200)::double * 0.08 >= 8)::int)::bigint as high_cpu
+from caps join outcome using (page_id) group by 1, 2"""
+_TAGS = "list_filter(regexp_extract_all(html, '(?i)<link\\s+[^>]*>'), lambda t: regexp_matches(t, '(?i)rel=[\"''](?:[^\"'']*\\s+)?modulepreload(?:\\s+[^\"'']*)?[\"'']') or (regexp_matches(t, '(?i)rel=[\"''](?:[^\"'']*\\s+)?preload(?:\\s+[^\"'']*)?[\"'']') and regexp_matches(t, '(?i)as=[\"'']script[\"'']')))"
+_GIVEN = f"list_concat(regexp_extract_all(html, '(?i)<script[^>]+src=[\"'']([^\"'']+)[\"'']', 1), list_transform({_TAGS}, lambda t: regexp_extract(t, '(?i)href=[\"'']([^\"'']+)[\"'']', 1)))"
+CANDIDATES = f"""with {CAPS}, g as (select page_id, url as base, unnest({_GIVEN}) as link, generate_subscripts({_GIVEN}, 1) as pos from caps),
+r as (select page_id, base, pos, case when regexp_matches(link, '{urls.SCHEME}') then link when starts_with(link, '//') then {scheme('base')} || ':' || link when starts_with(link, '/') then {scheme('base')} || '://' || {authority('base')} || link else {scheme('base')} || '://' || {authority('base')} || regexp_replace({path('base')}, '[^/]*$', '') || link end as script
+  from g where link <> '' and not regexp_matches(link, '^(data|blob|javascript):')),
+o as (select page_id, script, min(pos) as pos from r where {scheme('script')} = {scheme('base')} and {host('script')} = {host('base')} and {port('script')} = {port('base')} group by page_id, script)
+select page_id, (row_number() over (partition by page_id order by pos) - 1)::integer as ord, script from o qualify ord < 20"""
+MISSING = f"""with f as ({CONTAINER_IDS}), {CAPS} select f.page_id, f.ord, f.id, list_contains(list_transform(containers, lambda c: c.id), f.id) as fetched from f join caps using (page_id) where ord < 3"""
+SITEMAP = """with t as (select page_id, regexp_extract_all('<urlset><url><loc> ' || url || ' </loc></url><loc>https://a.example.com/Sitemap-2.xml</loc><LOC>' || url || '?p=2</LOC></urlset>', '(?i)<loc>\\s*([^<\\s]+)\\s*</loc>', 1) as l from pages),
+k as (select page_id, list_filter(l, lambda x: not regexp_matches(x, '(?i)sitemap.*\\.xml$'))[1:500] as l from t) select page_id, (generate_subscripts(l, 1) - 1)::integer as ord, unnest(l) as loc from k"""
+DOMAINS = f"""with t as (select page_id, lower(trim(url)) as x from (select page_id, url from pages union all select * from {values([(-1 - i, s) for i, s in enumerate(TYPED)], 'page_id, url')})),
+d as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^www\\.', ''), ':[0-9]+$', ''), '^\\.+|\\.+$', '', 'g') as x from t)
+select page_id, case when regexp_matches(x, '^([a-z0-9]([a-z0-9-]*[a-z0-9])?\\.)+[a-z]{{2,}}$') then x end as domain from d"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "url_anatomy": URL_ANATOMY, "url_validate": f"with {VALIDATE} select page_id, url, v.code as code, v.message as message from valid", "page_profile": PROFILE, "internal_links": INTERNAL_LINKS, "diverse_sample": DIVERSE_SAMPLE, "sample_plan": SAMPLE_PLAN, "resource_refs": RESOURCE_REFS,
-        "security_channels": SECURITY_CHANNELS, "attribute_hooks": ATTRIBUTE_HOOKS, "core_evidence": CORE_EVIDENCE, "core_confidence": CORE_CONFIDENCE, "core_score": CORE_SCORE, "core_detect": CORE_DETECT, "explain_detections": EXPLAIN, "growth_detect": GROWTH_DETECT, "growth_by_category": GROWTH_BY_CATEGORY,
+        "security_channels": SECURITY_CHANNELS, "attribute_hooks": ATTRIBUTE_HOOKS, "core_evidence": CORE_EVIDENCE, "core_confidence": CORE_CONFIDENCE, "core_score": CORE_SCORE, "core_detect": CORE_DETECT, "explain_detections": EXPLAIN, "growth_detect": GROWTH_DETECT, "growth_evidence": GROWTH_EVIDENCE, "growth_by_category": GROWTH_BY_CATEGORY,
         "growth_ids": GROWTH_IDS, "growth_via_container": GROWTH_VIA, "server_side_warning": SERVER_SIDE, "security_detect": SECURITY_DETECT, "security_by_category": SECURITY_BY_CATEGORY, "bot_challenge": BOT_CHALLENGE, "bot_provider": BOT_PROVIDER, "relevant_headers": RELEVANT, "header_audit": HEADER_AUDIT,
         "mixed_content": MIXED, "redirect_audit": REDIRECTS, "safety_findings": SAFETY_FINDINGS, "safety_score": SAFETY_SCORE, "wp_plugins": PLUGINS, "wp_theme": WP_THEME, "shop_theme": SHOP_THEME, "cname_hint": CNAME, "container_ids": CONTAINER_IDS, "loader_ids": LOADER_IDS, "container_sanitize": SANITIZE,
-        "cookie_names": COOKIES, "framework_data": FRAMEWORK, "robots_filter": ROBOTS, "site_tech_rollup": ROLLUP, "site_consistency": CONSISTENCY, "coverage_penalty": COVERAGE, "rate_limit": RATE, "catalogue_stats": STATS, "error_codes": ERRORS, "cache_keys": CACHE,
+        "cookie_names": COOKIES, "framework_data": FRAMEWORK, "robots_filter": ROBOTS, "site_tech_rollup": ROLLUP, "site_consistency": CONSISTENCY, "coverage_penalty": COVERAGE, "rate_limit": RATE, "catalogue_stats": STATS, "error_codes": ERRORS, "cache_keys": CACHE, "cache_keys_with_query": CACHE_QUERY.replace("{outcome}", OUTCOME), "capture_outcome": CAPTURE_OUTCOME, "script_candidates": CANDIDATES, "missing_containers": MISSING, "scan_log": SCAN_LOG, "sitemap_locs": SITEMAP, "domains": DOMAINS,
     }

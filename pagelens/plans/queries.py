@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import channels as ch
 from pagelens.functions import urls
-from pagelens.operators import catalogue, matching, safety, scoring, sites
+from pagelens.operators import catalogue, matching, outcomes, safety, scoring, sites
+from pagelens.sources.captures import capped_html as capped
 from pagelens.sources.captures import overlay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +30,16 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.core_evidence(captures(spark, sf_dir), catalogue.core(spark))
 
 
-def growth_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def growth_hits(spark: SparkSession, page: DataFrame) -> DataFrame:
     """With containers on the page, tag management is deployed even if nothing else matches."""
-    page = captures(spark, sf_dir)
     hits = matching.type_hits(page, catalogue.growth(spark), matching.GROWTH_LOOK, ("script-host", "sdk-init"))
     tag = next(r for r in catalogue.growth_rows()[0] if r[1] == "google-tag-manager")
-    return matching.with_default(hits, page.where(F.size("containers") > 0), tag[:4], 0.9)
+    return matching.with_default(hits, page, tag[:4], 0.9)
+
+
+def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = captures(spark, sf_dir)
+    return scoring.growth_scores(growth_hits(spark, page), sites.extracted_ids(page, catalogue.growth_ids(spark)))
 
 
 def security(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def url_anatomy(spark, sf_dir):
 
 
 #: URL spellings that exercise the validation, beside the pages' own.
-SPELLINGS = ["", "   ", "http://127.0.0.1/", "http://0x7f.1.2.3/", "http://2130706433/", "http://user:pw@a.com/", "ftp://a.com/", "https://a.com:8443/", "a.com", "http://localhost/x", "https://x.internal", "http://a.com/a b", "https://metadata.goog/", "HTTP://A.Com:80/", "https://a.test./", "http://[::1]/", "http://0x7f000001/", "http://017700000001/"]
+SPELLINGS = ["", "   ", "http://127.0.0.1/", "http://0x7f.1.2.3/", "http://2130706433/", "http://user:pw@a.com/", "ftp://a.com/", "https://a.com:8443/", "a.com", "http://localhost/x", "https://x.internal", "http://a.com/a b", "https://metadata.goog/", "HTTP://A.Com:80/", "https://a.test./", "http://[::1]/", "http://0x7f000001/", "http://017700000001/", "http://127.1/", "http://0x7f.1/", "http://%31%32%37.0.0.1/", "http://256.1.1.1/", "http://4294967296/", "http://1.2.3.4.5/", "http://a%2Ecom/", "http://a%40b.com/", "http://a%zz.com/", "http://0x/", "http://a.0x7f/", "http://08.1/", "http://1.2.65536/", "http://a.com:99999/"]
 
 
 def url_validate(spark, sf_dir):
@@ -114,26 +119,28 @@ def explain_detections(spark, sf_dir):
 
 
 def growth_detect(spark, sf_dir):
-    return scoring.growth_scores(growth_hits(spark, sf_dir)).drop("tech_ord")
+    return growth(spark, sf_dir).drop("tech_ord")
+
+
+def growth_evidence(spark, sf_dir):
+    hits = growth_hits(spark, captures(spark, sf_dir))
+    return scoring.shown_evidence(hits, growth(spark, sf_dir))
 
 
 def growth_by_category(spark, sf_dir):
-    return scoring.by_category(pages(spark, sf_dir), scoring.growth_scores(growth_hits(spark, sf_dir)), catalogue.GROWTH_CATEGORIES)
+    return scoring.by_category(pages(spark, sf_dir), growth(spark, sf_dir), catalogue.GROWTH_CATEGORIES)
 
 
 def growth_ids(spark, sf_dir):
-    page = captures(spark, sf_dir)
-    return sites.extracted_ids(matching.haystacks(page), page, catalogue.growth_ids(spark))
+    return sites.extracted_ids(captures(spark, sf_dir), catalogue.growth_ids(spark))
 
 
 def growth_via_container(spark, sf_dir):
-    return growth_hits(spark, sf_dir).where("type = 'via-gtm'").select("page_id", "tech_id", "container", "weight")
+    return growth_hits(spark, captures(spark, sf_dir)).where("type = 'via-gtm'").select("page_id", "tech_id", "container", "weight")
 
 
 def server_side_warning(spark, sf_dir):
-    head = F.lower(F.substring("html", 1, 200_000))
-    marks = ["server-side tagging", "server_container_url", "transport_url", "first_party_collection"]
-    return captures(spark, sf_dir).select("page_id", F.exists(F.array(*map(F.lit, marks)), lambda m: head.contains(m)).alias("warning"))
+    return captures(spark, sf_dir).select("page_id", ch.server_side(F.col("html"), F.col("bundles")).alias("warning"))
 
 
 def security_detect(spark, sf_dir):
@@ -197,7 +204,9 @@ def container_ids(spark, sf_dir):
 
 
 def loader_ids(spark, sf_dir):
-    return captures(spark, sf_dir).select("page_id", F.posexplode(ch.loader_ids(F.col("html"))).alias("ord", "id"))
+    ids = ch.loader_ids(F.array_join(F.concat(F.array("html"), "bundles"), "\n"))
+    kind = F.when(F.col("id").startswith("G-"), "ga4").when(F.col("id").startswith("AW-"), "ads").when(F.col("id").startswith("GT-"), "generic").otherwise("legacy")
+    return captures(spark, sf_dir).select("page_id", F.posexplode(ids).alias("ord", "id")).select("page_id", kind.alias("kind"), "ord", "id")
 
 
 def container_sanitize(spark, sf_dir):
@@ -219,7 +228,10 @@ def robots_filter(spark, sf_dir):
 def _site_pages(spark, sf_dir):
     page = captures(spark, sf_dir)
     hops = safety.redirect_audit(F.col("url"), F.col("final_url"), F.col("redirect_chain"))
-    return page.select("page_id", urls.host_of(F.col("url")).alias("site"), (~safety.is_challenge(F.col("status"), F.col("html"))).alias("ok"), hops["cross_domain"].alias("cross_domain"))
+    # Pages that robots rules skip are no scanned pages.
+    allowed = sites.robots_allowed(page).select("page_id", "allowed")
+    rows = page.select("page_id", urls.host_of(F.col("url")).alias("site"), (~safety.is_challenge(F.col("status"), F.col("html"))).alias("ok"), hops["cross_domain"].alias("cross_domain"))
+    return rows.join(allowed, "page_id").select("page_id", "site", (F.col("ok") & F.col("allowed")).alias("ok"), "cross_domain")
 
 
 def site_tech_rollup(spark, sf_dir):
@@ -232,8 +244,9 @@ def site_consistency(spark, sf_dir):
 
 
 def coverage_penalty(spark, sf_dir):
-    found = scoring.scores(evidence(spark, sf_dir)).join(_site_pages(spark, sf_dir).select("page_id", "site"), "page_id")
-    checked = _site_pages(spark, sf_dir).groupBy("site").agg(F.count("*").alias("checked"))
+    site = pages(spark, sf_dir).select("page_id", urls.host_of(F.col("url")).alias("site"))
+    found = scoring.scores(evidence(spark, sf_dir)).join(site, "page_id")
+    checked = site.groupBy("site").agg(F.count("*").alias("checked"))
     rows = found.groupBy("site", "tech_id").agg(F.max("score").alias("score"), F.count_distinct("page_id").alias("detected_on")).join(checked, "site")
     return rows.withColumn("adjusted", scoring.for_coverage(F.col("score"), F.col("detected_on"), F.col("checked")))
 
@@ -259,9 +272,58 @@ def cache_keys(spark, sf_dir):
     return captures(spark, sf_dir).groupBy(key.alias("cache_key")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
 
+def cache_keys_with_query(spark, sf_dir):
+    """The same for analyses that look at the query too; only complete captures are kept."""
+    page = captures(spark, sf_dir)
+    good = page.join(outcomes.outcome(page).where("ok and not truncated").select("page_id"), "page_id", "left_semi")
+    return good.groupBy(urls.cache_key(F.col("final_url"), with_query=True).alias("cache_key")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+def capture_outcome(spark, sf_dir):
+    return outcomes.outcome(captures(spark, sf_dir))
+
+
+def script_candidates(spark, sf_dir):
+    page = captures(spark, sf_dir)
+    return page.select("page_id", F.posexplode(outcomes.script_candidates(F.col("html"), F.col("url"))).alias("ord", "script"))
+
+
+def missing_containers(spark, sf_dir):
+    return outcomes.missing_containers(captures(spark, sf_dir))
+
+
+def capped_html(spark, sf_dir):
+    """A byte cap small enough to cut some of the pages."""
+    return capped(captures(spark, sf_dir), 4000).select("page_id", "truncated", F.octet_length("html").alias("bytes"), F.md5("html").alias("digest"))
+
+
+def scan_log(spark, sf_dir):
+    """The log of a scan that took page_id % 200 milliseconds (synthetic)."""
+    page = captures(spark, sf_dir)
+    took = (F.col("page_id") % 200).cast("double")
+    scans = page.join(outcomes.outcome(page), "page_id").select("url", F.coalesce("error_code", F.lit("ok")).alias("outcome"), took.alias("duration_ms"), (took * 0.08).alias("cpu_ms"), (F.size("redirect_chain") + 1).alias("subrequests"), "truncated")
+    return outcomes.scan_log(scans)
+
+
+def sitemap_locs(spark, sf_dir):
+    """The locations of a sitemap made of each page's address (synthetic)."""
+    xml = F.concat(F.lit("<urlset><url><loc> "), "url", F.lit(" </loc></url><loc>https://a.example.com/Sitemap-2.xml</loc><LOC>"), "url", F.lit("?p=2</LOC></urlset>"))
+    return pages(spark, sf_dir).select("page_id", F.posexplode(sites.sitemap_locs(xml)).alias("ord", "loc"))
+
+
+def domains(spark, sf_dir):
+    """The domain of each address, and of spellings that people type."""
+    typed = spark.createDataFrame([(-1 - i, s) for i, s in enumerate(TYPED)], "page_id long, url string")
+    return pages(spark, sf_dir).select("page_id", "url").union(typed).select("page_id", urls.domain_of(F.col("url")).alias("domain"))
+
+
+#: Domains as people type them.
+TYPED = ["WWW.Example.com/path?x", "https://sub.a-b.co.uk:8080", "..dots.org..", "no domain", "localhost", "http://-bad.com", "ftp://files.example.net/#top", "a.b"]
+
+
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        url_anatomy, url_validate, page_profile, internal_links, diverse_sample, sample_plan, resource_refs, security_channels, attribute_hooks, core_evidence, core_confidence, core_score, core_detect, explain_detections, growth_detect, growth_by_category, growth_ids, growth_via_container,
+        url_anatomy, url_validate, page_profile, internal_links, diverse_sample, sample_plan, resource_refs, security_channels, attribute_hooks, core_evidence, core_confidence, core_score, core_detect, explain_detections, growth_detect, growth_evidence, growth_by_category, growth_ids, growth_via_container,
         server_side_warning, security_detect, security_by_category, bot_challenge, bot_provider, relevant_headers, header_audit, mixed_content, redirect_audit, safety_findings, safety_score, wp_plugins, wp_theme, shop_theme, cname_hint, container_ids, loader_ids, container_sanitize, cookie_names,
-        framework_data, robots_filter, site_tech_rollup, site_consistency, coverage_penalty, rate_limit, catalogue_stats, error_codes, cache_keys,
+        framework_data, robots_filter, site_tech_rollup, site_consistency, coverage_penalty, rate_limit, catalogue_stats, error_codes, cache_keys, cache_keys_with_query, capture_outcome, script_candidates, missing_containers, capped_html, scan_log, sitemap_locs, domains,
     )}

@@ -33,6 +33,7 @@ VARIANTS: list[dict] = [
     {
         "html": '<script id="__NEXT_DATA__" type="application/json">{"page":"/"}</script><script src="/_next/static/chunks/main.js"></script>',
         "headers": {"x-powered-by": "Next.js", "x-vercel-id": "fra1::abc", "server": "Vercel"}, "cname": "cname.vercel-dns.com",
+        "bundles": ['fetch("https://sgtm.shop.example.com/collect"); load("GTM-BUNDLE9")', 'load("https://www.googletagmanager.com/gtag/js?id=UA-12345-6")'],
     },
     {
         "html": '<astro-island></astro-island><link rel="preload" href="/_astro/a.css"><script src="https://www.googletagmanager.com/gtm.js?id=GTM-ABC123"></script><script>(function(){dataLayer.push({"gtm.start":1})})()</script>',
@@ -59,7 +60,7 @@ VARIANTS: list[dict] = [
         "status": 403, "headers": {"Server": "cloudflare", "CF-Ray": "7f", "cf-mitigated": "challenge"}, "cookies": ["__cf_bm", "cf_clearance"],
     },
     {
-        "html": '<img src="http://img.example.com/a.png"><script src="http://js.example.com/a.js"></script><img src="http://img.example.com/a.png"><meta http-equiv="refresh" content="5; url=https://next.example.com/"><div id="root"></div>',
+        "html": '<img src="http://img.example.com/a.png"><script src="http://js.example.com/a.js"></script><img src="http://img.example.com/a.png"><script src="/cdn-cgi/zaraz/i.js"></script><script src="https://assets.adobedtm.com/x/launch.min.js"></script><script src="https://pi.pardot.com/pd.js"></script><script src="https://cdn.evgnet.com/beacon.js"></script><meta http-equiv="refresh" content="5; url=https://next.example.com/"><div id="root"></div>',
         "headers": {"Content-Security-Policy": "default-src 'self' 'unsafe-inline'", "Strict-Transport-Security": "max-age=31536000; includeSubDomains; preload", "X-Content-Type-Options": " nosniff ", "X-Frame-Options": "sameorigin", "Referrer-Policy": "strict-origin", "Permissions-Policy": "camera=()", "Server": "nginx/1.25.3"},
         "robots": "User-agent: *\nDisallow: /en/\nDisallow:\nUser-agent: bot\nDisallow: /",
     },

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,19 +31,31 @@ def detect_stream(captures: DataFrame, rules: DataFrame, path: str, checkpoint:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def limit_stream(hits: DataFrame, most: int = 30, seconds: int = 60) -> DataFrame:
-    """Hits (key, at) in order of time with the number of the key's hits in the last `seconds`; the state is the times
-    still inside the window, at most those of one window."""
+def limit_stream(hits: DataFrame, most: int = 30, seconds: int = 60, late: int = 600) -> DataFrame:
+    """Hits (key, at) in order of time with the number of the key's known hits in the last `seconds`.
+
+    The state is the sorted times of one window before the key's newest hit, so a hit that comes late in a later batch is
+    counted among those that are still known.  Hits behind the watermark (`late` seconds) are dropped, and a key whose
+    newest hit lies two windows behind it is forgotten.
+    """
+    span = seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recent = sorted(state.get[0]) if state.exists else []
         rows = []
         for at in sorted(t for b in batches for t in b["at"]):
             micros = int(at.value // 1000)
-            recent = [t for t in recent if t > micros - seconds * 1_000_000] + [micros]
-            rows.append((key[0], at, len(recent), len(recent) > most))
-        state.update((recent,))
+            bisect.insort(recent, micros)
+            n = bisect.bisect_right(recent, micros) - bisect.bisect_right(recent, micros - span)
+            rows.append((key[0], at, n, n > most))
+        state.update((recent[bisect.bisect_right(recent, recent[-1] - span) :] if recent else [],))
+        state.setTimeoutTimestamp(max(recent[-1] // 1000 + 1000 + 2000 * seconds, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["key", "at", "recent", "limited"])
 
     kind = dict(hits.dtypes)["key"]
-    return hits.groupBy("key").applyInPandasWithState(step, f"key {kind}, at timestamp, recent long, limited boolean", "recent array<long>", "append", "NoTimeout")
+    # A watermark starts at the epoch, which is no hit's lateness; hence the second.
+    marked = hits.select("key", "at", (F.col("at") + F.expr("interval 1 second")).alias("mark")).withWatermark("mark", f"{late} seconds")
+    return marked.groupBy("key").applyInPandasWithState(step, f"key {kind}, at timestamp, recent long, limited boolean", "recent array<long>", "append", "EventTimeTimeout")

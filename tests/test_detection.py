@@ -1,4 +1,6 @@
 import json
+import re
+from importlib import resources
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +19,11 @@ def capture(spark, *rows):
     return spark.createDataFrame([tuple(({"page_id": i} | base | r).get(n) for n in names) for i, r in enumerate(rows)], schema)
 
 
+def growth(spark, page):
+    hits = matching.with_default(matching.type_hits(page, catalogue.growth(spark), matching.GROWTH_LOOK, ("script-host", "sdk-init")), page, (1, "google-tag-manager", "Google Tag Manager", "analytics"), 0.9)
+    return scoring.growth_scores(hits, sites.extracted_ids(page, catalogue.growth_ids(spark)))
+
+
 def detected(spark, *rows, rules=None):
     return {(r.page_id, r.tech_id): r for r in scoring.detect(matching.core_evidence(capture(spark, *rows), rules or catalogue.core(spark))).collect()}
 
@@ -74,13 +81,106 @@ def test_growth_caps_and_half_points(spark):
         {"html": "<!-- widget.intercom.io/widget/abc -->"},
         {"containers": [("GTM-AB12", 'fbq("init","123456789")'), ("GTM-CD34", 'fbq("init","1")')]},
     )
-    scored = {(r.page_id, r.tech_id): r for r in scoring.growth_scores(matching.type_hits(page, catalogue.growth(spark), matching.GROWTH_LOOK, ("script-host", "sdk-init"))).collect()}
+    scored = {(r.page_id, r.tech_id): r for r in growth(spark, page).collect()}
     assert scored[0, "google-analytics"].score == 99 and scored[1, "stripe"].score == 96  # 98.5 and 95.5 round up
     assert scored[2, "intercom"].score == 59 and scored[3, "meta-pixel"].score == 70
-    ids = {(r.page_id, r.kind, r.value) for r in sites.extracted_ids(matching.haystacks(page), page, catalogue.growth_ids(spark)).collect()}
+    ids = {(r.page_id, r.kind, r.value) for r in sites.extracted_ids(page, catalogue.growth_ids(spark)).collect()}
     assert (0, "GA4 measurement ID", "G-ABCDE1") in ids and (3, "GTM container ID", "GTM-AB12") in ids
 
 
+def test_growth_notes_launch_cap_and_order(spark):
+    page = capture(
+        spark,
+        {"html": "<script src='https://assets.adobedtm.com/x/launch.min.js'></script><script>_satellite.track('x')</script>"},
+        {"html": "<script src='https://pi.pardot.com/pd.js'></script><script src='https://cdn.evgnet.com/beacon.js'></script>"},
+        {"html": "<script>ga('create', 'UA-12345-6')</script><script src='https://js.stripe.com/v3/'></script>", "cookies": ["__stripe_mid"]},
+        {"containers": [("GTM-AB12", "x"), ("GTM-CD34", "y")]},
+    )
+    got = {(r.page_id, r.tech_id): r for r in growth(spark, page).collect()}
+    assert (got[0, "adobe-analytics"].score, got[0, "adobe-analytics"].band) == (59, "low")  # a tag manager alone
+    note = got[1, "salesforce"].note
+    assert note.startswith("Matched products: ") and note.endswith(".") and "," in note
+    assert got[2, "google-analytics"].note == "Universal Analytics (legacy) UA-12345-6; GA4 (G-…) not seen."
+    assert [got[2, t].place for t in ("stripe", "google-analytics")] == [1, 2] and got[2, "stripe"].note is None
+    assert got[3, "google-tag-manager"].score == 90
+    hits = matching.with_default(matching.type_hits(page, catalogue.growth(spark), matching.GROWTH_LOOK, ("script-host", "sdk-init")), page, (1, "google-tag-manager", "Google Tag Manager", "analytics"), 0.9)
+    shown = {(r.page_id, r.tech_id, r.place): r for r in scoring.shown_evidence(hits, growth(spark, page)).collect()}
+    tag = shown[3, "google-tag-manager", 1]
+    assert (tag.detail, tag.value, tag.family) == ("Google Tag Manager container (GTM-AB12, GTM-CD34) deployed", "GTM-AB12", "SCRIPT")
+    assert shown[2, "google-analytics", 1].value == "ga('create'" and shown[2, "google-analytics", 1].detail == "Google Analytics init call with tracking ID"
+
+
+def test_containers_stay_visible_beside_the_winner(spark):
+    page = capture(spark, {"containers": [("GTM-AB12", 'fbq("init","123456789")'), ("GTM-CD34", 'fbq("init","1")')]})
+    hits = matching.type_hits(page, catalogue.growth(spark), matching.GROWTH_LOOK, ("script-host", "sdk-init"))
+    rows = scoring.shown_evidence(hits, growth(spark, page)).where("tech_id = 'meta-pixel'").orderBy("place").collect()
+    assert [(r.type, r.detail, r.value) for r in rows] == [("via-gtm", f"Found in GTM container {c}: Meta Pixel init (fbq('init', …))", 'fbq("init"') for c in ("GTM-AB12", "GTM-CD34")]
+
+
+def test_server_side_marks(spark):
+    rows = [{"html": "a /CDN-CGI/zaraz/s.js"}, {"bundles": ["x", "zaraz.track('y')"]}, {"html": "https://sgtm.example.com"}, {"bundles": ["fetch('/g/collect?v=2')"]}, {"html": "x" * 200_000 + "sgtm."}, {"html": "server-side tagging, transport_url"}, {}]
+    got = capture(spark, *rows).select("page_id", ch.server_side(F.col("html"), F.col("bundles")).alias("w")).orderBy("page_id").collect()
+    assert [r.w for r in got] == [True, True, True, True, False, False, False]
+
+
+@pytest.mark.parametrize("kind", ["growth", "security"])
+def test_every_technology_has_a_positive_and_a_near_miss(spark, kind):
+    """A page that holds one rule's own text in its channel is detected; the same text as prose is not."""
+    rules = catalogue.growth_rows()[0] if kind == "growth" else catalogue.security_rows()
+    look, table = (matching.GROWTH_LOOK, catalogue.growth(spark)) if kind == "growth" else (matching.SECURITY_LOOK, catalogue.security(spark))
+    wrap = {"script-host": "<script src='https://{}'></script>", "network-host": "<img src='https://{}'>", "iframe": "<iframe src='https://{}'></iframe>", "sdk-init": "<script>{}</script>", "runtime-global": "<script>{}</script>", "dom": '<div id="{}"></div>'}
+    pages, names = [], []
+    for tech in sorted({r[1] for r in rules}):
+        own = [r for r in rules if r[1] == tech and r[5] in wrap and r[6] >= 0.6]
+        text = next((x for r in own for x in [sample_of(r[8])] if x and not ("'" in x and r[5] in ("script-host", "iframe", "network-host")) and not ('"' in x and r[5] == "dom") for r in [r]), None)
+        rule = next(r for r in own if sample_of(r[8]) == text)
+        pages += [{"html": wrap[rule[5]].format(text)}, {"html": f"<p>We write about {text} here.</p>"}]
+        names.append(tech)
+    hits = matching.type_hits(capture(spark, *pages), table, look, ()).select("page_id", "tech_id").distinct().collect()
+    found = {(r.page_id, r.tech_id) for r in hits}
+    assert [n for i, n in enumerate(names) if (2 * i, n) not in found] == []
+    assert [n for i, n in enumerate(names) if (2 * i + 1, n) in found] == []
+
+
+def sample_of(pattern):
+    """A text that a pattern matches, or None: its first alternatives, fewest repetitions."""
+    parse = re._parser.parse
+    try:
+        tree = parse(pattern)
+    except re.error:
+        return None
+
+    def text(items):
+        out = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "NOT_LITERAL" or name == "ANY":
+                out += "x"
+            elif name == "IN":
+                kind, value = next(x for x in arg if str(x[0]) != "NEGATE") if str(arg[0][0]) != "NEGATE" else ("LITERAL", ord("x"))
+                out += chr(value) if str(kind) == "LITERAL" else chr(value[0]) if str(kind) == "RANGE" else {"CATEGORY_DIGIT": "1", "CATEGORY_WORD": "a", "CATEGORY_SPACE": " "}.get(str(value), "a")
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                out += text(arg[2]) * arg[0]
+            elif name == "SUBPATTERN":
+                out += text(arg[3])
+            elif name == "BRANCH":
+                out += text(arg[1][0])
+        return out
+
+    sample = text(tree)
+    return sample if re.search(pattern, sample, re.I) else None
+
+
+def test_outcomes_by_host(spark):
+    rows = [("https://A.com/x?y", "ok", 10.0, 7.9, 3, False), ("https://a.com/z", "ok", 5.0, 8.0, 1, True), ("https://b.com/", "TIMEOUT", 1.0, 0.0, 1, False)]
+    got = outcomes.scan_log(spark.createDataFrame(rows, "url string, outcome string, duration_ms double, cpu_ms double, subrequests long, truncated boolean")).orderBy("host").collect()
+    assert [tuple(r) for r in got] == [("a.com", "ok", 2, 15.0, 4, 1, 1), ("b.com", "TIMEOUT", 1, 1.0, 1, 0, 0)]
+    page = capture(spark, {"html": "GTM-AAA1 GTM-BBB2", "bundles": ["GTM-CCC3 GTM-DDD4"], "containers": [("GTM-BBB2", "x")]})
+    assert [(r.id, r.fetched) for r in outcomes.missing_containers(page).orderBy("ord").collect()] == [("GTM-AAA1", False), ("GTM-BBB2", True), ("GTM-CCC3", False)]
+
+
 def test_security_prefers_real_iframes_over_links(spark):
     page = capture(spark, {"html": '<iframe src="https://www.youtube.com/embed/abcdef"></iframe>'}, {"html": '<a href="https://www.youtube.com/embed/abcdef">x</a>'}, {"headers": {"content-security-policy": "x cdn.cookielaw.org"}})
     hits = matching.type_hits(page, catalogue.security(spark), matching.SECURITY_LOOK, ())
@@ -97,11 +197,27 @@ def test_catalogue_lint_json_and_needles(spark, tmp_path):
     assert [(r.type, r.header, r.strength, r.excludes, r.family) for r in got] == [("html-regex", "", "strong", "u,v", "HTML"), ("header", "x-t", "weak", "u,v", "NETWORK"), ("probe", "/p", "strong", "u,v", "PLATFORM_IDENTIFIER")]
     assert [r.problem for r in catalogue.lint(rules).collect()] == ["weight outside 1 to 100"]
     assert set(detected(spark, {"html": "tee-5"}, rules=rules)) == {(0, "t")}
-    assert [catalogue.needle(p) for p in (r"a\.b/c", "x|y", "ab?c", "(a|b)long", r"\d+px", "a{2}bc")] == ["a.b/c", "", "a", "long", "px", "bc"]
+    assert [catalogue.needles(p) for p in (r"a\.b/c", "x|y", "ab?c", "(a|b)long", r"\d+pxy", "a{2}bcd", "one|two[|]x|(a|b)three", "[|]four|\\|five")] == [["a.b/c"], [], [], ["long"], ["pxy"], ["bcd"], ["one", "three", "two"], ["four", "|five"]]
+    families = [{"id": "m", "name": "M", "category": "cms", "minFamilies": 2, "signals": [{"type": "html-regex", "pattern": "mmm-one", "weight": 80, "strength": "strong"}, {"type": "inline-script", "pattern": "mmm-two", "weight": 80, "strength": "strong"}, {"type": "cookie-name", "pattern": "^mmm$", "weight": 80, "strength": "strong"}]}]
+    (tmp_path / "b.json").write_text(json.dumps({"technologies": families}))
+    rules = catalogue.read_catalogue(spark, str(tmp_path / "b.json"))
+    assert set(detected(spark, {"html": "mmm-one mmm-two"}, {"html": "mmm-one", "cookies": ["mmm"]}, rules=rules)) == {(1, "m")}
+
+
+def test_readers_give_what_the_package_brings(spark):
+    folder = resources.files("pagelens.catalogues")
+    rows = lambda table: sorted(map(str, table.collect()))
+    assert rows(catalogue.read_rules(spark, str(folder / "growth.json"))) == rows(catalogue.growth(spark))
+    assert rows(catalogue.read_ids(spark, str(folder / "growth.json"))) == rows(catalogue.growth_ids(spark))
+    assert rows(catalogue.read_rules(spark, str(folder / "security.json"))) == rows(catalogue.security(spark))
+    assert rows(catalogue.read_protection(spark, str(folder / "protection.json"))) == rows(catalogue.protection(spark))
+    same = [c for c in catalogue.core(spark).columns if c not in ("specificity", "needles")]
+    assert rows(catalogue.read_catalogue(spark, str(folder / "core.json")).select(*same)) == rows(catalogue.core(spark).select(*same))
+    assert len({r[1] for r in catalogue.growth_rows()[0]}) == 38 and len({r[1] for r in catalogue.security_rows()}) == 26 and len({r[1] for r in catalogue.protection_rows()}) == 10
 
 
 def test_url_validation_and_anatomy(spark):
-    cases = {"a.com": "ok", "": "INVALID_URL", "http://0x7f.1/": "ok", "http://0177.0.0.1/": "BLOCKED_TARGET", "http://4294967296/": "ok", "http://4294967295/": "BLOCKED_TARGET", "http://a.com:81/": "INVALID_URL", "https://a.com:443/": "ok", "https://x.local": "BLOCKED_TARGET", "https://mylocal": "ok", "https://u@a.com": "INVALID_URL"}
+    cases = {"a.com": "ok", "": "INVALID_URL", "http://0x7f.1/": "BLOCKED_TARGET", "http://127.1/": "BLOCKED_TARGET", "http://127.0.1/": "BLOCKED_TARGET", "http://%31%32%37.0.0.1/": "BLOCKED_TARGET", "http://a%2ecom/": "ok", "http://a%40b.com/": "INVALID_URL", "http://a%zz.com/": "INVALID_URL", "http://0177.0.0.1/": "BLOCKED_TARGET", "http://256.0.0.1/": "INVALID_URL", "http://1.2.3.4.5/": "INVALID_URL", "http://4294967296/": "INVALID_URL", "http://loc%61lhost/": "BLOCKED_TARGET", "http://[::1]/": "BLOCKED_TARGET", "http://1.a.com/": "ok", "http://4294967295/": "BLOCKED_TARGET", "http://a.com:81/": "INVALID_URL", "https://a.com:443/": "ok", "https://x.local": "BLOCKED_TARGET", "https://mylocal": "ok", "https://u@a.com": "INVALID_URL"}
     got = spark.createDataFrame([(u,) for u in cases], "url string").select("url", urls.validation(F.col("url"))["code"].alias("c")).collect()
     assert {r.url: r.c for r in got} == cases
     look = spark.createDataFrame([("http://XN--a.b.Example.com:8080/Login-Update",)], "u string").select(*(v.alias(k) for k, v in urls.anatomy(F.col("u")).items())).first()
@@ -122,6 +238,8 @@ def test_outcome_ladder(spark):
     assert got == [None, "BLOCKED_TARGET", "HTTP_ERROR", "TARGET_BLOCKED", "NOT_HTML", None, "TARGET_BLOCKED", "REDIRECT_LOOP", "BLOCKED_TARGET"]
     html = '<base href="/x/"><script src="a.js"></script><script src="https://other.com/b.js"></script><link rel="modulepreload" href="/m.js"><script src="a.js"></script>'
     assert spark.range(1).select(outcomes.script_candidates(F.lit(html), F.lit("https://a.com/p/q")).alias("s")).first().s == ["https://a.com/x/a.js", "https://a.com/m.js"]
+    html = '<link as="script" href="/p.js" rel="preload"><link href="/n.js" rel="x modulepreload"><link rel="preload" as="style" href="/s.css"><script src="data:x"></script><script src="https://a.com:8080/q.js"></script>'
+    assert spark.range(1).select(outcomes.script_candidates(F.lit(html), F.lit("https://a.com/")).alias("s")).first().s == ["https://a.com/p.js", "https://a.com/n.js"]
     bundles = spark.createDataFrame([([("a", 1, "one"), ("b", 3, "three"), ("c", 2, "two")],)], "b array<struct<url:string,size:int,body:string>>")
     assert bundles.select(outcomes.largest_bundles(F.col("b"), 2).alias("x")).first().x == ["three", "two"]
 
@@ -145,6 +263,33 @@ def test_rate_limit_and_robots(spark):
     assert [r.allowed for r in sites.robots_allowed(page).orderBy("page_id").collect()] == [False, True, True]
 
 
+def test_rate_limit_of_a_busy_key_is_spread(spark):
+    times = [7 * i % 1000 for i in range(600)]
+    hits = spark.createDataFrame([("a", t) for t in times], "key string, s int").select("key", F.timestamp_seconds("s").alias("at"))
+    got = sorted((int(r.at.timestamp()) % 1000, r.recent) for r in sites.rate_limited(hits, 3, 60).collect())
+    base = min(t for t, _ in got)
+    assert [n for _, n in got] == [sum(t - 60 < u <= t for u in times) for t in sorted(times)] and base == 0
+    plan = sites.rate_limited(hits, 3, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "_stretch" in plan
+
+
+def test_sample_plan_and_consistency(spark):
+    site = lambda rows, names: spark.createDataFrame(rows, names)
+    home = site([("h", "https://h.com")], "site string, url string")
+    sitemap = site([("h", i, f"https://h.com/{'ab'[i % 2]}/{i}") for i in range(40)], "site string, ord int, url string")
+    links = site([("h", 0, "https://h.com/a/0"), ("h", 1, "https://h.com/link/")], "site string, ord int, url string")
+    extras = site([("h", 0, "https://h.com/extra")], "site string, ord int, url string")
+    got = sites.sample_plan(home, sitemap, links, extras, limit=4, preview=3).orderBy("place").collect()
+    assert [r.url.removeprefix("https://h.com") for r in got] == ["/", "/a/0", "/b/1", "/a/2", "/b/3", "/a/4", "/b/5"]
+    assert [r.scanned for r in got] == [True] * 4 + [False] * 3 and {r.found for r in got} == {40}
+    rows = [("h", 1, True, False, "A", "P"), ("h", 2, True, False, "B", "P"), ("h", 3, False, False, "B", "P"), ("h", 4, False, False, "B", "Q"), ("k", 5, True, False, "A", "P"), ("k", 6, True, False, "A", "P"), ("z", 7, False, True, "A", "P")]
+    pages = site(rows, "site string, page_id long, ok boolean, cross_domain boolean, framework string, provider string")
+    got = {r.site: r for r in sites.consistency(pages).collect()}
+    assert (got["h"].verdict, got["h"].framework, got["h"].provider, got["h"].verdict_line) == ("mixed", "A", "P", "2 of 4 pages scanned (2 unscanned or failed, 1 differ)")
+    assert (got["k"].verdict, got["k"].verdict_line, got["k"].front_door) == ("consistent", "2/2 pages run A + P", True)
+    assert (got["z"].framework, got["z"].verdict_line) == ("Unknown", "0 of 1 pages could be scanned")
+
+
 def test_detection_is_deterministic_and_silent_on_prose(spark):
     rules = catalogue.core(spark)
     page = source.overlay(spark.range(48).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h.example.com/"), "id").alias("url"), F.lit("<html><body>x</body></html>").alias("html")))
