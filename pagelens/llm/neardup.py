@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm import simhash
-from pagelens.llm.common import broadcast_if_small, checkpointed
+from pagelens.llm.common import broadcast_if_small, checkpointed, trim
 from pagelens.llm.components import connected_components
 
 SHINGLE, RADIUS = 5, 4
 #: Similarity of near copies as a fraction of integers.
 SIMILAR = (4, 5)
 BANDS, ROWS = 24, 4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
@@ -76,6 +76,7 @@ def marked(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in ("doc_id", "key", "row")), pa.array([n for n, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))], ["doc_id", "key", "row", "node", "bands"]
             )
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, key long, row long, node long, bands array<long>")
@@ -126,17 +127,25 @@ def near(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         else:
             for h in start[x]:
                 leaders.setdefault(h, []).append(x)
-    groups: dict[int, dict[int, list[int]]] = {}
+    leaders.clear()
+    # By hash the groups that have it and their members; what only one set has, which is most, as that set alone.
+    groups: dict[int, int | dict[int, list[int]]] = {}
     for x in order:
         tried: set[int] = set()
         for h in start[x]:
-            for g, members in groups.get(h, {}).items():
+            here = groups.get(h)
+            if here is None:
+                groups[h] = x
+                continue
+            if isinstance(here, int):
+                here = groups[h] = {leader[here]: [here]}
+            for g, members in here.items():
                 for y in members if top(g) != top(x) else ():
                     if y not in tried:
                         tried.add(y)
                         if joins(x, y):
                             break
-            groups.setdefault(h, {}).setdefault(leader[x], []).append(x)
+            here.setdefault(leader[x], []).append(x)
     return found
 
 
@@ -162,7 +171,8 @@ def _compared(dealt: DataFrame, *keys: str) -> DataFrame:
 
     def solve(part: pa.Table) -> pa.Table:
         nodes = part.column("node").to_pylist()
-        links = near([shingle_set(t.as_py() or b"") for t in part.column("text").cast(pa.large_binary())])
+        links = near([shingle_set(t.as_py() or b"") for t in part.column("text").cast(pa.large_binary())]) if len(nodes) > 1 else []
+        trim()
         return pa.table({"a": pa.array([nodes[x] for x, _ in links], pa.int64()), "b": pa.array([nodes[y] for _, y in links], pa.int64())})
 
     return checkpointed(dealt.groupBy(*keys).applyInArrow(solve, "a long, b long"))

@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.llm.common import trim
+
 #: Fixed value: the special token of the vocabulary, the next id after its ranks.
 END = "<|endoftext|>"
 TIERS = (64, 128, 256, 512, 1024)
@@ -169,5 +171,6 @@ def pack(docs: DataFrame, ranks_file: str | None = None, tiers: tuple[int, ...]
                     yield packer.flush()
         if packer.docs:
             yield packer.flush()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

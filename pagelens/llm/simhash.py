@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import broadcast_if_small, checkpointed, joined_by_key
+from pagelens.llm.common import broadcast_if_small, checkpointed, joined_by_key, trim
 from pagelens.llm.components import connected_components
 
 #: Fingerprints that the driver looks at to place the vantage points, at most, and levels of the tree that deals.
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             texts = batch.column("text").cast(pa.large_binary())
             fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 

@@ -52,7 +52,7 @@ TRIPLES, PAIRS, SINGLES = 1 << 18, 1 << 16, 1 << 14
 BEAM, LAG = 32, 64
 
 #: Bytes of text that a task looks at together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: The letters that a sign may stand for.
 LOOKALIKES = {
@@ -103,7 +103,7 @@ class LetterModel:
         key = a + b + c
         value = self.known.get(key)
         if value is None:
-            if len(self.known) >= 100_000:
+            if len(self.known) >= 20_000:
                 self.known.clear()
             abc, ab, bc, mid, end = self.counts[buckets(ord(a), ord(b), ord(c))].tolist()
             value = self.known[key] = math.log(0.7 * abc / max(1, ab) + 0.25 * bc / max(1, mid) + 0.049 * end / max(1, self.total) + 1e-5)
@@ -175,7 +175,7 @@ class Readings:
 class Restorer:
     """Restores the words of slices of texts; what was decoded once is kept up to a bound."""
 
-    def __init__(self, counts: np.ndarray | None, keep: int = 30_000):
+    def __init__(self, counts: np.ndarray | None, keep: int = 10_000):
         self.letters = LetterModel(counts) if counts is not None else None
         self.seen: dict[tuple[str, bool], str] = {}
         self.keep = keep
