@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the columns of documents;
 the last one returns the pieces of the packed sequences.
+
+Defined results: stages decide for each row by its own text, so rows without an id and rows of one id are told apart; a
+null or empty text is neither toxic nor contaminated, all such texts are one group of copies, and what is left of it is
+packed as the single id 0; an empty table gives no rows; columns beside those of documents are kept until packing.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose own text overlaps an item of benchmark go; an empty benchmark takes nothing."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences; every row is packed, repeated ones as often as they occur."""
     return packing.pack(docs)
 
 

@@ -33,9 +33,12 @@ def is_html(content_type: Column, html: Column) -> Column:
 def outcome(captures: DataFrame) -> DataFrame:
     """(page_id, ok, error_code, truncated): the first reason of the ladder."""
     check = urls.validation(F.col("url"))["code"]
-    hops = F.transform("redirect_chain", lambda u: urls.validation(u)["code"])
+    # Each hop is meant from where the last one led; an empty one leads nowhere.
+    step = lambda done, u: F.concat(done, F.array(F.when(F.trim(u) == "", F.element_at(done, -1)).otherwise(urls.resolved(F.trim(u), F.element_at(done, -1)))))
+    reached = F.slice(F.aggregate("redirect_chain", F.array(urls.with_scheme(F.col("url"))), step), 2, 1000)
+    hops = F.transform(reached, lambda u: urls.validation(u)["code"])
     blocked = F.get(F.filter(hops, lambda c: c != "ok"), 0)
-    loop = (F.size(F.array_distinct("redirect_chain")) < F.size("redirect_chain")) | (F.size("redirect_chain") > MAX_HOPS)
+    loop = (F.size(F.array_distinct(reached)) < F.size(reached)) | F.exists("redirect_chain", lambda u: F.trim(u) == "") | (F.size("redirect_chain") > MAX_HOPS)
     code = (
         F.when(check != "ok", check).when(blocked.isNotNull(), blocked).when(loop, "REDIRECT_LOOP").when(F.col("status").isNull(), "NETWORK_ERROR").when(F.col("status") >= 500, "HTTP_ERROR")
         .when(is_challenge(F.col("status"), F.lit("")), "TARGET_BLOCKED").when(~is_html(F.col("content_type"), F.coalesce("html", F.lit(""))), "NOT_HTML").when(is_challenge(F.col("status"), F.coalesce("html", F.lit(""))), "TARGET_BLOCKED")

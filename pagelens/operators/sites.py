@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +18,12 @@ PLUGIN = r"(?i)/wp-content/plugins/([^/\"'\s?#]+)"
 THEME = r"(?i)/wp-content/themes/([^/\"'\s?#]+)/"
 NOT_PLUGINS = ["cache", "uploads", "upgrade", "languages", "dist", "build", "assets", "vendor", "node_modules", "tmp", "temp"]
 CNAMES = [(".cloudfront.net", "aws-cloudfront", "AWS CloudFront"), (".fastly.net", "fastly", "Fastly"), (".fastlylb.net", "fastly", "Fastly"), (".vercel-dns.com", "vercel", "Vercel"), (".vercel.app", "vercel", "Vercel"), (".netlify.app", "netlify", "Netlify"), (".netlify.com", "netlify", "Netlify"), (".wpengine.com", "wp-engine", "WP Engine"), (".wpenginepowered.com", "wp-engine", "WP Engine"), (".kinsta.cloud", "kinsta", "Kinsta"), (".kinsta.com", "kinsta", "Kinsta"), (".github.io", "github-pages", "GitHub Pages"), (".wixdns.net", "wix", "Wix"), (".squarespace.com", "squarespace", "Squarespace"), (".shopify.com", "shopify", "Shopify"), (".myshopify.com", "shopify", "Shopify"), (".hubspot.net", "hubspot-cms", "HubSpot CMS")]
-THEMES = {"astra": "Astra", "divi": "Divi", "generatepress": "GeneratePress", "hello-elementor": "Hello Elementor", "kadence": "Kadence", "oceanwp": "OceanWP", "twentytwentyfour": "Twenty Twenty-Four"}
-STORE_THEMES = {887: "Dawn", 857: "Impulse", 847: "Debut", 568: "Symmetry", 1363: "Craft", 1368: "Sense"}
+_THEME_FILE = json.loads(resources.files("pagelens.catalogues").joinpath("themes.json").read_text("utf-8"))
+BLOG_THEMES: dict[str, dict[str, str]] = _THEME_FILE["blog"]
+STORE_THEMES = {int(k): v for k, v in _THEME_FILE["store"].items()}
+SHOP_THEMES: list[str] = _THEME_FILE["known"]
+#: Characters of a style sheet that are looked at.
+MAX_STYLE = 15_000
 GROUP_RANK = {"header": 0, "cookie-name": 0, "html-regex": 1, "meta-generator": 1, "html-path": 2, "script-host": 2, "probe": 3}
 FRAMEWORKS = ["cms", "builder", "ecommerce", "framework"]
 
@@ -151,29 +158,49 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
+def _of_theme(what: str, slug: Column) -> Column:
+    return _lookup({k: v[what] for k, v in BLOG_THEMES.items()}, F.regexp_replace(F.lower(slug), "-child$", ""))
+
+
 def wp_theme(html: Column, css: Column) -> Column:
-    """A struct of theme name, author, parent, slug and whether it is a child theme; null without a theme path."""
+    """A struct of what is known of a blog theme; null without a theme path.
+
+    What the style sheet says counts first; a known theme gives name, and then author and address, where it has no name.
+    """
     slugs = F.array_distinct(every(html, THEME))
     slug = F.coalesce(F.get(F.filter(slugs, lambda s: F.lower(s).endswith("-child")), 0), F.get(slugs, 0))
     other = F.get(F.filter(slugs, lambda s: s != slug), 0)
-    header = lambda name: F.nullif(F.trim(F.regexp_extract(F.coalesce(css, F.lit("")), rf"(?im)^{name}:[ \t]*(.+)$", 1)), F.lit(""))
-    template = header("Template")
+    style = F.substring(F.coalesce(css, F.lit("")), 1, MAX_STYLE)
+    header = lambda name, value=r".+": F.nullif(F.trim(F.regexp_extract(style, rf"(?im)^{name}:[ \t]*({value})$", 1)), F.lit(""))
+    template, given = header("Template"), header("Theme Name")
     child = template.isNotNull() | F.lower(slug).endswith("-child")
-    known = _lookup(THEMES, F.regexp_replace(F.lower(slug), "-child$", ""))
-    name = F.coalesce(header("Theme Name"), F.concat(known, F.when(child, " Child").otherwise("")), title_case(slug))
+    name = F.coalesce(given, F.concat(_of_theme("name", slug), F.when(child, " Child").otherwise("")), title_case(slug))
+    own = F.when(given.isNull(), F.lit(True))
     parent = F.coalesce(template, F.when(child, other))
-    return F.when(F.size(slugs) > 0, F.struct(name.alias("theme"), header("Author").alias("author"), F.coalesce(_lookup(THEMES, F.lower(parent)), parent).alias("parent"), slug.alias("slug"), child.alias("child")))
+    fields = {
+        "theme": name, "author": F.coalesce(header("Author"), F.when(own, _of_theme("author", slug))), "author_uri": header("Author UR[Ii]", r"https?://\S+"), "theme_uri": F.coalesce(header("Theme UR[Ii]", r"https?://\S+"), F.when(own, _of_theme("url", slug))),
+        "version": header("Version"), "parent": F.coalesce(_of_theme("name", parent), parent), "slug": slug, "child": child, "known": _of_theme("name", slug).isNotNull(),
+    }
+    return F.when(F.size(slugs) > 0, F.struct(*(v.alias(k) for k, v in fields.items())))
 
 
 def shop_theme(html: Column) -> Column:
-    """A struct of name, id, store id, store name and role of a shop theme; null without any of them."""
+    """A struct of what is known of a shop theme; null without a name or an id."""
     object_ = F.regexp_extract(html, r"(?i)Shopify\.theme\s*=\s*(\{[^;]+?\});", 1)
     field = lambda pattern, text=object_: F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
     name = F.coalesce(field(r"""["']name["']\s*:\s*["']([^"']+)["']"""), field(r"""(?i)Shopify\.theme\.name\s*=\s*["']([^"']+)["']""", html), field(r"""(?i)BOOMR\.themeName\s*=\s*["']([^"']+)["']""", html))
     id_ = F.coalesce(field(r"""["']id["']\s*:\s*(\d+)"""), field(r"(?i)BOOMR\.themeId\s*=\s*(\d+)", html), field(r"""(?i)["']theme_id["']\s*:\s*(\d+)""", html), field(r"""(?i)data-theme-id=["'](\d+)["']""", html))
-    store = field(r"""["']theme_store_id["']\s*:\s*(\d+)""").cast("int")
+    store = field(r"""["']theme_store_id["']\s*:\s*(\d+)""").try_cast("int")
     store_name = _lookup(STORE_THEMES, store)
-    return F.when(F.coalesce(name, id_, store_name).isNotNull(), F.struct(F.coalesce(name, store_name).alias("theme"), id_.alias("id"), store.alias("store_id"), store_name.alias("store_name"), field(r"""["']role["']\s*:\s*["']([^"']+)["']""").alias("role")))
+    theme = F.coalesce(name, store_name)
+    listed = F.array(*map(F.lit, SHOP_THEMES))
+    low = F.lower(F.trim(theme))
+    # A number behind a name is a version of the theme.
+    known = F.coalesce(F.array_contains(listed, low) | F.array_contains(listed, F.trim(F.regexp_replace(low, r"[\s\-_v]*\d+(\.\d+)*\s*$", ""))), F.lit(False)) | store_name.isNotNull()
+    part = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(store_name, theme))), "[^a-z0-9]+", "-"), "^-|-$", ""), r"-\d+.*$", "")
+    address = F.when(F.array_contains(listed, part), F.concat(F.lit("https://themes.shopify.com/themes/"), part))
+    fields = {"theme": theme, "id": id_, "store_id": store, "store_name": store_name, "store_url": address, "version": field(r"""(?i)BOOMR\.themeVersion\s*=\s*["']([^"']+)["']""", html), "role": field(r"""["']role["']\s*:\s*["']([^"']+)["']"""), "known": known}
+    return F.when(F.coalesce(name, id_, store_name).isNotNull(), F.struct(*(v.alias(k) for k, v in fields.items())))
 
 
 def cname_hints(captures: DataFrame, found: DataFrame) -> DataFrame:

@@ -367,19 +367,25 @@ def firsts(items: str, alias: str, limit: int | None = None, where: str = "true"
 
 
 PLUGINS = firsts(f"list_transform({every('html', sites.PLUGIN)}, lambda s: lower(s))", "plugin", 8, f"regexp_matches(x, '^[a-z0-9][a-z0-9_-]{{1,60}}$') and x not in ({', '.join(map(quoted, sites.NOT_PLUGINS))})")
-_CSS = lambda name: f"nullif(trim(regexp_extract(coalesce(style_css, ''), '(?im)^{name}:[ \\t]*(.+)$', 1)), '')"
-_THEMES = "map([" + ", ".join(map(quoted, sites.THEMES)) + "], [" + ", ".join(map(quoted, sites.THEMES.values())) + "])"
+_CSS = lambda name, value=".+": f"nullif(trim(regexp_extract(coalesce(style_css, '')[1:15000], '(?im)^{name}:[ \\t]*({value})$', 1)), '')"
+_OF = lambda what, slug: "map([" + ", ".join(map(quoted, sites.BLOG_THEMES)) + "], [" + ", ".join(quoted(v[what]) for v in sites.BLOG_THEMES.values()) + f"])[regexp_replace(lower({slug}), '-child$', '')]"
 WP_THEME = f"""with {CAPS}, s as (select page_id, style_css, x, min(pos) as pos from (select page_id, style_css, unnest({every('html', sites.THEME)}) as x, generate_subscripts({every('html', sites.THEME)}, 1) as pos from caps) group by page_id, style_css, x),
 g as (select page_id, style_css, list(x order by pos) as slugs from s group by page_id, style_css), p as (select *, coalesce(list_filter(slugs, lambda z: ends_with(lower(z), '-child'))[1], slugs[1]) as slug from g),
-q as (select *, list_filter(slugs, lambda z: z <> slug)[1] as other, {_CSS('Template')} as template, {_CSS('Template')} is not null or ends_with(lower(slug), '-child') as child from p),
+q as (select *, list_filter(slugs, lambda z: z <> slug)[1] as other, {_CSS('Template')} as template, {_CSS('Theme Name')} as given, {_CSS('Template')} is not null or ends_with(lower(slug), '-child') as child from p),
 r as (select *, coalesce(template, case when child then other end) as parent_slug from q)
-select page_id, coalesce({_CSS('Theme Name')}, {_THEMES}[regexp_replace(lower(slug), '-child$', '')] || case when child then ' Child' else '' end, array_to_string(list_transform(regexp_split_to_array(slug, '[-_]+'), lambda w: upper(w[1]) || w[2:]), ' ')) as theme, {_CSS('Author')} as author, coalesce({_THEMES}[lower(parent_slug)], parent_slug) as parent, slug, child from r"""
+select page_id, coalesce(given, {_OF('name', 'slug')} || case when child then ' Child' else '' end, array_to_string(list_transform(regexp_split_to_array(slug, '[-_]+'), lambda w: upper(w[1]) || w[2:]), ' ')) as theme, coalesce({_CSS('Author')}, case when given is null then {_OF('author', 'slug')} end) as author,
+  {_CSS('Author UR[Ii]', 'https?://[^[:space:]]+')} as author_uri, coalesce({_CSS('Theme UR[Ii]', 'https?://[^[:space:]]+')}, case when given is null then {_OF('url', 'slug')} end) as theme_uri, {_CSS('Version')} as version, coalesce({_OF('name', 'parent_slug')}, parent_slug) as parent, slug, child, {_OF('name', 'slug')} is not null as known from r"""
 _STORE = "map([" + ", ".join(map(str, sites.STORE_THEMES)) + "], [" + ", ".join(map(quoted, sites.STORE_THEMES.values())) + "])"
 _FIELD = lambda pattern, text="o": f"nullif(trim(regexp_extract({text}, {quoted(pattern)}, 1)), '')"
+_KNOWN = "(" + ", ".join(map(quoted, sites.SHOP_THEMES)) + ")"
 SHOP_THEME = f"""with {CAPS}, o as (select page_id, html, regexp_extract(html, '(?i)Shopify\\.theme\\s*=\\s*(\\{{[^;]+?\\}});', 1) as o from caps),
 f as (select page_id, coalesce({_FIELD(r'''["']name["']\s*:\s*["']([^"']+)["']''')}, {_FIELD(r'''(?i)Shopify\.theme\.name\s*=\s*["']([^"']+)["']''', 'html')}, {_FIELD(r'''(?i)BOOMR\.themeName\s*=\s*["']([^"']+)["']''', 'html')}) as name,
-  coalesce({_FIELD(r'''["']id["']\s*:\s*(\d+)''')}, {_FIELD(r'(?i)BOOMR\.themeId\s*=\s*(\d+)', 'html')}, {_FIELD(r'''(?i)["']theme_id["']\s*:\s*(\d+)''', 'html')}, {_FIELD(r'''(?i)data-theme-id=["'](\d+)["']''', 'html')}) as id, {_FIELD(r'''["']theme_store_id["']\s*:\s*(\d+)''')}::integer as store_id, {_FIELD(r'''["']role["']\s*:\s*["']([^"']+)["']''')} as role from o)
-select page_id, coalesce(name, {_STORE}[store_id]) as theme, id, store_id, {_STORE}[store_id] as store_name, role from f where coalesce(name, id, {_STORE}[store_id]) is not null"""
+  coalesce({_FIELD(r'''["']id["']\s*:\s*(\d+)''')}, {_FIELD(r'(?i)BOOMR\.themeId\s*=\s*(\d+)', 'html')}, {_FIELD(r'''(?i)["']theme_id["']\s*:\s*(\d+)''', 'html')}, {_FIELD(r'''(?i)data-theme-id=["'](\d+)["']''', 'html')}) as id, {_FIELD(r'''["']theme_store_id["']\s*:\s*(\d+)''')}::integer as store_id, {_FIELD(r'''["']role["']\s*:\s*["']([^"']+)["']''')} as role,
+  {_FIELD(r'''(?i)BOOMR\.themeVersion\s*=\s*["']([^"']+)["']''', 'html')} as version from o),
+n as (select *, {_STORE}[store_id] as store_name, coalesce(name, {_STORE}[store_id]) as theme from f),
+k as (select *, lower(trim(theme)) as low, regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(store_name, theme))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), '-\\d+.*$', '') as part from n)
+select page_id, theme, id, store_id, store_name, case when part in {_KNOWN} then 'https://themes.shopify.com/themes/' || part end as store_url, version, role,
+  coalesce(low in {_KNOWN} or trim(regexp_replace(low, '[\\s\\-_v]*\\d+(\\.\\d+)*\\s*$', '')) in {_KNOWN}, false) or store_name is not null as known from k where coalesce(name, id, store_name) is not null"""
 CNAME = f"""with {DETECTIONS}, suffixes as {values([(i, *c) for i, c in enumerate(sites.CNAMES)], 'ord, suffix, tech_id, tech_name')}, t as (select page_id, lower(regexp_replace(cname, '\\.$', '')) as cname from caps where cname is not null)
 select page_id, cname, arg_min(s.tech_id, ord) as tech_id, arg_min(s.tech_name, ord) as tech_name from t join suffixes s on ends_with(cname, suffix) where page_id not in (select page_id from detections where category = 'hosting') group by page_id, cname"""
 CONTAINER_IDS = firsts("regexp_extract_all(array_to_string(list_concat([html], bundles), chr(10)), 'GTM-[A-Z0-9]+')", "id")

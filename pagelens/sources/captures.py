@@ -24,7 +24,7 @@ VARIANTS: list[dict] = [
     {
         "html": '<meta name="generator" content="WordPress 6.4.2"><link rel="stylesheet" href="/wp-content/themes/astra-child/style.css"><link rel="stylesheet" href="/wp-content/themes/astra/style.css"><script src="/wp-content/plugins/woocommerce/assets/js/woocommerce.min.js"></script><script src="/wp-content/plugins/Contact-Form-7/a.js"></script>',
         "headers": {"server": "cloudflare", "cf-ray": "8a1b-FRA", "link": '<https://a.example/wp-json/>; rel="https://api.w.org/"'}, "cookies": ["wordpress_test_cookie", "__cf_bm"],
-        "style_css": "/*\nTheme Name: Astra Child\nAuthor: Brainstorm\nTemplate: astra\n*/", "probes": {"/wp-json/": '{"namespaces":["wp/v2"]}'}, "set_cookie": "a=1; Path=/,b=2; Expires=Wed, 09 Jun 2027 10:18:14 GMT, c=3", "cname": "proxy.cdn.cloudflare.net.",
+        "style_css": "/*\nTheme Name: Astra Child\nAuthor: Brainstorm\nAuthor URI: https://a.example.com/me\nVersion: 1.2.3\nTemplate: astra\n*/", "probes": {"/wp-json/": '{"namespaces":["wp/v2"]}'}, "set_cookie": "a=1; Path=/,b=2; Expires=Wed, 09 Jun 2027 10:18:14 GMT, c=3", "cname": "proxy.cdn.cloudflare.net.",
     },
     {
         "html": '<script src="https://cdn.shopify.com/s/files/1/theme.js?v=2"></script><script>Shopify.theme = {"name":"Dawn 12.0","id":123456,"theme_store_id":887,"role":"main"};</script>',

@@ -117,6 +117,19 @@ def test_containers_stay_visible_beside_the_winner(spark):
     assert [(r.type, r.detail, r.value) for r in rows] == [("via-gtm", f"Found in GTM container {c}: Meta Pixel init (fbq('init', …))", 'fbq("init"') for c in ("GTM-AB12", "GTM-CD34")]
 
 
+def test_themes(spark):
+    css = "/*\nTheme Name: My Theme\nAuthor: Me\nAuthor URI: https://me.com/x\nTheme URI: https://t.com\nVersion: 2.1\nTemplate: divi\n*/"
+    rows = [("/wp-content/themes/kadence-child/a.css", None), ("/wp-content/themes/my_own-look/a.css", "x" * 15_000 + "\nVersion: 9"), ("/wp-content/themes/divi/a /wp-content/themes/mine-child/b", css)]
+    got = [r.t for r in spark.createDataFrame(rows, "h string, c string").select(sites.wp_theme(F.col("h"), F.col("c")).alias("t")).collect()]
+    assert (got[0].theme, got[0].author, got[0].theme_uri, got[0].known, got[0].child) == ("Kadence Child", "Kadence WP", "https://wordpress.org/themes/kadence/", True, True)
+    assert (got[1].theme, got[1].version, got[1].known) == ("My Own Look", None, False)
+    assert (got[2].theme, got[2].author, got[2].author_uri, got[2].theme_uri, got[2].version, got[2].parent, got[2].slug) == ("My Theme", "Me", "https://me.com/x", "https://t.com", "2.1", "Divi", "mine-child")
+    rows = [('Shopify.theme = {"name":"Dawn 12.0","id":1,"theme_store_id":887,"role":"main"};',), ('Shopify.theme = {"theme_store_id":849};',), ('BOOMR.themeName = "Prestige (v7)"; BOOMR.themeVersion = "7.1";',), ('Shopify.theme = {"name":"Homemade"};',), ("none",)]
+    got = [r.t for r in spark.createDataFrame(rows, "h string").select(sites.shop_theme(F.col("h")).alias("t")).collect()]
+    assert (got[0].theme, got[0].store_name, got[0].store_url, got[0].known, got[0].role) == ("Dawn 12.0", "Dawn", "https://themes.shopify.com/themes/dawn", True, "main")
+    assert (got[1].theme, got[1].known) == ("Prestige", True) and (got[2].version, got[3].known, got[3].store_url) == ("7.1", False, None) and got[4] is None
+
+
 def test_server_side_marks(spark):
     rows = [{"html": "a /CDN-CGI/zaraz/s.js"}, {"bundles": ["x", "zaraz.track('y')"]}, {"html": "https://sgtm.example.com"}, {"bundles": ["fetch('/g/collect?v=2')"]}, {"html": "x" * 200_000 + "sgtm."}, {"html": "server-side tagging, transport_url"}, {}]
     got = capture(spark, *rows).select("page_id", ch.server_side(F.col("html"), F.col("bundles")).alias("w")).orderBy("page_id").collect()
