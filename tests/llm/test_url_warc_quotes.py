@@ -52,6 +52,13 @@ def test_url_verdicts(spark):
     assert urlfilter.judge(pages.limit(0), entries).count() == 0
 
 
+def test_warc_ignores_columns_with_its_own_names(spark):
+    rows = [(1, "http://a.org/", "<p>x</p>", "b", "id"), (None, None, None, None, None)]
+    got = warc.derive(spark.createDataFrame(rows, "page_id long, url string, html string, block string, record_id string")).collect()
+    assert len(got) == 6 and {r.block for r in got if r.record_type == "conversion"} == {"x", ""}
+    assert warc.derive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_warc_round_trip(spark):
     html = "<html><head><title> A &amp; B </title><style>p{}</style></head><body><script>var t='</p>'</script><p>One&nbsp;two<br>three <b>x</b></p><!-- gone --><ul><li><a href='/x'>L</a></li></ul></body></html>"
     rows = [(1, "http://a.org/ü", html, {"Content-Type": "text/html", "Server": "s"}, None), (2, None, None, None, "2020-01-01T00:00:00Z"), (1, "http://a.org/ü", html, {"Content-Type": "text/html", "Server": "s"}, None), (3, "u", "x" * 200_000, {}, None), (None, "u", "<", {"A": None}, None)]
