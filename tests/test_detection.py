@@ -155,6 +155,31 @@ def test_every_technology_has_a_positive_and_a_near_miss(spark, kind):
     assert [n for i, n in enumerate(names) if (2 * i + 1, n) in found] == []
 
 
+def test_every_core_technology_has_a_positive_and_a_near_miss(spark):
+    wrap = {"meta-generator": '<meta name="generator" content="{}">', "html-path": "<a href='{}'>x</a>", "html-regex": "<b {}>x</b>", "script-host": "<script src='https://{}'></script>"}
+    pages, names = [], []
+    for tech in sorted({r[1] for r in catalogue.core_rows()}):
+        own = [r for r in catalogue.core_rows() if r[1] == tech and r[7] != "probe"]
+        for r in own:
+            text = sample_of(r[12])
+            if r[7] == "header":
+                page, miss = {"headers": {r[8].title(): text or "x"}}, {"headers": {"X-Other": text or "x"}}
+            elif r[7] == "cookie-name":
+                page, miss = {"cookies": [text]}, {"html": f"<p>{text}</p>"}
+            elif r[7] in wrap:
+                page, miss = {"html": wrap[r[7]].format(text)}, {"html": f"<pre>{wrap[r[7]].format(text)}</pre>" if r[7].startswith("html") else f"<p>{text}</p>"}
+            else:
+                continue
+            if text or r[7] == "header":
+                pages += [page, miss]
+                names.append((tech, r[6]))
+    rows = matching.core_evidence(capture(spark, *pages), catalogue.core(spark)).select("page_id", "tech_id", "sig_ord").collect()
+    found = {tuple(r) for r in rows}
+    missed = [n for i, n in enumerate(names) if (2 * i, *n) not in found]
+    assert missed == [] and len({t for t, _ in names}) == 52
+    assert [n for i, n in enumerate(names) if (2 * i + 1, *n) in found] == []
+
+
 def sample_of(pattern):
     """A text that a pattern matches, or None: its first alternatives, fewest repetitions."""
     parse = re._parser.parse
