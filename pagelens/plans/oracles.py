@@ -444,6 +444,9 @@ r as (select page_id, base, pos, case when regexp_matches(link, '{urls.SCHEME}')
 o as (select page_id, script, min(pos) as pos from r where {scheme('script')} = {scheme('base')} and {host('script')} = {host('base')} and {port('script')} = {port('base')} group by page_id, script)
 select page_id, (row_number() over (partition by page_id order by pos) - 1)::integer as ord, script from o qualify ord < 20"""
 MISSING = f"""with f as ({CONTAINER_IDS}), {CAPS} select f.page_id, f.ord, f.id, list_contains(list_transform(containers, lambda c: c.id), f.id) as fetched from f join caps using (page_id) where ord < 3"""
+CAPPED = f"""with {CAPS}, c as (select page_id, html, octet_length(encode(html)) > 4000 as truncated from caps),
+k as (select page_id, truncated, case when truncated then html[1:list_max(list_filter(range(1000, 4001), lambda k: octet_length(encode(html[1:k])) <= 4000))] else html end as cut from c)
+select page_id, truncated, octet_length(encode(cut))::integer as bytes, md5(cut) as digest from k"""
 SITEMAP = """with t as (select page_id, regexp_extract_all('<urlset><url><loc> ' || url || ' </loc></url><loc>https://a.example.com/Sitemap-2.xml</loc><LOC>' || url || '?p=2</LOC></urlset>', '(?i)<loc>\\s*([^<\\s]+)\\s*</loc>', 1) as l from pages),
 k as (select page_id, list_filter(l, lambda x: not regexp_matches(x, '(?i)sitemap.*\\.xml$'))[1:500] as l from t) select page_id, (generate_subscripts(l, 1) - 1)::integer as ord, unnest(l) as loc from k"""
 DOMAINS = f"""with t as (select page_id, lower(trim(url)) as x from (select page_id, url from pages union all select * from {values([(-1 - i, s) for i, s in enumerate(TYPED)], 'page_id, url')})),
@@ -457,5 +460,5 @@ def all_sql() -> dict[str, str]:
         "security_channels": SECURITY_CHANNELS, "attribute_hooks": ATTRIBUTE_HOOKS, "core_evidence": CORE_EVIDENCE, "core_confidence": CORE_CONFIDENCE, "core_score": CORE_SCORE, "core_detect": CORE_DETECT, "explain_detections": EXPLAIN, "growth_detect": GROWTH_DETECT, "growth_evidence": GROWTH_EVIDENCE, "growth_by_category": GROWTH_BY_CATEGORY,
         "growth_ids": GROWTH_IDS, "growth_via_container": GROWTH_VIA, "server_side_warning": SERVER_SIDE, "security_detect": SECURITY_DETECT, "security_by_category": SECURITY_BY_CATEGORY, "bot_challenge": BOT_CHALLENGE, "bot_provider": BOT_PROVIDER, "relevant_headers": RELEVANT, "header_audit": HEADER_AUDIT,
         "mixed_content": MIXED, "redirect_audit": REDIRECTS, "safety_findings": SAFETY_FINDINGS, "safety_score": SAFETY_SCORE, "wp_plugins": PLUGINS, "wp_theme": WP_THEME, "shop_theme": SHOP_THEME, "cname_hint": CNAME, "container_ids": CONTAINER_IDS, "loader_ids": LOADER_IDS, "container_sanitize": SANITIZE,
-        "cookie_names": COOKIES, "framework_data": FRAMEWORK, "robots_filter": ROBOTS, "site_tech_rollup": ROLLUP, "site_consistency": CONSISTENCY, "coverage_penalty": COVERAGE, "rate_limit": RATE, "catalogue_stats": STATS, "error_codes": ERRORS, "cache_keys": CACHE, "cache_keys_with_query": CACHE_QUERY.replace("{outcome}", OUTCOME), "capture_outcome": CAPTURE_OUTCOME, "script_candidates": CANDIDATES, "missing_containers": MISSING, "scan_log": SCAN_LOG, "sitemap_locs": SITEMAP, "domains": DOMAINS,
+        "cookie_names": COOKIES, "framework_data": FRAMEWORK, "robots_filter": ROBOTS, "site_tech_rollup": ROLLUP, "site_consistency": CONSISTENCY, "coverage_penalty": COVERAGE, "rate_limit": RATE, "catalogue_stats": STATS, "error_codes": ERRORS, "cache_keys": CACHE, "cache_keys_with_query": CACHE_QUERY.replace("{outcome}", OUTCOME), "capture_outcome": CAPTURE_OUTCOME, "script_candidates": CANDIDATES, "missing_containers": MISSING, "capped_html": CAPPED, "scan_log": SCAN_LOG, "sitemap_locs": SITEMAP, "domains": DOMAINS,
     }
