@@ -19,6 +19,7 @@ import base64
 import bisect
 import functools
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.llm import tokens
 from pagelens.llm.common import trim
 
 #: Fixed value: the special token of the vocabulary, the next id after its ranks.
 END = "<|endoftext|>"
 TIERS = (64, 128, 256, 512, 1024)
+#: Runs of white space, and from how many characters on they are long.
+WHITE, LONG_RUN = re.compile(r"\s{2,}"), 20_000
 #: Tokens that a task gathers before it packs them.
 BUFFER = 2_000_000
 #: Tokens of a step group.
@@ -51,7 +55,13 @@ def encoder(ranks_file: str) -> tiktoken.Encoding:
 
 
 def ids_of(text: str, encoding: tiktoken.Encoding) -> list[int]:
-    """The ids of a text; `END` inside a text is one token, as the tokenizer's own file has it."""
+    """The ids of a text; `END` inside a text is one token, as the tokenizer's own file has it.
+
+    The pattern matcher of the rank encoder ends the process on a very long run of white space; such texts go to the other
+    library, which has the same ids.
+    """
+    if len(text) > LONG_RUN and max(map(len, WHITE.findall(text)), default=0) > LONG_RUN:
+        return np.frombuffer(tokens.Ids(tokens.vocabulary()).of(text), "<u4").tolist()
     return encoding.encode(text, allowed_special={END}) if END in text else encoding.encode_ordinary(text)
 
 

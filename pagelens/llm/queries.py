@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import decontaminate, langid, linededup, oracles, packing, quotes, simhash, topk, toxicity, urlfilter, warc
+from pagelens.llm import decontaminate, langid, linededup, oracles, packing, quotes, records, simhash, topk, toxicity, urlfilter, warc
 from pagelens.llm.common import table
 
 
@@ -56,8 +56,13 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def op11_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.round_trip(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_toxicity, op4_maxscore, op5_line_dedup, op6_warc, op7_simhash, op8_url_filter, op9_packing, op10_quotations)}
+    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_toxicity, op4_maxscore, op5_line_dedup, op6_warc, op7_simhash, op8_url_filter, op9_packing, op10_quotations, op11_binary_records)}
 
 
 def oracle_sql() -> dict[str, str]:
