@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelens.llm import linededup, urlfilter, warc
+from pagelens.llm import linededup, spelling, urlfilter, warc
 
 
 def quoted(text: str) -> str:
@@ -146,5 +146,43 @@ select *, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || text || chr(10
 """
 
 
+#: The table of CRC-32, and the checksum of the UTF-8 bytes of a string.
+CRC_TABLE = "crcs as (select list_transform(range(256), lambda b: list_reduce([b::bigint] || list_transform(range(8), lambda i: i::bigint), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)"
+
+
+def crc32(value: str) -> str:
+    """SQL for the unsigned CRC-32 of a string, beside the relation `crcs`."""
+    step = "lambda c, b: xor(c >> 8, list_extract(t, (xor(c, b) & 255)::integer + 1))"
+    return f"xor(list_reduce([4294967295::bigint] || list_transform(range(octet_length(encode({value}))), lambda i: ('0x' || substr(hex(encode({value})), 2 * i::integer + 1, 2))::bigint), {step}), 4294967295)"
+
+
+def spelling_variants() -> str:
+    """Near words by the words that are left when one code point goes: equal ones of one place, or a word itself."""
+    return rf"""
+with recursive {CRC_TABLE},
+runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents where text is not null),
+counted as (select id, run, count(*) as n from runs group by id, run),
+hashed as (select run, n, {crc32("id || ':' || run")} as h from counted cross join crcs),
+damaged as (select case when h % {spelling.DAMAGED} = 0 then substr(run, 1, (h % length(run))::integer) || substr(run, (h % length(run))::integer + 2) else run end as word, n from hashed),
+words as (select word, sum(n)::bigint as n from damaged where length(word) >= {spelling.SHORTEST} group by word having sum(n) >= {spelling.SELDOM}),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+left_over as (select word, n, i, substr(word, 1, i::integer - 1) || substr(word, i::integer + 1) as rest from places),
+pairs as (
+  select a.word, b.word as other, b.n as other_n from left_over a join left_over b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select l.word, w.word, w.n from left_over l join words w on l.rest = w.word
+  union select w.word, l.word, l.n from left_over l join words w on l.rest = w.word),
+near as (select word, count(*) as n_near, min({{'n': -other_n, 'w': other}}) as best from pairs group by word),
+formed as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when -best.n >= 2 * w.n then best.w end as form, case when -best.n >= 2 * w.n then (-best.n)::bigint end as form_n
+  from words w left join near using (word)),
+chain(word, root, depth) as (
+  select word, form, 1 from formed where form is not null
+  union all select c.word, f.form, c.depth + 1 from chain c join formed f on f.word = c.root where f.form is not null),
+ends as (select word, arg_max(root, depth) as root from chain group by word)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from formed left join ends using (word)
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op4_maxscore": MAXSCORE, "op5_line_dedup": line_dedup(), "op6_warc": warc_derivatives(), "op8_url_filter": url_filter(), "op10_quotations": QUOTATIONS}
+    return {"op4_maxscore": MAXSCORE, "op5_line_dedup": line_dedup(), "op6_warc": warc_derivatives(), "op8_url_filter": url_filter(), "op10_quotations": QUOTATIONS, "op12_spelling_variants": spelling_variants()}
