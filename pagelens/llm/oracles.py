@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelens.llm import linededup, spelling, urlfilter, warc
+from pagelens.llm import linededup, spelling, trie, urlfilter, warc
 
 
 def quoted(text: str) -> str:
@@ -184,5 +184,35 @@ select word, form, coalesce(root, word) as root, n, n_near, form_n from formed l
 """
 
 
+def prefix_trie() -> str:
+    """Every node with every node below it, from the paths of the conversations."""
+    turn = "md5(concat_ws(chr(0), length(role)::varchar, role, text))"
+    return f"""
+with recursive {CRC_TABLE},
+rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+turns as (select conv_id, {turn} as t, length(text) as size, row_number() over (partition by conv_id order by turn nulls first, {turn}) as place from rows),
+convs as (select conv_id, conv_id - conv_id % {trie.SHARE} as base, count(*) as n from turns group by conv_id),
+heads as (select conv_id, base, n, ({crc32("conv_id::varchar")} % {trie.HEAD}) as h from convs cross join crcs),
+built as (
+  select c.conv_id, t.place as depth, t, size from heads c join turns t on t.conv_id = c.base and t.place <= h
+  union all
+  select c.conv_id, least(h, coalesce(b.n, 0)) + t.place - h, t, size from heads c join turns t using (conv_id) left join convs b on b.conv_id = c.base where t.place > h),
+paths(conv_id, depth, node, above, size) as (
+  select conv_id, 0::bigint, '', null::varchar, 0::bigint from convs
+  union all select p.conv_id, b.depth, md5(p.node || t), p.node, b.size from paths p join built b on b.conv_id = p.conv_id and b.depth = p.depth + 1),
+lengths as (select conv_id, max(depth) as last from paths group by conv_id),
+nodes as (
+  select depth, node, any_value(above) as above, any_value(size) as size, min(conv_id) as conv_id, count(*) as n_convs, bool_and(depth = last) as childless,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (depth = last) as ends
+  from paths join lengths using (conv_id) group by depth, node),
+below as (select distinct a.depth, a.node, b.depth as d, b.node as x from paths a join paths b on b.conv_id = a.conv_id and b.depth >= a.depth),
+sums as (
+  select b.depth, b.node, count(*) filter (b.d = b.depth + 1) as n_children, count(*) filter (n.childless) as n_leaves, sum((n.n_convs - 1) * n.size)::bigint as saved_tokens
+  from below b join nodes n on n.depth = b.d and n.node = b.x group by b.depth, b.node)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) as ends_sha256
+from nodes n join sums using (depth, node) left join nodes p on p.depth = n.depth - 1 and p.node = n.above
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op4_maxscore": MAXSCORE, "op5_line_dedup": line_dedup(), "op6_warc": warc_derivatives(), "op8_url_filter": url_filter(), "op10_quotations": QUOTATIONS, "op12_spelling_variants": spelling_variants()}
+    return {"op4_maxscore": MAXSCORE, "op5_line_dedup": line_dedup(), "op6_warc": warc_derivatives(), "op8_url_filter": url_filter(), "op10_quotations": QUOTATIONS, "op12_spelling_variants": spelling_variants(), "op13_prefix_trie": prefix_trie()}

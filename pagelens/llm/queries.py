@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm import decontaminate, langid, linededup, oracles, packing, quotes, records, simhash, spelling, topk, toxicity, urlfilter, warc
+from pagelens.llm import decontaminate, langid, linededup, oracles, packing, quotes, records, simhash, spelling, topk, toxicity, trie, urlfilter, warc
 from pagelens.llm.common import table
 
 
@@ -65,8 +65,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_toxicity, op4_maxscore, op5_line_dedup, op6_warc, op7_simhash, op8_url_filter, op9_packing, op10_quotations, op11_binary_records, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_langid, op2_decontamination, op3_toxicity, op4_maxscore, op5_line_dedup, op6_warc, op7_simhash, op8_url_filter, op9_packing, op10_quotations, op11_binary_records, op12_spelling_variants, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
