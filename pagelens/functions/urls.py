@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,6 +123,21 @@ def normal_url(url: Column) -> Column:
     return F.concat(scheme_of(url), F.lit("://"), host_of(url), F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), query)
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """`make` of a value that is worked out once, however often the result names it."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
+def whole(url: Column) -> Column:
+    """An address as it is asked for: scheme and host in lower case, without credentials and the scheme's own port."""
+
+    def made(u: Column) -> Column:
+        port = bound(port_of(u), lambda p: F.when(p == "", "").otherwise(F.concat(F.lit(":"), p)))
+        return F.concat(scheme_of(u), F.lit("://"), host_of(u), port, path_of(u), F.regexp_extract(u, r"^[^?#]*([?#].*)", 1))
+
+    return bound(with_scheme(url), made)
+
+
 def first_segment(url: Column) -> Column:
     return F.concat(F.lit("/"), F.coalesce(F.get(F.filter(F.split(path_of(url), "/"), lambda x: x != ""), 0), F.lit("/")))
 

@@ -24,7 +24,7 @@ SPECIFICITY = {"definitive": 1.0, "strong": 0.7, "weak": 0.3}
 CHANNEL = {"meta-generator": "generator", "html-path": "usage", "html-regex": "usage", "js-global": "usage", "inline-script": "usage", "script-host": "resource", "stylesheet-url": "href", "link-relation": "link", "meta-tag": "meta", "header": "header", "cookie-name": "cookie", "probe": "probe"}
 DESCRIPTION = {"script-host": "resource URL detected", "stylesheet-url": "stylesheet detected", "link-relation": "linked resource detected", "header": "HTTP header detected", "cookie-name": "cookie detected", "meta-generator": "generator tag detected", "meta-tag": "meta tag detected", "js-global": "JavaScript global detected", "inline-script": "initialization code detected", "html-path": "asset path detected", "html-regex": "code signature detected", "probe": "endpoint responded"}
 #: Error codes of a capture, their HTTP status and whether a retry may help.
-ERRORS = [("INVALID_URL", 400, False), ("BLOCKED_TARGET", 403, False), ("RATE_LIMITED", 429, True), ("TIMEOUT", 504, True), ("NETWORK_ERROR", 502, True), ("HTTP_ERROR", 502, True), ("TARGET_BLOCKED", 403, False), ("NOT_HTML", 415, False), ("REDIRECT_LOOP", 502, False)]
+ERRORS = [("INVALID_URL", 400, False), ("BLOCKED_TARGET", 403, False), ("TARGET_BLOCKED", 403, False), ("NOT_HTML", 422, False), ("RATE_LIMITED", 429, True), ("TIMEOUT", 504, True), ("DNS_FAILED", 502, True), ("TLS_ERROR", 502, False), ("HTTP_ERROR", 502, True), ("TOO_LARGE", 413, False), ("BUDGET_EXCEEDED", 429, False), ("INTERNAL", 500, False)]
 
 CORE_SCHEMA = "tech_ord int, tech_id string, tech_name string, category string, excludes string, veto string, sig_ord int, type string, header string, weight int, strength string, version_group int, pattern string, channel string, family string, specificity double, description string, needles array<string>, min_families int"
 

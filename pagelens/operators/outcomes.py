@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import urls
 from pagelens.functions.channels import container_ids, every
+from pagelens.operators.catalogue import ERRORS
 from pagelens.operators.safety import is_challenge
 
-#: Limits of a capture.
+#: Limits of a capture, in hops, pieces and bytes.
 MAX_HOPS, MAX_BUNDLES, MAX_CANDIDATES, MAX_CONTAINERS = 5, 5, 20, 3
+MAX_HTML, MAX_BUNDLE, MAX_CONTAINER = 500_000, 250_000, 400_000
 SCRIPT_SRC = r"""(?i)<script[^>]+src=["']([^"']+)["']"""
 LINK = r"(?i)<link\s+[^>]*>"
 MODULE = r"""(?i)rel=["'](?:[^"']*\s+)?modulepreload(?:\s+[^"']*)?["']"""
@@ -24,26 +26,58 @@ HIGH_CPU_MS = 8.0
 
 
 def is_html(content_type: Column, html: Column) -> Column:
-    """By content type, else by how the text begins."""
+    """By content type; whatever else it says, by how the text begins."""
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     head = F.lower(F.substring(html, 1, 1024))
-    return kind.contains("html") | ((kind == "") & (head.contains("<!doctype html") | head.contains("<html")))
+    return kind.contains("text/html") | kind.contains("application/xhtml") | head.contains("<!doctype html") | head.contains("<html")
 
 
-def outcome(captures: DataFrame) -> DataFrame:
-    """(page_id, ok, error_code, truncated): the first reason of the ladder."""
-    check = urls.validation(F.col("url"))["code"]
+def fetch_error(error: Column) -> Column:
+    """A struct (code, message) of what a fetch was stopped by, told from its text."""
+    named = lambda code, message: F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))
+    return F.when(error.contains("abort"), named("TIMEOUT", "The request timed out.")).when(error.rlike("DNS|ENOTFOUND|EAI_AGAIN"), named("DNS_FAILED", "Could not resolve domain name.")).when(error.rlike("certificate|SSL|TLS"), named("TLS_ERROR", "TLS certificate verification failed.")).otherwise(named("HTTP_ERROR", "Network connection failed."))
+
+
+def outcome(captures: DataFrame, *keep: str) -> DataFrame:
+    """(page_id, ok, scan, error_code, http_status, retryable, truncated): the first reason of the ladder.
+
+    `redirect_chain` may start with the page's own address, as a scanner notes it, or with the first hop.  A hop that
+    validation refuses is BLOCKED_TARGET; a loop, more than `MAX_HOPS` hops, no answer and 5xx are HTTP_ERROR.  `error`, where
+    captures have it, is what a fetch was stopped by.  A capture that was cut is partial.
+    """
+    error = F.col("error") if "error" in captures.columns else F.lit(None).cast("string")
+    first = urls.whole(F.col("url"))
     # Each hop is meant from where the last one led; an empty one leads nowhere.
-    step = lambda done, u: F.concat(done, F.array(F.when(F.trim(u) == "", F.element_at(done, -1)).otherwise(urls.resolved(F.trim(u), F.element_at(done, -1)))))
-    reached = F.slice(F.aggregate("redirect_chain", F.array(urls.with_scheme(F.col("url"))), step), 2, 1000)
-    hops = F.transform(reached, lambda u: urls.validation(u)["code"])
-    blocked = F.get(F.filter(hops, lambda c: c != "ok"), 0)
-    loop = (F.size(F.array_distinct(reached)) < F.size(reached)) | F.exists("redirect_chain", lambda u: F.trim(u) == "") | (F.size("redirect_chain") > MAX_HOPS)
+    step = lambda done, u: F.concat(done, F.array(F.when(F.trim(u) == "", F.lit("")).otherwise(urls.whole(urls.resolved(F.trim(u), F.element_at(done, -1))))))
+    chain = F.coalesce("redirect_chain", F.array().cast("array<string>"))
+    hops = F.when(urls.whole(F.get(chain, 0)) == first, F.slice(chain, 2, 1000)).otherwise(chain)
+    cut = (F.octet_length("html") > MAX_HTML) | F.exists("bundles", lambda b: F.octet_length(b) > MAX_BUNDLE) | F.exists("containers", lambda c: F.octet_length(c["js"]) > MAX_CONTAINER)
+    page = captures.select("page_id", *keep, "status", "content_type", "html", error.alias("error"), urls.validation(F.col("url"))["code"].alias("check"), F.aggregate(hops, F.array(first), step).alias("reached"), F.coalesce(cut, F.lit(False)).alias("truncated"))
+    refused = F.exists(F.slice("reached", 2, 1000), lambda u: urls.validation(u)["code"] != "ok")
+    loop = (F.size(F.array_distinct("reached")) < F.size("reached")) | (F.size("reached") > MAX_HOPS + 1)
+    html, status = F.coalesce("html", F.lit("")), F.col("status")
     code = (
-        F.when(check != "ok", check).when(blocked.isNotNull(), blocked).when(loop, "REDIRECT_LOOP").when(F.col("status").isNull(), "NETWORK_ERROR").when(F.col("status") >= 500, "HTTP_ERROR")
-        .when(is_challenge(F.col("status"), F.lit("")), "TARGET_BLOCKED").when(~is_html(F.col("content_type"), F.coalesce("html", F.lit(""))), "NOT_HTML").when(is_challenge(F.col("status"), F.coalesce("html", F.lit(""))), "TARGET_BLOCKED")
+        F.when(F.col("check") != "ok", F.col("check")).when(F.col("error").isNotNull(), fetch_error(F.col("error"))["code"]).when(refused, "BLOCKED_TARGET").when(loop | status.isNull() | (status >= 500), "HTTP_ERROR")
+        .when(is_challenge(status, F.lit("")), "TARGET_BLOCKED").when(~is_html(F.col("content_type"), html), "NOT_HTML").when(is_challenge(status, html), "TARGET_BLOCKED")
     )
-    return captures.select("page_id", code.isNull().alias("ok"), code.alias("error_code"), (F.octet_length("html") > 500_000).alias("truncated"))
+    told = page.select("page_id", *keep, "status", "error", "truncated", code.alias("error_code"))
+    of = lambda at: F.element_at(F.create_map(*(F.lit(x) for e in ERRORS for x in (e[0], e[at]))), F.col("error_code"))
+    http = F.when((F.col("error_code") == "HTTP_ERROR") & F.col("error").isNull() & (status >= 500), status).otherwise(of(1))
+    failed = F.col("error_code").isNotNull()
+    return told.select("page_id", *keep, (~failed).alias("ok"), F.when(failed, "failed").when(F.col("truncated"), "partial").otherwise("complete").alias("scan"), "error_code", http.cast("int").alias("http_status"), F.coalesce(of(2), F.lit(False)).alias("retryable"), "truncated")
+
+
+def folded_attempts(attempts: DataFrame) -> DataFrame:
+    """The outcome of each page from a log of attempts (captures with `attempt` and `error`): (page_id, attempts, retried, ...).
+
+    A second attempt counts only if the first ended in HTTP_ERROR, which a status of 500 or more is too; later ones never do.
+    """
+    rows = outcome(attempts.where("attempt in (1, 2)"), "attempt")
+    fields = ["ok", "scan", "error_code", "http_status", "retryable", "truncated"]
+    pick = lambda n: F.max_by(F.struct(*fields), F.when(F.col("attempt") == n, 1)).alias(f"a{n}")
+    both = rows.withColumn("again", F.coalesce((F.col("attempt") == 1) & (F.col("error_code") == "HTTP_ERROR"), F.lit(False))).groupBy("page_id").agg(F.count("*").alias("attempts"), F.max("again").alias("again"), pick(1), pick(2))
+    retried = F.col("again") & F.col("a2").isNotNull()
+    return both.select("page_id", "attempts", retried.alias("retried"), F.when(retried, F.col("a2")).otherwise(F.col("a1")).alias("o")).where("o is not null").select("page_id", "attempts", "retried", "o.*")
 
 
 def script_candidates(html: Column, url: Column) -> Column:

@@ -44,6 +44,16 @@ def path(u: str) -> str:
     return f"coalesce(nullif(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/')"
 
 
+def whole(u: str) -> str:
+    u = SCHEME.format(u)
+    return f"({scheme(u)} || '://' || {host(u)} || case when {port(u)} = '' then '' else ':' || {port(u)} end || {path(u)} || regexp_extract({u}, '^[^?#]*([?#].*)', 1))"
+
+
+def resolved(link: str, base: str) -> str:
+    origin = f"{scheme(base)} || '://' || {authority(base)}"
+    return f"(case when regexp_matches({link}, '{urls.SCHEME}') then {link} when starts_with({link}, '//') then {scheme(base)} || ':' || {link} when starts_with({link}, '/') then {origin} || {link} when starts_with({link}, '?') then {origin} || {path(base)} || {link} else {origin} || regexp_replace({path(base)}, '[^/]*$', '') || {link} end)"
+
+
 def normal(u: str) -> str:
     return f"({scheme(u)} || '://' || {host(u)} || case when {port(u)} = '' then '' else ':' || {port(u)} end || (case when length({path(u)}) > 1 then coalesce(nullif(regexp_replace({path(u)}, '/+$', ''), ''), '/') else {path(u)} end) || regexp_extract({u}, '^[^?#]*(\\?[^#]*)', 1))"
 
@@ -428,11 +438,29 @@ CACHE = f"with {CAPS} select {host('final_url')} || regexp_replace({path('final_
 
 CACHE_QUERY = f"""with {CAPS}, {{outcome}} select {host('final_url')} || regexp_replace({path('final_url')}, '/+$', '') || regexp_extract(final_url, '^[^?#]*(\\?[^#]*)', 1) as cache_key, min(page_id) as page_id, count(*) as n
 from caps join outcome using (page_id) where ok and not truncated group by 1"""
-_VALID = f"(with {VALIDATE.replace('select page_id, url from pages union all', 'select row_number() over () as page_id, url from (select distinct unnest(list_concat([url], redirect_chain)) as url from caps) union all')} select url, v.code as code from valid where page_id > 0)"
-OUTCOME = f"""codes as {_VALID},
-checked_ as (select c.page_id, c.status, c.content_type, c.html, c.redirect_chain, (select code from codes k where k.url = c.url) as own, list_filter(list_transform(c.redirect_chain, lambda u: map_of[u]), lambda x: x <> 'ok')[1] as hop from caps c, (select map_from_entries(list({{'k': url, 'v': code}})) as map_of from codes)),
-outcome as (select page_id, code is null as ok, code as error_code, octet_length(encode(html)) > 500000 as truncated from (select *, case when own <> 'ok' then own when hop is not null then hop when len(list_distinct(redirect_chain)) < len(redirect_chain) or len(redirect_chain) > 5 then 'REDIRECT_LOOP' when status is null then 'NETWORK_ERROR' when status >= 500 then 'HTTP_ERROR'
-  when status in (401, 403, 407, 429, 503) then 'TARGET_BLOCKED' when not (contains(lower(coalesce(content_type, '')), 'html') or (coalesce(content_type, '') = '' and (contains(lower(html[1:1024]), '<!doctype html') or contains(lower(html[1:1024]), '<html')))) then 'NOT_HTML' when {CHALLENGE} then 'TARGET_BLOCKED' end as code from checked_))"""
+def codes_of(rows: str) -> str:
+    """(url, code, message): the validation of other addresses than those of pages; `rows` selects them as url."""
+    return f"(with {VALIDATE.replace('select page_id, url from pages union all', f'select row_number() over () as page_id, url from ({rows}) union all')} select url, v.code as code, v.message as message from valid where page_id > 0)"
+
+
+def fetch_code(error: str) -> str:
+    return f"(case when contains({error}, 'abort') then 'TIMEOUT' when regexp_matches({error}, 'DNS|ENOTFOUND|EAI_AGAIN') then 'DNS_FAILED' when regexp_matches({error}, 'certificate|SSL|TLS') then 'TLS_ERROR' else 'HTTP_ERROR' end)"
+
+
+def outcome(table: str, keep: str = "", error: str = "null::varchar") -> str:
+    """The ladder over a relation of captures, as the relation `outcome`."""
+    return f"""codes as {codes_of(f"select distinct unnest(list_concat([url], redirect_chain)) as url from {table}")},
+known as (select map_from_entries(list({{'k': url, 'v': code}})) as code_of from codes),
+chains as (select c.*, {error} as err, case when len(redirect_chain) > 0 and {whole("redirect_chain[1]")} = {whole("url")} then redirect_chain[2:] else redirect_chain end as hops from {table} c),
+checked_ as (select *, code_of[url] as own, len(list_filter(hops, lambda u: code_of[u] <> 'ok')) > 0 as refused, list_concat([{whole("url")}], list_transform(hops, lambda u: {whole("u")})) as reached from chains, known),
+laddered as (select *, case when own <> 'ok' then own when err is not null then {fetch_code("err")} when refused then 'BLOCKED_TARGET' when len(list_distinct(reached)) < len(reached) or len(reached) > 6 or status is null or status >= 500 then 'HTTP_ERROR'
+  when status in (401, 403, 407, 429, 503) then 'TARGET_BLOCKED' when not (contains(lower(coalesce(content_type, '')), 'text/html') or contains(lower(coalesce(content_type, '')), 'application/xhtml') or contains(lower(html[1:1024]), '<!doctype html') or contains(lower(html[1:1024]), '<html')) then 'NOT_HTML' when {CHALLENGE} then 'TARGET_BLOCKED' end as code,
+  octet_length(encode(html)) > 500000 or len(list_filter(bundles, lambda b: octet_length(encode(b)) > 250000)) > 0 or len(list_filter(containers, lambda c: octet_length(encode(c.js)) > 400000)) > 0 as cut from checked_),
+outcome as (select page_id{keep}, l.code is null as ok, case when l.code is not null then 'failed' when cut then 'partial' else 'complete' end as scan, l.code as error_code, (case when l.code = 'HTTP_ERROR' and err is null and not refused and status >= 500 then status else e.http_status end)::integer as http_status, coalesce(e.retryable, false) as retryable, cut as truncated
+  from laddered l left join {values(catalogue.ERRORS, 'code, http_status, retryable')} e on e.code = l.code)"""
+
+
+OUTCOME = outcome("caps")
 CAPTURE_OUTCOME = f"with {CAPS}, {OUTCOME} select * from outcome"
 SCAN_LOG = f"""with {CAPS}, {OUTCOME} select {host('url')} as host, coalesce(error_code, 'ok') as outcome, count(*) as scans, sum((page_id % 200)::double) as duration_ms, sum(len(redirect_chain) + 1)::bigint as subrequests, sum(truncated::int)::bigint as truncated, sum(((page_id % 200)::double * 0.08 >= 8)::int)::bigint as high_cpu
 from caps join outcome using (page_id) group by 1, 2"""
