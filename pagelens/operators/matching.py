@@ -1,15 +1,24 @@
-"""Pages meet rules: long channels joined with a broadcast rule table, equal on channel and a regular expression beside.
+"""Pages meet rules: long channels joined with a broadcast rule table.
 
-The rule tables are broadcast because their size is checked (`MAX_RULES`); a larger one is joined by channel as Spark
-sees fit.  Of several values of a channel that match, the first one counts.
+One automaton for each channel holds the fixed texts of all its rules.  It runs over a text once and names the rules whose
+fixed texts are there, so the work does not grow with the number of rules; only these rules' regular expressions are
+tried.  Rules without a fixed text are always tried.  Rule tables are broadcast because their size is checked
+(`MAX_RULES`); a larger one is joined by channel as Spark sees fit.  Of several values of a channel that match, the first
+one counts.
 """
 
 from __future__ import annotations
 
+import functools
+from collections import defaultdict
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import channels as ch
+from pagelens.operators.catalogue import needles
 
 MAX_RULES = 20_000
 #: What a hit keeps of its rule.
@@ -21,6 +30,54 @@ def small(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(MAX_RULES + 1).count() <= MAX_RULES else rules
 
 
+@functools.lru_cache(maxsize=8)
+def automata(fixed: tuple[tuple[str, str, int], ...]) -> dict[str, ahocorasick.Automaton]:
+    """By channel the automaton of its fixed texts, each with the numbers of the rules that need it."""
+    by: dict[str, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for channel, text, number in fixed:
+        by[channel][text].append(number)
+    made = {}
+    for channel, texts in by.items():
+        made[channel] = ahocorasick.Automaton()
+        for text, numbers in texts.items():
+            made[channel].add_word(text, tuple(numbers))
+        made[channel].make_automaton()
+    return made
+
+
+def rules_for(texts: DataFrame, rules: DataFrame, lower: Column) -> DataFrame:
+    """`texts` (alias c, with `channel`) with the rules (alias r) of their channel whose fixed texts `lower` may hold.
+
+    Rules have `channel`, `pattern` and, where they were worked out before, `needles`.
+    """
+    rows = rules.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        return texts.alias("c").join(rules.alias("r"), F.col("c.channel") == F.col("r.channel"))
+    fixed, always = [], defaultdict(list)
+    for number, rule in enumerate(rows):
+        known = rule["needles"] if "needles" in rules.columns else needles(rule["pattern"])
+        fixed += [(rule["channel"], text, number) for text in known]
+        if not known:
+            always[rule["channel"]].append(number)
+    fixed, always = tuple(fixed), dict(always)
+
+    @F.arrow_udf("array<int>")
+    def candidates(channel: pa.Array, text: pa.Array) -> pa.Array:
+        made, out = automata(fixed), []
+        for name, value in zip(channel.to_pylist(), text, strict=True):
+            found = set(always.get(name, ()))
+            if name in made:
+                for _, numbers in made[name].iter(value.as_py() or ""):
+                    found.update(numbers)
+            out.append(sorted(found))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    table = rules.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(rows)], f"rule_number int, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rules.schema)}")
+    named = texts.where(F.col("channel").isin(*{r["channel"] for r in rows}))
+    met = named.withColumn("rule_number", F.explode(candidates("channel", lower)))
+    return met.alias("c").join(F.broadcast(table).alias("r"), F.col("c.rule_number") == F.col("r.rule_number"))
+
+
 def icase(pattern: Column) -> Column:
     return F.concat(F.lit("(?i)"), pattern)
 
@@ -46,8 +103,7 @@ def core_channels(captures: DataFrame) -> DataFrame:
         _rows("cookie", F.col("cookies")),
         _rows("probe", F.map_entries("probes"), name=lambda x: x["key"], value=lambda x: x["value"]),
     )
-    rows = captures.select("page_id", F.explode(every).alias("c")).select("page_id", "c.*").where(F.regexp_replace("value", r"\s+", "") != "")
-    return rows.withColumn("lower", F.lower("value"))
+    return captures.select("page_id", F.explode(every).alias("c")).select("page_id", "c.*").where(F.regexp_replace("value", r"\s+", "") != "")
 
 
 def with_vetoes(rules: DataFrame) -> DataFrame:
@@ -62,12 +118,12 @@ def core_evidence(captures: DataFrame, rules: DataFrame) -> DataFrame:
     A probe's success text counts only where another signal of the technology matches; a veto on the raw HTML removes
     the technology.  Patterns that need a fixed text are tried only on values that contain it.
     """
-    c, r = core_channels(captures).alias("c"), small(with_vetoes(rules)).alias("r")
+    met = rules_for(core_channels(captures), with_vetoes(rules), F.lower("value"))
     named = ~F.col("r.channel").isin("header", "probe") | (F.col("r.header") == F.col("c.name"))
     plain = F.col("r.channel") == "probe"
     pattern = icase(F.col("r.pattern"))
-    hit = F.when(plain, F.col("c.value").contains(F.col("r.pattern"))).otherwise(((F.size("r.needles") == 0) | F.exists("r.needles", lambda n: F.col("c.lower").contains(n))) & (F.rlike("c.value", pattern) | F.coalesce(F.rlike("c.alt", pattern), F.lit(False))))
-    rows = c.join(r, (F.col("c.channel") == F.col("r.channel")) & named & hit)
+    hit = F.when(plain, F.col("c.value").contains(F.col("r.pattern"))).otherwise(F.rlike("c.value", pattern) | F.coalesce(F.rlike("c.alt", pattern), F.lit(False)))
+    rows = met.where(named & hit)
     # What is kept of a hit is a few short texts; the page's own text ends here and meets no shuffle.
     short = rows.select("page_id", *(f"r.{x}" for x in RULE), "c.ord", *_texts())
     first = short.groupBy("page_id", *RULE).agg(F.min(F.struct("ord", "name", "value", "artifact", "version")).alias("hit"))
@@ -129,12 +185,11 @@ def type_hits(captures: DataFrame, rules: DataFrame, look: dict[str, list[str]],
     """One row for each page, technology and rule that matches: type, weight, header_only, container."""
     places = [(t, c, i) for t, cs in look.items() for i, c in enumerate(cs)] + [(t, "container", 90) for t in in_containers]
     where = rules.sparkSession.createDataFrame(places, "type string, channel string, place int")
-    r, h = small(rules.join(F.broadcast(where), "type")).alias("r"), haystacks(captures).alias("h")
-    allowed = (F.col("r.channel") != "container") | (F.col("r.weight") >= 0.35)
-    hits = h.join(r, (F.col("h.channel") == F.col("r.channel")) & allowed & F.rlike("h.text", icase(F.col("r.pattern"))))
-    detail = F.when(F.col("h.channel") == "container", F.concat(F.lit("Found in GTM container "), F.substring("h.name", 6, 200), F.lit(": "), "description")).otherwise(F.col("description"))
-    found = snippet(F.regexp_substr("h.text", icase(F.col("r.pattern"))))
-    hits = hits.select("page_id", "tech_ord", "tech_id", "tech_name", "category", "rule_ord", "type", "weight", "product", "launch_only", detail.alias("detail"), found.alias("value"), "place", F.col("h.channel").alias("channel"), F.col("h.name").alias("container"))
+    placed = rules.join(F.broadcast(where), "type").where("channel <> 'container' or weight >= 0.35")
+    hits = rules_for(haystacks(captures), placed, F.lower("text")).where(F.rlike("c.text", icase(F.col("r.pattern"))))
+    detail = F.when(F.col("c.channel") == "container", F.concat(F.lit("Found in GTM container "), F.substring("c.name", 6, 200), F.lit(": "), "description")).otherwise(F.col("description"))
+    found = snippet(F.regexp_substr("c.text", icase(F.col("r.pattern"))))
+    hits = hits.select("page_id", "tech_ord", "tech_id", "tech_name", "category", "rule_ord", "type", "weight", "product", "launch_only", detail.alias("detail"), found.alias("value"), "place", F.col("c.channel").alias("channel"), F.col("c.name").alias("container"))
     # A rule counts once, where it is found first; a container once for each technology, by its first rule.
     inside = F.col("channel") == "container"
     order = F.when(inside, F.col("rule_ord")).otherwise(F.col("place"))

@@ -176,7 +176,7 @@ def test_every_core_technology_has_a_positive_and_a_near_miss(spark):
     rows = matching.core_evidence(capture(spark, *pages), catalogue.core(spark)).select("page_id", "tech_id", "sig_ord").collect()
     found = {tuple(r) for r in rows}
     missed = [n for i, n in enumerate(names) if (2 * i, *n) not in found]
-    assert missed == [] and len({t for t, _ in names}) == 52
+    assert missed == [] and len({t for t, _ in names}) == 107
     assert [n for i, n in enumerate(names) if (2 * i + 1, *n) in found] == []
 
 
