@@ -10,6 +10,7 @@ from pagelens.plans import oracles as sql
 from pagelens.plans.queries import Query, captures, pages
 from pagelens.sources import lookups
 from pagelens.sources.captures import quoted
+from pagelens.streaming import containers, scans
 
 #: The second feed is set up, the third is not; what the third lists counts for nothing.
 FEEDS = [("safe-browsing", True), ("urlhaus", False)]
@@ -72,6 +73,19 @@ def capture_attempts(spark, sf_dir):
     return outcomes.folded_attempts(lookups.attempts(pages(spark, sf_dir)))
 
 
+def page_containers(spark, sf_dir):
+    """Tag containers of pages from a log of fetches: ids, scripts and warnings."""
+    page = pages(spark, sf_dir)
+    found = containers.expanded(lookups.timed(captures(spark, sf_dir)), lookups.container_fetches(page))
+    return found.select("page_id", F.array_join(F.transform("containers", lambda c: F.concat(c["id"], F.lit("="), c["js"])), " ").alias("containers"), F.array_join("warnings", " ").alias("warnings"))
+
+
+def scan_minutes(spark, sf_dir):
+    """Scans, failures and the share of costly ones by hour and host."""
+    found = scans.scan_minutes(lookups.scans(spark.read.parquet(f"{sf_dir}/events.parquet")), minutes=60)
+    return found.select(F.unix_seconds("minute").alias("second"), "host", "scans", "failed", "truncated", "high_cpu", F.round("high_cpu_share", 9).alias("high_cpu_share"), F.round("duration_ms", 3).alias("duration_ms"))
+
+
 ANSWERS = f"answers as ({lookups.answers_sql(sql.host('url'))})"
 _IP = quoted(network.IP_LITERAL)
 REPORTS = f"""{ANSWERS}, asked as (select distinct {sql.host('url')} as host from pages where {sql.host('url')} <> ''),
@@ -158,13 +172,25 @@ firsts as (select * from outcome where attempt = 1), seconds as (select * from o
 select page_id, attempts::bigint as attempts, coalesce(retried, false) as retried, {', '.join(f'case when coalesce(retried, false) then b.{c} else a.{c} end as {c}' for c in ('ok', 'scan', 'error_code', 'http_status', 'retryable', 'truncated'))} from picked"""
 
 
+_CONTAINER_IDS = "list_filter(list_transform(range(1, len(ids) + 1), lambda i: case when list_position(ids, ids[i]) = i then ids[i] end), lambda x: x is not null)[1:3]"
+PAGE_CONTAINERS = f"""with {sql.CAPS}, fetches as ({lookups.container_fetches_sql()}),
+found as (select page_id, page_id * 20 as second, regexp_extract_all(array_to_string(list_concat([html], bundles), chr(10)), 'GTM-[A-Z0-9]+') as ids from caps),
+asked as (select page_id, second, unnest({_CONTAINER_IDS}) as id, generate_subscripts({_CONTAINER_IDS}, 1) as ord from found where len(ids) > 0),
+latest as (select a.page_id, a.ord, a.id, max({{'t': f.fetched_at, 's': f.status, 'c': f.content_type, 'j': f.js, 'e': f.error}}) filter (f.id is not null) as f from asked a left join fetches f on f.id = a.id and f.fetched_at <= a.second and a.second < f.fetched_at + {containers.VALID} group by all),
+judged as (select *, coalesce(f.e is null and f.s between 200 and 299 and regexp_matches(f.c, 'javascript|ecmascript|text'), false) as good from latest)
+select page_id, coalesce(string_agg(id || '=' || f.j, ' ' order by ord) filter (good), '') as containers,
+  coalesce(string_agg('GTM container ' || id || case when f is null then ' fetch failed; kept normal results.' when f.e is not null then ' unavailable (' || f.e || ')' else ' returned an unexpected response.' end, ' ' order by ord) filter (not good), '') as warnings from judged group by page_id"""
+SCAN_MINUTES = """select floor(epoch(ts) / 3600)::bigint * 3600 as second, 'h' || (user_id % 7) || '.shop.com' as host, count(*) as scans, sum((event_type <> 'click')::int)::bigint as failed, sum((event_id % 10 = 0)::int)::bigint as truncated, sum((abs(value) * 0.08 >= 8)::int)::bigint as high_cpu,
+  round(sum((abs(value) * 0.08 >= 8)::int) / count(*), 9) as high_cpu_share, round(sum(abs(value)), 3) as duration_ms from events group by 1, 2"""
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (dns_audit, cname_chain, threat_audit, threat_audit_all_feeds, network_findings, network_safety, redirect_resolution, pinned_resolution, capture_attempts)}
+    return {f.__name__: f for f in (dns_audit, cname_chain, threat_audit, threat_audit_all_feeds, network_findings, network_safety, redirect_resolution, pinned_resolution, capture_attempts, page_containers, scan_minutes)}
 
 
 def all_sql() -> dict[str, str]:
     smallest = f"(select min({sql.host('url')}) from pages)"
     return {
         "dns_audit": DNS_AUDIT, "cname_chain": CNAME_CHAIN, "threat_audit": f"with {threats(FEEDS)} select * from threats", "threat_audit_all_feeds": f"with {threats([(f, True) for f, _ in FEEDS])} select * from threats", "network_findings": NETWORK_FINDINGS, "network_safety": NETWORK_SAFETY,
-        "redirect_resolution": followed(), "pinned_resolution": followed(f"{sql.host('url')} = pin_host", 2, smallest), "capture_attempts": ATTEMPTS,
+        "redirect_resolution": followed(), "pinned_resolution": followed(f"{sql.host('url')} = pin_host", 2, smallest), "capture_attempts": ATTEMPTS, "page_containers": PAGE_CONTAINERS, "scan_minutes": SCAN_MINUTES,
     }

@@ -122,3 +122,31 @@ def attempts_sql(captures: str) -> str:
         f"select * replace (case when page_id % 10 in (4, 6) then 503 else status end as status), 1 as attempt, case page_id % 10 when 8 then 'The operation was aborted' when 2 then 'read ECONNRESET' when 5 then 'self-signed certificate' end as error from {captures} "
         f"union all select * replace (case when page_id % 10 = 6 then 502 else status end as status), 2, null from {captures} where page_id % 10 in (2, 4, 6, 8)"
     )
+
+
+def timed(captures: DataFrame) -> DataFrame:
+    """Captures with a synthetic time `at`: one each 20 seconds."""
+    return captures.withColumn("at", F.timestamp_seconds(F.col("page_id") * 20))
+
+
+def container_fetches(pages: DataFrame) -> DataFrame:
+    """A synthetic log of container fetches (`streaming.containers.FETCHES`), up to ten minutes before some of the pages."""
+    k = F.col("page_id")
+    rows = pages.where("page_id % 12 in (3, 4)")
+    return rows.select(
+        F.when(k % 12 == 3, "GTM-BUNDLE9").otherwise("GTM-ABC123").alias("id"), F.timestamp_seconds(k * 20 - (k * 7) % 600).alias("fetched_at"), F.when(k % 5 == 0, 404).otherwise(200).alias("status"), F.when(k % 7 == 0, "image/png").otherwise("text/javascript").alias("content_type"),
+        F.concat(F.lit("v"), k.cast("string")).alias("js"), F.when(k % 11 == 0, "Request timed out").alias("error"),
+    )
+
+
+def container_fetches_sql() -> str:
+    return (
+        "select case when page_id % 12 = 3 then 'GTM-BUNDLE9' else 'GTM-ABC123' end as id, page_id * 20 - (page_id * 7) % 600 as fetched_at, case when page_id % 5 = 0 then 404 else 200 end as status, case when page_id % 7 = 0 then 'image/png' else 'text/javascript' end as content_type, "
+        "'v' || page_id as js, case when page_id % 11 = 0 then 'Request timed out' end as error from pages where page_id % 12 in (3, 4)"
+    )
+
+
+def scans(events: DataFrame) -> DataFrame:
+    """A synthetic log of scans from a table of events: who scanned is the host, the value how long it took, the type what came of it."""
+    took = F.abs(F.col("value"))
+    return events.select(F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("https://h"), (F.col("user_id") % 7).cast("string"), F.lit(".shop.com/")).alias("url"), F.when(F.col("event_type") == "click", "ok").otherwise(F.col("event_type")).alias("outcome"), took.alias("duration_ms"), (took * 0.08).alias("cpu_ms"), (F.col("event_id") % 10 == 0).alias("truncated"))
