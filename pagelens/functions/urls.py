@@ -20,6 +20,11 @@ FORBIDDEN = r"[\s#/:<>?@\\^|%\[\]]"
 ASSET = r"(?i)\.(css|js|png|jpe?g|gif|svg|webp|avif|ico|woff2?|ttf|eot|map|json|xml|txt|pdf|zip)$"
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """`make` of a value that is worked out once, however often the result names it."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
 def with_scheme(url: Column) -> Column:
     url = F.trim(F.coalesce(url, F.lit("")))
     return F.when(url.rlike(SCHEME), url).otherwise(F.concat(F.lit("https://"), url))
@@ -73,21 +78,26 @@ def is_ipv4(host: Column) -> Column:
 
 def validation(raw: Column) -> Column:
     """A struct (code, message); code is `ok`, `INVALID_URL` or `BLOCKED_TARGET`.  The first reason counts."""
-    trimmed = F.trim(F.coalesce(raw, F.lit("")))
-    url = with_scheme(raw)
-    host = decoded_host(url)
-    literal = host_of(url).contains(":") | host_of(url).startswith("[")
-    port = F.regexp_extract(authority_of(url), r":([0-9]+)$", 1)
-    unreadable = (authority_of(url) == "") | (~literal & (host.rlike(FORBIDDEN) | (host.rlike(NUMERIC) & ~is_ipv4(host)))) | (F.length(port) > 5) | ((F.length(port) == 5) & (port > "65535"))
+    first = F.struct(F.trim(F.coalesce(raw, F.lit(""))).alias("trimmed"), with_scheme(raw).alias("url"))
+    parts = lambda x: {"trimmed": x["trimmed"], "scheme": scheme_of(x["url"]), "authority": authority_of(x["url"]), "port": port_of(x["url"]), "written": host_of(x["url"]), "host": decoded_host(x["url"])}
+    return bound(first, lambda x: bound(F.struct(*(v.alias(k) for k, v in parts(x).items())), _judged))
+
+
+def _judged(x: Column) -> Column:
+    """The verdict on the parts of an address."""
+    trimmed, host = x["trimmed"], x["host"]
+    literal = x["written"].contains(":") | x["written"].startswith("[")
+    port = F.regexp_extract(x["authority"], r":([0-9]+)$", 1)
+    unreadable = (x["authority"] == "") | (~literal & (host.rlike(FORBIDDEN) | (host.rlike(NUMERIC) & ~is_ipv4(host)))) | (F.length(port) > 5) | ((F.length(port) == 5) & (port > "65535"))
     bad = lambda cond, message, code="INVALID_URL": (cond, F.struct(F.lit(code).alias("code"), (message if isinstance(message, Column) else F.lit(message)).alias("message")))
     ladder = [
         bad(trimmed == "", "Empty URL"),
         bad(F.length(trimmed) > 2048, "URL too long"),
         bad(trimmed.rlike("[\\s<>\"'`]"), "URL contains invalid characters"),
         bad(unreadable, "Cannot parse URL"),
-        bad(authority_of(url).contains("@"), "URLs with user credentials are not allowed"),
-        bad(~scheme_of(url).isin("http", "https"), F.concat(F.lit("Unsupported scheme: "), scheme_of(url), F.lit(":"))),
-        bad(~port_of(url).isin(*ALLOWED_PORTS), F.concat(F.lit("Non-standard port: "), port_of(url))),
+        bad(x["authority"].contains("@"), "URLs with user credentials are not allowed"),
+        bad(~x["scheme"].isin("http", "https"), F.concat(F.lit("Unsupported scheme: "), x["scheme"], F.lit(":"))),
+        bad(~x["port"].isin(*ALLOWED_PORTS), F.concat(F.lit("Non-standard port: "), x["port"])),
         bad(host == "", "Missing hostname"),
         bad(is_ipv4(host) | literal, "Direct IP access is not allowed", "BLOCKED_TARGET"),
         bad(host.rlike(RESERVED_HOSTS), "Private or reserved hostname", "BLOCKED_TARGET"),
@@ -123,11 +133,6 @@ def normal_url(url: Column) -> Column:
     return F.concat(scheme_of(url), F.lit("://"), host_of(url), F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), query)
 
 
-def bound(value: Column, make: Callable[[Column], Column]) -> Column:
-    """`make` of a value that is worked out once, however often the result names it."""
-    return F.get(F.transform(F.array(value), make), 0)
-
-
 def whole(url: Column) -> Column:
     """An address as it is asked for: scheme and host in lower case, without credentials and the scheme's own port."""
 

@@ -119,6 +119,11 @@ def growth_rows() -> tuple[list[tuple], list[tuple]]:
     return typed_rows(_technologies("growth"))
 
 
+def growth_details() -> list[tuple]:
+    """(tech_id, website, variant_note) of the growth catalogue."""
+    return [(t["id"], t.get("website"), t.get("variantNote")) for t in _technologies("growth")]
+
+
 def security_rows() -> list[tuple]:
     return typed_rows(_technologies("security"))[0]
 
@@ -129,6 +134,7 @@ def protection_rows() -> list[tuple]:
 
 RULE_SCHEMA = "tech_ord int, tech_id string, tech_name string, category string, rule_ord int, type string, weight double, product string, pattern string, description string, launch_only boolean"
 ID_SCHEMA = "tech_ord int, tech_id string, rule_ord int, kind string, pattern string"
+DETAIL_SCHEMA = "tech_id string, website string, variant_note string"
 PROTECTION_SCHEMA = "provider_ord int, provider_id string, provider string, rule_ord int, strength string, channel string, label string, pattern string"
 
 
@@ -144,6 +150,10 @@ def growth_ids(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(growth_rows()[1], ID_SCHEMA)
 
 
+def details(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(growth_details(), DETAIL_SCHEMA)
+
+
 def security(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(security_rows(), RULE_SCHEMA)
 

@@ -21,6 +21,8 @@ from pagelens.functions import channels as ch
 from pagelens.operators.catalogue import needles
 
 MAX_RULES = 20_000
+#: Containers of a page, and characters of one, that are looked at.
+MAX_CONTAINERS, MAX_CONTAINER = 3, 400_000
 #: What a hit keeps of its rule.
 RULE = ["tech_ord", "tech_id", "tech_name", "category", "excludes", "min_families", "sig_ord", "type", "weight", "strength", "family", "specificity", "description"]
 NO_STRUCTS = "array<struct<channel:string,name:string,ord:int,value:string,alt:string>>"
@@ -166,27 +168,46 @@ SECURITY_LOOK = {"script-host": ["resource", "weak"], "network-host": ["resource
 WEAK = ("weak", "comments")
 
 
-def haystacks(captures: DataFrame) -> DataFrame:
-    """One text for each page and channel; container scripts, sanitised, as channel `container` with their id."""
-    html = F.coalesce("html", F.lit(""))
-    page = captures.select("page_id", html.alias("html"), ch.lowered_headers(F.col("headers")).alias("headers"), "cookies", "bundles", "containers")
+#: What a rendered pass adds to pages, each as a channel of its own; a catalogue names them in its rules' places.
+RENDERED = {"globals": "globals", "network": "requests", "storage": "storage_keys"}
+
+
+def limited(containers: Column) -> Column:
+    """The first containers of a page, each cut."""
+    return F.transform(F.slice(containers, 1, MAX_CONTAINERS), lambda c: F.struct(c["id"].alias("id"), F.substring(c["js"], 1, MAX_CONTAINER).alias("js")))
+
+
+def haystacks(captures: DataFrame, channels: dict[str, Column] | None = None) -> DataFrame:
+    """One text for each page and channel; container scripts, sanitised, as channel `container` with their id.
+
+    Addresses that a rendered page asked for count among its resources, its globals among its code, its storage keys among
+    its cookies.  `channels` adds texts of other columns under names that a catalogue's rules may look at.
+    """
+    html, none = F.coalesce("html", F.lit("")), F.array().cast("array<string>")
+    given = {c: F.coalesce(F.col(c), none) if c in captures.columns else none for c in RENDERED.values()}
+    more = {name: F.array_join(given[c], "\n") for name, c in RENDERED.items()} | (channels or {})
+    page = captures.select("page_id", html.alias("html"), ch.lowered_headers(F.col("headers")).alias("headers"), "cookies", "bundles", limited(F.col("containers")).alias("containers"), *(v.alias(c) for c, v in given.items()), *(v.alias(f"_{name}") for name, v in more.items()))
     page = page.select("*", F.array_join(F.concat(ch.inline_scripts(F.col("html")), "bundles"), "\n").alias("code"), F.array_join(ch.ids_and_classes(F.col("html")), " ").alias("dom"), F.array_join(ch.every(F.col("html"), ch.COMMENT), "\n").alias("comments"))
     html = F.col("html")
     one = lambda name, text, key="": F.struct(F.lit(name).alias("channel"), F.lit(key).alias("name"), text.alias("text"))
     texts = F.array(
-        one("resource", F.array_join(ch.resource_urls(html), "\n")), one("code", F.col("code")), one("global", F.col("code")), one("dom", F.col("dom")), one("attr", F.array_join(F.concat(ch.attribute_hooks(html), F.array("dom")), "\n")), one("cookie", F.array_join("cookies", " ")),
-        one("comments", F.col("comments")), one("weak", F.concat(F.coalesce(F.col("headers")["content-security-policy"], F.lit("")), F.lit("\n"), "comments")), one("iframe", F.array_join(ch.iframe_srcs(html), "\n")),
+        one("resource", F.array_join(F.concat(ch.resource_urls(html), "requests"), "\n")), one("code", F.col("code")), one("global", F.array_join(F.concat("globals", F.array("code")), "\n")), one("dom", F.col("dom")), one("attr", F.array_join(F.concat(ch.attribute_hooks(html), F.array("dom")), "\n")), one("cookie", F.array_join(F.concat("cookies", "storage_keys"), " ")),
+        one("comments", F.col("comments")), one("weak", F.concat(F.coalesce(F.col("headers")["content-security-policy"], F.lit("")), F.lit("\n"), "comments")), one("iframe", F.array_join(ch.iframe_srcs(html), "\n")), *(one(name, F.coalesce(F.col(f"_{name}"), F.lit(""))) for name in more),
     )
     inside = F.transform("containers", lambda c, i: F.struct(F.lit("container").alias("channel"), F.concat(F.lpad(i.cast("string"), 4, "0"), F.lit(" "), c["id"]).alias("name"), ch.sanitised(c["js"]).alias("text")))
     return page.select("page_id", F.explode(F.concat(texts, inside)).alias("c")).select("page_id", "c.*").where("text <> ''")
 
 
-def type_hits(captures: DataFrame, rules: DataFrame, look: dict[str, list[str]], in_containers: tuple[str, ...]) -> DataFrame:
-    """One row for each page, technology and rule that matches: type, weight, header_only, container."""
+def type_hits(captures: DataFrame, rules: DataFrame, look: dict[str, list[str]], in_containers: tuple[str, ...], channels: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each page, technology and rule that matches: type, weight, header_only, container.
+
+    `look` says where rules of a type look, in order; with a type of its own there, and `channels` for what no page has yet, a
+    catalogue looks at anything that captures hold.
+    """
     places = [(t, c, i) for t, cs in look.items() for i, c in enumerate(cs)] + [(t, "container", 90) for t in in_containers]
     where = rules.sparkSession.createDataFrame(places, "type string, channel string, place int")
     placed = rules.join(F.broadcast(where), "type").where("channel <> 'container' or weight >= 0.35")
-    hits = rules_for(haystacks(captures), placed, F.lower("text")).where(F.rlike("c.text", icase(F.col("r.pattern"))))
+    hits = rules_for(haystacks(captures, channels), placed, F.lower("text")).where(F.rlike("c.text", icase(F.col("r.pattern"))))
     detail = F.when(F.col("c.channel") == "container", F.concat(F.lit("Found in GTM container "), F.substring("c.name", 6, 200), F.lit(": "), "description")).otherwise(F.col("description"))
     found = snippet(F.regexp_substr("c.text", icase(F.col("r.pattern"))))
     hits = hits.select("page_id", "tech_ord", "tech_id", "tech_name", "category", "rule_ord", "type", "weight", "product", "launch_only", detail.alias("detail"), found.alias("value"), "place", F.col("c.channel").alias("channel"), F.col("c.name").alias("container"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls
 from pagelens.functions.channels import container_ids, every
 from pagelens.operators.catalogue import ERRORS
+from pagelens.operators.matching import MAX_CONTAINER, MAX_CONTAINERS
 from pagelens.operators.safety import is_challenge
 
 #: Limits of a capture, in hops, pieces and bytes.
-MAX_HOPS, MAX_BUNDLES, MAX_CANDIDATES, MAX_CONTAINERS = 5, 5, 20, 3
-MAX_HTML, MAX_BUNDLE, MAX_CONTAINER = 500_000, 250_000, 400_000
+MAX_HOPS, MAX_BUNDLES, MAX_CANDIDATES = 5, 5, 20
+MAX_HTML, MAX_BUNDLE = 500_000, 250_000
+#: Hops and bytes of HTML of a page in the scan of a site.
+SCAN_HOPS, SCAN_HTML = 3, 100_000
 SCRIPT_SRC = r"""(?i)<script[^>]+src=["']([^"']+)["']"""
 LINK = r"(?i)<link\s+[^>]*>"
 MODULE = r"""(?i)rel=["'](?:[^"']*\s+)?modulepreload(?:\s+[^"']*)?["']"""
@@ -104,6 +107,46 @@ def missing_containers(captures: DataFrame) -> DataFrame:
     return captures.select("page_id", "containers", F.posexplode(ids).alias("ord", "id")).select("page_id", "ord", "id", F.exists("containers", lambda c: c["id"] == F.col("id")).alias("fetched"))
 
 
+def scan_pages(captures: DataFrame) -> DataFrame:
+    """Captures as the scan of a site sees them, with `scan_error`.
+
+    HTML counts only with an HTML type or none and a status under 400, up to `SCAN_HTML` bytes; a page behind a challenge
+    keeps its headers and cookies, but no HTML.  A bad address, a hop that validation refuses and more than `SCAN_HOPS`
+    hops leave nothing.
+    """
+    kind = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
+    readable = (kind.contains("text/html") | kind.contains("application/xhtml") | (kind == "")) & (F.col("status") < 400)
+    html = F.when(readable, F.coalesce("html", F.lit(""))).otherwise("")
+    cut = F.rtrim(F.make_valid_utf8(F.substring(F.encode("seen", "UTF-8"), 1, SCAN_HTML).cast("string")), F.lit("\ufffd"))
+    chain = F.coalesce("redirect_chain", F.array().cast("array<string>"))
+    hops = F.when(urls.whole(F.get(chain, 0)) == urls.whole(F.col("url")), F.slice(chain, 2, 1000)).otherwise(chain)
+    own = urls.validation(F.col("url"))["code"]
+    page = captures.withColumns({"seen": html, "hops_": hops, "own_": own})
+    page = page.withColumns({"seen": F.when(F.octet_length("seen") > SCAN_HTML, cut).otherwise(F.col("seen")), "refused_": F.get(F.filter(F.transform("hops_", lambda u: urls.validation(u)["code"]), lambda c: c != "ok"), 0)})
+    challenged = is_challenge(F.col("status"), F.col("seen"))
+    error = (
+        F.when(F.col("own_") != "ok", F.concat(F.lit("Rejected: "), "own_")).when(F.col("refused_").isNotNull(), F.concat(F.lit("Redirect rejected: "), "refused_")).when(F.size("hops_") > SCAN_HOPS, "Too many redirects")
+        .when(F.col("status").isNull(), "Fetch failed").when(challenged, "Blocked: bot-protection challenge — headers and cookies only")
+    )
+    page = page.withColumn("scan_error", error)
+    lost = F.col("scan_error").isNotNull() & ~F.col("scan_error").startswith("Blocked")
+    page = page.withColumns({"html": F.when(F.col("scan_error").isNull(), F.col("seen")).otherwise(""), "headers": F.when(lost, F.from_json(F.lit("{}"), "map<string,string>")).otherwise(F.col("headers")), "cookies": F.when(lost, F.array().cast("array<string>")).otherwise(F.col("cookies"))})
+    return page.drop("seen", "hops_", "own_", "refused_")
+
+
+def chosen_bundles(asked: DataFrame, most: int = MAX_BUNDLES) -> DataFrame:
+    """(page_id, place, script, body, truncated) of the scripts of a page (page_id, ord, script, size, status, content_type, body) that are read.
+
+    The `most` largest by the size that was announced are asked for, the first of equals; one that is no script is asked for in
+    vain.
+    """
+    order = Window.partitionBy("page_id").orderBy(F.coalesce("size", F.lit(0)).desc(), "ord")
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    good = F.col("status").between(200, 299) & (kind.contains("javascript") | kind.contains("ecmascript") | (kind == "") | kind.contains("text/plain"))
+    rows = asked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).where(good)
+    return rows.select("page_id", "place", "script", F.substring("body", 1, MAX_BUNDLE).alias("body"), (F.length("body") > MAX_BUNDLE).alias("truncated"))
+
+
 def largest_bundles(bundles: Column, most: int = MAX_BUNDLES) -> Column:
     """Of an array of (url, size, body) the largest, each cut at 250,000 characters."""
     order = F.array_sort(bundles, lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).otherwise(0))

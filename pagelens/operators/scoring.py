@@ -23,6 +23,9 @@ FAMILIES = {"script-host": "SCRIPT", "sdk-init": "SCRIPT", "dom": "HTML", "cooki
 WIDGETS = ["recaptcha", "hcaptcha", "cloudflare-turnstile"]
 TECH = ["page_id", "tech_ord", "tech_id", "tech_name", "category"]
 
+#: Names are ordered as readers expect: accents and case count only between names that are otherwise equal.
+ORDER = "UNICODE"
+
 
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
@@ -152,7 +155,7 @@ def capped(p: Column, cond: Column, cap: float) -> Column:
 
 def by_score() -> Column:
     """The place in a page's list: best score first, then by name."""
-    return F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), F.lower("tech_name"), "tech_ord"))
+    return F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), F.collate(F.col("tech_name"), ORDER), "tech_ord"))
 
 
 def growth_scores(hits: DataFrame, ids: DataFrame) -> DataFrame:
@@ -169,6 +172,11 @@ def growth_scores(hits: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select(*TECH, "score", band(F.col("score")).alias("band"), "types", F.coalesce("products", "legacy").alias("note"), by_score().alias("place"))
 
 
+def with_details(scored: DataFrame, details: DataFrame) -> DataFrame:
+    """Scored technologies with their website and the note that a catalogue has on their variants."""
+    return scored.join(F.broadcast(details), "tech_id", "left").select(*scored.columns, "website", "variant_note")
+
+
 def shown_evidence(hits: DataFrame, scored: DataFrame) -> DataFrame:
     """The evidence of scored technologies in order: the best hit of each type, then what further containers hold."""
     best = best_by_type(hits).withColumn("extra", F.lit(0))

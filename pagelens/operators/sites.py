@@ -107,7 +107,31 @@ def site_rollup(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     high, medium = (F.col("definitive") >= 1) | (F.col("strong") >= 2), (F.col("strong") == 1) | (F.col("weak") >= 2)
     level = F.when(cover < 0.5, "Low").when(high & (cover < 1), "Medium").when(high, "High").when(medium, "Medium").otherwise("Low")
     bonus = F.element_at(F.array(*map(F.lit, scoring.BONUS)), F.least(F.col("families"), F.lit(4)).cast("int") + 1)
-    return tech.select("site", "tech_id", "tech_name", "category", "detected_on", "checked", level.alias("confidence"), scoring.for_coverage(bonus, F.col("detected_on"), F.col("checked")).alias("score"), "signals")
+    score = scoring.for_coverage(bonus, F.col("detected_on"), F.col("checked"))
+    return tech.select("site", "tech_id", "tech_name", "category", "detected_on", "checked", level.alias("confidence"), score.alias("score"), scoring.label5(score).alias("score_label"), "signals")
+
+
+def site_evidence(evidence: DataFrame, pages: DataFrame) -> DataFrame:
+    """(site, tech_id, place, type, name, sample, pages, strength): each signal of a technology once, the strongest first.
+
+    The sample is the value on the first page where the signal is as strong as anywhere on the site.
+    """
+    good = pages.where("ok").select("page_id", "site")
+    rank = F.when(F.col("strength") == "definitive", 0).when(F.col("strength") == "strong", 1).otherwise(2)
+    rows = evidence.join(good, "page_id").withColumn("rank", rank).withColumn("line", F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("type")))
+    shown = F.coalesce(F.nullif(F.col("value"), F.lit("")), F.col("artifact"))
+    signal = rows.groupBy("site", "tech_id", "type", F.col("line").alias("name")).agg(F.min_by(F.struct("strength", shown.alias("sample")), F.struct("rank", "page_id", "sig_ord")).alias("s"), F.min("rank").alias("rank"), F.count_distinct("page_id").alias("pages"))
+    group = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in GROUP_RANK.items() for x in kv)), F.col("type")), F.lit(4))
+    place = F.row_number().over(Window.partitionBy("site", "tech_id").orderBy("rank", group, F.desc("pages"), "name", "type"))
+    return signal.select("site", "tech_id", place.alias("place"), "type", "name", "s.sample", "pages", "s.strength")
+
+
+def tech_kinds(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """(site, tech_id, kind): whether a technology is the framework or the host of the first good page that has it, or other."""
+    good = page_platforms(found, pages.where("ok")).select("page_id", "site", "framework", "provider")
+    rows = found.join(good, "page_id").groupBy("site", "tech_id").agg(F.min_by(F.struct("tech_name", "category", "framework", "provider"), "page_id").alias("f"))
+    framework = (F.col("f.tech_name") == F.col("f.framework")) & F.col("f.category").isin(*FRAMEWORKS)
+    return rows.select("site", "tech_id", F.when(framework, "framework").when((F.col("f.tech_name") == F.col("f.provider")) & (F.col("f.category") == "hosting"), "hosting").otherwise("other").alias("kind"))
 
 
 def page_platforms(found: DataFrame, pages: DataFrame) -> DataFrame:
@@ -185,22 +209,45 @@ def wp_theme(html: Column, css: Column) -> Column:
 
 
 def shop_theme(html: Column) -> Column:
-    """A struct of what is known of a shop theme; null without a name or an id."""
+    """A struct of what is known of a shop theme; null without a name or an id.
+
+    The theme object is read as JSON, where only texts are names and roles and only numbers ids in the store; patterns read
+    what is no JSON.
+    """
     object_ = F.regexp_extract(html, r"(?i)Shopify\.theme\s*=\s*(\{[^;]+?\});", 1)
-    field = lambda pattern, text=object_: F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
-    name = F.coalesce(field(r"""["']name["']\s*:\s*["']([^"']+)["']"""), field(r"""(?i)Shopify\.theme\.name\s*=\s*["']([^"']+)["']""", html), field(r"""(?i)BOOMR\.themeName\s*=\s*["']([^"']+)["']""", html))
-    id_ = F.coalesce(field(r"""["']id["']\s*:\s*(\d+)"""), field(r"(?i)BOOMR\.themeId\s*=\s*(\d+)", html), field(r"""(?i)["']theme_id["']\s*:\s*(\d+)""", html), field(r"""(?i)data-theme-id=["'](\d+)["']""", html))
-    store = field(r"""["']theme_store_id["']\s*:\s*(\d+)""").try_cast("int")
-    store_name = _lookup(STORE_THEMES, store)
-    theme = F.coalesce(name, store_name)
+    given = F.struct(object_.alias("text"), F.try_parse_json(object_).alias("json"), html.alias("html"))
+    return urls.bound(urls.bound(given, _theme_parts), _theme_known)
+
+
+def _theme_parts(x: Column) -> Column:
+    """Name, id, number in the store, version and role of a theme, from its object and what stands beside it."""
+    json_, html = x["json"], x["html"]
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(json_, path, "variant"))
+    at = lambda path, only=None: F.try_variant_get(json_, path, "string") if only is None else F.when(kind(path) == only, F.try_variant_get(json_, path, "string"))
+    of = lambda value, pattern: F.nullif(F.when(json_.isNotNull(), value).otherwise(F.trim(F.regexp_extract(x["text"], pattern, 1))), F.lit(""))
+    field = lambda pattern: F.nullif(F.trim(F.regexp_extract(html, pattern, 1)), F.lit(""))
+    parts = {
+        "name": F.coalesce(of(F.trim(at("$.name", "STRING")), r"""(?i)["']name["']\s*:\s*["']([^"']+)["']"""), field(r"""(?i)Shopify\.theme\.name\s*=\s*["']([^"']+)["']"""), field(r"""(?i)BOOMR\.themeName\s*=\s*["']([^"']+)["']""")),
+        "id": F.coalesce(of(at("$.id"), r"""(?i)["']id["']\s*:\s*(\d+)"""), field(r"(?i)BOOMR\.themeId\s*=\s*(\d+)"), field(r"""(?i)["']theme_id["']\s*:\s*(\d+)"""), field(r"""(?i)data-theme-id=["'](\d+)["']""")),
+        "store": of(at("$.theme_store_id", "BIGINT"), r"""(?i)["']theme_store_id["']\s*:\s*(\d+)""").try_cast("int"),
+        "role": of(at("$.role", "STRING"), r"""(?i)["']role["']\s*:\s*["']([^"']+)["']"""),
+        "version": field(r"""(?i)BOOMR\.themeVersion\s*=\s*["']([^"']+)["']"""),
+    }
+    return F.struct(*(v.alias(k) for k, v in parts.items()))
+
+
+def _theme_known(x: Column) -> Column:
+    """What the store and the list of known themes say of a theme's parts."""
+    store_name = _lookup(STORE_THEMES, x["store"])
+    theme = F.coalesce(x["name"], store_name)
     listed = F.array(*map(F.lit, SHOP_THEMES))
     low = F.lower(F.trim(theme))
     # A number behind a name is a version of the theme.
     known = F.coalesce(F.array_contains(listed, low) | F.array_contains(listed, F.trim(F.regexp_replace(low, r"[\s\-_v]*\d+(\.\d+)*\s*$", ""))), F.lit(False)) | store_name.isNotNull()
     part = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(store_name, theme))), "[^a-z0-9]+", "-"), "^-|-$", ""), r"-\d+.*$", "")
     address = F.when(F.array_contains(listed, part), F.concat(F.lit("https://themes.shopify.com/themes/"), part))
-    fields = {"theme": theme, "id": id_, "store_id": store, "store_name": store_name, "store_url": address, "version": field(r"""(?i)BOOMR\.themeVersion\s*=\s*["']([^"']+)["']""", html), "role": field(r"""["']role["']\s*:\s*["']([^"']+)["']"""), "known": known}
-    return F.when(F.coalesce(name, id_, store_name).isNotNull(), F.struct(*(v.alias(k) for k, v in fields.items())))
+    fields = {"theme": theme, "id": x["id"], "store_id": x["store"], "store_name": store_name, "store_url": address, "version": x["version"], "role": x["role"], "known": known}
+    return F.when(F.coalesce(x["name"], x["id"], store_name).isNotNull(), F.struct(*(v.alias(k) for k, v in fields.items())))
 
 
 def cname_hints(captures: DataFrame, found: DataFrame) -> DataFrame:
@@ -238,7 +285,8 @@ def extracted_ids(captures: DataFrame, rules: DataFrame, limit: int = 10) -> Dat
     """Identifiers of a page's tools in resources and code, each once, at most ten a technology."""
     html = F.coalesce("html", F.lit(""))
     code = F.concat(inline_scripts(html), "bundles")
-    text = captures.select("page_id", F.lit("text").alias("channel"), F.array_join(F.concat(resource_urls(html), code), "\n").alias("text")).where("text <> ''")
+    asked = F.coalesce("requests", F.array().cast("array<string>")) if "requests" in captures.columns else F.array().cast("array<string>")
+    text = captures.select("page_id", F.lit("text").alias("channel"), F.array_join(F.concat(resource_urls(html), asked, code), "\n").alias("text")).where("text <> ''")
     found = text.join(small(rules.withColumn("channel", F.lit("text"))), "channel").select("page_id", "tech_id", "rule_ord", "kind", F.posexplode(F.regexp_extract_all("text", F.col("pattern"), F.lit(1))).alias("at", "value"))
     given = captures.select("page_id", F.posexplode("containers.id").alias("at", "value")).select("page_id", F.lit("google-tag-manager").alias("tech_id"), F.lit(-1).alias("rule_ord"), F.lit("GTM container ID").alias("kind"), "at", "value")
     rows = given.unionByName(found).withColumn("value", F.trim("value")).where((F.col("value") != "") & (F.length("value") <= 128))

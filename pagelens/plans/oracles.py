@@ -132,6 +132,12 @@ valid as (select page_id, raw as url, case
   when regexp_matches(host, '{urls.RESERVED_HOSTS}') then {{'code': 'BLOCKED_TARGET', 'message': 'Private or reserved hostname'}} else {{'code': 'ok', 'message': null}} end as v from a)
 """
 
+
+def codes_of(rows: str) -> str:
+    """(url, code, message): the validation of other addresses than those of pages; `rows` selects them as url."""
+    return f"(with {VALIDATE.replace('select page_id, url from pages union all', f'select row_number() over () as page_id, url from ({rows}) union all')} select url, v.code as code, v.message as message from valid where page_id > 0)"
+
+
 TEXT_LENGTH = "length(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '<[^>]+>', '', 'g'), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g'))"
 PROFILE = f"""
 with {CAPS}
@@ -260,10 +266,10 @@ def hays(rules: list[tuple], look: dict, containers: tuple) -> str:
     places = [(t, c, i) for t, cs in look.items() for i, c in enumerate(cs)] + [(t, "container", 90) for t in containers]
     sanitised = "regexp_replace(regexp_replace(regexp_replace(x.js, '\"name\"\\s*:\\s*\"(?:[^\"\\\\]|\\\\.)*\"', '\"name\":\"\"', 'g'), '(?s)/\\*.*?\\*/', ' ', 'g'), '(^|[^:/])//[^\\n]*', '\\1 ', 'g')"
     return f"""{CAPS},
-page as (select page_id, html, cookies, containers, {join(CODE)} as code, {join(IDS_CLASSES, "' '")} as dom, {join(every('html', ch.COMMENT))} as comments, {head('content-security-policy')} as csp from caps),
+page as (select page_id, html, cookies, list_transform(containers[1:3], lambda c: {{'id': c.id, 'js': c.js[1:400000]}}) as containers, globals, requests, storage_keys, {join(CODE)} as code, {join(IDS_CLASSES, "' '")} as dom, {join(every('html', ch.COMMENT))} as comments, {head('content-security-policy')} as csp from caps),
 hays as (
-  select page_id, 'resource' as channel, '' as name, {join(resources())} as text from page union all select page_id, 'code', '', code from page union all select page_id, 'global', '', code from page union all select page_id, 'dom', '', dom from page
-  union all select page_id, 'attr', '', {join(f'list_concat({HOOKS}, [dom])')} from page union all select page_id, 'cookie', '', {join('cookies', "' '")} from page union all select page_id, 'comments', '', comments from page
+  select page_id, 'resource' as channel, '' as name, {join(f'list_concat({resources()}, requests)')} as text from page union all select page_id, 'code', '', code from page union all select page_id, 'global', '', {join('list_concat(globals, [code])')} from page union all select page_id, 'dom', '', dom from page
+  union all select page_id, 'attr', '', {join(f'list_concat({HOOKS}, [dom])')} from page union all select page_id, 'cookie', '', {join('list_concat(cookies, storage_keys)', "' '")} from page union all select page_id, 'comments', '', comments from page
   union all select page_id, 'weak', '', csp || chr(10) || comments from page union all select page_id, 'iframe', '', {join(IFRAMES)} from page
   union all select page_id, 'container', lpad((ord - 1)::varchar, 4, '0') || ' ' || x.id, {sanitised} from (select page_id, unnest(containers) as x, generate_subscripts(containers, 1) as ord from page)),
 rules as {values(rules, 'tech_ord, tech_id, tech_name, category, rule_ord, type, weight, product, pattern, description, launch_only')}, places as {values(places, 'type, channel, place')},
@@ -291,13 +297,13 @@ found_ids as ({' union all '.join(f"select page_id, {quoted(r[1])} as tech_id, {
   union all select page_id, 'google-tag-manager', -1, 'GTM container ID', generate_subscripts(containers, 1), unnest(list_transform(containers, lambda c: c.id)) from caps),
 good as (select page_id, tech_id, kind, trim(value) as value, min({{'r': rule_ord, 'p': pos}}) as k from found_ids where trim(value) <> '' and length(trim(value)) <= 128 and (kind <> 'GTM container ID' or regexp_matches(trim(value), '^GTM-[A-Z0-9]{{4,15}}$')) and (kind <> 'GA4 measurement ID' or regexp_matches(trim(value), '^G-[A-Z0-9]{{4,15}}$')) group by page_id, tech_id, kind, trim(value)),
 ids as (select page_id, tech_id, row_number() over (partition by page_id, tech_id order by k)::integer as place, kind, value from good qualify place <= 10)"""
-_BY_SCORE = "row_number() over (partition by page_id order by score desc, lower(tech_name), tech_ord)::integer as place"
+_BY_SCORE = "row_number() over (partition by page_id order by score desc, tech_name collate en, tech_ord)::integer as place"
 GROWTH_SCORES = f"""{GROWTH_HITS}, {COMBINED}, {IDS},
 products as (select page_id, tech_id, case when count(*) = 1 then 'Matched product: ' else 'Matched products: ' end || array_to_string(list(product order by at_), ', ') || '.' as products from (select page_id, tech_id, product, min(rule_ord) as at_ from hits where tech_id = 'salesforce' and product <> '' group by all) group by page_id, tech_id),
 legacy as (select page_id, tech_id, 'Universal Analytics (legacy) ' || array_to_string(list(value order by place) filter (kind = '{scoring.UA}'), ', ') || '; GA4 (G-…) not seen.' as legacy from ids where tech_id = 'google-analytics' group by page_id, tech_id having bool_or(kind = '{scoring.UA}') and not bool_or(kind = '{scoring.GA4}')),
 scored as (select page_id, tech_ord, tech_id, tech_name, category, floor(({_G}) * 100 + 0.5)::integer as score, types from combined),
 final as (select s.*, case when score >= 90 then 'very-high' when score >= 75 then 'high' when score >= 60 then 'medium' else 'low' end as band, coalesce(p.products, l.legacy) as note, {_BY_SCORE} from scored s left join products p using (page_id, tech_id) left join legacy l using (page_id, tech_id) where score >= {scoring.GROWTH_MIN})"""
-GROWTH_DETECT = f"with {GROWTH_SCORES} select page_id, tech_id, tech_name, category, score, band, types, note, place from final"
+GROWTH_DETECT = f"with {GROWTH_SCORES} select page_id, tech_id, tech_name, category, score, band, types, note, place, website, variant_note from final left join {values(catalogue.growth_details(), 'tech_id, website, variant_note')} using (tech_id)"
 _FAMILY = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in scoring.FAMILIES.items()) + " end"
 GROWTH_EVIDENCE = f"""with {GROWTH_SCORES},
 won as (select page_id, tech_id, detail as won from typed where nth = 1 and type = 'via-gtm'),
@@ -322,7 +328,7 @@ demo as (select page_id from caps where len(list_filter({every('html', ch.SITEKE
 limited as (select *, {_S} as q from combined),
 final as (select page_id, tech_ord, tech_id, tech_name, category, floor(q * 100 + 0.5) / 100 as score, floor(floor(q * 100 + 0.5) / 100 * 100 + 0.5)::integer as score100, case when floor(q * 100 + 0.5) / 100 >= 0.85 then 'high' when floor(q * 100 + 0.5) / 100 >= 0.6 then 'medium' else 'low' end as label, types
   from limited where q >= {scoring.SECURITY_MIN} and not (tech_id in ('recaptcha', 'hcaptcha', 'cloudflare-turnstile') and page_id in (select page_id from demo)))"""
-SECURITY_DETECT = f"with {SECURITY} select page_id, tech_id, tech_name, category, score, score100, label, types, row_number() over (partition by page_id order by score desc, lower(tech_name), tech_ord)::integer as place from final"
+SECURITY_DETECT = f"with {SECURITY} select page_id, tech_id, tech_name, category, score, score100, label, types, row_number() over (partition by page_id order by score desc, tech_name collate en, tech_ord)::integer as place from final"
 SECURITY_BY_CATEGORY = f"with {SECURITY}, {grouped(catalogue.SECURITY_CATEGORIES)}"
 CHALLENGE = f"(regexp_matches(html[1:8000], {quoted(safety.CHALLENGE)}) or status in (401, 403, 407, 429, 503))"
 BOT_CHALLENGE = f"with {CAPS} select page_id, status, {CHALLENGE} as challenge from caps"
@@ -388,9 +394,12 @@ select page_id, coalesce(given, {_OF('name', 'slug')} || case when child then '
 _STORE = "map([" + ", ".join(map(str, sites.STORE_THEMES)) + "], [" + ", ".join(map(quoted, sites.STORE_THEMES.values())) + "])"
 _FIELD = lambda pattern, text="o": f"nullif(trim(regexp_extract({text}, {quoted(pattern)}, 1)), '')"
 _KNOWN = "(" + ", ".join(map(quoted, sites.SHOP_THEMES)) + ")"
+_OF_JSON = lambda value, pattern: f"nullif(case when json_valid(o) then {value} else trim(regexp_extract(o, {quoted(pattern)}, 1)) end, '')"
+_TEXT_AT = lambda key: f"case when json_type(o, '$.{key}') = 'VARCHAR' then json_extract_string(o, '$.{key}') end"
 SHOP_THEME = f"""with {CAPS}, o as (select page_id, html, regexp_extract(html, '(?i)Shopify\\.theme\\s*=\\s*(\\{{[^;]+?\\}});', 1) as o from caps),
-f as (select page_id, coalesce({_FIELD(r'''["']name["']\s*:\s*["']([^"']+)["']''')}, {_FIELD(r'''(?i)Shopify\.theme\.name\s*=\s*["']([^"']+)["']''', 'html')}, {_FIELD(r'''(?i)BOOMR\.themeName\s*=\s*["']([^"']+)["']''', 'html')}) as name,
-  coalesce({_FIELD(r'''["']id["']\s*:\s*(\d+)''')}, {_FIELD(r'(?i)BOOMR\.themeId\s*=\s*(\d+)', 'html')}, {_FIELD(r'''(?i)["']theme_id["']\s*:\s*(\d+)''', 'html')}, {_FIELD(r'''(?i)data-theme-id=["'](\d+)["']''', 'html')}) as id, {_FIELD(r'''["']theme_store_id["']\s*:\s*(\d+)''')}::integer as store_id, {_FIELD(r'''["']role["']\s*:\s*["']([^"']+)["']''')} as role,
+f as (select page_id, coalesce({_OF_JSON(f"trim({_TEXT_AT('name')})", r'''(?i)["']name["']\s*:\s*["']([^"']+)["']''')}, {_FIELD(r'''(?i)Shopify\.theme\.name\s*=\s*["']([^"']+)["']''', 'html')}, {_FIELD(r'''(?i)BOOMR\.themeName\s*=\s*["']([^"']+)["']''', 'html')}) as name,
+  coalesce({_OF_JSON("json_extract_string(o, '$.id')", r'''(?i)["']id["']\s*:\s*(\d+)''')}, {_FIELD(r'(?i)BOOMR\.themeId\s*=\s*(\d+)', 'html')}, {_FIELD(r'''(?i)["']theme_id["']\s*:\s*(\d+)''', 'html')}, {_FIELD(r'''(?i)data-theme-id=["'](\d+)["']''', 'html')}) as id,
+  {_OF_JSON("case when json_type(o, '$.theme_store_id') in ('UBIGINT', 'BIGINT') then json_extract_string(o, '$.theme_store_id') end", r'''(?i)["']theme_store_id["']\s*:\s*(\d+)''')}::integer as store_id, {_OF_JSON(_TEXT_AT('role'), r'''(?i)["']role["']\s*:\s*["']([^"']+)["']''')} as role,
   {_FIELD(r'''(?i)BOOMR\.themeVersion\s*=\s*["']([^"']+)["']''', 'html')} as version from o),
 n as (select *, {_STORE}[store_id] as store_name, coalesce(name, {_STORE}[store_id]) as theme from f),
 k as (select *, lower(trim(theme)) as low, regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(store_name, theme))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), '-\\d+.*$', '') as part from n)
@@ -410,9 +419,18 @@ w as (select *, last_value(case when regexp_matches(line, '(?i)^user-agent\\s*:'
 forbidden as (select page_id, trim(regexp_replace(line, '^[^:]*:', '')) as rule from w where wild and regexp_matches(line, '(?i)^disallow\\s*:')),
 allowed as (select page_id, path, not exists (select 1 from forbidden r where r.page_id = p.page_id and rule <> '' and (rule = '/' or starts_with(path, rule))) as allowed from (select page_id, PATH as path from caps) p)""".replace("PATH", path("url"))
 ROBOTS = f"with {CAPS}, {ROBOTS_RULES} select page_id, path, allowed from allowed"
-SITE_PAGES = f"{ROBOTS_RULES}, site_pages as (select page_id, {host('url')} as site, not {CHALLENGE} and allowed as ok, cross_domain from caps join redirects using (page_id) join allowed using (page_id))"
+_SCANNED = CAPS.replace("caps as", "raw as", 1) + f""",
+looked as (select *, case when (contains(lower(coalesce(content_type, '')), 'text/html') or contains(lower(coalesce(content_type, '')), 'application/xhtml') or coalesce(content_type, '') = '') and status < 400 then html[1:100000] else '' end as seen,
+  case when len(redirect_chain) > 0 and {whole("redirect_chain[1]")} = {whole("url")} then redirect_chain[2:] else redirect_chain end as hops_ from raw),
+scan_codes as {codes_of("select distinct unnest(list_concat([url], redirect_chain)) as url from raw")}, scan_known as (select map_from_entries(list({{'k': url, 'v': code}})) as code_of from scan_codes),
+judged as (select * exclude (code_of), case when code_of[url] <> 'ok' then 'Rejected: ' || code_of[url] when len(list_filter(hops_, lambda u: code_of[u] <> 'ok')) > 0 then 'Redirect rejected: ' || list_filter(list_transform(hops_, lambda u: code_of[u]), lambda c: c <> 'ok')[1] when len(hops_) > 3 then 'Too many redirects' when status is null then 'Fetch failed'
+  when {CHALLENGE.replace('html', 'seen')} then 'Blocked: bot-protection challenge — headers and cookies only' end as scan_error from looked, scan_known),
+caps as (select * exclude (seen, hops_) replace (case when scan_error is null then seen else '' end as html, case when scan_error is not null and not starts_with(scan_error, 'Blocked') then map([]::varchar[], []::varchar[]) else headers end as headers, case when scan_error is not null and not starts_with(scan_error, 'Blocked') then []::varchar[] else cookies end as cookies) from judged)"""
+SCAN = lambda query: query.replace(CAPS, _SCANNED, 1)
+SCAN_PAGES = f"with {_SCANNED} select page_id, scan_error, octet_length(encode(html))::integer as bytes, cardinality(headers)::integer as headers from caps"
+SITE_PAGES = f"{ROBOTS_RULES}, site_pages as (select page_id, {host('url')} as site, scan_error is null and allowed as ok, cross_domain from caps join redirects using (page_id) join allowed using (page_id))"
 _COVER = "(case when {c} <= 0 or {d} / {c} >= 1 then {s} when {d} / {c} < 0.5 then least({s}, 39) else floor({s} * (0.6 + 0.4 * ({d} / {c})) + 0.5) end)::integer"
-ROLLUP = f"""with {EVIDENCE}, {HOPS}, {SITE_PAGES}, good as (select page_id, site from site_pages where ok), checked as (select site, count(*) as checked from good group by site),
+ROLLUP = f"""with {SCAN(EVIDENCE)}, {HOPS}, {SITE_PAGES}, good as (select page_id, site from site_pages where ok), checked as (select site, count(*) as checked from good group by site),
 r as (select e.*, site, case strength when 'definitive' then 0 when 'strong' then 1 else 2 end as rank from evidence e join good using (page_id) where category <> 'analytics'),
 signals as (select site, tech_id, tech_name, category, type, name, min(rank) as rank, count(distinct page_id) as pages, min(family) as family from r group by all), on_ as (select site, tech_id, count(distinct page_id) as detected_on from r group by all),
 tech as (select site, tech_id, tech_name, category, sum((rank = 0)::int) as d, sum((rank = 1)::int) as s, sum((rank = 2)::int) as w, count(distinct family) as families,
@@ -420,7 +438,17 @@ tech as (select site, tech_id, tech_name, category, sum((rank = 0)::int) as d, s
 j as (select * from tech join on_ using (site, tech_id) join checked using (site))
 select site, tech_id, tech_name, category, detected_on, checked, case when detected_on / checked < 0.5 then 'Low' when d >= 1 or s >= 2 then case when detected_on < checked then 'Medium' else 'High' end when s = 1 or w >= 2 then 'Medium' else 'Low' end as confidence,
   {_COVER.format(c='checked', d='detected_on', s=f'{scoring.BONUS}[least(families, 4) + 1]')} as score, signals from j"""
-CONSISTENCY = f"""with {DETECTIONS}, {HOPS}, {SITE_PAGES},
+ROLLUP = f"select *, {LABEL5} as score_label from ({ROLLUP})"
+_LINES = f"""with {SCAN(EVIDENCE)}, {HOPS}, {SITE_PAGES}, good as (select page_id, site from site_pages where ok),
+r as (select e.*, site, case strength when 'definitive' then 0 when 'strong' then 1 else 2 end as rank, coalesce(nullif(name, ''), type) as line, coalesce(nullif(value, ''), artifact) as shown from evidence e join good using (page_id) where category <> 'analytics'),
+lines as (select site, tech_id, type, line as name, arg_min({{'strength': strength, 'sample': shown}}, {{'r': rank, 'p': page_id, 's': sig_ord}}) as s, min(rank) as rank, count(distinct page_id) as pages from r group by site, tech_id, type, line)"""
+SITE_EVIDENCE = f"""{_LINES} select site, tech_id, row_number() over (partition by site, tech_id order by rank, case type when 'header' then 0 when 'cookie-name' then 0 when 'html-regex' then 1 when 'meta-generator' then 1 when 'html-path' then 2 when 'script-host' then 2 when 'probe' then 3 else 4 end, pages desc, encode(name), type)::integer as place, type, name, s.sample as sample, pages, s.strength as strength from lines"""
+_FRAMEWORKS = "(" + ", ".join(map(quoted, sites.FRAMEWORKS)) + ")"
+SITE_KINDS = f"""with {SCAN(DETECTIONS)}, {HOPS}, {SITE_PAGES}, good as (select page_id, site from site_pages where ok), own as (select * from detections where category <> 'analytics'),
+best_of as (select page_id, arg_min(tech_name, {{'c': -confidence, 'o': tech_ord}}) filter (category in {_FRAMEWORKS}) as framework, arg_min(tech_name, {{'c': -confidence, 'o': tech_ord}}) filter (category = 'hosting') as provider from own group by page_id),
+first_pages as (select site, tech_id, arg_min({{'n': tech_name, 'c': category, 'f': framework, 'p': provider}}, page_id) as x from own join good using (page_id) join best_of using (page_id) group by site, tech_id)
+select site, tech_id, case when x.n = x.f and x.c in {_FRAMEWORKS} then 'framework' when x.n = x.p and x.c = 'hosting' then 'hosting' else 'other' end as kind from first_pages"""
+CONSISTENCY = f"""with {SCAN(DETECTIONS)}, {HOPS}, {SITE_PAGES},
 best as (select page_id, arg_min(tech_name, {{'c': -confidence, 'o': tech_ord}}) filter (category in ('cms', 'builder', 'ecommerce', 'framework')) as f, arg_min(tech_name, {{'c': -confidence, 'o': tech_ord}}) filter (category = 'hosting') as p from detections group by page_id),
 pg as (select s.*, coalesce(f, 'Unknown') as framework, coalesce(p, 'Unknown') as provider from site_pages s left join best using (page_id)),
 mf as (select site, arg_min(framework, {{'n': -n, 'a': a}}) as bf from (select site, framework, count(*) as n, min(page_id) as a from pg where ok group by all) group by site), mp as (select site, arg_min(provider, {{'n': -n, 'a': a}}) as bp from (select site, provider, count(*) as n, min(page_id) as a from pg where ok group by all) group by site),
@@ -438,11 +466,6 @@ CACHE = f"with {CAPS} select {host('final_url')} || regexp_replace({path('final_
 
 CACHE_QUERY = f"""with {CAPS}, {{outcome}} select {host('final_url')} || regexp_replace({path('final_url')}, '/+$', '') || regexp_extract(final_url, '^[^?#]*(\\?[^#]*)', 1) as cache_key, min(page_id) as page_id, count(*) as n
 from caps join outcome using (page_id) where ok and not truncated group by 1"""
-def codes_of(rows: str) -> str:
-    """(url, code, message): the validation of other addresses than those of pages; `rows` selects them as url."""
-    return f"(with {VALIDATE.replace('select page_id, url from pages union all', f'select row_number() over () as page_id, url from ({rows}) union all')} select url, v.code as code, v.message as message from valid where page_id > 0)"
-
-
 def fetch_code(error: str) -> str:
     return f"(case when contains({error}, 'abort') then 'TIMEOUT' when regexp_matches({error}, 'DNS|ENOTFOUND|EAI_AGAIN') then 'DNS_FAILED' when regexp_matches({error}, 'certificate|SSL|TLS') then 'TLS_ERROR' else 'HTTP_ERROR' end)"
 
@@ -471,6 +494,8 @@ r as (select page_id, base, pos, case when regexp_matches(link, '{urls.SCHEME}')
   from g where link <> '' and not regexp_matches(link, '^(data|blob|javascript):')),
 o as (select page_id, script, min(pos) as pos from r where {scheme('script')} = {scheme('base')} and {host('script')} = {host('base')} and {port('script')} = {port('base')} group by page_id, script)
 select page_id, (row_number() over (partition by page_id order by pos) - 1)::integer as ord, script from o qualify ord < 20"""
+BUNDLES = f"""with a as ({CANDIDATES}), m as (select *, length(script) as n, row_number() over (partition by page_id order by length(script) * 37 % 11 desc, ord)::integer as place from a)
+select page_id, place, script, '// ' || script as body, false as truncated from m where place <= 2 and n % 5 <> 0 and n % 3 <> 0"""
 MISSING = f"""with f as ({CONTAINER_IDS}), {CAPS} select f.page_id, f.ord, f.id, list_contains(list_transform(containers, lambda c: c.id), f.id) as fetched from f join caps using (page_id) where ord < 3"""
 CAPPED = f"""with {CAPS}, c as (select page_id, html, octet_length(encode(html)) > 4000 as truncated from caps),
 k as (select page_id, truncated, case when truncated then html[1:list_max(list_filter(range(1000, 4001), lambda k: octet_length(encode(html[1:k])) <= 4000))] else html end as cut from c)
@@ -488,5 +513,5 @@ def all_sql() -> dict[str, str]:
         "security_channels": SECURITY_CHANNELS, "attribute_hooks": ATTRIBUTE_HOOKS, "core_evidence": CORE_EVIDENCE, "core_confidence": CORE_CONFIDENCE, "core_score": CORE_SCORE, "core_detect": CORE_DETECT, "explain_detections": EXPLAIN, "growth_detect": GROWTH_DETECT, "growth_evidence": GROWTH_EVIDENCE, "growth_by_category": GROWTH_BY_CATEGORY,
         "growth_ids": GROWTH_IDS, "growth_via_container": GROWTH_VIA, "server_side_warning": SERVER_SIDE, "security_detect": SECURITY_DETECT, "security_by_category": SECURITY_BY_CATEGORY, "bot_challenge": BOT_CHALLENGE, "bot_provider": BOT_PROVIDER, "relevant_headers": RELEVANT, "header_audit": HEADER_AUDIT,
         "mixed_content": MIXED, "redirect_audit": REDIRECTS, "safety_findings": SAFETY_FINDINGS, "safety_score": SAFETY_SCORE, "wp_plugins": PLUGINS, "wp_theme": WP_THEME, "shop_theme": SHOP_THEME, "cname_hint": CNAME, "container_ids": CONTAINER_IDS, "loader_ids": LOADER_IDS, "container_sanitize": SANITIZE,
-        "cookie_names": COOKIES, "framework_data": FRAMEWORK, "robots_filter": ROBOTS, "site_tech_rollup": ROLLUP, "site_consistency": CONSISTENCY, "coverage_penalty": COVERAGE, "rate_limit": RATE, "catalogue_stats": STATS, "error_codes": ERRORS, "cache_keys": CACHE, "cache_keys_with_query": CACHE_QUERY.replace("{outcome}", OUTCOME), "capture_outcome": CAPTURE_OUTCOME, "script_candidates": CANDIDATES, "missing_containers": MISSING, "capped_html": CAPPED, "scan_log": SCAN_LOG, "sitemap_locs": SITEMAP, "domains": DOMAINS,
+        "cookie_names": COOKIES, "framework_data": FRAMEWORK, "robots_filter": ROBOTS, "scan_pages": SCAN_PAGES, "site_tech_rollup": ROLLUP, "site_tech_evidence": SITE_EVIDENCE, "site_tech_kinds": SITE_KINDS, "chosen_bundles": BUNDLES, "site_consistency": CONSISTENCY, "coverage_penalty": COVERAGE, "rate_limit": RATE, "catalogue_stats": STATS, "error_codes": ERRORS, "cache_keys": CACHE, "cache_keys_with_query": CACHE_QUERY.replace("{outcome}", OUTCOME), "capture_outcome": CAPTURE_OUTCOME, "script_candidates": CANDIDATES, "missing_containers": MISSING, "capped_html": CAPPED, "scan_log": SCAN_LOG, "sitemap_locs": SITEMAP, "domains": DOMAINS,
     }

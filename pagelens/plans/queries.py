@@ -119,7 +119,7 @@ def explain_detections(spark, sf_dir):
 
 
 def growth_detect(spark, sf_dir):
-    return growth(spark, sf_dir).drop("tech_ord")
+    return scoring.with_details(growth(spark, sf_dir), catalogue.details(spark)).drop("tech_ord")
 
 
 def growth_evidence(spark, sf_dir):
@@ -225,21 +225,49 @@ def robots_filter(spark, sf_dir):
     return sites.robots_allowed(captures(spark, sf_dir))
 
 
+def scan_view(spark, sf_dir):
+    return outcomes.scan_pages(captures(spark, sf_dir))
+
+
+def scan_evidence(spark, sf_dir):
+    """Evidence of pages as the scan of a site sees them, without analytics."""
+    return matching.core_evidence(scan_view(spark, sf_dir), catalogue.core(spark)).where("category <> 'analytics'")
+
+
+def scan_pages(spark, sf_dir):
+    return scan_view(spark, sf_dir).select("page_id", "scan_error", F.octet_length("html").alias("bytes"), F.size("headers").alias("headers"))
+
+
 def _site_pages(spark, sf_dir):
-    page = captures(spark, sf_dir)
+    page = scan_view(spark, sf_dir)
     hops = safety.redirect_audit(F.col("url"), F.col("final_url"), F.col("redirect_chain"))
     # Pages that robots rules skip are no scanned pages.
     allowed = sites.robots_allowed(page).select("page_id", "allowed")
-    rows = page.select("page_id", urls.host_of(F.col("url")).alias("site"), (~safety.is_challenge(F.col("status"), F.col("html"))).alias("ok"), hops["cross_domain"].alias("cross_domain"))
+    rows = page.select("page_id", urls.host_of(F.col("url")).alias("site"), F.col("scan_error").isNull().alias("ok"), hops["cross_domain"].alias("cross_domain"))
     return rows.join(allowed, "page_id").select("page_id", "site", (F.col("ok") & F.col("allowed")).alias("ok"), "cross_domain")
 
 
 def site_tech_rollup(spark, sf_dir):
-    return sites.site_rollup(evidence(spark, sf_dir).where("category <> 'analytics'"), _site_pages(spark, sf_dir))
+    return sites.site_rollup(scan_evidence(spark, sf_dir), _site_pages(spark, sf_dir))
+
+
+def site_tech_evidence(spark, sf_dir):
+    return sites.site_evidence(scan_evidence(spark, sf_dir), _site_pages(spark, sf_dir))
+
+
+def site_tech_kinds(spark, sf_dir):
+    return sites.tech_kinds(scoring.detections(scan_evidence(spark, sf_dir)), _site_pages(spark, sf_dir))
+
+
+def chosen_bundles(spark, sf_dir):
+    """The scripts of pages that are read, with sizes and answers made from their addresses (synthetic)."""
+    asked = script_candidates(spark, sf_dir).withColumn("n", F.length("script"))
+    made = asked.select("page_id", "ord", "script", (F.col("n") * 37 % 11).alias("size"), F.when(F.col("n") % 5 == 0, 404).otherwise(200).alias("status"), F.when(F.col("n") % 3 == 0, "text/html").when(F.col("n") % 3 == 1, "").otherwise("text/javascript").alias("content_type"), F.concat(F.lit("// "), "script").alias("body"))
+    return outcomes.chosen_bundles(made, 2)
 
 
 def site_consistency(spark, sf_dir):
-    found = scoring.detections(evidence(spark, sf_dir))
+    found = scoring.detections(scan_evidence(spark, sf_dir))
     return sites.consistency(sites.page_platforms(found, _site_pages(spark, sf_dir)))
 
 
@@ -325,5 +353,5 @@ def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         url_anatomy, url_validate, page_profile, internal_links, diverse_sample, sample_plan, resource_refs, security_channels, attribute_hooks, core_evidence, core_confidence, core_score, core_detect, explain_detections, growth_detect, growth_evidence, growth_by_category, growth_ids, growth_via_container,
         server_side_warning, security_detect, security_by_category, bot_challenge, bot_provider, relevant_headers, header_audit, mixed_content, redirect_audit, safety_findings, safety_score, wp_plugins, wp_theme, shop_theme, cname_hint, container_ids, loader_ids, container_sanitize, cookie_names,
-        framework_data, robots_filter, site_tech_rollup, site_consistency, coverage_penalty, rate_limit, catalogue_stats, error_codes, cache_keys, cache_keys_with_query, capture_outcome, script_candidates, missing_containers, capped_html, scan_log, sitemap_locs, domains,
+        framework_data, robots_filter, scan_pages, site_tech_rollup, site_tech_evidence, site_tech_kinds, chosen_bundles, site_consistency, coverage_penalty, rate_limit, catalogue_stats, error_codes, cache_keys, cache_keys_with_query, capture_outcome, script_candidates, missing_containers, capped_html, scan_log, sitemap_locs, domains,
     )}

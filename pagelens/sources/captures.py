@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 COLUMNS = {
     "page_id": "bigint", "url": "string", "final_url": "string", "status": "int", "content_type": "string", "html": "string", "headers": "map<string,string>", "cookies": "array<string>",
     "redirect_chain": "array<string>", "containers": "array<struct<id:string,js:string>>", "bundles": "array<string>", "probes": "map<string,string>", "style_css": "string", "robots": "string", "set_cookie": "string", "cname": "string",
+    # What a rendered pass adds: names of globals, addresses that were asked for, keys of local storage.
+    "globals": "array<string>", "requests": "array<string>", "storage_keys": "array<string>",
 }
 #: Bytes of HTML that are looked at.
 MAX_HTML_BYTES = 500_000
@@ -28,7 +30,7 @@ VARIANTS: list[dict] = [
     },
     {
         "html": '<script src="https://cdn.shopify.com/s/files/1/theme.js?v=2"></script><script>Shopify.theme = {"name":"Dawn 12.0","id":123456,"theme_store_id":887,"role":"main"};</script>',
-        "headers": {"x-shopify-stage": "production", "x-powered-by": "PHP/8.2"}, "cookies": ["_shopify_y", "cart"], "cname": "shops.myshopify.com",
+        "headers": {"x-shopify-stage": "production", "x-powered-by": "PHP/8.2"}, "cookies": ["_shopify_y", "cart"], "cname": "shops.myshopify.com", "globals": ["dataLayer", "Sentry.init("], "storage_keys": ["_hjSessionUser_12345"],
     },
     {
         "html": '<script id="__NEXT_DATA__" type="application/json">{"page":"/"}</script><script src="/_next/static/chunks/main.js"></script>',
@@ -44,11 +46,11 @@ VARIANTS: list[dict] = [
         "cookies": ["_ga", "_gid", "_fbp", "intercom-id-x"],
     },
     {
-        "html": '<script src="https://cdn.cookielaw.org/scripttemplates/otSDKStub.js" data-domain-script="x"></script><script src="https://www.google.com/recaptcha/api.js"></script><div class="g-recaptcha" data-sitekey="YOUR_SITE_KEY"></div>',
-        "cookies": ["OptanonConsent"],
+        "html": '<script src="https://cdn.cookielaw.org/scripttemplates/otSDKStub.js" data-domain-script="x"></script><script src="https://www.google.com/recaptcha/api.js"></script><div class="g-recaptcha" data-sitekey="YOUR_SITE_KEY"></div><script>Shopify.theme = {"name":{"en":"Nested"},"id":"55","theme_store_id":"887","settings":{"a":1},"role":"unpublished"}; BOOMR.themeName = "Prestige 4";</script>',
+        "cookies": ["OptanonConsent"], "requests": ["https://widget.intercom.io/widget/abc1", "https://www.clarity.ms/tag/xyz"],
     },
     {
-        "html": '<script>Sentry.init({dsn: "https://abc@o1.ingest.sentry.io/1"}); stripe = new Stripe(1);</script><iframe src="https://www.youtube.com/embed/dQw4w9WgXcQ"></iframe><iframe src="https://www.google.com/maps/embed?pb=1"></iframe><i class="fa-solid fa-user"></i><img srcset="https://a.example/1.png 1x, https://b.example/2.png 2x">',
+        "html": '<script>Sentry.init({dsn: "https://abc@o1.ingest.sentry.io/1"}); stripe = new Stripe(1);</script><iframe src="https://www.youtube.com/embed/dQw4w9WgXcQ"></iframe><iframe src="https://www.google.com/maps/embed?pb=1"></iframe><i class="fa-solid fa-user"></i><img srcset="https://a.example/1.png 1x, https://b.example/2.png 2x"><script>Shopify.theme = {\'name\': \' Sense \',\'id\':99,\'theme_store_id\':1356,};</script>',
         "headers": {"Content-Security-Policy": "script-src 'self' js.stripe.com/v3 cdn.cookielaw.org/consent/; frame-ancestors 'none'"},
     },
     {
@@ -70,7 +72,7 @@ VARIANTS: list[dict] = [
         "redirect_chain": ["https://a.example.com/", "http://b.example.com/", "https://c.example.com/x", "https://d.example.com/"], "robots": "user-agent: * # all\ndisallow: /",
     },
 ]
-_DEFAULT = {"status": 200, "headers": {}, "cookies": [], "redirect_chain": [], "containers": [], "bundles": [], "probes": {}, "content_type": "text/html"}
+_DEFAULT = {"status": 200, "headers": {}, "cookies": [], "redirect_chain": [], "containers": [], "bundles": [], "probes": {}, "content_type": "text/html", "globals": [], "requests": [], "storage_keys": []}
 
 
 def quoted(text: str | None) -> str:
