@@ -61,7 +61,7 @@ def ids_of(text: str, encoding: tiktoken.Encoding) -> list[int]:
     library, which has the same ids.
     """
     if len(text) > LONG_RUN and max(map(len, WHITE.findall(text)), default=0) > LONG_RUN:
-        return np.frombuffer(tokens.Ids(tokens.vocabulary()).of(text), "<u4").tolist()
+        return np.frombuffer(tokens.shared_ids(tokens.vocabulary(), 4).of(text), "<u4").tolist()
     return encoding.encode(text, allowed_special={END}) if END in text else encoding.encode_ordinary(text)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.llm.common import broadcast_if_small, checkpoint_folder, slices, trim
-from pagelens.llm.tokens import Ids, id_width, vocabulary
+from pagelens.llm.tokens import id_width, shared_ids, vocabulary
 
 #: The polynomial of CRC-32C, reflected, and what its mask adds.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
@@ -124,7 +124,7 @@ def write(docs: DataFrame, folder: str, end: int = END, tokenizer_file: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, width = TaskContext.get(), id_width(file)
-        ids, last = Ids(file, width), end.to_bytes(width, "little")
+        ids, last = shared_ids(file, width), end.to_bytes(width, "little")
         name, out, offset, tokens = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.rec", None, 0, 0
         for batch in batches:
             for part in slices(batch, "text", CHUNK):

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
-import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +20,9 @@ CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 #: What lies between such places.
 PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[^\w'])|\s*(?:\S+|[^\S \t\r\n]\s*)+|\s+")
 #: Characters that are cut into pieces at a time, and up to which a piece is remembered; pieces of a generation of the memory.
-STRETCH, SHORT, KNOWN = 1 << 18, 40, 150_000
+STRETCH, SHORT, KNOWN = 1 << 18, 40, 300_000
+#: Letters that end a word for certain.
+WORD_END = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
 
 
 def vocabulary(file: str | None = None) -> str:
@@ -40,26 +41,63 @@ def id_width(file: str) -> int:
 
 
 class Ids(dict):
-    """The ids of pieces as little-endian unsigned integers of `width` bytes, found when first asked for."""
+    """The ids of pieces as little-endian unsigned integers of `width` bytes, remembered in two generations.
+
+    New pieces that start with a space and end with a letter are encoded together, as one text: a space behind a letter is a
+    place where a text may be cut.  The bytes that tokens stand for tell where each piece ends.
+    """
 
     def __init__(self, file: str, width: int = 4):
         self.tokenizer, self.width, self.older = tokenizer(file), width, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            found = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids) if len(ids) < 50 else np.array(ids, f"<u{self.width}").tobytes()
-        if len(piece) <= SHORT:
-            if len(self) >= KNOWN:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = found
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.sizes[number] = len(token)
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+
+    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of pieces that are not remembered; the short ones are, from now on."""
+        if len(self) >= KNOWN:
+            self.older = dict(self)
+            self.clear()
+        found, words = {}, []
+        for piece in pieces:
+            if (ids := self.older.get(piece)) is not None:
+                found[piece] = self[piece] = ids
+            elif len(piece) <= SHORT and piece[0] == " " and WORD_END.fullmatch(piece[-1]):
+                words.append(piece)
+            else:
+                found[piece] = self.encoded(piece).tobytes()
+                if len(piece) <= SHORT:
+                    self[piece] = found[piece]
+        if words:
+            ids = self.encoded("".join(words))
+            ends = np.cumsum(self.sizes[ids])
+            stops = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in words])) + 1
+            data, start = ids.tobytes(), 0
+            for piece, stop in zip(words, (stops * self.width).tolist(), strict=True):
+                found[piece] = self[piece] = data[start:stop]
+                start = stop
         return found
 
     def of(self, text: str) -> bytes:
         """All ids of a text."""
-        return b"".join(b"".join(map(self.__getitem__, PIECE.findall(text, start, end))) for start, end in stretches(text))
+        out = []
+        for start, end in stretches(text):
+            pieces = PIECE.findall(text, start, end)
+            found = list(map(self.get, pieces))
+            if None in found:
+                new = self.learn({p for p, ids in zip(pieces, found, strict=True) if ids is None})
+                found = [new[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+            out.append(b"".join(found))
+        return b"".join(out)
+
+
+@functools.lru_cache(maxsize=4)
+def shared_ids(file: str, width: int) -> Ids:
+    """What the tasks of one Python worker remember together."""
+    return Ids(file, width)
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:

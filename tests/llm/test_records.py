@@ -45,7 +45,7 @@ def test_ids_of_pieces_are_those_of_whole_texts(monkeypatch):
     monkeypatch.setattr(tokens, "STRETCH", 50)
     monkeypatch.setattr(tokens, "KNOWN", 100)
     ids = tokens.Ids(tokens.vocabulary(), 4)
-    for text in texts():
+    for text in [*texts(), "a   b", "a \t b", "x\u00a0  y", "x  ", " x", "a\u3000 \u3000b", "\x1c \x1cx", "a.' 's b's", "1 2 3,4 5"]:
         want = whole.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(ids.of(text or ""), "<u4").tolist() == want
     for text in (" " * 3_000_000, "\n" * 3_000_000, "\t" * 3_000_000 + "x"):  # the packer takes them too
