@@ -6,7 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +81,13 @@ def joined_by_key(rows: DataFrame, table: DataFrame, key: str, hot: int = 100_00
     return rows.join(often, key).unionByName(seldom)
 
 
+def rows_in_arrow(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """`docs.mapInArrow(run, docs.schema)` for columns of any name; `text` and other plain names stay what they are."""
+    names = [c if re.fullmatch(r"\w+", c) else f"_column{i}_" for i, c in enumerate(docs.columns)]
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Hand texts to Python in batches of at most `rows` rows from now on, so workers hold less at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -10,8 +10,10 @@ between equal tokens that is.  A document is contaminated if it has an overlap.
 
 The three masks lose no overlap: wherever the substitutions that `MIN_SHARE` allows stand in 8 to 25 tokens, one mask hits
 (a test tries every placement), and a longer run can be cut into stretches of 13 to 25 tokens, one of which has this
-share too.  So hits whose `AROUND` does not hold as many equal tokens as the shortest overlap needs go at once.  Items of fewer than `MIN_ITEM` tokens, from
-`SHORTEST` on, overlap only where all their tokens stand.
+share too.  Items of fewer than `MIN_ITEM` tokens, from `SHORTEST` on, overlap only where all their tokens stand.
+
+A passage that many items and texts share costs one look for each text, item and diagonal: hits that follow from the one
+before are left out, different diagonals are compared as arrays, and a bounded number of them is held.
 
 The seed table goes to the tasks in blocks of at most `BLOCK_TOKENS` benchmark tokens, one pass over the documents for
 each block, and each block's findings are written before the next is fetched, so what is sent and what the driver holds
@@ -35,14 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import Words, checkpointed, slices, written
+from pagelens.llm.common import Words, checkpointed, rows_in_arrow, slices, written
 
 MASKS = ("10101101", "111101", "1100111")
 MATCH, MISS = 1, -2
 MIN_TOKENS, MIN_ITEM, SHORTEST, MIN_SHARE = 13, 8, 4, 0.8
-#: Offsets from the start of a hit at which the tokens of its stretch lie.
-AROUND = range(2 - 2 * MIN_TOKENS, 2 * MIN_TOKENS - 1)
 BLOCK_TOKENS = 2_000_000
+#: Hits, and places on diagonals, that are looked at together.
+SPREAD = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +71,11 @@ def seeds(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Benchmark items of a block: tokens end to end, and their seeds sorted by hash with their positions."""
+    """Benchmark items of a block: tokens end to end, and their seeds sorted by hash with their positions.
+
+    `group` numbers the seeds of one hash, which begin at `first`; `after` has for each group the one that stands one token on
+    from all of it and from nothing else.  A passage that many items share is a row of such groups.
+    """
 
     ids: list[int | None]
     tokens: np.ndarray
@@ -78,12 +84,14 @@ class Index:
     hashes: np.ndarray
     places: np.ndarray
     masks: tuple[str, ...]
+    first: np.ndarray
+    after: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int | None, str | None]], masks: tuple[str, ...] = MASKS) -> Index:
         found, offsets = tokens(pa.array([t for _, t in items], pa.string()))
         item = np.repeat(np.arange(len(items)), np.diff(offsets))
-        hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        hashes, places, number = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         sizes = np.diff(offsets)
         whole = tuple("1" * n for n in range(SHORTEST, MIN_ITEM) if (sizes == n).any())
         for k, mask in enumerate(masks + whole):
@@ -92,42 +100,88 @@ class Index:
             inside = (offsets[1:][item[at]] - at >= len(mask)) & (sizes[item[at]] >= MIN_ITEM if k < len(masks) else sizes[item[at]] == len(mask))
             hashes.append(h[inside])
             places.append(at[inside])
-        hashes, places = np.concatenate(hashes), np.concatenate(places)
+            number.append(np.full(inside.sum(), k))
+        hashes, places, number = np.concatenate(hashes), np.concatenate(places), np.concatenate(number)
         order = np.argsort(hashes, kind="stable")
-        return cls([i for i, _ in items], found, offsets, item, hashes[order], places[order], masks + whole)
-
-    def promising(self, found: np.ndarray, offsets: np.ndarray, text: np.ndarray, hit: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Which hits have enough equal tokens around them."""
-        equal = np.zeros(len(hit), np.int64)
-        for o in AROUND:
-            a, b = hit + o, place + o
-            inside = (a >= offsets[text]) & (a < offsets[text + 1]) & (b >= self.offsets[item]) & (b < self.offsets[item + 1])
-            equal += inside & (found[np.clip(a, 0, len(found) - 1)] == self.tokens[np.clip(b, 0, len(self.tokens) - 1)])
-        need = np.minimum(MIN_TOKENS, np.diff(self.offsets)[item])
-        return equal >= np.where(need < MIN_ITEM, need, np.ceil(MIN_SHARE * need - 1e-9))
+        hashes, places, number = hashes[order], places[order], number[order]
+        first = np.flatnonzero(np.concatenate(([len(hashes) > 0], hashes[1:] != hashes[:-1])))
+        size = np.diff(np.append(first, len(hashes)))
+        group, follows = np.repeat(np.arange(len(first)), size), np.full(len(hashes), -1)
+        for k in range(len(masks)):
+            own = number == k
+            at = np.full(len(found) + 1, -1)
+            at[places[own]] = group[own]
+            same = item[np.minimum(places[own] + 1, len(found) - 1)] == item[places[own]]
+            follows[own] = np.where(same, at[places[own] + 1], -1)
+        after = np.minimum.reduceat(follows, first) if len(first) else follows
+        single = (after == np.maximum.reduceat(follows, first)) & (after >= 0) if len(first) else after >= 0
+        single[single] &= size[after[single]] == size[single]
+        return cls([i for i, _ in items], found, offsets, item, hashes, places, masks + whole, first, np.where(single, after, -1))
 
     def diagonals(self, found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows (text, item, diagonal, position of a hit in the texts), one for each text, item and diagonal."""
-        rows = [np.zeros((0, 4), np.int64)]
+        """Rows (text, item, diagonal), one for each text, item and diagonal with a hit.
+
+        Where a hit follows from the one before it, on the same diagonals, only the first is looked at; seeds with many
+        places are spread out a bounded number at a time.
+        """
+        rows = [np.zeros((0, 3), np.int64)]
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        size = np.diff(np.append(self.first, len(self.hashes)))
         for k, mask in enumerate(self.masks):
             h = seeds(found, mask, k)
             if not len(h) or not len(self.hashes):
                 continue
             low = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             at = np.flatnonzero((self.hashes[low] == h) & (offsets[1:][text[: len(h)]] - np.arange(len(h)) >= len(mask)))
-            if not len(at):
+            group = np.searchsorted(self.first, low[at])
+            told = np.zeros(len(at), bool)
+            told[1:] = (at[1:] == at[:-1] + 1) & (text[at[1:]] == text[at[:-1]]) & (self.after[group[:-1]] == group[1:])
+            at, group = at[~told], group[~told]
+            for a, b in pieces(size[group], SPREAD):
+                many = size[group[a:b]]
+                hit = np.repeat(at[a:b], many)
+                place = self.places[np.repeat(self.first[group[a:b]] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                item = self.item[place]
+                row = np.stack((text[hit], item, (hit - offsets[text[hit]]) - (place - self.offsets[item])), axis=1)
+                rows.append(unique_rows(row))
+        return unique_rows(np.concatenate(rows))
+
+    def runs(self, found: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """(start in the text, tokens, equal tokens) for each row (text, item, diagonal), as `overlap` has it."""
+        out = np.zeros((len(rows), 3), np.int64)
+        text, item, diagonal = rows.T
+        own, begin = np.diff(self.offsets)[item], np.maximum(0, diagonal)
+        length = np.minimum(np.diff(offsets)[text], diagonal + own) - begin
+        order = np.argsort(length, kind="stable")
+        for a, b in pieces(length[order], SPREAD, level=True):
+            part = order[a:b]
+            wide = int(length[part].max(initial=0))
+            if not wide:
                 continue
-            first, stop = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], side="right")
-            many = stop - first
-            hit = np.repeat(at, many)
-            place = self.places[np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
-            item = self.item[place]
-            good = self.promising(found, offsets, text[hit], hit, item, place)
-            hit, place, item = hit[good], place[good], item[good]
-            rows.append(np.stack((text[hit], item, (hit - offsets[text[hit]]) - (place - self.offsets[item]), hit), axis=1))
-        rows = np.concatenate(rows)
-        return rows[np.unique(rows[:, :3], axis=0, return_index=True)[1]] if len(rows) else rows
+            column, inside = np.arange(wide), np.arange(wide) < length[part, None]
+            x = np.minimum((offsets[text[part]] + begin[part])[:, None] + column, len(found) - 1)
+            y = np.minimum((self.offsets[item[part]] + begin[part] - diagonal[part])[:, None] + column, len(self.tokens) - 1)
+            equal = (found[x] == self.tokens[y]) & inside
+            blank = np.zeros((len(part), 1), np.int64)
+            count = np.hstack((blank, np.cumsum(equal, axis=1)))
+            gain = np.hstack((blank, np.cumsum(np.where(equal, MATCH, MISS), axis=1)))
+            stop = np.argmax(gain - np.minimum.accumulate(gain, axis=1), axis=1)
+            start = np.argmin(np.where(np.arange(wide + 1) <= stop[:, None], gain, 1 << 40), axis=1)
+            row, need = np.arange(len(part)), np.minimum(MIN_TOKENS, own[part])
+            equals = count[row, stop] - count[row, start]
+            good = (stop - start >= need) & (equals >= MIN_SHARE * (stop - start))
+            short = own[part] < MIN_ITEM
+            whole = short & (length[part] == own[part]) & (count[row, -1] == own[part])
+            out[part[good & ~short]] = np.stack((begin[part] + start, stop - start, equals), axis=1)[good & ~short]
+            out[part[whole]] = np.stack((begin[part], own[part], own[part]), axis=1)[whole]
+            # Of the others only those can hold an overlap in which some stretch is long and equal enough.
+            worth = count - MIN_SHARE * np.arange(wide + 1)
+            least = np.minimum.accumulate(worth, axis=1)
+            back = np.arange(wide + 1) - need[:, None]
+            likely = ((back >= 0) & (worth >= np.take_along_axis(least, np.maximum(back, 0), axis=1) - 1e-9)).any(axis=1)
+            for i in part[likely & ~good & ~short].tolist():
+                out[i] = self.overlap(found[offsets[text[i]] : offsets[text[i] + 1]], int(item[i]), int(diagonal[i]))
+        return out
 
     def overlap(self, text_tokens: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int]:
         """(start in the text, tokens, equal tokens) of the run to report on a diagonal; no tokens if none is an overlap."""
@@ -157,6 +211,32 @@ class Index:
         return begin + start, stop - start, int(count[stop] - count[start])
 
 
+def pieces(sizes: np.ndarray, limit: int, level: bool = False) -> Iterator[tuple[int, int]]:
+    """Bounds of runs whose sizes add up to at most `limit` (one at least); `level` counts each as large as the run's last."""
+    start = 0
+    ends = np.cumsum(sizes)
+    while start < len(sizes):
+        if level:
+            room = sizes[start:] * np.arange(1, len(sizes) - start + 1)
+            stop = start + max(1, int(np.searchsorted(room, limit, side="right")))
+        else:
+            stop = max(start + 1, int(np.searchsorted(ends, limit + (ends[start - 1] if start else 0), side="right")))
+        yield start, stop
+        start = stop
+
+
+def unique_rows(rows: np.ndarray) -> np.ndarray:
+    """Different rows of small columns, sorted."""
+    if not len(rows):
+        return rows
+    low = rows.min(axis=0)
+    span = rows.max(axis=0) - low + 1
+    if float(span[0]) * float(span[1]) * float(span[2]) >= 2**62:
+        return np.unique(rows, axis=0)
+    key = ((rows[:, 0] - low[0]) * span[1] + rows[:, 1] - low[1]) * span[2] + rows[:, 2] - low[2]
+    return rows[np.unique(key, return_index=True)[1]]
+
+
 def _blocks(items: DataFrame, block_tokens: int) -> list[DataFrame]:
     """The items in blocks of about `block_tokens` tokens."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -165,21 +245,24 @@ def _blocks(items: DataFrame, block_tokens: int) -> list[DataFrame]:
     return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def _found(texts: pa.Array, index: Index) -> list[list[dict]]:
-    """The overlaps of each text of a slice."""
+def _found(texts: pa.Array, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, run) of the overlaps of a slice: rows sorted by text, with start, tokens and equal tokens."""
     found, offsets = tokens(texts)
-    out: list[list[dict]] = [[] for _ in range(len(texts))]
-    for text, item, diagonal, _ in index.diagonals(found, offsets).tolist():
-        start, n, equal = index.overlap(found[offsets[text] : offsets[text + 1]], item, diagonal)
-        if n:
-            out[text].append({"item_id": index.ids[item], "start": start, "tokens": n, "equal": equal})
-    return out
+    rows = index.diagonals(found, offsets)
+    runs = index.runs(found, offsets, rows)
+    over = runs[:, 1] > 0
+    return rows[over, 0], rows[over, 1], runs[over]
+
+
+def _listed(n: int, index: Index, text: np.ndarray, item: np.ndarray, runs: np.ndarray) -> pa.Array:
+    """Overlaps as a list for each of n texts."""
+    ids = pa.array(index.ids, pa.int64()).take(pa.array(item))
+    values = pa.StructArray.from_arrays([ids, *(pa.array(runs[:, c], pa.int32()) for c in range(3))], ["item_id", "start", "tokens", "equal"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), values)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """For every row of docs: doc_id and its overlaps as an array of (item_id, start, tokens, equal)."""
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("tokens", pa.int32()), ("equal", pa.int32())]))
-
     def search(block: DataFrame):
         index = Index.of([(r["item_id"], r["text"]) for r in block.collect()], masks)  # bounded by block_tokens
 
@@ -187,7 +270,7 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
             for batch in batches:
                 for part in slices(batch, "text"):
                     names = [n for n in part.schema.names if n != "text"]
-                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(_found(part.column("text"), index), kind)], [*names, "found"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), _listed(len(part), index, *_found(part.column("text"), index))], [*names, "found"])
 
         return run
 
@@ -222,13 +305,15 @@ def clean_documents(docs: DataFrame, items: DataFrame, block_tokens: int = BLOCK
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    yield part.filter(pa.array([not found for found in _found(part.column("text"), index)], pa.bool_()))
+                    kept = np.ones(len(part), bool)
+                    kept[_found(part.column("text"), index)[0]] = False
+                    yield part.filter(pa.array(kept))
 
         return run
 
     blocks = _blocks(items, block_tokens)
     for i, block in enumerate(blocks):
-        docs = docs.mapInArrow(clean(block), docs.schema)
+        docs = rows_in_arrow(docs, clean(block))
         if i + 1 < len(blocks):
             docs = written(docs)
     return docs

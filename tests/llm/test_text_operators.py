@@ -162,7 +162,7 @@ def test_overlaps_match_every_diagonal_and_run():
         at = rng.randrange(len(words) + 1)
         words[at:at] = own
         found, offsets = decontaminate.tokens(pa.array([" ".join(words)]))
-        got = {k for _, k, d, _ in index.diagonals(found, offsets).tolist() if index.overlap(found, k, d)[1]}
+        got = {k for _, k, d in index.diagonals(found, offsets).tolist() if index.overlap(found, k, d)[1]}
         want = {k for k, item in enumerate(items) if plain_overlap(words, item)}
         assert got == want
         hits += len(want)
