@@ -87,7 +87,14 @@ def text_key():
 
 
 def row_key(docs: DataFrame):
-    return F.xxhash64(*(docs[c] for c in docs.columns))
+    """The hash of all columns of a row, whatever they are named; maps and variants count by their JSON."""
+    own = lambda f: F.to_json(F.struct(_named(f.name))) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else _named(f.name)
+    return F.xxhash64(*map(own, docs.schema.fields))
+
+
+def _named(column: str):
+    """A column by its whole name, which may hold dots and backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def near(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -222,8 +229,10 @@ def drop_copies(docs: DataFrame, radius: int = RADIUS, block_bytes: int = BLOCK_
     # A row is told by its hashes; repeats of the row that stays are all told by the same ones.
     lost = broadcast_if_small(many.where(~first).select("key", "row").distinct())
     again = broadcast_if_small(many.where(first).groupBy("key", "row").agg(F.count("*").alias("n")).where("n > 1").select("key", "row"))
-    keyed = docs.withColumn("_key", text_key()).withColumn("_row", row_key(docs))
-    same = lambda of: (keyed["_key"] == of["key"]) & (keyed["_row"] == of["row"])
+    # Names that no column of docs has, in any case of letters.
+    key, row = (next(n for k in range(len(docs.columns) + 1) if (n := f"_{w}{k}") not in {c.lower() for c in docs.columns}) for w in ("key", "row"))
+    keyed = docs.withColumn(key, text_key()).withColumn(row, row_key(docs))
+    same = lambda of: (keyed[key] == of["key"]) & (keyed[row] == of["row"])
     kept = keyed.join(lost, same(lost), "left_anti")
     single = kept.join(again, same(again), "left_anti")
-    return single.union(kept.join(again, same(again), "left_semi").dropDuplicates(["_key", "_row"])).drop("_key", "_row")
+    return single.union(kept.join(again, same(again), "left_semi").dropDuplicates([key, row])).drop(key, row)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import Words, held_out, max_by_segment, remainder, short_batches, slices, string_bytes
+from pagelens.llm.common import Words, held_out, max_by_segment, remainder, rows_in_arrow, short_batches, slices, string_bytes
 
 MAX_LABELS = 200_000
 MAX_FEATURES = 100_000
@@ -403,7 +403,7 @@ def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text", SLICE_BYTES):
                 yield part.filter(pa.array(_probability(text_figures(part.column("text"), restorer, model), model.regression) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_in_arrow(docs, run)
 
 
 def _probability(x: np.ndarray, regression: np.ndarray) -> np.ndarray:
