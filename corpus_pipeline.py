@@ -26,9 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from all but the first document that has them; documents that this leaves without text go."""
-    cut = linededup.dedup_lines(docs)
+    # A caller's own columns of the names that the counts have stand aside meanwhile.
+    aside = {c: f"{c} of the caller" for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    cut = linededup.dedup_lines(docs.withColumnsRenamed(aside))
     emptied = (F.col("n_dropped") > 0) & (F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n")) == "")
-    kept = cut.where(~emptied).drop("n_lines", "n_dropped")
+    kept = cut.where(~emptied).drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in aside.items()})
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
