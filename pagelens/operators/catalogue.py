@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from functools import reduce
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
@@ -225,7 +226,13 @@ def lint(rules: DataFrame) -> DataFrame:
     return rows.unionByName(twice)
 
 
-def stats(core_rules: DataFrame, growth_rules: DataFrame, security_rules: DataFrame) -> DataFrame:
-    """Technologies and rules of each catalogue and category."""
-    parts = [t.select(F.lit(n).alias("catalogue"), "category", "tech_id") for n, t in (("core", core_rules), ("growth", growth_rules), ("security", security_rules))]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("catalogue", "category").agg(F.count_distinct("tech_id").alias("technologies"), F.count("*").alias("rules"))
+def stats(rules: dict[str, DataFrame], hits: dict[str, DataFrame]) -> DataFrame:
+    """Technologies and rules of each catalogue and category, and what they come to on pages: by catalogue its rules and its hits (page_id, category, tech_id)."""
+    of = lambda tables, *names: reduce(DataFrame.unionAll, [t.select(F.lit(n).alias("catalogue"), *names) for n, t in tables.items()])
+    known = of(rules, "category", "tech_id").groupBy("catalogue", "category").agg(F.count_distinct("tech_id").alias("technologies"), F.count("*").alias("rules"))
+    # Distinct first, so no key gathers all pages.
+    pairs = of(hits, "category", "tech_id", "page_id").distinct()
+    pages = pairs.select("catalogue", "category", "page_id").distinct().groupBy("catalogue", "category").agg(F.count("*").alias("pages"))
+    seen = pairs.select("catalogue", "category", "tech_id").distinct().groupBy("catalogue", "category").agg(F.count("*").alias("seen"))
+    none = F.lit(0).cast("long")
+    return known.join(pages, ["catalogue", "category"], "left").join(seen, ["catalogue", "category"], "left").select("catalogue", "category", "technologies", "rules", F.coalesce("seen", none).alias("seen"), F.coalesce("pages", none).alias("pages"))

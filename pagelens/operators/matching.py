@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import channels as ch
 from pagelens.operators.catalogue import needles
+from pagelens.sources.captures import seen_html
 
 MAX_RULES = 20_000
 #: Containers of a page, and characters of one, that are looked at.
 MAX_CONTAINERS, MAX_CONTAINER = 3, 400_000
+#: Fixed value: characters of a probe's answer that are looked at.
+MAX_PROBE = 50_000
 #: What a hit keeps of its rule.
 RULE = ["tech_ord", "tech_id", "tech_name", "category", "excludes", "min_families", "sig_ord", "type", "weight", "strength", "family", "specificity", "description"]
 NO_STRUCTS = "array<struct<channel:string,name:string,ord:int,value:string,alt:string>>"
@@ -92,7 +95,8 @@ def _rows(channel: str, values: Column, name=None, value=None, alt=None) -> Colu
 
 def core_channels(captures: DataFrame) -> DataFrame:
     """(page_id, channel, name, ord, value, alt): what core rules look at."""
-    html = F.coalesce("html", F.lit(""))
+    captures = captures.withColumn("html", F.coalesce(seen_html(), F.lit("")))
+    html = F.col("html")
     every = F.concat(
         _rows("generator", F.when(F.lower(html).contains("generator"), ch.every(html, ch.GENERATOR))),
         _rows("usage", F.array(ch.usage_html(html))),
@@ -103,7 +107,7 @@ def core_channels(captures: DataFrame) -> DataFrame:
         _rows("meta", ch.meta_pairs(html), name=lambda x: x["name"], value=lambda x: x["content"], alt=lambda x: F.concat(x["name"], F.lit("="), x["content"])),
         _rows("header", F.map_entries(ch.lowered_headers(F.col("headers"))), name=lambda x: x["key"], value=lambda x: x["value"]),
         _rows("cookie", F.col("cookies")),
-        _rows("probe", F.map_entries("probes"), name=lambda x: x["key"], value=lambda x: x["value"]),
+        _rows("probe", F.map_entries("probes"), name=lambda x: x["key"], value=lambda x: F.substring(x["value"], 1, MAX_PROBE)),
     )
     return captures.select("page_id", F.explode(every).alias("c")).select("page_id", "c.*").where(F.regexp_replace("value", r"\s+", "") != "")
 
@@ -183,7 +187,7 @@ def haystacks(captures: DataFrame, channels: dict[str, Column] | None = None) ->
     Addresses that a rendered page asked for count among its resources, its globals among its code, its storage keys among
     its cookies.  `channels` adds texts of other columns under names that a catalogue's rules may look at.
     """
-    html, none = F.coalesce("html", F.lit("")), F.array().cast("array<string>")
+    html, none = F.coalesce(seen_html(), F.lit("")), F.array().cast("array<string>")
     given = {c: F.coalesce(F.col(c), none) if c in captures.columns else none for c in RENDERED.values()}
     more = {name: F.array_join(given[c], "\n") for name, c in RENDERED.items()} | (channels or {})
     page = captures.select("page_id", html.alias("html"), ch.lowered_headers(F.col("headers")).alias("headers"), "cookies", "bundles", limited(F.col("containers")).alias("containers"), *(v.alias(c) for c, v in given.items()), *(v.alias(f"_{name}") for name, v in more.items()))

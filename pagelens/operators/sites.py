@@ -24,6 +24,8 @@ STORE_THEMES = {int(k): v for k, v in _THEME_FILE["store"].items()}
 SHOP_THEMES: list[str] = _THEME_FILE["known"]
 #: Characters of a style sheet that are looked at.
 MAX_STYLE = 15_000
+#: How sure a detection is, in the words of a scan.
+SURE = {"confirmed": "High", "likely": "Medium", "possible": "Low"}
 GROUP_RANK = {"header": 0, "cookie-name": 0, "html-regex": 1, "meta-generator": 1, "html-path": 2, "script-host": 2, "probe": 3}
 FRAMEWORKS = ["cms", "builder", "ecommerce", "framework"]
 
@@ -134,6 +136,17 @@ def tech_kinds(found: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.select("site", "tech_id", F.when(framework, "framework").when((F.col("f.tech_name") == F.col("f.provider")) & (F.col("f.category") == "hosting"), "hosting").otherwise("other").alias("kind"))
 
 
+def page_results(found: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What a scan shows of each page that has any: framework, host, how sure it is in words, and the first artifacts of both."""
+    first = lambda cond, name: F.min_by(F.when(cond, F.struct("tech_id", "tech_name", "label")), F.when(cond, F.struct(-F.col("confidence"), F.col("tech_ord")))).alias(name)
+    page = found.groupBy("page_id").agg(first(F.col("category").isin(*FRAMEWORKS), "f"), first(F.col("category") == "hosting", "p"))
+    lines = evidence.groupBy("page_id", "tech_id").agg(F.slice(scoring.in_order("artifact", "sig_ord"), 1, 2).alias("artifacts"))
+    shown = page.select("page_id", F.explode(F.array_compact(F.array(F.when(F.col("f").isNotNull(), F.struct(F.lit(0).alias("o"), F.col("f.tech_id").alias("tech_id"))), F.when(F.col("p").isNotNull(), F.struct(F.lit(1).alias("o"), F.col("p.tech_id").alias("tech_id")))))).alias("x")).select("page_id", "x.*")
+    texts = shown.join(lines, ["page_id", "tech_id"]).groupBy("page_id").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", "artifacts"))), lambda x: x["artifacts"])), " | ").alias("evidence"))
+    word = _lookup(SURE, F.coalesce("f.label", "p.label", F.lit("possible")))
+    return page.join(texts, "page_id", "left").select("page_id", F.coalesce("f.tech_name", F.lit("Unknown")).alias("framework"), F.col("f.tech_id").alias("framework_id"), F.coalesce("p.tech_name", F.lit("Unknown")).alias("provider"), F.col("p.tech_id").alias("provider_id"), word.alias("confidence"), F.coalesce("evidence", F.lit("No distinctive fingerprint matched")).alias("evidence"))
+
+
 def page_platforms(found: DataFrame, pages: DataFrame) -> DataFrame:
     """Each page with the best framework and hosting provider of its detections."""
     best = lambda cond, name: F.min_by(F.when(cond, F.col("tech_name")), F.when(cond, F.struct(-F.col("confidence"), F.col("tech_ord")))).alias(name)

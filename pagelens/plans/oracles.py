@@ -459,7 +459,17 @@ COVERAGE = f"""with {EVIDENCE}, {SCORES}, p as (select page_id, {host('url')} as
 select site, tech_id, score, detected_on, checked, {_COVER.format(c='checked', d='detected_on', s='score')} as adjusted from r join c using (site)"""
 RATE = "select event_id, user_id as key, count(*) over w as recent, count(*) over w > 2 as limited from events window w as (partition by user_id order by epoch_us(ts) range between 3599999999 preceding and current row)"
 _ALL = [("core", r[3], r[1]) for r in catalogue.core_rows()] + [("growth", r[3], r[1]) for r in catalogue.growth_rows()[0]] + [("security", r[3], r[1]) for r in catalogue.security_rows()]
-STATS = f"select catalogue, category, count(distinct tech_id) as technologies, count(*) as rules from {values(_ALL, 'catalogue, category, tech_id')} group by all"
+STATS = f"""with known as (select catalogue, category, count(distinct tech_id) as technologies, count(*) as rules from {values(_ALL, 'catalogue, category, tech_id')} group by all),
+shown as (select 'core' as catalogue, category, tech_id, page_id from (with {EVIDENCE} select * from evidence) union all select 'growth', category, tech_id, page_id from (with {GROWTH_HITS} select * from hits) union all select 'security', category, tech_id, page_id from (with {SECURITY} select * from hits)),
+counted as (select catalogue, category, count(distinct tech_id) as seen, count(distinct page_id) as pages from shown group by all)
+select catalogue, category, technologies, rules, coalesce(seen, 0) as seen, coalesce(pages, 0) as pages from known left join counted using (catalogue, category)"""
+FAMILY_FLOOR = f"with {EVIDENCE} select page_id, tech_id, sig_ord, family from evidence qualify len(list(distinct family) over (partition by page_id, tech_id)) >= 2"
+SCAN_RESULTS = f"""with {SCAN(DETECTIONS)}, own as (select * from detections where category <> 'analytics'),
+best_of as (select page_id, arg_min({{'i': tech_id, 'n': tech_name, 'l': label}}, {{'c': -confidence, 'o': tech_ord}}) filter (category in {_FRAMEWORKS}) as f, arg_min({{'i': tech_id, 'n': tech_name, 'l': label}}, {{'c': -confidence, 'o': tech_ord}}) filter (category = 'hosting') as p from own group by page_id),
+lines as (select page_id, tech_id, list(artifact order by sig_ord)[1:2] as artifacts from evidence where category <> 'analytics' group by page_id, tech_id)
+select b.page_id, coalesce(f.n, 'Unknown') as framework, f.i as framework_id, coalesce(p.n, 'Unknown') as provider, p.i as provider_id, case coalesce(f.l, p.l, 'possible') when 'confirmed' then 'High' when 'likely' then 'Medium' when 'possible' then 'Low' end as confidence,
+  case when f is null and p is null then 'No distinctive fingerprint matched' else array_to_string(list_concat(coalesce(x.artifacts, []), coalesce(y.artifacts, [])), ' | ') end as evidence
+from best_of b left join lines x on x.page_id = b.page_id and x.tech_id = f.i left join lines y on y.page_id = b.page_id and y.tech_id = p.i"""
 ERRORS = f"with {VALIDATE} select code, http_status, retryable, count(page_id) as n from {values(catalogue.ERRORS, 'code, http_status, retryable')} left join (select page_id, v.code as code from valid) using (code) group by all"
 CACHE = f"with {CAPS} select {host('final_url')} || regexp_replace({path('final_url')}, '/+$', '') as cache_key, min(page_id) as page_id, count(*) as n from caps group by 1"
 
@@ -513,5 +523,5 @@ def all_sql() -> dict[str, str]:
         "security_channels": SECURITY_CHANNELS, "attribute_hooks": ATTRIBUTE_HOOKS, "core_evidence": CORE_EVIDENCE, "core_confidence": CORE_CONFIDENCE, "core_score": CORE_SCORE, "core_detect": CORE_DETECT, "explain_detections": EXPLAIN, "growth_detect": GROWTH_DETECT, "growth_evidence": GROWTH_EVIDENCE, "growth_by_category": GROWTH_BY_CATEGORY,
         "growth_ids": GROWTH_IDS, "growth_via_container": GROWTH_VIA, "server_side_warning": SERVER_SIDE, "security_detect": SECURITY_DETECT, "security_by_category": SECURITY_BY_CATEGORY, "bot_challenge": BOT_CHALLENGE, "bot_provider": BOT_PROVIDER, "relevant_headers": RELEVANT, "header_audit": HEADER_AUDIT,
         "mixed_content": MIXED, "redirect_audit": REDIRECTS, "safety_findings": SAFETY_FINDINGS, "safety_score": SAFETY_SCORE, "wp_plugins": PLUGINS, "wp_theme": WP_THEME, "shop_theme": SHOP_THEME, "cname_hint": CNAME, "container_ids": CONTAINER_IDS, "loader_ids": LOADER_IDS, "container_sanitize": SANITIZE,
-        "cookie_names": COOKIES, "framework_data": FRAMEWORK, "robots_filter": ROBOTS, "scan_pages": SCAN_PAGES, "site_tech_rollup": ROLLUP, "site_tech_evidence": SITE_EVIDENCE, "site_tech_kinds": SITE_KINDS, "chosen_bundles": BUNDLES, "site_consistency": CONSISTENCY, "coverage_penalty": COVERAGE, "rate_limit": RATE, "catalogue_stats": STATS, "error_codes": ERRORS, "cache_keys": CACHE, "cache_keys_with_query": CACHE_QUERY.replace("{outcome}", OUTCOME), "capture_outcome": CAPTURE_OUTCOME, "script_candidates": CANDIDATES, "missing_containers": MISSING, "capped_html": CAPPED, "scan_log": SCAN_LOG, "sitemap_locs": SITEMAP, "domains": DOMAINS,
+        "cookie_names": COOKIES, "framework_data": FRAMEWORK, "robots_filter": ROBOTS, "scan_pages": SCAN_PAGES, "site_tech_rollup": ROLLUP, "site_tech_evidence": SITE_EVIDENCE, "site_tech_kinds": SITE_KINDS, "scan_results": SCAN_RESULTS, "family_floor": FAMILY_FLOOR, "chosen_bundles": BUNDLES, "site_consistency": CONSISTENCY, "coverage_penalty": COVERAGE, "rate_limit": RATE, "catalogue_stats": STATS, "error_codes": ERRORS, "cache_keys": CACHE, "cache_keys_with_query": CACHE_QUERY.replace("{outcome}", OUTCOME), "capture_outcome": CAPTURE_OUTCOME, "script_candidates": CANDIDATES, "missing_containers": MISSING, "capped_html": CAPPED, "scan_log": SCAN_LOG, "sitemap_locs": SITEMAP, "domains": DOMAINS,
     }

@@ -16,6 +16,10 @@ from pagelens.sources.captures import overlay
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Rules that look into containers, by type.
+SECURITY_CONTAINERS = ("script-host", "sdk-init", "network-host", "iframe", "runtime-global")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
@@ -44,7 +48,7 @@ def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def security(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = captures(spark, sf_dir)
-    hits = matching.type_hits(page, catalogue.security(spark), matching.SECURITY_LOOK, ("script-host", "sdk-init", "network-host", "iframe", "runtime-global"))
+    hits = security_hits(spark, page)
     demo = page.where(F.exists(ch.every(F.col("html"), ch.SITEKEYS), lambda k: (F.length(k) < 30) & k.rlike(scoring.PLACEHOLDER))).select("page_id")
     return scoring.security_scores(hits, demo)
 
@@ -284,8 +288,27 @@ def rate_limit(spark, sf_dir):
     return sites.rate_limited(hits, 2, 3600).select("event_id", "key", "recent", "limited")
 
 
+def security_hits(spark, page):
+    return matching.type_hits(page, catalogue.security(spark), matching.SECURITY_LOOK, SECURITY_CONTAINERS)
+
+
 def catalogue_stats(spark, sf_dir):
-    return catalogue.stats(catalogue.core(spark), catalogue.growth(spark), catalogue.security(spark))
+    """Technologies and rules of each catalogue and category, how many of them the pages show and on how many pages."""
+    page = captures(spark, sf_dir)
+    rules = {"core": catalogue.core(spark), "growth": catalogue.growth(spark), "security": catalogue.security(spark)}
+    return catalogue.stats(rules, {"core": evidence(spark, sf_dir), "growth": growth_hits(spark, page), "security": security_hits(spark, page)})
+
+
+def family_floor(spark, sf_dir):
+    """The evidence that is left if every technology has to show two families of signals."""
+    rules = catalogue.core(spark).withColumn("min_families", F.lit(2))
+    return matching.core_evidence(captures(spark, sf_dir), rules).select("page_id", "tech_id", "sig_ord", "family")
+
+
+def scan_results(spark, sf_dir):
+    """What a scan shows of each page."""
+    found = scan_evidence(spark, sf_dir)
+    return sites.page_results(scoring.detections(found), found)
 
 
 def error_codes(spark, sf_dir):
@@ -353,5 +376,5 @@ def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         url_anatomy, url_validate, page_profile, internal_links, diverse_sample, sample_plan, resource_refs, security_channels, attribute_hooks, core_evidence, core_confidence, core_score, core_detect, explain_detections, growth_detect, growth_evidence, growth_by_category, growth_ids, growth_via_container,
         server_side_warning, security_detect, security_by_category, bot_challenge, bot_provider, relevant_headers, header_audit, mixed_content, redirect_audit, safety_findings, safety_score, wp_plugins, wp_theme, shop_theme, cname_hint, container_ids, loader_ids, container_sanitize, cookie_names,
-        framework_data, robots_filter, scan_pages, site_tech_rollup, site_tech_evidence, site_tech_kinds, chosen_bundles, site_consistency, coverage_penalty, rate_limit, catalogue_stats, error_codes, cache_keys, cache_keys_with_query, capture_outcome, script_candidates, missing_containers, capped_html, scan_log, sitemap_locs, domains,
+        framework_data, robots_filter, scan_pages, site_tech_rollup, site_tech_evidence, site_tech_kinds, scan_results, family_floor, chosen_bundles, site_consistency, coverage_penalty, rate_limit, catalogue_stats, error_codes, cache_keys, cache_keys_with_query, capture_outcome, script_candidates, missing_containers, capped_html, scan_log, sitemap_locs, domains,
     )}

@@ -136,8 +136,12 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return table.select(*((F.col(n).cast(k) if n in table.columns else _spark(_DEFAULT.get(n), k)).alias(n) for n, k in COLUMNS.items()))
 
 
+def seen_html(limit: int = MAX_HTML_BYTES) -> Column:
+    """`html` as far as it is looked at: cut at a number of bytes, of which a cut character is lost."""
+    cut = F.rtrim(F.make_valid_utf8(F.substring(F.encode("html", "UTF-8"), 1, limit).cast("string")), F.lit("\ufffd"))
+    return F.when(F.octet_length("html") > limit, cut).otherwise(F.col("html"))
+
+
 def capped_html(captures: DataFrame, limit: int = MAX_HTML_BYTES) -> DataFrame:
-    """`html` cut at a number of bytes (a cut character is lost) and the flag `truncated`."""
-    raw = F.encode("html", "UTF-8")
-    cut = F.rtrim(F.make_valid_utf8(F.substring(raw, 1, limit).cast("string")), F.lit("\ufffd"))
-    return captures.withColumn("truncated", F.octet_length("html") > limit).withColumn("html", F.when(F.octet_length("html") > limit, cut).otherwise(F.col("html")))
+    """`html` cut at a number of bytes and the flag `truncated`."""
+    return captures.withColumn("truncated", F.octet_length("html") > limit).withColumn("html", seen_html(limit))
