@@ -146,3 +146,33 @@ def test_automaton_finds_what_the_join_finds(spark, monkeypatch):
     fast = detected(spark, *rows)
     monkeypatch.setattr(matching, "MAX_RULES", 3)
     assert detected(spark, *rows) == fast and {t for _, t in fast} >= {"stripe", "wordpress", "cloudflare", "onetrust", "font-awesome"}
+
+
+def test_what_lies_behind_a_cap_is_not_seen(spark):
+    wp, key = '<meta name="generator" content="WordPress 6">', "fbq('init','123456')"
+    rows = [{"html": "é" * 249_900 + wp}, {"html": "é" * 250_000 + wp}, {"html": "é" * 250_000 + f"<script>{key}</script>"}, {"html": "/wp-content/", "probes": {"/wp-json/": "x" * 50_000 + '"namespaces"'}}, {"html": "/wp-content/", "probes": {"/wp-json/": "x" * 49_000 + '"namespaces"'}}]
+    page = capture(spark, *rows)
+    found = {(r.page_id, r.type) for r in matching.core_evidence(page, catalogue.core(spark)).where("tech_id = 'wordpress'").collect()}
+    assert found == {(0, "meta-generator"), (3, "html-path"), (4, "html-path"), (4, "probe")}
+    assert matching.type_hits(page, catalogue.growth(spark), matching.GROWTH_LOOK, ()).where("tech_id = 'meta-pixel'").count() == 0
+
+
+def test_page_results_in_words(spark):
+    rules = catalogue.core(spark)
+    page = capture(
+        spark,
+        {"html": '<meta name="generator" content="WordPress 6"><a href="/wp-content/x">', "headers": {"CF-Ray": "1"}},
+        {"headers": {"Server": "cloudflare"}}, {"html": "/wp-content/"}, {"html": "nothing"}, {"html": '<script src="https://js.stripe.com/v3/"></script>'},
+    )
+    evidence = matching.core_evidence(page, rules)
+    got = {r.page_id: r for r in sites.page_results(scoring.detections(evidence), evidence).collect()}
+    assert (got[0].framework, got[0].provider_id, got[0].confidence) == ("WordPress", "cloudflare", "High") and got[0].evidence.count(" | ") == 2 and got[0].evidence.startswith("meta[generator]")
+    assert (got[1].framework, got[1].framework_id, got[1].provider) == ("Unknown", None, "Cloudflare") and (got[2].confidence, got[2].provider) == ("Medium", "Unknown") and 3 not in got
+    assert (got[4].framework, got[4].confidence, got[4].evidence) == ("Unknown", "Low", "No distinctive fingerprint matched")
+
+
+def test_catalogue_statistics_over_pages(spark):
+    page = capture(spark, {"html": '<script src="https://js.stripe.com/v3/"></script>'}, {"html": '<script src="https://js.stripe.com/v3/"></script><script src="https://www.paypal.com/sdk/js?client-id=x"></script>'})
+    growth = catalogue.growth(spark)
+    rows = {(r.catalogue, r.category): (r.technologies, r.seen, r.pages) for r in catalogue.stats({"growth": growth, "core": catalogue.core(spark)}, {"growth": matching.type_hits(page, growth, matching.GROWTH_LOOK, ()), "core": matching.core_evidence(page.limit(0), catalogue.core(spark))}).collect()}
+    assert rows["growth", "payments"] == (7, 2, 2) and rows["growth", "chat"][1:] == (0, 0) and sum(n for (c, _), (n, _, _) in rows.items() if c == "core") == 107
