@@ -72,21 +72,27 @@ def sitemap_locs(xml: Column, cap: int = 500) -> Column:
     return F.slice(F.filter(every(xml, r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), lambda x: ~x.rlike(r"(?i)sitemap.*\.xml$")), 1, cap)
 
 
-def robots_disallowed(robots: DataFrame) -> DataFrame:
-    """(page_id, rule): path starts that `User-agent: *` groups forbid; every user-agent line opens a new group."""
-    line = robots.select("page_id", F.posexplode(F.split("robots", "\n")).alias("at", "raw")).withColumn("line", F.trim(F.get(F.split(F.trim("raw"), "#"), 0)))
-    agent = F.when(F.col("line").rlike(r"(?i)^user-agent\s*:"), F.col("line").rlike(r"(?i)^\s*user-agent\s*:\s*\*\s*$"))
-    line = line.withColumn("wild", F.last(agent, ignorenulls=True).over(Window.partitionBy("page_id").orderBy("at")))
-    rule = F.trim(F.regexp_replace("line", r"^[^:]*:", ""))
-    return line.where(F.col("wild") & F.col("line").rlike(r"(?i)^disallow\s*:")).select("page_id", rule.alias("rule")).where("rule <> ''")
+def disallowed(robots: Column) -> Column:
+    """The path starts that `User-agent: *` groups of a robots file forbid; every user-agent line opens a new group."""
+    lines = F.transform(F.split(robots, "\n"), lambda x: F.trim(F.get(F.split(F.trim(x), "#"), 0)))
+    opens = lambda x: x.rlike(r"(?i)^user-agent\s*:")
+    rule = lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", ""))
+    step = lambda state, x: F.struct(
+        F.when(opens(x), x.rlike(r"(?i)^user-agent\s*:\s*\*\s*$")).otherwise(state["wild"]).alias("wild"),
+        F.when(state["wild"] & x.rlike(r"(?i)^disallow\s*:") & (rule(x) != ""), F.concat(state["rules"], F.array(rule(x)))).otherwise(state["rules"]).alias("rules"),
+    )
+    return F.aggregate(lines, F.struct(F.lit(False).alias("wild"), F.array().cast("array<string>").alias("rules")), step, lambda state: state["rules"])
+
+
+def is_allowed(url: Column, robots: Column) -> Column:
+    """Whether robots rules leave an address; without a file they do."""
+    path = urls.path_of(url)
+    return F.coalesce(~F.exists(disallowed(robots), lambda r: (r == "/") | path.startswith(r)), F.lit(True))
 
 
 def robots_allowed(captures: DataFrame) -> DataFrame:
     """(page_id, path, allowed)."""
-    rules = robots_disallowed(captures.where("robots is not null"))
-    path = captures.select("page_id", urls.path_of(F.col("url")).alias("path"))
-    hit = path.join(rules, "page_id").where((F.col("rule") == "/") | F.col("path").startswith(F.col("rule"))).select("page_id").distinct().withColumn("hit", F.lit(True))
-    return path.join(hit, "page_id", "left").select("page_id", "path", F.col("hit").isNull().alias("allowed"))
+    return captures.select("page_id", urls.path_of(F.col("url")).alias("path"), is_allowed(F.col("url"), F.col("robots")).alias("allowed"))
 
 
 def site_rollup(evidence: DataFrame, pages: DataFrame) -> DataFrame:

@@ -25,9 +25,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of fewer splits than cores (a small single file) is spread over them; a large one is read as it lies."""
+    """A table of fewer files than cores is spread over them; a larger one is read as it lies."""
     table, cores = pages(spark, sf_dir), spark.sparkContext.defaultParallelism
-    return overlay(table.repartition(cores) if table.rdd.getNumPartitions() < cores else table)
+    return overlay(table.repartition(cores) if len(table.inputFiles()) < cores else table)
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +41,13 @@ def growth_hits(spark: SparkSession, page: DataFrame) -> DataFrame:
     return matching.with_default(hits, page, tag[:4], 0.9)
 
 
+def growth_of(spark: SparkSession, page: DataFrame, hits: DataFrame) -> DataFrame:
+    return scoring.growth_scores(hits, sites.extracted_ids(page, catalogue.growth_ids(spark)))
+
+
 def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = captures(spark, sf_dir)
-    return scoring.growth_scores(growth_hits(spark, page), sites.extracted_ids(page, catalogue.growth_ids(spark)))
+    return growth_of(spark, page, growth_hits(spark, page))
 
 
 def security(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +131,10 @@ def growth_detect(spark, sf_dir):
 
 
 def growth_evidence(spark, sf_dir):
-    hits = growth_hits(spark, captures(spark, sf_dir))
-    return scoring.shown_evidence(hits, growth(spark, sf_dir))
+    # The same hits on both sides, so Spark finds them once.
+    page = captures(spark, sf_dir)
+    hits = growth_hits(spark, page)
+    return scoring.shown_evidence(hits, growth_of(spark, page, hits))
 
 
 def growth_by_category(spark, sf_dir):
@@ -233,34 +239,35 @@ def scan_view(spark, sf_dir):
     return outcomes.scan_pages(captures(spark, sf_dir))
 
 
-def scan_evidence(spark, sf_dir):
+def evidence_of(spark, view):
     """Evidence of pages as the scan of a site sees them, without analytics."""
-    return matching.core_evidence(scan_view(spark, sf_dir), catalogue.core(spark)).where("category <> 'analytics'")
+    return matching.core_evidence(view, catalogue.core(spark)).where("category <> 'analytics'")
 
 
 def scan_pages(spark, sf_dir):
     return scan_view(spark, sf_dir).select("page_id", "scan_error", F.octet_length("html").alias("bytes"), F.size("headers").alias("headers"))
 
 
-def _site_pages(spark, sf_dir):
-    page = scan_view(spark, sf_dir)
+def _site_pages(page):
+    """(page_id, site, ok, cross_domain); pages that robots rules skip are no scanned pages."""
     hops = safety.redirect_audit(F.col("url"), F.col("final_url"), F.col("redirect_chain"))
-    # Pages that robots rules skip are no scanned pages.
-    allowed = sites.robots_allowed(page).select("page_id", "allowed")
-    rows = page.select("page_id", urls.host_of(F.col("url")).alias("site"), F.col("scan_error").isNull().alias("ok"), hops["cross_domain"].alias("cross_domain"))
-    return rows.join(allowed, "page_id").select("page_id", "site", (F.col("ok") & F.col("allowed")).alias("ok"), "cross_domain")
+    good = F.col("scan_error").isNull() & sites.is_allowed(F.col("url"), F.col("robots"))
+    return page.select("page_id", urls.host_of(F.col("url")).alias("site"), good.alias("ok"), hops["cross_domain"].alias("cross_domain"))
 
 
 def site_tech_rollup(spark, sf_dir):
-    return sites.site_rollup(scan_evidence(spark, sf_dir), _site_pages(spark, sf_dir))
+    view = scan_view(spark, sf_dir)
+    return sites.site_rollup(evidence_of(spark, view), _site_pages(view))
 
 
 def site_tech_evidence(spark, sf_dir):
-    return sites.site_evidence(scan_evidence(spark, sf_dir), _site_pages(spark, sf_dir))
+    view = scan_view(spark, sf_dir)
+    return sites.site_evidence(evidence_of(spark, view), _site_pages(view))
 
 
 def site_tech_kinds(spark, sf_dir):
-    return sites.tech_kinds(scoring.detections(scan_evidence(spark, sf_dir)), _site_pages(spark, sf_dir))
+    view = scan_view(spark, sf_dir)
+    return sites.tech_kinds(scoring.detections(evidence_of(spark, view)), _site_pages(view))
 
 
 def chosen_bundles(spark, sf_dir):
@@ -271,8 +278,8 @@ def chosen_bundles(spark, sf_dir):
 
 
 def site_consistency(spark, sf_dir):
-    found = scoring.detections(scan_evidence(spark, sf_dir))
-    return sites.consistency(sites.page_platforms(found, _site_pages(spark, sf_dir)))
+    view = scan_view(spark, sf_dir)
+    return sites.consistency(sites.page_platforms(scoring.detections(evidence_of(spark, view)), _site_pages(view)))
 
 
 def coverage_penalty(spark, sf_dir):
@@ -307,7 +314,7 @@ def family_floor(spark, sf_dir):
 
 def scan_results(spark, sf_dir):
     """What a scan shows of each page."""
-    found = scan_evidence(spark, sf_dir)
+    found = evidence_of(spark, scan_view(spark, sf_dir))
     return sites.page_results(scoring.detections(found), found)
 
 
