@@ -188,7 +188,7 @@ def read_catalogue(spark: SparkSession, *paths: str) -> DataFrame:
 
 def _read_technologies(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
     """(tech_ord, t): the technologies of JSON files (an array, or an object with `technologies`), in file order."""
-    kind = "array<struct<id:string,name:string,category:string,evidence:array<struct<type:string,pattern:string,weight:double,description:string,product:string,launchOnly:boolean>>,ids:array<struct<kind:string,pattern:string>>,rules:array<struct<strength:string,channel:string,label:string,pattern:string>>>>"
+    kind = "array<struct<id:string,name:string,category:string,website:string,variantNote:string,evidence:array<struct<type:string,pattern:string,weight:double,description:string,product:string,launchOnly:boolean>>,ids:array<struct<kind:string,pattern:string>>,rules:array<struct<strength:string,channel:string,label:string,pattern:string>>>>"
     files = None
     for i, path in enumerate(paths):
         listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(F.from_json("value", f"struct<technologies:{kind}>")["technologies"])
@@ -210,6 +210,11 @@ def read_ids(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.select("tech_ord", F.col("t.id").alias("tech_id"), "rule_ord", "r.kind", F.concat(F.when(exact, "").otherwise("(?i)"), "r.pattern").alias("pattern"))
 
 
+def read_details(spark: SparkSession, *paths: str) -> DataFrame:
+    """Websites and notes on variants of growth catalogues; the columns of DETAIL_SCHEMA."""
+    return _read_technologies(spark, paths).select(F.col("t.id").alias("tech_id"), F.col("t.website").alias("website"), F.col("t.variantNote").alias("variant_note"))
+
+
 def read_protection(spark: SparkSession, *paths: str) -> DataFrame:
     """Bot-protection providers (id, name, rules of strength, channel, label, pattern); the columns of PROTECTION_SCHEMA."""
     rows = _read_technologies(spark, paths).select("tech_ord", "t", F.posexplode("t.rules").alias("rule_ord", "r"))

@@ -121,8 +121,8 @@ def threat_reports(pages: DataFrame, answers: DataFrame, entries: DataFrame, fee
     names = page.where("host <> ''").select("host").distinct().select(F.col("host").alias("key"), F.array("host").alias("texts"))
     by_host = listed_texts(names, entries.where("feed = 'urlhaus' and kind = 'host'")).select(F.col("key").alias("host"), F.col("threat").alias("host_threat"))
     rows = page.join(filtered, "host", "left").join(small(by_url), "url", "left").join(small(by_host), "host", "left")
-    ready = F.broadcast(feeds.groupBy().agg(F.coalesce(F.max(F.when(F.col("feed") == "safe-browsing", F.col("available"))), F.lit(False)).alias("ready_url"), F.coalesce(F.max(F.when(F.col("feed") == "urlhaus", F.col("available"))), F.lit(False)).alias("ready_host")))
-    rows = rows.join(ready)
+    # Two names at most are asked for, however long the table is.
+    ready = {r["feed"] for r in feeds.where(F.col("available") & F.col("feed").isin("safe-browsing", "urlhaus")).select("feed").distinct().collect()}
 
     def report(place: int, feed: str, checked: Column, threat: Column, said: Column) -> Column:
         listed = checked & threat.isNotNull()
@@ -132,20 +132,34 @@ def threat_reports(pages: DataFrame, answers: DataFrame, entries: DataFrame, fee
     kind = F.when(F.col("gone"), BLOCKED[0]).when(F.col("zero"), SINKHOLE[0])
     every = F.array(
         report(0, "dns-filter", F.col("gone").isNotNull(), kind, F.when(F.col("gone"), BLOCKED[1]).otherwise(SINKHOLE[1])),
-        report(1, "safe-browsing", F.col("ready_url"), F.col("url_threat"), F.concat(F.lit("Flagged as "), "url_threat")),
-        report(2, "urlhaus", F.col("ready_host"), F.col("host_threat"), F.lit("Listed for active malware distribution (1 URLs recorded)")),
+        report(1, "safe-browsing", F.lit("safe-browsing" in ready), F.col("url_threat"), F.concat(F.lit("Flagged as "), "url_threat")),
+        report(2, "urlhaus", F.lit("urlhaus" in ready), F.col("host_threat"), F.lit("Listed for active malware distribution (1 URLs recorded)")),
     )
     return rows.select("page_id", F.explode(every).alias("r")).select("page_id", "r.*")
 
 
-def with_network(captures: DataFrame, answers: DataFrame, entries: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Captures with the columns that `safety.findings` reads: threats, resolves, dnssec and caa."""
+def http_redirects(hosts: DataFrame, responses: DataFrame) -> DataFrame:
+    """(host, http_redirects): whether a host sends plain HTTP on to HTTPS; null where nobody can say.
+
+    A redirect counts by where it leads, a page served without encryption is none, and any other answer says nothing.
+    """
+    asked = hosts.select("host").distinct().withColumn("url", F.concat(F.lit("http://"), "host", F.lit("/")))
+    location = F.trim(F.coalesce("location", F.lit("")))
+    verdict = F.when(F.col("error").isNotNull() | F.col("host").rlike(IP_LITERAL), None).when(F.col("status").between(301, 308), location.rlike("(?i)^https://")).when(F.col("status") == 200, False)
+    one = responses.groupBy("url").agg(F.min_by(F.struct("status", "location", "error"), F.struct("status", "location", "error")).alias("r")).select("url", "r.*")
+    return asked.join(one, "url", "left").select("host", verdict.cast("boolean").alias("http_redirects"))
+
+
+def with_network(captures: DataFrame, answers: DataFrame, entries: DataFrame, feeds: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """Captures with the columns that `safety.findings` reads: threats, resolves, dnssec, caa and, with responses, http_redirects."""
     url = F.coalesce(F.nullif(F.col("final_url"), F.lit("")), "url")
     page = captures.select("page_id", url.alias("url"))
     told = threat_reports(page, answers, entries, feeds).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("place", "source", "checked", "listed"))).alias("t"))
     told = told.select("page_id", F.transform("t", lambda x: F.struct(x["source"].alias("source"), x["checked"].alias("checked"), x["listed"].alias("listed"))).alias("threats"))
     host = page.select("page_id", urls.host_of(urls.with_scheme(F.col("url"))).alias("host"))
     report = dns_reports(host, answers).select("host", "resolves", F.col("validated").alias("dnssec"), "caa")
+    if responses is not None:
+        report = report.join(http_redirects(host, responses), "host")
     return captures.join(told, "page_id").join(host.join(small(report), "host").drop("host"), "page_id")
 
 

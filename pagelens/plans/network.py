@@ -44,17 +44,22 @@ def threat_audit_all_feeds(spark, sf_dir):
     return network.threat_reports(page, lookups.answers(page), lookups.entries(page), _feeds(spark, [(f, True) for f, _ in FEEDS]))
 
 
+def http_probe(spark, sf_dir):
+    page = pages(spark, sf_dir)
+    return network.http_redirects(lookups.hosts(page), lookups.plain_responses(page))
+
+
 def network_safety(spark, sf_dir):
     """Score and verdict with DNS and feeds among the findings."""
     page = pages(spark, sf_dir)
-    return safety.verdicts(safety.findings(network.with_network(captures(spark, sf_dir), lookups.answers(page), lookups.entries(page), _feeds(spark))))
+    return safety.verdicts(safety.findings(network.with_network(captures(spark, sf_dir), lookups.answers(page), lookups.entries(page), _feeds(spark), lookups.plain_responses(page))))
 
 
 def network_findings(spark, sf_dir):
-    """The findings that DNS and feeds give."""
+    """The findings that DNS, feeds and plain HTTP give."""
     page = pages(spark, sf_dir)
-    found = safety.findings(network.with_network(captures(spark, sf_dir), lookups.answers(page), lookups.entries(page), _feeds(spark)))
-    return found.where("area in ('dns', 'threat_intel')").drop("at")
+    found = safety.findings(network.with_network(captures(spark, sf_dir), lookups.answers(page), lookups.entries(page), _feeds(spark), lookups.plain_responses(page)))
+    return found.where("area in ('dns', 'threat_intel') or finding like 'conn-http-%'").drop("at")
 
 
 def redirect_resolution(spark, sf_dir):
@@ -132,12 +137,15 @@ joined as (select page_id, a.host, url_threat, host_threat from addresses a left
 threats as ({' union all '.join(rows)})"""
 
 
+PROBED = f"""plain as ({lookups.plain_responses_sql(sql.host('url'))}),
+probed as (select host, case when p.error is not null or regexp_matches(host, {_IP}) then null when p.status between 301 and 308 then regexp_matches(trim(coalesce(p.location, '')), '(?i)^https://') when p.status = 200 then false end as http_redirects from (select distinct {sql.host('url')} as host from pages where {sql.host('url')} <> '') h left join plain p on p.url = 'http://' || h.host || '/')"""
 _FINAL = "coalesce(nullif(final_url, ''), url)"
 _MORE = f"""{threats(FEEDS, 'caps', _FINAL)}, {REPORTS.partition(', asked as')[2].join(['asked as', ''])},
-told as (select page_id, r.* from (select page_id, {sql.host(sql.SCHEME.format(_FINAL))} as host from caps) c join reports r using (host)),
+{{PROBED}}, told as (select page_id, r.* from (select page_id, {sql.host(sql.SCHEME.format(_FINAL))} as host from caps) c join reports r using (host)),
 more as (
   select page_id, case when checked and listed then 'threat-' when checked then 'clean-' else 'avail-' end || lower(regexp_replace(source, '\\s+', '-', 'g')) as finding, 'threat_intel' as area, case when checked and listed then 'threat' when checked then 'pass' else 'unavailable' end as status, case when checked and listed then 'critical' else 'none' end as severity from threats
-  union all select page_id, 'dns-resolves', 'dns', 'pass', 'none' from told where resolves union all select page_id, 'dns-dnssec', 'dns', 'pass', 'none' from told where validated union all select page_id, 'dns-caa', 'dns', 'pass', 'none' from told where caa)"""
+  union all select page_id, 'dns-resolves', 'dns', 'pass', 'none' from told where resolves union all select page_id, 'dns-dnssec', 'dns', 'pass', 'none' from told where validated union all select page_id, 'dns-caa', 'dns', 'pass', 'none' from told where caa
+  union all select page_id, case when http_redirects then 'conn-http-redirect' else 'conn-http-no-redirect' end, 'connection', case when http_redirects then 'pass' else 'concern' end, case when http_redirects then 'none' else 'medium' end from told join probed using (host) where http_redirects is not null)""".replace("{PROBED}", PROBED)
 NETWORK_FINDINGS = f"with {sql.CAPS}, {_MORE} select * from more"
 NETWORK_SAFETY = sql.SAFETY_SCORE.replace("\nlost as", f"\n{_MORE}, every as (select * from findings union all select * from more),\nlost as", 1).replace("as plain from findings group by", "as plain from every group by")
 _PREPARED = f"""responses as ({lookups.responses_sql(sql.whole('url'), sql.scheme('u'), sql.authority('u'), sql.host('u'))}),
@@ -185,12 +193,12 @@ SCAN_MINUTES = """select floor(epoch(ts) / 3600)::bigint * 3600 as second, 'h' |
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (dns_audit, cname_chain, threat_audit, threat_audit_all_feeds, network_findings, network_safety, redirect_resolution, pinned_resolution, capture_attempts, page_containers, scan_minutes)}
+    return {f.__name__: f for f in (dns_audit, cname_chain, threat_audit, threat_audit_all_feeds, network_findings, network_safety, http_probe, redirect_resolution, pinned_resolution, capture_attempts, page_containers, scan_minutes)}
 
 
 def all_sql() -> dict[str, str]:
     smallest = f"(select min({sql.host('url')}) from pages)"
     return {
-        "dns_audit": DNS_AUDIT, "cname_chain": CNAME_CHAIN, "threat_audit": f"with {threats(FEEDS)} select * from threats", "threat_audit_all_feeds": f"with {threats([(f, True) for f, _ in FEEDS])} select * from threats", "network_findings": NETWORK_FINDINGS, "network_safety": NETWORK_SAFETY,
+        "dns_audit": DNS_AUDIT, "cname_chain": CNAME_CHAIN, "threat_audit": f"with {threats(FEEDS)} select * from threats", "threat_audit_all_feeds": f"with {threats([(f, True) for f, _ in FEEDS])} select * from threats", "network_findings": NETWORK_FINDINGS, "network_safety": NETWORK_SAFETY, "http_probe": f"with {PROBED} select * from probed",
         "redirect_resolution": followed(), "pinned_resolution": followed(f"{sql.host('url')} = pin_host", 2, smallest), "capture_attempts": ATTEMPTS, "page_containers": PAGE_CONTAINERS, "scan_minutes": SCAN_MINUTES,
     }

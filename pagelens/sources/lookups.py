@@ -92,6 +92,21 @@ def responses_sql(whole: str, scheme: str, authority: str, host: str) -> str:
     return f"select {fill('url')}, status, {fill('location')}, {fill('error')} from (select {whole} as u, min(page_id) as k from pages group by 1) f join {_values(_RESPONSES, 'variant, url, status, location, error')} r on f.k % 12 = r.variant"
 
 
+#: Synthetic responses to plain HTTP by the smallest page_id of a host % 5: status, location, error.
+_PLAIN: list[tuple] = [(0, 301, "  HTTPS://{h}/", None), (1, 200, None, None), (2, 302, "http://www.{h}/", None), (3, None, None, "connect ECONNREFUSED")]
+
+
+def plain_responses(pages: DataFrame) -> DataFrame:
+    """Synthetic responses (RESPONSES) of hosts that are asked without encryption."""
+    rows = pages.sparkSession.createDataFrame(_PLAIN, "variant long, status int, location string, error string")
+    named = hosts(pages).withColumn("variant", F.col("k") % 5).join(F.broadcast(rows), "variant")
+    return named.select(F.concat(F.lit("http://"), "host", F.lit("/")).alias("url"), "status", _filled("location", {"h": F.col("host")}).alias("location"), "error")
+
+
+def plain_responses_sql(host: str) -> str:
+    return f"select 'http://' || host || '/' as url, status, {_filled_sql('location', {'h': 'host'})} as location, error from (select {host} as host, min(page_id) as k from pages where {host} <> '' group by 1) h join {_values(_PLAIN, 'variant, status, location, error')} r on h.k % 5 = r.variant"
+
+
 def entries(pages: DataFrame) -> DataFrame:
     """Synthetic feed entries (ENTRIES): the first folder of some pages, and the hosts of some others."""
     url = F.col("url")

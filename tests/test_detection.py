@@ -247,6 +247,7 @@ def test_readers_give_what_the_package_brings(spark):
     rows = lambda table: sorted(map(str, table.collect()))
     assert rows(catalogue.read_rules(spark, str(folder / "growth.json"))) == rows(catalogue.growth(spark))
     assert rows(catalogue.read_ids(spark, str(folder / "growth.json"))) == rows(catalogue.growth_ids(spark))
+    assert rows(catalogue.read_details(spark, str(folder / "growth.json"))) == rows(catalogue.details(spark))
     assert rows(catalogue.read_rules(spark, str(folder / "security.json"))) == rows(catalogue.security(spark))
     assert rows(catalogue.read_protection(spark, str(folder / "protection.json"))) == rows(catalogue.protection(spark))
     same = [c for c in catalogue.core(spark).columns if c not in ("specificity", "needles")]
@@ -297,8 +298,9 @@ def test_rate_limit_and_robots(spark):
     got = {(r.key, r.at.second + 60 * r.at.minute): (r.recent, r.limited) for r in sites.rate_limited(hits, 3, 60).collect()}
     assert got["a", 59] == (3, False) and got["a", 60] == (3, False) and got["a", 61] == (4, True) and got["a", 200] == (1, False) and got["b", 5] == (1, False)
     robots = "User-agent: x\nDisallow: /\nUser-agent: *\nDisallow: /a # note\nUser-agent: y\nDisallow: /b"
-    page = capture(spark, {"url": "https://h.com/a/1", "robots": robots}, {"url": "https://h.com/b", "robots": robots}, {"url": "https://h.com/a"})
-    assert [r.allowed for r in sites.robots_allowed(page).orderBy("page_id").collect()] == [False, True, True]
+    late = "Disallow: /a\nUSER-AGENT : * # all\n disallow : /c  # x\nDisallow:\nAllow: /d"
+    page = capture(spark, {"url": "https://h.com/a/1", "robots": robots}, {"url": "https://h.com/b", "robots": robots}, {"url": "https://h.com/a"}, {"url": "https://h.com/c?x", "robots": late}, {"url": "https://h.com/a", "robots": late}, {"url": "https://h.com/", "robots": ""})
+    assert [r.allowed for r in sites.robots_allowed(page).orderBy("page_id").collect()] == [False, True, True, False, True, True]
 
 
 def test_rate_limit_of_a_busy_key_is_spread(spark):

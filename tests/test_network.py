@@ -67,6 +67,13 @@ def test_threat_feeds(spark):
     assert {r.page_id for r in safety.verdicts(found).where("verdict = 'known_threat'").collect()} == {0, 2, 3, 4}
 
 
+def test_plain_http(spark):
+    rows = [("http://a.com/", 301, " HTTPS://a.com/", None), ("http://b.com/", 200, None, None), ("http://c.com/", 308, "http://c.com/x", None), ("http://d.com/", 404, None, None), ("http://e.com/", None, None, "refused"), ("http://f.com/", 302, None, None), ("http://1.2.3.4/", 200, None, None)]
+    hosts = spark.createDataFrame([(f"{h}.com",) for h in "abcdefg"] + [("1.2.3.4",), ("a.com",)], "host string")
+    got = {r.host: r.http_redirects for r in network.http_redirects(hosts, spark.createDataFrame(rows, lookups.RESPONSES)).collect()}
+    assert got == {"a.com": True, "b.com": False, "c.com": False, "d.com": None, "e.com": None, "f.com": False, "g.com": None, "1.2.3.4": None}
+
+
 def followed(spark, rows, starts, **options):
     table = spark.createDataFrame([(u, s, l, e) for u, s, l, e in rows], lookups.RESPONSES)
     return {r.url: r for r in network.follow(spark.createDataFrame([(u,) for u in starts], "url string"), table, **options).collect()}
