@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 from collections import defaultdict
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pagelens.operators.catalogue import needles
 from pagelens.sources.captures import seen_html
 
 MAX_RULES = 20_000
+#: Fixed texts of a channel that are looked for one by one.
+FEW = 4
 #: Containers of a page, and characters of one, that are looked at.
 MAX_CONTAINERS, MAX_CONTAINER = 3, 400_000
 #: Fixed value: characters of a probe's answer that are looked at.
@@ -60,7 +63,7 @@ def rules_for(texts: DataFrame, rules: DataFrame, lower: Column) -> DataFrame:
         return texts.alias("c").join(rules.alias("r"), F.col("c.channel") == F.col("r.channel"))
     fixed, always = [], defaultdict(list)
     for number, rule in enumerate(rows):
-        known = rule["needles"] if "needles" in rules.columns else needles(rule["pattern"])
+        known = (rule["needles"] if "needles" in rules.columns else None) or needles(rule["pattern"])
         fixed += [(rule["channel"], text, number) for text in known]
         if not known:
             always[rule["channel"]].append(number)
@@ -79,6 +82,11 @@ def rules_for(texts: DataFrame, rules: DataFrame, lower: Column) -> DataFrame:
 
     table = rules.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(rows)], f"rule_number int, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rules.schema)}")
     named = texts.where(F.col("channel").isin(*{r["channel"] for r in rows}))
+    # Where a channel's rules need one of a few texts, most values end here and never leave the JVM.
+    for channel in {r["channel"] for r in rows} - set(always):
+        few = sorted({text for c, text, _ in fixed if c == channel})
+        if len(few) <= FEW:
+            named = named.where((F.col("channel") != channel) | reduce(lambda a, b: a | b, (lower.contains(text) for text in few)))
     met = named.withColumn("rule_number", F.explode(candidates("channel", lower)))
     return met.alias("c").join(F.broadcast(table).alias("r"), F.col("c.rule_number") == F.col("r.rule_number"))
 
