@@ -11,16 +11,18 @@ tasks are left unread.  `read` needs the index only and works in any order; neig
 together, and every checksum is verified.  `shuffled` puts the index in a random order for reading.
 
 Defined results: a null text counts as empty, and an empty one is the end id alone; null ids come first; rows of one id are
-ordered by the hash of their text and then as they lie in the input; extra columns are ignored; an empty table writes no
+in the order of the input; extra columns are ignored; an empty table writes no
 file and an empty index.  A text is encoded a stretch at a time, however long it is; a record is held whole by the task
 that writes or reads it.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +47,7 @@ INDEX = "doc_id long, file string, shard int, shard_start long, offset long, len
 
 
 def _shift_tables() -> list[np.ndarray]:
-    """Tables that carry a checksum over 4, 8, 16, ... zero bytes, one column for each of its bytes."""
+    """Tables that carry a checksum over 4, 8, 16, ... zero bytes, one row for each of its bytes."""
     one = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         one = np.where(one & 1, (one >> 1) ^ np.uint32(POLYNOMIAL), one >> 1).astype(np.uint32)
@@ -54,14 +56,28 @@ def _shift_tables() -> list[np.ndarray]:
         columns.append(one[columns[-1] & 255] ^ (columns[-1] >> 8))
     tables = [np.stack(columns[::-1])]
     while len(tables) < 40:
-        tables.append(_carried(tables[-1], tables[-1]))
+        tables.append(_by_bytes(tables[-1], tables[-1]))
     return tables
 
 
-def _carried(table: np.ndarray, sums: np.ndarray) -> np.ndarray:
+def _by_bytes(table: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return table[0][sums & 255] ^ table[1][(sums >> 8) & 255] ^ table[2][(sums >> 16) & 255] ^ table[3][sums >> 24]
 
 
+@functools.lru_cache(maxsize=None)
+def _halves(level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table of a level with a row for each half of a checksum, which needs half the look-ups."""
+    low, table = np.arange(1 << 16), _SHIFTS[level]
+    return table[0][low & 255] ^ table[1][low >> 8], table[2][low & 255] ^ table[3][low >> 8]
+
+
+def _carried(level: int, sums: np.ndarray) -> np.ndarray:
+    """Checksums carried over 4 << level zero bytes."""
+    first, second = _halves(level)
+    halves = np.ascontiguousarray(sums, "<u4").view("<u2")
+    return first[halves[0::2]] ^ second[halves[1::2]]
+
+
 def _lead() -> bytes:
     """The four bytes that take a checksum from zero to its first state, all ones."""
     state = 0xFFFFFFFF
@@ -77,14 +93,14 @@ def crc32c(texts: list[bytes]) -> np.ndarray:
     """The CRC-32C of each text.  All are folded at once: four bytes each, then pairs of neighbours until one is left."""
     if not texts:
         return np.zeros(0, np.uint32)
-    words = _carried(_SHIFTS[0], np.frombuffer(b"".join(bytes(-len(t) % 4) + _LEAD + t for t in texts), "<u4"))
+    words = _carried(0, np.frombuffer(b"".join(bytes(-len(t) % 4) + _LEAD + t for t in texts), "<u4"))
     sizes = np.array([(len(t) + 7) // 4 for t in texts])
     level = 0
     while (sizes > 1).any():
         starts = np.concatenate(([0], np.cumsum(sizes[:-1])))
         words = np.insert(words, starts[sizes % 2 == 1], 0)
         sizes = (sizes + 1) // 2
-        words = _carried(_SHIFTS[level], words[0::2]) ^ words[1::2]
+        words = _carried(level, words[0::2]) ^ words[1::2]
         level += 1
     return words ^ np.uint32(0xFFFFFFFF)
 
@@ -130,7 +146,7 @@ def write(docs: DataFrame, folder: str, end: int = END, tokenizer_file: str | No
             for part in slices(batch, "text", CHUNK):
                 where = store(f"{folder}/records/{name}")
                 out = out or where[0].open_output_stream(where[1])
-                sequences = [ids.of(t.as_py() or "") + last for t in part.column("text")]
+                sequences = [ids.of(t or "") + last for t in part.column("text").to_pylist()]
                 rows = []
                 for record in framed(sequences):
                     out.write(record)
@@ -144,9 +160,9 @@ def write(docs: DataFrame, folder: str, end: int = END, tokenizer_file: str | No
         trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
-    order = [F.col("doc_id").asc_nulls_first(), "hash", "row"]
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    # Without the text in the order, the ranges are found by a pass over the ids alone.
+    order = [F.col("doc_id").asc_nulls_first(), "row"]
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return index(spark, folder)
 
@@ -165,8 +181,12 @@ def shuffled(index: DataFrame, seed: int = 0) -> DataFrame:
     return index.orderBy(F.xxhash64(F.lit(seed), "start"))
 
 
-def read(index: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) for each row of an index, in its order; `ids` are unsigned 32-bit integers, little-endian."""
+def read(index: DataFrame, digests: bool = False) -> DataFrame:
+    """(doc_id, start, ids) for each row of an index, in its order; `ids` are unsigned 32-bit integers, little-endian.
+
+    With `digests` their number and CRC-32 (n_tokens, ids_crc32) stand in their place.
+    """
+    kinds = {"n_tokens": pa.int64(), "ids_crc32": pa.int64()} if digests else {"ids": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, pa.NativeFile] = {}
@@ -183,12 +203,13 @@ def read(index: DataFrame) -> DataFrame:
                 sequences = unframed([data[at - begin : at - begin + n] for _, at, n, _ in rows[first:stop]])
                 wide = [np.frombuffer(s, f"<u{r[3]}").astype("<u4").tobytes() for s, r in zip(sequences, rows[first:stop], strict=True)]
                 part = batch.slice(first, stop - first)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), pa.array(wide, pa.binary())], ["doc_id", "start", "ids"])
+                told = [[len(w) // 4 for w in wide], list(map(zlib.crc32, wide))] if digests else [wide]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), *map(pa.array, told, kinds.values())], ["doc_id", "start", *kinds])
         for file in opened.values():
             file.close()
         trim()
 
-    return index.mapInArrow(run, "doc_id long, start long, ids binary")
+    return index.mapInArrow(run, "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digests else "ids binary"))
 
 
 def together(rows: list[tuple[str, int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -203,6 +224,6 @@ def together(rows: list[tuple[str, int, int, int]]) -> Iterator[tuple[int, int]]
         yield first, len(rows)
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
+def round_trip(docs: DataFrame, digests: bool = False) -> DataFrame:
     """Write the documents into a new folder beside the session's checkpoints and read every record back."""
-    return read(write(docs, f"{checkpoint_folder(docs.sparkSession)}/records-{uuid.uuid4().hex}"))
+    return read(write(docs, f"{checkpoint_folder(docs.sparkSession)}/records-{uuid.uuid4().hex}"), digests)

@@ -20,7 +20,7 @@ CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 #: What lies between such places.
 PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[^\w'])|\s*(?:\S+|[^\S \t\r\n]\s*)+|\s+")
 #: Characters that are cut into pieces at a time, and up to which a piece is remembered; pieces of a generation of the memory.
-STRETCH, SHORT, KNOWN = 1 << 18, 40, 300_000
+STRETCH, SHORT, KNOWN = 1 << 18, 40, 700_000
 #: Letters that end a word for certain.
 WORD_END = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
 

@@ -70,6 +70,8 @@ def test_records_round_trip(spark, tmp_path):
         assert start == at
         at += len(x) // 4
     assert index.select("file").distinct().count() > 1
+    short = {(r.start, r.n_tokens, r.ids_crc32) for r in records.read(index, digests=True).collect()}
+    assert short == {(s, len(x) // 4, zlib.crc32(x)) for _, s, x in got}
     # In any order, the same records.
     mixed = records.read(records.shuffled(index, 7)).collect()
     assert [r.start for r in mixed] != sorted(r.start for r in mixed)
