@@ -164,4 +164,6 @@ def container_fetches_sql() -> str:
 def scans(events: DataFrame) -> DataFrame:
     """A synthetic log of scans from a table of events: who scanned is the host, the value how long it took, the type what came of it."""
     took = F.abs(F.col("value"))
-    return events.select(F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("https://h"), (F.col("user_id") % 7).cast("string"), F.lit(".shop.com/")).alias("url"), F.when(F.col("event_type") == "click", "ok").otherwise(F.col("event_type")).alias("outcome"), took.alias("duration_ms"), (took * 0.08).alias("cpu_ms"), (F.col("event_id") % 10 == 0).alias("truncated"))
+    # A time without a zone is meant in UTC, whatever the session's zone is.
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") if dict(events.dtypes)["ts"] == "timestamp_ntz" else F.unix_micros("ts")
+    return events.select(F.timestamp_micros(micros).alias("at"), F.concat(F.lit("https://h"), (F.col("user_id") % 7).cast("string"), F.lit(".shop.com/")).alias("url"), F.when(F.col("event_type") == "click", "ok").otherwise(F.col("event_type")).alias("outcome"), took.alias("duration_ms"), (took * 0.08).alias("cpu_ms"), (F.col("event_id") % 10 == 0).alias("truncated"))
