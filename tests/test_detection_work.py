@@ -1,0 +1,42 @@
+"""How much of the pages detection looks at, and that what it leaves out could not have matched."""
+
+from pyspark.sql import functions as F
+
+from pagelens.functions import channels as ch
+from pagelens.operators import catalogue, matching
+from tests.test_detection import capture
+
+ODD = [
+    {"html": 'İİ <p class="a">x</p><i class="fa-solid fa-user"></i> Shopify.theme'},
+    {"html": "😀 é " * 50 + "<script>fbq('init', '123456789')</script>/wp-content/"},
+    {"html": '<p class="b">no icon</p><div data-sitekey="test" class="g-recaptcha"></div>', "headers": {"Server": "cloudflare", "CF-Ray": "1"}, "cookies": ["__cf_bm"]},
+    {"html": "shopify /wp-includes/ SHOPIFY.THEME <pre>cdn.shopify.com</pre>```x```", "probes": {"/wp-json/": '{"namespaces":[]}'}},
+]
+
+
+def test_rules_meet_texts_that_hold_all_they_need(spark):
+    rules = catalogue.core(spark).where("tech_id in ('font-awesome', 'shopify') and channel = 'usage'")
+    text = spark.createDataFrame([(0, "usage", '<p class="a">'), (1, "usage", '<p class="fa-solid">'), (2, "usage", "ab Shopify.theme cdn.shopify.com"), (3, "usage", "İ Shopify.theme")], "page_id int, channel string, value string")
+    met = matching.rules_for(text, rules, "value").select("page_id", "r.tech_id", "rest").distinct().collect()
+    assert {(r.page_id, r.tech_id, r.rest) for r in met} == {(1, "font-awesome", 'class="fa-solid">'), (2, "shopify", "Shopify.theme cdn.shopify.com"), (3, "shopify", "İ Shopify.theme")}
+
+
+def test_what_is_left_out_could_not_match(spark, monkeypatch):
+    page, rules = capture(spark, *ODD), catalogue.core(spark)
+    columns = ["page_id", "tech_id", "sig_ord", "name", "artifact", "version", "strength"]
+    quick = sorted(map(tuple, matching.core_evidence(page, rules).select(*columns).collect()), key=str)
+    monkeypatch.setattr(matching, "MAX_RULES", 0)
+    assert quick == sorted(map(tuple, matching.core_evidence(page, rules).select(*columns).collect()), key=str) and len(quick) > 5
+
+
+def test_requirements_of_patterns():
+    assert catalogue.requirements(r"class=[^>]*fa-x|data\.b") == [("class=", frozenset({"class=", "fa-x"}), "class="), ("data.b", frozenset({"data.b"}), "data.b")]
+    assert catalogue.requirements(r"(www\.)?abc/def") == [("abc/def", frozenset({"abc/def"}), "")] and catalogue.requirements(r"(?<=x)abcd") == [("abcd", frozenset({"abcd"}), "")]
+    # Characters by number are no fixed text, and a bracket that is escaped or in a class ends no group.
+    assert catalogue.needles(r"\x41bcdef") == [] and catalogue.requirements(r"(x|a\)bcd)efg") == [("efg", frozenset({"efg"}), "")] and catalogue.needles("([)]|abc)def") == ["def"]
+
+
+def test_texts_are_cleared_only_of_whole_boxes(spark):
+    rows = ["a<PRE>x</pre>b", "a```x```b```c", '<script type="application/<pre>x</pre>ld+json">x</script>y', '<div class="x prettyprint">x</div>z', "plain", None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, html string").orderBy("i").select(ch.usage_html(F.col("html"))).collect()]
+    assert got == ["ab", "ab```c", "y", "z", "plain", None]
