@@ -1,9 +1,11 @@
 """How much of the pages detection looks at, and that what it leaves out could not have matched."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelens.functions import channels as ch
 from pagelens.operators import catalogue, matching
+from pagelens.plans import queries
 from tests.test_detection import capture
 
 ODD = [
@@ -14,6 +16,12 @@ ODD = [
 ]
 
 
+@pytest.mark.parametrize("query", ["scan_results", "site_tech_rollup"])
+def test_a_scan_detects_once(spark, query):
+    frame = queries.all_queries()[query](spark, "/root/testdata/sf0.001")
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_rules_meet_texts_that_hold_all_they_need(spark):
     rules = catalogue.core(spark).where("tech_id in ('font-awesome', 'shopify') and channel = 'usage'")
     text = spark.createDataFrame([(0, "usage", '<p class="a">'), (1, "usage", '<p class="fa-solid">'), (2, "usage", "ab Shopify.theme cdn.shopify.com"), (3, "usage", "İ Shopify.theme")], "page_id int, channel string, value string")
