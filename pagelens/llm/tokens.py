@@ -21,8 +21,8 @@ CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[^\w'])|\s*(?:\S+|[^\S \t\r\n]\s*)+|\s+")
 #: Characters that are cut into pieces at a time, and up to which a piece is remembered; pieces of a generation of the memory.
 STRETCH, SHORT, KNOWN = 1 << 18, 40, 700_000
-#: Letters that end a word for certain.
-WORD_END = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
+#: Signs that are no white space for certain.
+SOLID = re.compile("[!-~À-ÖØ-öø-ÿ]")
 
 
 def vocabulary(file: str | None = None) -> str:
@@ -43,8 +43,8 @@ def id_width(file: str) -> int:
 class Ids(dict):
     """The ids of pieces as little-endian unsigned integers of `width` bytes, remembered in two generations.
 
-    New pieces that start with a space and end with a letter are encoded together, as one text: a space behind a letter is a
-    place where a text may be cut.  The bytes that tokens stand for tell where each piece ends.
+    New pieces that start with a space and end with a solid sign are encoded together, as one text: in front of white space that
+    follows none a text may be cut.  The bytes that tokens stand for tell where each piece ends.
     """
 
     def __init__(self, file: str, width: int = 4):
@@ -65,7 +65,7 @@ class Ids(dict):
         for piece in pieces:
             if (ids := self.older.get(piece)) is not None:
                 found[piece] = self[piece] = ids
-            elif len(piece) <= SHORT and piece[0] == " " and WORD_END.fullmatch(piece[-1]):
+            elif len(piece) <= SHORT and piece[0] in " \n" and SOLID.match(piece[-1]) and "<|" not in piece:
                 words.append(piece)
             else:
                 found[piece] = self.encoded(piece).tobytes()
@@ -88,8 +88,10 @@ class Ids(dict):
             pieces = PIECE.findall(text, start, end)
             found = list(map(self.get, pieces))
             if None in found:
-                new = self.learn({p for p, ids in zip(pieces, found, strict=True) if ids is None})
-                found = [new[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+                places = [i for i, ids in enumerate(found) if ids is None]
+                new = self.learn({pieces[i] for i in places})
+                for i in places:
+                    found[i] = new[pieces[i]]
             out.append(b"".join(found))
         return b"".join(out)
 
