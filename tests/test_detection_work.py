@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelens.functions import channels as ch
-from pagelens.operators import catalogue, matching
+from pagelens.operators import catalogue, matching, safety, sites
 from pagelens.plans import queries
 from tests.test_detection import capture
 
@@ -48,3 +48,30 @@ def test_texts_are_cleared_only_of_whole_boxes(spark):
     rows = ["a<PRE>x</pre>b", "a```x```b```c", '<script type="application/<pre>x</pre>ld+json">x</script>y', '<div class="x prettyprint">x</div>z', "plain", None]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, html string").orderBy("i").select(ch.usage_html(F.col("html"))).collect()]
     assert got == ["ab", "ab```c", "y", "z", "plain", None]
+
+
+def test_a_roll_up_looks_at_its_pages_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = queries.site_tech_rollup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("ReusedExchange") == 1
+
+
+def test_pages_without_an_id_count_for_their_site(spark):
+    rows = [(1, "a", True), (1, "a", True), (None, "a", True), (None, "a", False), (2, "b", False), (None, None, True), (3, None, True), (4, "c", True)]
+    pages = spark.createDataFrame(rows, "page_id long, site string, ok boolean")
+    kinds = "page_id long, tech_id string, tech_name string, category string, type string, name string, strength string, family string"
+    found = spark.createDataFrame([(i, "t", "T", "cms", "header", "x", "strong", "NETWORK") for i in (1, 2, 3, None)], kinds)
+    got = sites.site_rollup(found, pages).select("site", "detected_on", "checked").collect()
+    assert [tuple(r) for r in got] == [("a", 1, 3)]
+
+
+def test_challenge_words_are_found_as_by_their_alternatives(spark):
+    words = [w.replace("\\", "") for w in safety.CHALLENGE.removeprefix("(?i)").split("|")]
+    texts = [*words, *(f"caé {w.title()}s" for w in words), *(w[:-1] for w in words), *(w[1:] for w in words), "", "ca cap secs DDoS", "cHaLLenge", "a\ncaptcha", "shapexsh", "\u212aasada", None]
+    frame = spark.createDataFrame([(200, t) for t in texts], "status int, html string")
+    both = frame.select(safety.is_challenge(F.col("status"), F.col("html")).alias("a"), (F.col("html").rlike(safety.CHALLENGE) | (F.col("status") == 403)).alias("b")).collect()
+    assert all(r.a == r.b for r in both) and sum(bool(r.a) for r in both) == 2 * len(words) + 2
+    assert safety.CHALLENGE_WORDS != safety.CHALLENGE
