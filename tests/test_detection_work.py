@@ -75,3 +75,20 @@ def test_challenge_words_are_found_as_by_their_alternatives(spark):
     both = frame.select(safety.is_challenge(F.col("status"), F.col("html")).alias("a"), (F.col("html").rlike(safety.CHALLENGE) | (F.col("status") == 403)).alias("b")).collect()
     assert all(r.a == r.b for r in both) and sum(bool(r.a) for r in both) == 2 * len(words) + 2
     assert safety.CHALLENGE_WORDS != safety.CHALLENGE
+
+
+def test_statistics_look_at_pages_once_for_core_and_once_for_the_others(spark):
+    frame = queries.catalogue_stats(spark, "/root/testdata/sf0.001")
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+
+
+def test_catalogues_together_hit_what_each_hits(spark):
+    page = capture(spark, *ODD, {"html": '<script src="https://www.googletagmanager.com/gtm.js?id=GTM-A1"></script>', "containers": [("GTM-A1", 'fbq("init","1"); js.stripe.com/v3/ Sentry.init(')]}, {"html": "x", "containers": [("GTM-B2", "klaviyo")]})
+    given = {"growth": (catalogue.growth(spark), matching.GROWTH_LOOK, queries.GROWTH_CONTAINERS), "security": (catalogue.security(spark), matching.SECURITY_LOOK, queries.SECURITY_CONTAINERS)}
+    both = matching.with_default(matching.catalogue_hits(page, given), page, queries._tag(), 0.9, catalogue="growth")
+    apart = {"growth": queries.growth_hits(spark, page), "security": queries.security_hits(spark, page)}
+    for name, hits in apart.items():
+        expected = sorted(map(tuple, hits.collect()), key=str)
+        assert expected == sorted(map(tuple, both.where(f"catalogue = '{name}'").select(*hits.columns).collect()), key=str) and len(expected) >= 3
+    pages = catalogue.stats({n: g[0] for n, g in given.items()}, {"both": both})
+    assert sorted(pages.collect()) == sorted(catalogue.stats({n: g[0] for n, g in given.items()}, apart).collect())
